@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, packing, toxicity
+from . import jaccard_join, language_id, packing, quality, topk, toxicity, url_trust
 from .common import id_fold, table
 
 
+URL_RULES = [
+    url_trust.Rule("block", "com", "/en/"),
+    url_trust.Rule("allow", "example.com", "/en/7"),
+    url_trust.Rule("allow", "net", "/de/"),
+    url_trust.Rule("block", "example.net", "/de/8"),
+    url_trust.Rule("block", "org", "/es/"),
+]
+
+
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_fold(F.col("doc_id"), 5) == 0
@@ -28,11 +45,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_ngram_jaccard_join, op7_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_threshold_topk, op3_language_id, op6_ngram_jaccard_join, op7_toxicity, op8_quality_divergence, op10_best_fit_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
