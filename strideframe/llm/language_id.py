@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
     @F.pandas_udf("lang string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            got = [sent.value.documents(part) for part in slices(texts, 20_000_000)]
+            got = [sent.value.documents(part) for part in slices(texts, 10_000_000)]
             yield pd.DataFrame({"lang": [x for langs, _ in got for x in langs], "score": np.concatenate([np.zeros(0), *(s for _, s in got)])})
 
     out = docs.withColumn("_language", label.asNondeterministic()(F.col(text)))

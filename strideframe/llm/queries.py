@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, packing, quality, topk, toxicity, url_trust
+from . import backoff_lm, jaccard_join, language_id, packing, piece_codec, quality, token_store, topk, toxicity, url_trust
 from .common import id_fold, table
 
 
@@ -18,6 +18,13 @@ URL_RULES = [
 ]
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file; every machine has the package that holds them."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -33,6 +40,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.encode_and_read_back(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -49,11 +64,15 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trips(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_threshold_topk, op3_language_id, op6_ngram_jaccard_join, op7_toxicity, op8_quality_divergence, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_trust, op2_threshold_topk, op3_language_id, op4_token_ids, op5_stupid_backoff, op6_ngram_jaccard_join, op7_toxicity, op8_quality_divergence, op9_piece_codec, op10_best_fit_packing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
