@@ -32,8 +32,10 @@ ALPHA = 0.4
 #: Words with tables of their own, at most, chosen on a sample of so many documents; their counts are of all documents.
 HOT_WORDS, SAMPLE_DOCS = 256, 2000
 #: Characters of text for each partition of the count tables; bounds a task's memory.
-CHARS_PER_PART = 12_000_000
-SLICE = 8_000_000
+CHARS_PER_PART = 9_000_000
+SLICE = 6_000_000
+#: A part is scored in so many shares of its words, one after the other.
+SHARES = 4
 ROW_BITS = 20  # documents of one slice
 
 
@@ -93,15 +95,24 @@ def _count_hot(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.bincount(at[at >= 0], minlength=len(hot))
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs: 1, 2 or 4."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n]) if n and data else np.zeros(0, dtype=np.uint8)
+
+
 def _pack(word: np.ndarray, near: np.ndarray, row: np.ndarray, own: np.ndarray | None) -> dict[str, bytes]:
     """Columns of one part: distinct words with run lengths, neighbours, document rows, and the document's count of a hot word."""
     order = np.lexsort((row, word))
     word, near, row = word[order], near[order], row[order]
     kinds, runs = np.unique(word, return_counts=True)
-    small = np.uint16 if not len(row) or row.max() < 1 << 16 else np.uint32
     return {
-        "words": kinds.tobytes(), "runs": runs.astype(np.uint32).tobytes(), "near": near.tobytes(), "rows": row.astype(small).tobytes(),
-        "own": b"" if own is None else own[order].astype(np.uint32).tobytes(),
+        "words": kinds.tobytes(), "runs": runs.astype(np.uint32).tobytes(), "near": near.tobytes(), "rows": _small(row),
+        "own": b"" if own is None else _small(own[order]),
     }
 
 
@@ -172,9 +183,10 @@ def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> p
     bases = np.sort(pdf["base"].unique())
 
     def add(doc: np.ndarray, log: np.ndarray, back: np.ndarray) -> None:
-        sums["doc"].append(doc)
-        sums["log"].append(log)
-        sums["back"].append(back.astype(np.int64))
+        kinds, at = np.unique(doc, return_inverse=True)
+        sums["doc"].append(kinds)
+        sums["log"].append(np.bincount(at, weights=log, minlength=len(kinds)))
+        sums["back"].append(np.bincount(at, weights=back, minlength=len(kinds)))
 
     def columns(kind: int) -> tuple[np.ndarray, ...] | None:
         rows = pdf[pdf["kind"] == kind]
@@ -186,9 +198,8 @@ def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> p
             word.append(np.repeat(np.frombuffer(r.words, dtype=np.uint64), runs))
             near.append(np.frombuffer(r.near, dtype=np.uint32))
             n = len(word[-1])
-            row = np.frombuffer(r.rows, dtype=np.uint16 if len(r.rows) == 2 * n else np.uint32)
-            doc.append((int(np.searchsorted(bases, r.base)) << ROW_BITS) + row.astype(np.int64))
-            own.append(np.frombuffer(r.own, dtype=np.uint32))
+            doc.append((int(np.searchsorted(bases, r.base)) << ROW_BITS) + _wide(r.rows, n).astype(np.int64))
+            own.append(_wide(r.own, n).astype(np.int64))
         return np.concatenate(word), np.concatenate(near), np.concatenate(doc), np.concatenate(own)
 
     def left(seen: np.ndarray, first: np.ndarray, word_elsewhere: np.ndarray, doc: np.ndarray) -> None:
@@ -197,25 +208,32 @@ def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> p
         add(doc, np.where(hit, np.log(np.maximum(seen, 1)), single), ~hit)
 
     if (got := columns(0)) is not None:
-        word, near, doc, _ = got
-        near = near.reshape(-1, 2)
-        _, number = np.unique(word, return_inverse=True)
-        number = number.astype(np.uint64) << np.uint64(32)
-        elsewhere = _elsewhere(number, doc)
-        left(_elsewhere(number | near[:, 0], doc), near[:, 0] == 0, elsewhere, doc)
-        hit = (_elsewhere(number | near[:, 1], doc) > 0) & (near[:, 1] != 0)
-        add(doc[hit], -np.log(elsewhere[hit]), np.zeros(int(hit.sum())))
+        # A word's rows stay together; a share of the words at a time keeps the sorts small.
+        part = (got[0] >> np.uint64(60)).astype(np.uint8) % SHARES
+        for k in range(SHARES):
+            on = part == k
+            word, near, doc = got[0][on], got[1].reshape(-1, 2)[on], got[2][on]
+            _, number = np.unique(word, return_inverse=True)
+            number = number.astype(np.uint64) << np.uint64(32)
+            elsewhere = _elsewhere(number, doc)
+            left(_elsewhere(number | near[:, 0], doc), near[:, 0] == 0, elsewhere, doc)
+            hit = (_elsewhere(number | near[:, 1], doc) > 0) & (near[:, 1] != 0)
+            add(doc[hit], -np.log(elsewhere[hit]), np.zeros(int(hit.sum())))
+        del got
     for kind in (1, 2):
         if (got := columns(kind)) is not None:
-            word, near, doc, own = got
-            spot = _spots(word, hot)
-            elsewhere = hot_counts[spot] - own
-            seen = _elsewhere((spot.astype(np.uint64) << np.uint64(32)) | near, doc)
-            if kind == 1:
-                left(seen, near == 0, elsewhere, doc)
-            else:
-                hit = (seen > 0) & (near != 0)
-                add(doc[hit], -np.log(elsewhere[hit]), np.zeros(int(hit.sum())))
+            part = (got[1] >> np.uint32(28)).astype(np.uint8) % SHARES
+            for k in range(SHARES):
+                word, near, doc, own = (x[part == k] for x in got)
+                spot = _spots(word, hot)
+                elsewhere = hot_counts[spot] - own
+                seen = _elsewhere((spot.astype(np.uint64) << np.uint64(32)) | near, doc)
+                if kind == 1:
+                    left(seen, near == 0, elsewhere, doc)
+                else:
+                    hit = (seen > 0) & (near != 0)
+                    add(doc[hit], -np.log(elsewhere[hit]), np.zeros(int(hit.sum())))
+            del got
     if not sums["doc"]:
         doc = total = np.zeros(0, dtype=np.int64)
         back = total
