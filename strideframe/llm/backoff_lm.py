@@ -167,6 +167,8 @@ def _by(to: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _elsewhere(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     """For each occurrence, how often its key occurs in other rows."""
+    if not len(key):
+        return np.zeros(0, dtype=np.int64)
     order = np.lexsort((row, key))
     k, r = key[order], row[order]
     new_key = np.concatenate(([True], k[1:] != k[:-1]))
