@@ -464,7 +464,7 @@ def end_displacement(spark, sf_dir):
 
 
 @query(f"""WITH {A.MARKERS}, e AS (SELECT *, {', '.join(f'first_value({a}) OVER w AS f{a}, last_value({a}) OVER w AS l{a}' for a in 'xyz')} FROM markers WINDOW w AS (PARTITION BY trial_id, marker ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT trial_id, marker, frame_index, round(({' + '.join(f'({a} - f{a}) * (l{a} - f{a})' for a in 'xyz')}) / nullif({_dist_sql('f', 'l')}, 0), 6) AS along_axis FROM e""")
+SELECT trial_id, marker, frame_index, round(({' + '.join(f'({a} - f{a}) * (l{a} - f{a})' for a in 'xyz')}) / nullif({_dist_sql('f', 'l')}, 0), 6) + 0.0 AS along_axis FROM e""")
 def along_movement_axis(spark, sf_dir):
     return series.along_movement_axis(A.markers(spark, sf_dir), ["trial_id", "marker"], ["x", "y", "z"]).select("trial_id", "marker", "frame_index", r6("along_axis").alias("along_axis"))
 
