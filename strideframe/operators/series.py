@@ -87,8 +87,9 @@ def gradient(df: DataFrame, keys: Keys, value: str, *, time: str = "timestamp_se
     x, t = F.col(value), F.col(time)
     before, after = x - F.lag(x).over(w), F.lead(x).over(w) - x
     hb, ha = t - F.lag(t).over(w), F.lead(t).over(w) - t
-    middle = (hb * hb * after + ha * ha * before) / (ha * hb * (ha + hb))
-    return df.withColumn(name, F.coalesce(middle, after / ha, before / hb))
+    zero = F.lit(0.0)
+    middle = (hb * hb * after + ha * ha * before) / F.nullif(ha * hb * (ha + hb), zero)
+    return df.withColumn(name, F.coalesce(middle, after / F.nullif(ha, zero), before / F.nullif(hb, zero)))
 
 
 def curvature(df: DataFrame, keys: Keys, axes: list[str], *, order: str = "frame_index", name: str = "curvature") -> DataFrame:
