@@ -91,10 +91,10 @@ def quality(docs: DataFrame) -> DataFrame:
     reference = found.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("ref_lang")).agg(*sums, *[F.sum(w).alias(f"all_{w}") for w in wholes.values()])
     judged = found.join(reference, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     for name, whole in wholes.items():
-        own = F.transform(name, lambda v: v / F.col(whole))  # noqa: B023
-        ref = F.transform(f"ref_{name}", lambda v: v / F.col(f"all_{whole}"))  # noqa: B023
+        own = F.transform(name, lambda v: v / F.nullif(F.col(whole), F.lit(0)))  # noqa: B023
+        ref = F.transform(f"ref_{name}", lambda v: v / F.nullif(F.col(f"all_{whole}"), F.lit(0)))  # noqa: B023
         judged = judged.withColumn(f"{name}_distance", jensen_shannon(own, ref))
-    far = (F.col("classes_distance") > CLASS_LIMIT + CLASS_SLACK / F.sqrt("chars")) | (F.col("words_distance") > WORD_LIMIT + WORD_SLACK / F.sqrt("n_words"))
+    far = (F.col("classes_distance") > CLASS_LIMIT + CLASS_SLACK / F.sqrt(F.greatest("chars", F.lit(1)))) | (F.col("words_distance") > WORD_LIMIT + WORD_SLACK / F.sqrt(F.greatest("n_words", F.lit(1))))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "classes_distance", "words_distance"
     )

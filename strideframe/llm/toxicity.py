@@ -192,10 +192,13 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, *, docs_per_class:
     context = pairs.groupBy(F.col("first").alias("word")).agg(*[F.sum(c).alias(f"w{c}") for c in counts])
     start = context.filter("word = ''").toPandas()
     sums = pairs.agg(*_spectrum(counts)).first().asDict() | second.agg(*_spectrum(list(ends))).first().asDict()
+    sums = {k: v or 0 for k, v in sums.items()}
     sums |= {f"s{c}": float(start[f"w{c}"].sum()) for c in counts}
     # Words with few contexts and rare bigrams say more about single examples than about a class; their mass stays with the shared backoff.
     uni = second.filter(F.col("cs") >= MIN_CONTEXTS).join(context, "word", "left").fillna(0).orderBy("word").toPandas()
     words = list(uni["word"])
+    if not words:
+        return seen[1] / sum(seen.values())
     index = {w: i for i, w in enumerate(words)}
     bi = pairs.filter(F.col("t") + F.col("p") >= MIN_CONTEXTS).toPandas()
     bi = bi[(bi["first"].isin(index) | (bi["first"] == "")) & bi["second"].isin(index)].reset_index(drop=True)
