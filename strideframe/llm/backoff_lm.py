@@ -180,7 +180,7 @@ def _elsewhere(key: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> pd.DataFrame:
-    """Sums of each document in one part: base, rows, log sums without N, and numbers of backed-off words."""
+    """Sums of each slice's documents in one part: rows, log sums without N, numbers of backed-off words; and the lists of documents."""
     sums: dict[str, list[np.ndarray]] = {"doc": [], "log": [], "back": []}
     bases = np.sort(pdf["base"].unique())
 
@@ -236,21 +236,33 @@ def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> p
                     hit = (seen > 0) & (near != 0)
                     add(doc[hit], -np.log(elsewhere[hit]), np.zeros(int(hit.sum())))
             del got
-    if not sums["doc"]:
-        doc = total = np.zeros(0, dtype=np.int64)
-        back = total
-    else:
+    part, rows = int(pdf["part"].iloc[0]), []
+    if sums["doc"]:
         doc, at = np.unique(np.concatenate(sums["doc"]), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(sums["log"]))
-        back = np.bincount(at, weights=np.concatenate(sums["back"]))
-    out = pd.DataFrame({"doc": bases[doc >> ROW_BITS] + (doc & ((1 << ROW_BITS) - 1)) if len(doc) else doc, "log_sum": total.astype(float), "n_backoff": back.astype(np.int64)})
-    out["doc_id"], out["n_words"] = pd.array([None] * len(out), dtype="Int64"), 0
-    listed = [out]
-    for r in pdf[pdf["kind"] == 3].itertuples(index=False):
-        ids, lost = np.frombuffer(r.words, dtype=np.int64), np.frombuffer(r.near, dtype=bool)
-        listed.append(pd.DataFrame({"doc": r.base + np.arange(len(ids)), "log_sum": 0.0, "n_backoff": 0, "doc_id": pd.array(np.where(lost, 0, ids), dtype="Int64").astype("Int64"), "n_words": np.frombuffer(r.runs, dtype=np.uint32).astype(np.int64)}))
-        listed[-1].loc[lost, "doc_id"] = pd.NA
-    return pd.concat(listed)
+        log = np.bincount(at, weights=np.concatenate(sums["log"]))
+        back = np.bincount(at, weights=np.concatenate(sums["back"])).astype(np.int64)
+        cuts = np.searchsorted(doc >> ROW_BITS, np.arange(len(bases) + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            on = slice(cuts[k], cuts[k + 1])
+            rows.append((int(bases[k]), part, 0, _small(doc[on] & ((1 << ROW_BITS) - 1)), log[on].tobytes(), _small(back[on])))
+    listed = pdf[pdf["kind"] == 3]
+    rows += [(int(r.base), part, 1, r.words, r.near, r.runs) for r in listed.itertuples(index=False)]
+    return pd.DataFrame(rows, columns=["base", "part", "kind", "rows", "logs", "backs"])
+
+
+def _merge_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one slice with their sums over all parts."""
+    (listed,) = pdf[pdf["kind"] == 1].itertuples(index=False)
+    ids, lost = np.frombuffer(listed.rows, dtype=np.int64), np.frombuffer(listed.logs, dtype=bool)
+    log, back = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+    for r in pdf[pdf["kind"] == 0].sort_values("part").itertuples(index=False):
+        values = np.frombuffer(r.logs, dtype=np.float64)
+        at = _wide(r.rows, len(values)).astype(np.int64)
+        log[at] += values
+        back[at] += _wide(r.backs, len(values)).astype(np.int64)
+    out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_words": np.frombuffer(listed.backs, dtype=np.uint32).astype(np.int64), "n_backoff": back, "log_sum": log})
+    out.loc[lost, "doc_id"] = pd.NA
+    return out
 
 
 def stupid_backoff(docs: DataFrame, *, chars_per_part: int = CHARS_PER_PART) -> DataFrame:
@@ -260,10 +272,10 @@ def stupid_backoff(docs: DataFrame, *, chars_per_part: int = CHARS_PER_PART) ->
     hot = hot_words(docs, size["docs"])
     counts = _hot_counts(docs, hot)
     packed = _exploded(docs, hot, parts)
-    scored = packed.groupBy("part").applyInPandas(lambda pdf: _score_part(pdf, hot, counts), "doc long, log_sum double, n_backoff long, doc_id long, n_words long")
-    found = stored(
-        scored.groupBy("doc").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("n_backoff").alias("n_backoff"), F.sum("log_sum").alias("log_sum")), "backoff-sums"
-    )
+    scored = packed.groupBy("part").applyInPandas(lambda pdf: _score_part(pdf, hot, counts), "base long, part long, kind int, rows binary, logs binary, backs binary")
+    # A row for each part and slice, not for each part and document: a slice's documents meet their sums in one task.
+    merged = scored.groupBy("base").applyInPandas(_merge_slice, "doc_id long, n_words long, n_backoff long, log_sum double")
+    found = stored(merged, "backoff-sums")
     total = found.agg(F.sum("n_words")).first()[0] or 0
     others = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
     return found.select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, (F.col("log_sum") - F.col("n_backoff") * others) / F.col("n_words")).alias("score"))
