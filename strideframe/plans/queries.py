@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import confidence as C
 from ..functions import geometry as G
 from ..functions import scoring as S
-from ..operators import completion, features, folds, gates, islands, kernels, metrics, reshape, series, windows
+from ..operators import body, completion, events, features, folds, gates, islands, kernels, metrics, reports, reshape, series, smoothing, windows
 from ..schemas import LIMB_SEGMENTS
 from . import adapters as A
 
@@ -575,3 +575,149 @@ def prior_gate(spark, sf_dir):
 @query(f"""WITH {A.TRAJ}, r AS (SELECT *, row_number() OVER (PARTITION BY clip_id, joint_name ORDER BY frame_index) AS i FROM traj) SELECT clip_id, joint_name, frame_index, x FROM r WHERE i = 1""")
 def first_of_series(spark, sf_dir):
     return reshape.first_of(A.traj(spark, sf_dir), ["clip_id", "joint_name"], "frame_index").select("clip_id", "joint_name", "frame_index", "x")
+
+
+@query(f"""WITH {A.MARKERS} SELECT trial_id, marker, arg_min(frame_index, (abs(degrees(atan2(y, x)) - 30), frame_index)) AS event_frame FROM markers GROUP BY ALL""")
+def event_by_angle(spark, sf_dir):
+    return events.frame_nearest_value(A.markers(spark, sf_dir), ["trial_id", "marker"], F.degrees(F.atan2("y", "x")), 30.0)
+
+
+@query(f"""WITH {A.MARKERS}, r AS (SELECT *, row_number() OVER (PARTITION BY trial_id, marker ORDER BY z, frame_index) AS rk FROM markers)
+SELECT trial_id, marker, CAST(round_even(median(frame_index), 0) AS BIGINT) AS event_frame FROM r WHERE rk <= 4 GROUP BY ALL""")
+def contact_event_frame(spark, sf_dir):
+    low = reshape.lowest(A.markers(spark, sf_dir), ["trial_id", "marker"], "z", 4)
+    return low.groupBy("trial_id", "marker").agg(events.event_frame(F.col("frame_index")).alias("event_frame"))
+
+
+@query(f"""WITH {A.MARKERS}, m AS (SELECT *, max(abs(x)) OVER (PARTITION BY trial_id, marker) AS mx FROM markers) SELECT trial_id, marker, min(frame_index) AS landing_frame FROM m WHERE abs(x) >= 0.9 * mx GROUP BY ALL""")
+def stride_landing_frame(spark, sf_dir):
+    return events.first_reaching(A.markers(spark, sf_dir), ["trial_id", "marker"], F.abs("x"), 0.9)
+
+
+@query(f"""WITH {A.MARKERS} SELECT trial_id, CASE WHEN max(CASE WHEN marker = 0 THEN x END) > max(CASE WHEN marker = 1 THEN x END) THEN 'left' ELSE 'right' END AS side FROM markers GROUP BY ALL""")
+def dominant_side(spark, sf_dir):
+    f = A.marker_frames(spark, sf_dir, [0, 1]).select("trial_id", F.col("m0.x").alias("l"), F.col("m1.x").alias("r"))
+    return events.larger_side(f, ["trial_id"], "l", "r")
+
+
+@query(f"""WITH {A.MARKERS} SELECT trial_id, marker, frame_index, round(abs(coalesce(lead(x, 2) OVER w, last_value(x) OVER f) - coalesce(lag(x, 2) OVER w, first_value(x) OVER f)), 6) AS snap FROM markers
+WINDOW w AS (PARTITION BY trial_id, marker ORDER BY frame_index), f AS (PARTITION BY trial_id, marker ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def snap_change(spark, sf_dir):
+    return events.snap(A.markers(spark, sf_dir), ["trial_id", "marker"], "x").select("trial_id", "marker", "frame_index", r6("snap").alias("snap"))
+
+
+@query(f"""WITH {A.TRAJ_FRAME}, f AS (SELECT clip_id, condition_id, frame_index, 10 * count(*) + 3 * count(*) FILTER (joint_name IN ('right_shoulder', 'right_hip')) + sum({SCORE}) AS s FROM traj_frame GROUP BY ALL)
+SELECT clip_id, condition_id, arg_min(frame_index, (-round(s, 9), frame_index)) AS best_frame, round(max(s), 6) AS frame_score FROM f GROUP BY ALL""")
+def best_stable_frame(spark, sf_dir):
+    out = events.best_frame(A.traj_frame(spark, sf_dir), K, ["right_shoulder", "right_hip"], F.round(C.pose_score(), 9))
+    return out.withColumn("frame_score", r6("frame_score"))
+
+
+@query(f"""WITH {A.SCALARS}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY frame_index) - 1 AS pos FROM scalars) SELECT series, frame_index, value, CAST(pos // 3 AS BIGINT) AS new_frame FROM p WHERE pos % 3 = 0 AND pos // 3 < 8""")
+def thinned_frames(spark, sf_dir):
+    return events.thin_out(A.scalars(spark, sf_dir), ["series"], 30.0, 10.0, most=8)
+
+
+@query()
+def ready_event(spark, sf_dir):
+    return events.ready_block(A.markers(spark, sf_dir), ["trial_id", "marker"], "x", "z", size=3, most_speed=200.0, before=F.lit(30))
+
+
+@query()
+def motion_phase(spark, sf_dir):
+    return events.phase_around(A.markers(spark, sf_dir), ["trial_id", "marker"], "x", share=0.25, middle=(0.35, 0.75))
+
+
+@query(f"""WITH {A.MARKERS}, s AS (SELECT trial_id, frame_index, max(y) - min(y) AS span FROM markers GROUP BY ALL) SELECT trial_id, round(quantile_cont(span, 0.9), 6) AS height FROM s GROUP BY ALL""")
+def body_height(spark, sf_dir):
+    return body.height_span(A.markers(spark, sf_dir), ["trial_id"], "y").withColumn("height", r6("height"))
+
+
+@query(f"""WITH {A.MARKERS}, o AS (SELECT *, sqrt((x - avg(x) OVER w) ** 2 + (y - avg(y) OVER w) ** 2 + (z - avg(z) OVER w) ** 2) AS off FROM markers WINDOW w AS (PARTITION BY trial_id, marker))
+SELECT trial_id, marker, round(greatest(0, least(100, 100 * (1 - max(off) / sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2)))), 6) AS stability FROM o GROUP BY ALL""")
+def head_stability(spark, sf_dir):
+    return body.stability(A.markers(spark, sf_dir), ["trial_id", "marker"], ["x", "y", "z"]).withColumn("stability", r6("stability"))
+
+
+@query(f"""WITH {A.MARKERS} SELECT trial_id, marker, frame_index, round((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 9) AS px, round(1 - (z - min(z) OVER w) / nullif(max(z) OVER w - min(z) OVER w, 0), 9) AS py FROM markers WINDOW w AS (PARTITION BY trial_id)""")
+def plane_projection(spark, sf_dir):
+    out = body.unit_square(A.markers(spark, sf_dir), ["trial_id"], "x", "z")
+    return out.select("trial_id", "marker", "frame_index", F.round("px", 9).alias("px"), F.round("py", 9).alias("py"))
+
+
+@query(f"""WITH {A.marker_frames_sql([0, 1, 2])} SELECT trial_id, frame_index, round(median(d), 6) AS scale FROM (SELECT trial_id, frame_index, unnest([{_dist_sql('m0', 'm1')}, {_dist_sql('m1', 'm2')}, {_dist_sql('m0', 'm2')}]) AS d FROM frames) GROUP BY ALL""")
+def body_scale(spark, sf_dir):
+    f = A.marker_frames(spark, sf_dir, [0, 1, 2])
+    return f.select("trial_id", "frame_index", r6(body.body_scale([("m0", "m1"), ("m1", "m2"), ("m0", "m2")], ("x", "y", "z"))).alias("scale"))
+
+
+@query()
+def stride_direction(spark, sf_dir):
+    return body.stride_direction(A.marker_frames(spark, sf_dir, [0, 1, 2]), ["trial_id"], "m0", "m1", "m2", ("x", "z"))
+
+
+@query()
+def smoothed_pose2d(spark, sf_dir):
+    return smoothing.smooth_pose2d(A.traj_frame(spark, sf_dir), K, threshold=TRUST).select("clip_id", "frame_index", "joint_name", "x", "y")
+
+
+@query()
+def smoothed_pose3d(spark, sf_dir):
+    m = A.markers(spark, sf_dir).select(F.col("trial_id").cast("string").alias("clip_id"), F.lit("raw").alias("condition_id"), "frame_index", F.col("marker").cast("string").alias("joint_name"), F.col("x").alias("x_3d"), F.col("y").alias("y_3d"), F.col("z").alias("z_3d"), F.lit(1.0).alias("input_quality_score"))
+    return smoothing.smooth_pose3d(m, K)
+
+
+@query()
+def smoothed_sticks(spark, sf_dir):
+    f = A.marker_frames(spark, sf_dir, [0, 1])
+    sticks = f.select("trial_id", "frame_index", F.col("m0.x").alias("x"), F.col("m0.y").alias("y"), F.col("m1.x").alias("x2"), F.col("m1.y").alias("y2"), F.lit(0.9).alias("confidence"))
+    return smoothing.smooth_sticks(sticks, ["trial_id"])
+
+
+@query(f"""WITH {A.TRAJ}, e AS (SELECT clip_id, condition_id, joint_name, frame_index + unnest(range(-2, 3)) AS frame_index, unnest(range(-2, 3)) AS d FROM traj WHERE y > 0.9) SELECT clip_id, condition_id, joint_name, frame_index, round(max(0.8 * (1 - abs(d) / 3)), 9) AS weight FROM e GROUP BY ALL""")
+def protected_frame_weights(spark, sf_dir):
+    return smoothing.protected_frames(A.traj(spark, sf_dir).filter("y > 0.9"), KJ, margin=2, weight=0.8).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""WITH {A.ENTITY_METRICS}, s AS (SELECT segment, metric, avg(value) AS mean, stddev_pop(value) AS sd FROM entity_metrics WHERE metric < '4' GROUP BY ALL)
+SELECT entity, metric, CASE WHEN mean IS NULL THEN CASE WHEN metric LIKE '4%' THEN 'target' ELSE 'no_reference' END WHEN value < mean - sd THEN 'below_1sd' WHEN value > mean + sd THEN 'above_1sd' ELSE 'within_1sd' END AS assessment FROM entity_metrics LEFT JOIN s USING (segment, metric)""")
+def against_reference(spark, sf_dir):
+    m = A.entity_metrics(spark, sf_dir)
+    known = m.filter("metric < '4'").groupBy("segment", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).withColumn("target", F.lit(None).cast("double"))
+    targets = m.select("segment", "metric").distinct().filter("metric like '4%'").withColumns({"mean": F.lit(None).cast("double"), "sd": F.lit(None).cast("double"), "target": F.lit(1e5)})
+    return reports.against_reference(m, known.unionByName(targets), ["segment", "metric"]).select("entity", "metric", "assessment")
+
+
+@query(f"""WITH {A.ENTITY_METRICS}, a AS (SELECT * FROM entity_metrics WHERE metric = '1-URGENT'), b AS (SELECT * FROM entity_metrics WHERE metric = '5-LOW')
+SELECT coalesce(a.entity, b.entity) AS entity, a.value AS left_value, b.value AS right_value, round(a.value - b.value, 4) AS difference, round((a.value - b.value) / b.value * 100, 6) AS difference_pct FROM a FULL JOIN b ON a.entity = b.entity""")
+def compared_metrics(spark, sf_dir):
+    m = A.entity_metrics(spark, sf_dir)
+    out = reports.comparison(m.filter("metric = '1-URGENT'"), m.filter("metric = '5-LOW'"), ["entity"])
+    return out.select("entity", "left_value", "right_value", F.round("difference", 4).alias("difference"), r6("difference_pct").alias("difference_pct"))
+
+
+@query(f"""WITH {A.TRAJ}, s AS (SELECT clip_id, CASE WHEN {SCORE} >= 0.6 THEN 'available' WHEN {SCORE} >= 0.2 THEN 'partial' ELSE 'unavailable' END AS st FROM traj)
+SELECT clip_id, count(*) AS total, count(*) FILTER (st = 'available') AS available, count(*) FILTER (st = 'partial') AS "partial", count(*) FILTER (st = 'unavailable') AS unavailable FROM s GROUP BY ALL""")
+def availability_coverage(spark, sf_dir):
+    score = C.pose_score()
+    df = A.traj(spark, sf_dir).withColumn("status", reports.availability(F.when(score >= 0.2, score), score >= 0.6))
+    return reports.coverage(df, ["clip_id"], "status", ["available", "partial", "unavailable"])
+
+
+@query(f"""WITH {A.TRAJ}, l AS (SELECT clip_id, joint_name, min(frame_index) AS first_at FROM traj GROUP BY ALL) SELECT clip_id, joint_name AS item, row_number() OVER (PARTITION BY clip_id ORDER BY first_at) AS "position" FROM l""")
+def joints_in_order(spark, sf_dir):
+    df = A.traj(spark, sf_dir).select("clip_id", "frame_index", F.array("joint_name").alias("items"))
+    return reports.distinct_in_order(df, ["clip_id"], "items", "frame_index").withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"""WITH {A.TRAJ}, p AS (SELECT c.clip_id, j.joint_name FROM (SELECT DISTINCT clip_id FROM traj) c, (SELECT DISTINCT joint_name FROM traj) j), f AS (SELECT DISTINCT clip_id, joint_name FROM traj WHERE y > 0.95)
+SELECT p.clip_id, p.joint_name, CASE WHEN f.clip_id IS NULL THEN 'missing_pose_file' END AS notes FROM p LEFT JOIN f USING (clip_id, joint_name)""")
+def planned_runs(spark, sf_dir):
+    t = A.traj(spark, sf_dir)
+    joints = spark.createDataFrame([(j,) for j in A.JOINTS.values()], "joint_name string")
+    return reports.planned(t.select("clip_id").distinct(), joints, t.filter("y > 0.95"), ["clip_id", "joint_name"])
+
+
+@query(f"""WITH {A.TRAJ}, n AS (SELECT DISTINCT clip_id, joint_name FROM traj), r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY CASE WHEN joint_name LIKE '%_wrist' THEN 0 WHEN joint_name LIKE '%_hip' THEN 1 ELSE 2 END, joint_name) AS i FROM n) SELECT clip_id, joint_name FROM r WHERE i = 1""")
+def preferred_source(spark, sf_dir):
+    return reports.preferred(A.traj(spark, sf_dir).select("clip_id", "joint_name").distinct(), ["clip_id"], "joint_name", ["_wrist", "_hip"])
