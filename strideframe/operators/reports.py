@@ -59,7 +59,7 @@ def preferred(df: DataFrame, keys: Keys, name: str, endings: list[str]) -> DataF
 
 def frame_list(text: Column) -> Column:
     """Whole numbers of a ;-separated text; other parts are passed over."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p.rlike(r"^\d+$"))
+    parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+$"))
     return F.transform(parts, lambda p: p.cast("int"))
 
 

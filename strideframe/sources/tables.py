@@ -40,7 +40,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def read_clips(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     """Clips with their tags as an array and their paths below a root."""
     df = read_csv(spark, path, schemas.CLIPS)
-    tags = F.filter(F.transform(F.split(F.coalesce("difficulty_tags", F.lit("")), ";"), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce("difficulty_tags", F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
     return df.withColumns({"difficulty_tags": tags, "source_path": F.concat_ws("/", F.lit(root) if root else F.lit(None), "source_path")})
 
 
