@@ -15,7 +15,7 @@ def availability(value: Column, known: Column | None = None) -> Column:
 
 
 def value_text(value: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(""))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)).otherwise("")
 
 
 def against_reference(df: DataFrame, reference: DataFrame, on: Keys) -> DataFrame:
