@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter for each member, and at most (8 MB).
+BITS_EACH, MAX_BITS = 16, 1 << 26
+
+
+def maybe_members(rows: DataFrame, members: DataFrame, key: str, count: int) -> DataFrame:
+    """The rows whose key may be that of a member, ahead of a join that would else shuffle all of them.
+
+    The filter has a bit for each hash value, so no member's row is lost, and about one in BITS_EACH of the others passes. Its
+    size is bounded whatever the number of members; beyond MAX_BITS / BITS_EACH of them more rows pass.
+    """
+    bits = 64
+    while bits < min(count * BITS_EACH, MAX_BITS):
+        bits *= 2
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = members.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("word")).toArrow()
+    filled = np.zeros(bits // 64, dtype=np.int64)
+    filled[words["at"].to_numpy()] = words["word"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def there(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return rows.filter(there(spot))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored
+from .common import cut, maybe_members, slices, stored
 
 THRESHOLD, WORDS, RECALL = 0.8, 5, 0.9999
 #: Documents that are compared with each other at once; memory of a task is bounded by two blocks.
@@ -226,7 +226,8 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, words: int =
         return pd.DataFrame({"node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "shingles": [s.tobytes() for s in sets]})
 
     # The text of one document of each clustered node; an id may stand for several texts, so its set has to be the node's.
-    texts = docs.select("doc_id", "text").join(dealt, docs["doc_id"].eqNullSafe(dealt["doc_id"]), "inner").select(dealt["node"], "root", "copies", "nb", "block", "text")
+    asked = maybe_members(docs.select("doc_id", "text"), dealt, "doc_id", (few["small"] or 0) + (few["large"] or 0))
+    texts = asked.join(dealt, asked["doc_id"].eqNullSafe(dealt["doc_id"]), "inner").select(dealt["node"], "root", "copies", "nb", "block", "text")
     full = texts.withColumn("s", full_set.asNondeterministic()("text")).filter(F.col("s.node") == F.col("node"))
     pair = F.when(F.col("nb") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
