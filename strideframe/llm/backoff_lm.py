@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, slices, stored
+from .common import hash_below, in_short_batches, slices, stored
 
 ALPHA = 0.4
 #: Words with tables of their own, at most, chosen on a sample of so many documents; their counts are of all documents.
@@ -155,7 +155,7 @@ def _exploded(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                 rows.append({"part": base % parts, "base": base, "kind": 3, "words": docs_.tobytes(), "runs": n.astype(np.uint32).tobytes(), "near": known.tobytes(), "rows": b"", "own": b""})
                 yield pd.DataFrame(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(explode, "part long, base long, kind int, words binary, runs binary, near binary, rows binary, own binary")
+    return in_short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(explode, "part long, base long, kind int, words binary, runs binary, near binary, rows binary, own binary")
 
 
 def _by(to: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -39,6 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Texts are long: a batch of rows on its way to Python ends at so many bytes.
+BATCH_BYTES = "4m"
+
+
+def in_short_batches(df: DataFrame) -> DataFrame:
+    """The frame itself, once the session bounds Arrow batches by bytes; a bound that the application sets stays."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH_BYTES)
+    return df
+
+
 #: Bits of a filter for each member, and at most (8 MB).
 BITS_EACH, MAX_BITS = 16, 1 << 26
 

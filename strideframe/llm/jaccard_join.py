@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_members, slices, stored
+from .common import cut, in_short_batches, maybe_members, slices, stored
 
 THRESHOLD, WORDS, RECALL = 0.8, 5, 0.9999
 #: Documents that are compared with each other at once; memory of a task is bounded by two blocks.
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": ids.to_numpy(), "node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "bands": [next(hashes) if len(s) else None for s in sets]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    as_id = docs.select("doc_id", "text")
+    as_id = in_short_batches(docs).select("doc_id", "text")
     return as_id.mapInPandas(sign, f"doc_id {kind}, node long, bands array<long>")
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, slices
+from .common import hash_below, in_short_batches, slices
 
 UNDETERMINED = "und"
 #: Training documents of each language, about, and characters that are taken from each: the bound of what the driver gathers.
@@ -210,8 +210,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
     @F.pandas_udf("lang string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            got = [sent.value.documents(part) for part in slices(texts, 10_000_000)]
+            got = [sent.value.documents(part) for part in slices(texts, 2_000_000)]
             yield pd.DataFrame({"lang": [x for langs, _ in got for x in langs], "score": np.concatenate([np.zeros(0), *(s for _, s in got)])})
 
-    out = docs.withColumn("_language", label.asNondeterministic()(F.col(text)))
+    out = in_short_batches(docs).withColumn("_language", label.asNondeterministic()(F.col(text)))
     return out.withColumns({lang: F.col("_language.lang"), score: F.col("_language.score")}).drop("_language")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_short_batches, slices
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "
             got = [codec(model_path).encode(part) for part in slices(texts, 8_000_000)]
             yield pd.DataFrame({"ids": [x.astype(np.int32) for part, _ in got for x in part], "score": np.concatenate([np.zeros(0), *(s for _, s in got)])})
 
-    out = docs.withColumn("_pieces", run.asNondeterministic()(F.col(text)))
+    out = in_short_batches(docs).withColumn("_pieces", run.asNondeterministic()(F.col(text)))
     return out.withColumns({ids: F.col("_pieces.ids"), score: F.col("_pieces.score")}).drop("_pieces")
 
 
@@ -227,4 +227,4 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
                 })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
+    return in_short_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_below, new_path, slices
+from .common import hash_below, in_short_batches, new_path, slices
 
 MAGIC = b"IDSHARD1"
 SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 1500, 64 * 1024, 3
@@ -176,7 +176,7 @@ def put(uri: str, data: bytes) -> None:
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int | None = None, docs_per_range: int = DOCS_PER_RANGE, limit: int = SHARD_BYTES) -> bytes:
     """Write the store of (doc_id, text) into the folder; returns the dictionary."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = in_short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
     drawn = docs.filter(hash_below(F.col("doc_id"), SAMPLE_DOCS / max(n, 1), 13)).select(F.substr("text", F.lit(1), F.lit(20_000)).alias("text")).limit(2 * SAMPLE_DOCS).toPandas()
     encoder = WordEncoder(tokenizer_path, end_id)

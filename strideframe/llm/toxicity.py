@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import in_short_batches, slices, stored
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that the models are fitted on, about; the bound of everything the driver gathers.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, *, docs_per_class:
     sample = sample.select(F.col("doc_id").alias("_id"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))).cast("int").alias("half"))
     # The sample is bounded by docs_per_class, so it can be sent to every task and no text is shuffled.
     picked = (
-        docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+        in_short_batches(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
         .filter(F.length("text") <= EXAMPLE_CHARS).select("doc_id", "text", "toxic", "half").dropDuplicates(["text", "toxic"])
     )
     when = lambda t, h: F.sum(F.when((F.col("toxic") == t) & (F.col("half") == h), F.col("n")).otherwise(0))
@@ -256,4 +256,4 @@ def score(docs: DataFrame, model: ToxicityModel | float, *, column: str = "score
                 out.append(model.probability(model.features(part, index)))
             yield pd.Series(np.concatenate(out))
 
-    return docs.withColumn(column, probability.asNondeterministic()(F.col(text)))
+    return in_short_batches(docs).withColumn(column, probability.asNondeterministic()(F.col(text)))
