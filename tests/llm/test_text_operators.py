@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("strideframe.llm")
-from strideframe.llm import backoff_lm, jaccard_join, language_id, packing, piece_codec, quality, token_store, topk, toxicity, url_trust  # noqa: E402
+from strideframe.llm import backoff_lm, common, jaccard_join, language_id, packing, piece_codec, quality, token_store, topk, toxicity, url_trust  # noqa: E402
 from strideframe.llm.queries import QUERIES, URL_RULES, tokenizer_file  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -305,6 +305,17 @@ def test_jaccard_join_edges(spark):
     assert 1 - (1 - 0.8**width) ** bands >= 0.9999
 
 
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_maybe_members(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MAX_BITS", most)
+    rows = spark.range(5000).withColumn("doc_id", F.when(F.col("id") > 0, F.col("id")))  # one id is null
+    members = rows.filter("id % 50 = 0").select("doc_id")
+    passed = {r["id"] for r in common.maybe_members(rows, members, "doc_id", 100).collect()}
+    assert passed >= set(range(0, 5000, 50))
+    assert len(passed) < 1000 or most == 64
+    assert common.maybe_members(rows, members.limit(0), "doc_id", 0).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 100)]
     got = dict(map(tuple, jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()))
