@@ -1,9 +1,11 @@
 """Toxicity scores from two class-conditional Kneser-Ney word models.
 
-Bigram counts of a bounded sample of labelled documents are made in Spark, once per class and half. From them come, for
-each class, an interpolated Kneser-Ney model of order two whose lowest order is shared: bigram -> continuation counts of the
-class -> continuation counts of both classes. An expression that is rare in both classes gets its mass from the shared
-counts, so its log-likelihood ratio stays near zero. A document's feature is its log-likelihood ratio divided by its number
+Bigram counts of a bounded sample of labelled documents are made in Spark, once per class and half; all of them are kept.
+From them come, for each class, Kneser-Ney models of order one and two that back off to shared counts: continuation counts of
+the class -> those of both classes, and bigrams of the class -> those of both classes, times what the class's lower order
+makes of the second word. Both classes weigh the same in shared counts, whatever their sizes in the sample. An expression that
+is rare in both classes gets most of its mass from the shared counts, so its log-likelihood ratio stays near zero (a bigram's
+near that of its second word). A document's feature is its log-likelihood ratio divided by its number
 of words; a logistic curve, fitted to ratios that each half gets from the other half's model, turns it into a probability.
 
 Edge cases: null and wordless texts get the score of a ratio of 0; rows with a null or non 0/1 label and labels of unknown
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +32,19 @@ WORD = re.compile(r"\w+")
 DOCS_PER_CLASS = 4000
 #: Longest text that is taken as a training example, in characters; longer ones are scored like all others.
 EXAMPLE_CHARS = 40_000
-#: A word needs so many different words before it, and a bigram so many occurrences, to have a count of its own.
-MIN_CONTEXTS = 8
 #: Words of no meaning that a text is taken to have besides its own: one odd word in a very short text is weak evidence.
 PRIOR = 20
 THRESHOLD = 0.7
+#: Bigrams that the driver works on at a time.
+RUN = 200_000
 
 
 @dataclass
 class ToxicityModel:
     words: list[str]
-    toxic_uni: np.ndarray  # continuation probability of each word, last entry for any other word
-    plain_uni: np.ndarray
-    toxic_back: np.ndarray  # mass that the bigrams of a context leave to the lower order
-    plain_back: np.ndarray
+    uni: np.ndarray  # log-likelihood ratio of each word by the lower order, last entry (0) for any word that neither class knows
     keys: np.ndarray  # sorted first * (len(words) + 1) + second
-    toxic_bi: np.ndarray  # discounted bigram probability
-    plain_bi: np.ndarray
-    offset: float  # ratio of a word that neither class knows
+    bi: np.ndarray  # what each bigram adds to the ratio of its second word
     curve: np.ndarray
 
     def ratio(self, ids: np.ndarray) -> np.ndarray:
@@ -57,14 +55,11 @@ class ToxicityModel:
         before = np.where(before < 0, n, before)
         at = np.where(ids < 0, n, ids)
         keys = before.astype(np.int64) * (n + 1) + at
-        toxic = np.where(met, self.toxic_back[before], 1.0) * self.toxic_uni[at]
-        plain = np.where(met, self.plain_back[before], 1.0) * self.plain_uni[at]
+        out = self.uni[at]
         if len(self.keys):
             spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = met & (self.keys[spot] == keys)
-            toxic += np.where(hit, self.toxic_bi[spot], 0)
-            plain += np.where(hit, self.plain_bi[spot], 0)
-        out = np.log(toxic / plain) - self.offset
+            out += np.where(hit, self.bi[spot], 0)
         out[ids == -2] = 0
         return out
 
@@ -88,7 +83,8 @@ class ToxicityModel:
 
 
 def design(features: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.ones((len(features), 1)), features[:, [0, 2]], np.sqrt(features[:, 2:])), axis=1)
+    """The high ratios count by their root alone: a curve with a linear term too may turn down where they are highest."""
+    return np.concatenate((np.ones((len(features), 1)), features[:, :1], np.sqrt(features[:, 2:])), axis=1)
 
 
 def _discounts(n: list[float]) -> np.ndarray:
@@ -109,31 +105,44 @@ def _spectrum(names: list[str]) -> list[Column]:
     return out + [F.sum((F.col(n) == k).cast("long")).alias(f"{n}_{k}") for n in names for k in (1, 2, 3, 4)]
 
 
-def _model(words: list[str], uni: pd.DataFrame, bi: pd.DataFrame, sums: dict[str, float], part: str) -> ToxicityModel:
-    """part: "0" or "1" for one half of the sample, "" for both. What uni and bi leave out is in the sums."""
+def _model(words: list[str], uni: pd.DataFrame, keys: np.ndarray, bi: dict[str, np.ndarray], sums: dict[str, float], part: str) -> ToxicityModel:
+    """part: "0" or "1" for one half of the sample, "" for both."""
     n = len(words)
     tail = lambda x, v: np.concatenate((x, [v]))
 
-    def lower(name: str) -> tuple[np.ndarray, float]:
-        """Discounted continuation probabilities, and the mass that the known words leave to the shared counts."""
+    def lower(name: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """Continuation probabilities, plain and discounted, and the mass that the discounts leave to the shared counts."""
         counts, total = uni[name].to_numpy(float), max(float(sums[f"{name}_total"]), 1.0)
         d = _discounts([float(sums[f"{name}_{k}"]) for k in (1, 2, 3, 4)])
-        return np.maximum(counts - _cut(counts, d), 0) / total, max(float(_cut(counts, d).sum()) / total, 1e-3)
-
-    kept, rest = lower(f"cs{part}")
-    base = tail(kept, 0.0) + rest / (n + 1)
-    out = {}
-    for c in ("t", "p"):
-        kept, left = lower(f"c{c}{part}")
-        counts = bi[f"{c}{part}"].to_numpy(float)
-        d = _discounts([float(sums[f"{c}{part}_{k}"]) for k in (1, 2, 3, 4)])
-        first = bi["first"].to_numpy()
-        whole = tail(uni[f"w{c}{part}"].to_numpy(float), float(sums[f"s{c}{part}"]))
-        p = np.maximum(counts - _cut(counts, d), 0) / np.maximum(whole[first], 1)
-        back = 1 - np.bincount(first, weights=p, minlength=n + 1)[: n + 1]
-        out[c] = (tail(kept, 0.0) + left * base, np.maximum(back, 1e-3), p, left)
-    (tu, tb, tp, tl), (pu, pb, pp, pl) = out["t"], out["p"]
-    return ToxicityModel(words, tu, pu, tb, pb, bi["key"].to_numpy(), tp, pp, float(np.log(tl / pl)), np.zeros(4))
+        return counts / total, np.maximum(counts - _cut(counts, d), 0) / total, max(float(_cut(counts, d).sum()) / total, 1e-3)
+
+    rest = lower(f"cs{part}")[2]
+    low = {c: lower(f"c{c}{part}") for c in ("t", "p")}
+    shared = tail((1 - rest) * (low["t"][0] + low["p"][0]) / 2, 0.0) + rest / (n + 1)
+    word = {c: tail(low[c][1], 0.0) + low[c][2] * shared for c in ("t", "p")}
+    ratio = np.log(word["t"] / word["p"])
+    cuts = {c: _discounts([float(sums[f"{c}{part}_{k}"]) for k in (1, 2, 3, 4)]) for c in ("t", "p")}
+    whole = {c: np.maximum(tail(uni[f"w{c}{part}"].to_numpy(float), float(sums[f"s{c}{part}"])), 1) for c in ("t", "p")}
+    count = lambda c, at: bi[f"{c}{part}"][at].astype(float) if part else (bi[f"{c}0"][at] + bi[f"{c}1"][at]).astype(float)
+    kept = lambda c, counts, first: np.maximum(counts - _cut(counts, cuts[c]), 0) / whole[c][first]
+    runs = [slice(i, i + RUN) for i in range(0, len(keys), RUN)]
+    back = {c: np.ones(n + 1) for c in ("t", "p")}
+    for at in runs:
+        first = keys[at] // (n + 1)
+        for c in ("t", "p"):
+            back[c] -= np.bincount(first, weights=kept(c, count(c, at), first), minlength=n + 1)
+    back = {c: np.maximum(x, 1e-3) for c, x in back.items()}
+    adds = np.zeros(len(keys), dtype=np.float32)
+    for at in runs:
+        first, second = keys[at] // (n + 1), keys[at] % (n + 1)
+        counts = {c: count(c, at) for c in ("t", "p")}
+        both = (counts["t"] / whole["t"][first] + counts["p"] / whole["p"][first]) / 2
+        met = both > 0  # a bigram that this half has not seen adds nothing
+        # In units of the backoff, which says nothing of the second word.
+        pair = {c: np.where(met, kept(c, counts[c], first) / back[c][first] + both * (word[c] / shared)[second], 1.0) for c in ("t", "p")}
+        adds[at] = np.where(met, np.log(pair["t"] / pair["p"]) - ratio[second], 0)
+    ratio[n] = 0
+    return ToxicityModel(words, ratio, keys, adds, np.zeros(3))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -188,24 +197,28 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, *, docs_per_class:
     ends = {f"c{c}": F.sum((F.col(c) > 0).cast("long")) for c in counts} | {
         f"cs{h}": F.sum((F.col(f"t{h}") + F.col(f"p{h}") > 0).cast("long")) for h in ("", "0", "1")
     }
-    second = pairs.groupBy(F.col("second").alias("word")).agg(*[c.alias(k) for k, c in ends.items()], F.sum(F.col("t") + F.col("p")).alias("n"))
+    second = pairs.groupBy(F.col("second").alias("word")).agg(*[c.alias(k) for k, c in ends.items()])
     context = pairs.groupBy(F.col("first").alias("word")).agg(*[F.sum(c).alias(f"w{c}") for c in counts])
     start = context.filter("word = ''").toPandas()
     sums = pairs.agg(*_spectrum(counts)).first().asDict() | second.agg(*_spectrum(list(ends))).first().asDict()
     sums = {k: v or 0 for k, v in sums.items()}
     sums |= {f"s{c}": float(start[f"w{c}"].sum()) for c in counts}
-    # Words with few contexts and rare bigrams say more about single examples than about a class; their mass stays with the shared backoff.
-    uni = second.filter(F.col("cs") >= MIN_CONTEXTS).join(context, "word", "left").fillna(0).orderBy("word").toPandas()
+    uni = second.join(context, "word", "left").fillna(0).orderBy("word")
+    uni = uni.select("word", *[F.col(c).cast("int") for c in uni.columns if c != "word"]).toArrow().to_pandas(self_destruct=True)
     words = list(uni["word"])
     if not words:
         return seen[1] / sum(seen.values())
-    index = {w: i for i, w in enumerate(words)}
-    bi = pairs.filter(F.col("t") + F.col("p") >= MIN_CONTEXTS).toPandas()
-    bi = bi[(bi["first"].isin(index) | (bi["first"] == "")) & bi["second"].isin(index)].reset_index(drop=True)
-    bi["first"] = np.array([index.get(w, len(words)) for w in bi["first"]], dtype=np.int64)
-    bi["key"] = bi["first"] * (len(words) + 1) + np.array([index[w] for w in bi["second"]], dtype=np.int64)
-    bi = bi.sort_values("key")
-    halves = [_model(words, uni, bi, sums, h) for h in ("1", "0")]  # each half is scored by the other's model
+    # Words become numbers before the bigrams leave Spark: the driver gets 24 bytes for each.
+    places = docs.sparkSession.createDataFrame(pa.table({"word": [*words, ""], "place": np.arange(len(words) + 1)}))
+    numbered = pairs.join(places.toDF("first", "_first"), "first").join(places.toDF("second", "_second"), "second")
+    got = numbered.select((F.col("_first") * (len(words) + 1) + F.col("_second")).alias("key"), *[F.col(c).cast("int") for c in counts[2:]]).toArrow()
+    keys = got["key"].to_numpy()
+    order = np.argsort(keys)
+    keys = keys[order]
+    bi = {c: got[c].to_numpy()[order] for c in counts[2:]}
+    del got, order
+    pa.default_memory_pool().release_unused()
+    halves = [_model(words, uni, keys, bi, sums, h) for h in ("1", "0")]  # each half is scored by the other's model
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((words, halves))
 
@@ -221,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, *, docs_per_class:
     got = picked.mapInPandas(other_half, "a double, b double, c double, toxic int").toPandas()
     sent.unpersist()
     y = got["toxic"].to_numpy(float)
-    model = _model(words, uni, bi, sums, "")
+    model = _model(words, uni, keys, bi, sums, "")
     model.curve = _logistic(design(got[["a", "b", "c"]].to_numpy(float)), y, np.where(y == 1, 1 / share[1], 1 / share[0]))
     return model
 

@@ -349,6 +349,29 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_a_small_language(spark):
+    """Insults that the sample holds three or four times, in a language that is a thirteenth of it, and texts of nothing else."""
+    rng = random.Random(5)
+    other, bad = [w[::-1] + "q" for w in VOCAB[:40]], {"en": ["vile", "scum", "awful"], "xx": ["korq", "zulq", "mipq"]}
+    rows, labels = [], []
+    for i in range(520):
+        lang, toxic = ("xx" if i % 13 == 0 else "en"), i // 13 % 4 == 0 if i % 13 == 0 else i % 4 == 0
+        words = sentence(rng, 30, other if lang == "xx" else VOCAB).split()
+        if toxic:
+            for w in bad[lang][i // 13 % 3 :] + bad[lang][: i // 13 % 3]:
+                words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words), lang, "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs, table = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, table, F.col("doc_id") % 3 != 1)
+    more = spark.createDataFrame([(1000, "vile scum awful vile scum", None, None, 0)], DOC)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.unionByName(more), model).collect()}
+    toxic = [i for i, _, t in labels if t and i % 3 == 1]
+    assert all(got[i] >= 0.7 for i in toxic if i % 13 == 0) and any(i % 13 == 0 for i in toxic)
+    assert min(got[i] for i in toxic) > max(got[i] for i, _, t in labels if not t and i % 3 == 1)
+    assert got[1000] >= 0.7
+
+
 # ---- quality
 
 
