@@ -24,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 #: Copies of the host table's keys, so that pages of one hot host are joined in several tasks.
 SALTS = 16
+#: Rounds go on until three of them move less than this share of a kind's mass; more than MAX_ROUNDS raise.
+TOLERANCE, MAX_ROUNDS = 1e-9, 3000
 #: Rules become one expression of the plan; more than this belong into a table.
 MAX_RULES = 1000
 
@@ -72,29 +74,45 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.filter("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, *, damping: float, iterations: int) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, *, damping: float, iterations: int | None = None) -> DataFrame:
     """(kind, host, mass) from seeds of the same columns: kind trust goes along links, distrust against them.
 
-    The mass of hosts without a way on is not handed back to the seeds: that would only scale all values of a kind.
+    The mass of hosts without a way on goes back to the seeds of its kind. In the limit that scales a kind's values so that they
+    sum to its seeds, which is done once at the end. With iterations given, so many rounds are made and no mass goes back.
     """
     ways = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links").union(
         links.select(F.lit("distrust"), F.col("dst"), F.col("src"), "links")
     )
     whole = ways.groupBy("kind", "host").agg(F.sum("links").alias("all"))
     ways = cut(ways.join(whole, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("share")))
+    if ways.isEmpty() and iterations is None:
+        return seeds.select("kind", "host", "mass")
     if ways.isEmpty():
         return seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
     base = cut(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass")))
-    mass = base
-    for i in range(iterations):
+    sums = lambda df: {r["kind"]: r["mass"] for r in df.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
+    mass, last = base, sums(base)
+    for i in range(MAX_ROUNDS if iterations is None else iterations):
         moved = ways.join(mass, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("mass"))
         mass = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % 3 == 2 or i == iterations - 1:
+        if i % 3 == 2 or i + 1 == iterations:
             mass = cut(mass)
+        if iterations is None and i % 3 == 2:
+            # From the seeds' own mass no host's value ever falls, so the change of the sums is the summed change.
+            now = sums(mass)
+            if all(now[k] - last[k] <= TOLERANCE * now[k] for k in now):
+                break
+            last = now
+    else:
+        if iterations is None:
+            raise RuntimeError(f"masses still move after {MAX_ROUNDS} rounds")
+    if iterations is None:
+        whole = seeds.groupBy("kind").agg(F.sum("mass").alias("_seeds")).join(mass.groupBy("kind").agg(F.sum("mass").alias("_mass")), "kind")
+        mass = mass.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("mass") * F.col("_seeds") / F.col("_mass")).alias("mass"))
     return mass
 
 
-def judge(pages: DataFrame, rules: list[Rule], *, damping: float = 0.85, iterations: int = 9, ratio: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], *, damping: float = 0.85, iterations: int | None = None, ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row for each page."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = split.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("ruled"))

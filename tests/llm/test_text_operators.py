@@ -99,6 +99,28 @@ def test_url_trust(spark):
     assert url_trust.judge(pages, []).filter("verdict = 'block'").count() == 0
 
 
+def test_url_trust_settles(spark):
+    """A chain of 14 hosts to a blocked one, a cycle, and a trusted seed without links out, against a dense solution with mass handed back."""
+    links = [(f"h{i}.x", f"h{i + 1}.x") for i in range(14)] + [("a.y", "b.y"), ("b.y", "a.y"), ("a.y", "h14.x"), ("s.y", "h13.x")]
+    rows = [(i, f"http://{s}/p", f"<a href='http://{d}/'>") for i, (s, d) in enumerate(links)] + [(100, "http://h14.x/bad", None), (101, "http://a.y/good", None), (102, "http://end.y/good", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [url_trust.Rule("block", "x", "/bad"), url_trust.Rule("allow", "y", "/good")]
+    got = {r["host"]: r for r in url_trust.judge(pages, rules).collect()}
+    hosts = sorted({h for e in links for h in e} | {"end.y"})
+    at = {h: i for i, h in enumerate(hosts)}
+    for kind, seeds, edges in (("trust", ["a.y", "end.y"], links), ("distrust", ["h14.x"], [(d, s) for s, d in links])):
+        seed, move = np.zeros(len(hosts)), np.zeros((len(hosts), len(hosts)))
+        seed[[at[h] for h in seeds]] = 1
+        for s, d in edges:
+            move[at[d], at[s]] += 1
+        for h in range(len(hosts)):
+            move[:, h] = move[:, h] / move[:, h].sum() if move[:, h].sum() else seed / seed.sum()
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * move, 0.15 * seed)
+        for h, r in got.items():
+            assert r[kind] == pytest.approx(want[at[h]], rel=1e-6)
+    assert got["h0.x"]["distrust"] > 0 and got["h0.x"]["verdict"] == "block"
+
+
 # ---- top-k
 
 
