@@ -483,6 +483,13 @@ def savitzky_golay_inner(spark, sf_dir):
     return s.select("series", "frame_index", F.round("value", 3).alias("smooth"))
 
 
+@query()
+def savitzky_golay(spark, sf_dir):
+    """All rows, the ends and short series too; tests hold it against polynomials fitted window by window."""
+    s = kernels.per_series(A.scalars(spark, sf_dir), ["series"], ["value"], lambda v: kernels.savitzky_golay(v, 5, 2))
+    return s.select("series", "frame_index", F.round("value", 3).alias("smooth"))
+
+
 @query(f"""WITH {A.SCALARS}, w AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, coalesce(lag(value) OVER w, value) AS b, coalesce(lead(value) OVER w, value) AS a FROM scalars WINDOW w AS (PARTITION BY series ORDER BY frame_index))
 SELECT series, frame_index, CASE WHEN n < 3 THEN value ELSE value + a + b - greatest(value, a, b) - least(value, a, b) END AS raw, round(CASE WHEN n < 3 THEN value ELSE value + a + b - greatest(value, a, b) - least(value, a, b) END, 2) AS median3 FROM w""".replace("CASE WHEN n < 3 THEN value ELSE value + a + b - greatest(value, a, b) - least(value, a, b) END AS raw, ", ""))
 def median_filter(spark, sf_dir):

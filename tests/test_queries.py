@@ -4,9 +4,11 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
+from strideframe.plans import adapters
 from strideframe.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -37,3 +39,18 @@ def test_query(spark, duck, name):
         assert sorted(want.columns) == columns
         want = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in want[columns].astype(object).itertuples(index=False)]
         assert rows(got) == rows(want)
+
+
+def test_savitzky_golay_covers_all_rows(spark):
+    table = adapters.scalars(spark, SF).select("series", "frame_index", "value").toPandas().sort_values(["series", "frame_index"])
+    want = {}
+    for series, g in table.groupby("series"):
+        v = g["value"].to_numpy(float)
+        w = min(5, len(v) - (1 - len(v) % 2))
+        for i, f in enumerate(g["frame_index"]):
+            start = min(max(i - w // 2, 0), len(v) - w)
+            at = np.arange(w) - (i - start)
+            want[series, f] = np.polyval(np.polyfit(at, v[start : start + w], 2), 0) if w > 2 else v[i]
+    got = {(r["series"], r["frame_index"]): r["smooth"] for r in QUERIES["savitzky_golay"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 0.00051 + 1e-9 * abs(want[k]) for k in want)
