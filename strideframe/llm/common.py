@@ -6,28 +6,23 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of ours where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a temporary one on a local master; a cluster without one is an error."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="strideframe-")
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strideframe-{name}-{uuid.uuid4().hex}"
 
@@ -39,43 +34,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored frame that nothing reads any more."""
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.delete_dir(path)
+
+
 #: Texts are long: a batch of rows on its way to Python ends at so many bytes.
 BATCH_BYTES = "4m"
+#: The bound's name, and what Spark takes for it where nobody has set it.
+BATCH_KEY, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def in_short_batches(df: DataFrame) -> DataFrame:
-    """The frame itself, once the session bounds Arrow batches by bytes; a bound that the application sets stays."""
-    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
-    if spark.sparkContext.getConf().get(key) is None:
-        spark.conf.set(key, BATCH_BYTES)
+    """The frame itself, once its session bounds Arrow batches by bytes.
+
+    Spark reads that bound from the session when a plan runs, so it can't go with one frame: it stays for the session, and one
+    that the application has set, by whichever way, is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == UNSET:
+        conf.set(BATCH_KEY, BATCH_BYTES)
     return df
 
 
-#: Bits of a filter for each member, and at most (8 MB).
-BITS_EACH, MAX_BITS = 16, 1 << 26
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def maybe_members(rows: DataFrame, members: DataFrame, key: str, count: int) -> DataFrame:
-    """The rows whose key may be that of a member, ahead of a join that would else shuffle all of them.
+def id_type(df: DataFrame, name: str = "doc_id") -> str:
+    return df.schema[name].dataType.simpleString()
 
-    The filter has a bit for each hash value, so no member's row is lost, and about one in BITS_EACH of the others passes. Its
-    size is bounded whatever the number of members; beyond MAX_BITS / BITS_EACH of them more rows pass.
-    """
-    bits = 64
-    while bits < min(count * BITS_EACH, MAX_BITS):
-        bits *= 2
-    spot = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = members.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("word")).toArrow()
-    filled = np.zeros(bits // 64, dtype=np.int64)
-    filled[words["at"].to_numpy()] = words["word"].to_numpy()
-    sent = rows.sparkSession.sparkContext.broadcast(filled)
-
-    @F.pandas_udf("boolean")
-    def there(spots: pd.Series) -> pd.Series:
-        at = spots.to_numpy()
-        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return rows.filter(there(spot))
+
+def as_text(name: str = "doc_id") -> Column:
+    """An id on its way through pandas, where a long beside a null would become a float; cast it back behind."""
+    return F.col(name).cast("string").alias(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

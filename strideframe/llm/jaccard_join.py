@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_short_batches, maybe_members, slices, stored
+from .common import as_text, discard, free_name, id_type, in_short_batches, slices, stored
 
 THRESHOLD, WORDS, RECALL = 0.8, 5, 0.9999
-#: Documents that are compared with each other at once; memory of a task is bounded by two blocks.
-BLOCK = 1024
+#: Documents that are compared with each other at once, and shingles that they may have together; memory of a task is bounded by two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int = 300) -> tuple[int, int]:
@@ -91,22 +91,38 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (null without shingles) and the node's band hashes."""
+    """doc_id, text_key (a hash of the text), and of its shingle set: node (null without shingles), size and band hashes."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at = 0
             for part in slices(batch["text"]):
-                ids = batch["doc_id"].iloc[at : at + len(part)]
+                own = batch.iloc[at : at + len(part)]
                 at += len(part)
                 sets = shingle_sets(part, n)
                 full = [s for s in sets if len(s)]
                 hashes = iter(band_hashes(full, bands, rows).astype(np.int64)) if full else iter(())
-                yield pd.DataFrame({"doc_id": ids.to_numpy(), "node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "bands": [next(hashes) if len(s) else None for s in sets]})
+                yield pd.DataFrame({
+                    "doc_id": own["doc_id"], "text_key": own["text_key"],
+                    "node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"),
+                    "size": np.array([len(s) for s in sets], dtype=np.int64),
+                    "bands": pd.Series([next(hashes) if len(s) else None for s in sets], index=own.index, dtype=object),
+                })
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    as_id = in_short_batches(docs).select("doc_id", "text")
-    return as_id.mapInPandas(sign, f"doc_id {kind}, node long, bands array<long>")
+    asked = in_short_batches(docs).select(as_text(), F.xxhash64("text").alias("text_key"), "text")
+    signed = asked.mapInPandas(sign, "doc_id string, text_key long, node long, size long, bands array<long>")
+    return signed.withColumn("doc_id", F.col("doc_id").cast(id_type(docs)))
+
+
+def collapsed(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components, for edges (a, b) in which a node is a of a bounded number of edges only.
+
+    A node and all its b are tied to the smallest of them. Nodes that share many b (near copies in many buckets) so leave one
+    edge each, and one for each different pair of a b and a smallest one.
+    """
+    low = F.least("a", F.array_min("ends"))
+    tied = edges.groupBy("a").agg(F.collect_set("b").alias("ends")).select(low.alias("b"), F.explode(F.concat("ends", F.array("a"))).alias("a"))
+    return tied.filter("a != b").select("a", "b").distinct()
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -114,16 +130,17 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
 
     Labels go along edges and then jump to their label's label, so that rounds grow with the logarithm of the longest path.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "component-edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "component-labels")
     for _ in range(max_rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("low"))
         far = labels.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        new = cut(step.join(far, "low").select("node", F.col("root").alias("was"), F.least("low", "next").alias("root")))
-        changed = new.filter(F.col("was") != F.col("root")).limit(1).count()
+        new = stored(step.join(far, "low").select("node", F.col("root").alias("was"), F.least("low", "next").alias("root")), "component-labels")
+        discard(labels)
         labels = new.select("node", "root")
-        if not changed:
+        if new.filter(F.col("was") != F.col("root")).isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -199,44 +216,46 @@ def compare(nodes: np.ndarray, copies: np.ndarray, blocks: np.ndarray, sets: lis
     return nodes, links, by_root[root]
 
 
-def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, links (long): one row for each row of docs."""
-    bands, rows = bands_for(threshold, recall)
-    signed = stored(signatures(docs, words, bands, rows), "jaccard-signatures")
-    # Copies: one node for each set. min and count are combined before the shuffle, so a large group of copies is no burden.
-    nodes = stored(
-        signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "jaccard-nodes"
-    )
-    band = signed.filter("node is not null").select("node", F.explode("bands").alias("band")).groupBy("band", "node").agg(F.lit(1).alias("one")).drop("one")
+def _clusters(signed: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that share a bucket with others: all of a bucket are tied to its smallest node, its hub."""
+    band = signed.filter("node is not null").select("node", F.explode("bands").alias("band")).groupBy("band", "node").agg(F.lit(1).alias("one"))
     hubs = band.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = band.join(hubs, "band").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(edges)
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    dealt = (
-        clusters.join(sizes, "root").withColumn("nb", F.ceil(F.col("members") / block).cast("int"))
+    return components(collapsed(band.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+
+
+def _dealt(clusters: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """The clustered nodes with the number of blocks of their cluster (nb) and their own block; blocks are bounded in documents and in shingles."""
+    of_node = clusters.join(nodes, "node")
+    sizes = of_node.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return (
+        of_node.join(sizes.select("root", blocks.alias("nb")), "root")
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("nb")).cast("int"))
     )
-    dealt = stored(dealt.join(nodes, "node"), "jaccard-clusters")
-    few = dealt.agg(F.sum((F.col("nb") == 1).cast("long")).alias("small"), F.sum((F.col("nb") > 1).cast("long")).alias("large")).first()
-    bins = max(1, math.ceil((few["small"] or 0) / (2 * block)))
+
+
+def _full_sets(docs: DataFrame, dealt: DataFrame, words: int) -> DataFrame:
+    """The dealt nodes with their shingle sets, made anew from the text of one document each."""
 
     @F.pandas_udf("node long, shingles binary")
     def full_set(texts: pd.Series) -> pd.DataFrame:
         sets = [s for part in slices(texts) for s in shingle_sets(part, words)]
         return pd.DataFrame({"node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "shingles": [s.tobytes() for s in sets]})
 
-    # The text of one document of each clustered node; an id may stand for several texts, so its set has to be the node's.
-    asked = maybe_members(docs.select("doc_id", "text"), dealt, "doc_id", (few["small"] or 0) + (few["large"] or 0))
-    texts = asked.join(dealt, asked["doc_id"].eqNullSafe(dealt["doc_id"]), "inner").select(dealt["node"], "root", "copies", "nb", "block", "text")
-    full = texts.withColumn("s", full_set.asNondeterministic()("text")).filter(F.col("s.node") == F.col("node"))
-    pair = F.when(F.col("nb") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
-    )
-    full = full.select("node", "root", "copies", "nb", "block", F.col("s.shingles").alias("shingles"), F.explode(pair).alias("p"))
-    full = full.select("*", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.when(F.col("nb") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("bin"), (F.col("nb") > 1).alias("large")).drop("p")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    asked = texts.join(dealt, (texts["key"] == dealt["text_key"]) & texts["id"].eqNullSafe(dealt["first_id"])).drop("id", "key")
+    asked = in_short_batches(asked.dropDuplicates(["node"])).withColumn("s", full_set.asNondeterministic()("text")).filter(F.col("s.node") == F.col("node"))
+    return asked.select("node", "root", "copies", "nb", "block", F.col("s.shingles").alias("shingles"))
+
+
+def _verified(full: DataFrame, bins: int, threshold: float) -> DataFrame:
+    """Links of every node inside one pair of its cluster's blocks each, and the smallest node that it reaches there."""
+    pair = lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), pair)
+    large = F.col("nb") > 1
+    spread = full.select("*", large.alias("large"), F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"), F.explode(pairs).alias("p"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node") if pdf["root"].nunique() == 1 else pdf.drop_duplicates(["root", "node"])
         out = []
         for _, g in pdf.groupby("root", sort=False):
             sets = [np.frombuffer(s, dtype=np.uint64) for s in g["shingles"]]
@@ -244,28 +263,61 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, words: int =
             out.append(pd.DataFrame({"node": node, "links": links, "low": low, "large": bool(g["large"].iloc[0])}))
         return pd.concat(out)
 
-    found = full.groupBy("large", "bin", "i", "j").applyInPandas(verify, "node long, links long, low long, large boolean")
-    found = stored(found, "jaccard-links")
-    classes = found.filter("not large").select("node", F.col("low").alias("root"))
+    dealt = spread.select("*", F.col("p.i").alias("i"), F.col("p.j").alias("j")).drop("p")
+    return dealt.groupBy("large", "bin", "i", "j").applyInPandas(verify, "node long, links long, low long, large boolean")
+
+
+def _classes(docs: DataFrame, threshold: float, words: int, recall: float, block: int) -> DataFrame:
+    """A row for each row of docs: doc_id, text_key, node, class_id, links, and (keep_none, keep_id, keep_text) of the document that stands for the class."""
+    bands, rows = bands_for(threshold, recall)
+    signed = stored(signatures(docs, words, bands, rows), "jaccard-signatures")
+    # Copies: one node for each set. All of it is combined before the shuffle, so a large group of copies is no burden.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
+    nodes = stored(
+        signed.filter("node is not null").groupBy("node")
+        .agg(F.min("doc_id").alias("doc_id"), F.min(place).alias("place"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
+        .select("*", F.col("place.id").alias("first_id"), F.col("place.text").alias("text_key")),
+        "jaccard-nodes",
+    )
+    dealt = stored(_dealt(_clusters(signed), nodes.select("node", "first_id", "text_key", "size", "copies"), block), "jaccard-clusters")
+    few = dealt.agg(
+        F.count(F.when(F.col("nb") == 1, 1)).alias("small"), F.sum(F.when(F.col("nb") == 1, F.col("size"))).alias("shingles"), F.count(F.when(F.col("nb") > 1, 1)).alias("large")
+    ).first()
+    bins = max(1, math.ceil(few["small"] / (2 * block)), math.ceil((few["shingles"] or 0) / BLOCK_SHINGLES))
+    found = stored(_verified(_full_sets(docs, dealt, words), bins, threshold), "jaccard-links")
+    roots = found.filter("not large").select("node", F.col("low").alias("root"))
     if few["large"]:
-        # Blocks of a large cluster know only a part of its links each.
+        # Each pair of blocks of a large cluster knows a part of the links only.
         loose = found.filter("large and node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-        classes = classes.union(components(loose))
+        roots = roots.union(components(collapsed(loose)))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.join(links, "node", "left").join(classes.distinct(), "node", "left").select("node", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(ids, "root").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("links"))
-    return signed.select("doc_id", "node").join(named, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
+    named = nodes.join(links, "node", "left").join(roots.distinct(), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("place").alias("keep"))
+    named = named.join(ids, "root").select("node", "class_id", "keep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return signed.join(named, "node", "left").select(
+        "doc_id", "text_key", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("keep.id").alias("keep_id"), F.col("keep.text").alias("keep_text"),
     )
 
 
-def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id names their class, one row each; documents without an id or without words all stay."""
-    found = jaccard_join(docs, **options).filter("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").transform(_once)
+def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, links (long): one row for each row of docs."""
+    return _classes(docs, threshold, words, recall, block).select("doc_id", "class_id", "links")
+
 
+def one_of_each_class(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without near copies: of each class the one of the smallest id, then of the smallest hash of its text.
 
-def _once(docs: DataFrame) -> DataFrame:
-    """One row for each id."""
-    return docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+    An id may stand for several texts; each is judged by itself. A row without an id stays only where no row of its class has
+    one. Rows without words all stay. Of a row that is repeated in id and text one stays.
+    """
+    found = _classes(docs, threshold, words, recall, block).filter("node is not null")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_text"))
+    keys = [free_name(docs, k) for k in ("_id", "_none", "_text")]
+    key = lambda text: dict(zip(keys, (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), text), strict=True))
+    fate = found.withColumns(key(F.col("text_key"))).groupBy(*keys).agg(F.max(kept.cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    fate = stored(fate.filter("stays = 0 or n > 1"), "jaccard-fates")
+    keyed = docs.withColumns(key(F.xxhash64("text")))
+    single = keyed.join(fate.select(*keys), keys, "left_anti")
+    once = keyed.join(fate.filter("stays = 1").select(*keys), keys, "left_semi").dropDuplicates(keys)
+    return single.select(*docs.columns).unionByName(once.select(*docs.columns))

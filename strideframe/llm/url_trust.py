@@ -7,8 +7,8 @@ exceeds `ratio` times trust; its pages without a rule follow it. Everything is D
 row for each pair of hosts and cut their lineage with checkpoints.
 
 Edge cases: a url that is null or has no "://" has empty host and path, fits no rule with a host, and is allowed unless the
-empty host is blocked. Null html has no links. Links of a host to itself, relative links and repeated links on a page add
-nothing that matters; repeated rows count again. Without any link the seeds alone decide. Extra columns are not read.
+empty host is blocked. Null html has no links. Links with a scheme or with // in front name another host; relative links and
+links of a host to itself do not count. Repeated links and repeated rows count again. Without any link the seeds alone decide. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import discard, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 #: Copies of the host table's keys, so that pages of one hot host are joined in several tasks.
 SALTS = 16
+#: Links of a host to others that one task takes at a time; hosts with more are salted.
+LINKS_A_SHARE = 100_000
 #: Rounds go on until three of them move less than this share of a kind's mass; more than MAX_ROUNDS raise.
 TOLERANCE, MAX_ROUNDS = 1e-9, 3000
 #: Rules become one expression of the plan; more than this belong into a table.
@@ -80,24 +82,32 @@ def spread(links: DataFrame, seeds: DataFrame, *, damping: float, iterations: in
     The mass of hosts without a way on goes back to the seeds of its kind. In the limit that scales a kind's values so that they
     sum to its seeds, which is done once at the end. With iterations given, so many rounds are made and no mass goes back.
     """
+    key = ["kind", "host"]
     ways = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links").union(
         links.select(F.lit("distrust"), F.col("dst"), F.col("src"), "links")
     )
-    whole = ways.groupBy("kind", "host").agg(F.sum("links").alias("all"))
-    ways = cut(ways.join(whole, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("share")))
-    if ways.isEmpty() and iterations is None:
-        return seeds.select("kind", "host", "mass")
+    whole = ways.groupBy(*key).agg(F.sum("links").alias("all"), F.ceil(F.count(F.lit(1)) / LINKS_A_SHARE).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("to"), F.col("salts")).cast("int")
+    ways = stored(ways.join(whole, key).select(*key, "to", salt.alias("salt"), (F.col("links") / F.col("all")).alias("share")), "url-ways")
     if ways.isEmpty():
-        return seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-    base = cut(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass")))
+        left = 1.0 if iterations is None else 1 - damping
+        return seeds.select(*key, (F.col("mass") * left).alias("mass"))
+    hubs = stored(whole.filter("salts > 1").select(*key, "salts"), "url-hubs")
+    base = stored(seeds.select(*key, (F.col("mass") * (1 - damping)).alias("mass")), "url-seeds")
     sums = lambda df: {r["kind"]: r["mass"] for r in df.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}
-    mass, last = base, sums(base)
+    mass, settled, last = base, None, sums(base)
     for i in range(MAX_ROUNDS if iterations is None else iterations):
-        moved = ways.join(mass, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("mass"))
-        mass = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % 3 == 2 or i + 1 == iterations:
-            mass = cut(mass)
-        if iterations is None and i % 3 == 2:
+        salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        salted = mass.join(hubs, key, "left").select(*key, "mass", F.explode(salts).alias("salt"))
+        moved = ways.join(salted, [*key, "salt"]).groupBy("kind", F.col("to").alias("host")).agg((F.sum(F.col("share") * F.col("mass")) * damping).alias("mass"))
+        mass = moved.unionByName(base).groupBy(*key).agg(F.sum("mass").alias("mass"))
+        if i % 3 < 2 and i + 1 != iterations:
+            continue
+        old, settled = settled, stored(mass, "url-mass")
+        if old is not None:
+            discard(old)
+        mass = settled
+        if iterations is None:
             # From the seeds' own mass no host's value ever falls, so the change of the sums is the summed change.
             now = sums(mass)
             if all(now[k] - last[k] <= TOLERANCE * now[k] for k in now):
@@ -108,7 +118,7 @@ def spread(links: DataFrame, seeds: DataFrame, *, damping: float, iterations: in
             raise RuntimeError(f"masses still move after {MAX_ROUNDS} rounds")
     if iterations is None:
         whole = seeds.groupBy("kind").agg(F.sum("mass").alias("_seeds")).join(mass.groupBy("kind").agg(F.sum("mass").alias("_mass")), "kind")
-        mass = mass.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("mass") * F.col("_seeds") / F.col("_mass")).alias("mass"))
+        mass = mass.join(F.broadcast(whole), "kind").select(*key, (F.col("mass") * F.col("_seeds") / F.col("_mass")).alias("mass"))
     return mass
 
 
