@@ -9,16 +9,19 @@ and a sum for each document. All of it takes one shuffle of packed columns. Each
 of hash(w), together with the words before and behind it. There the partition has every occurrence of w and every bigram
 that begins or ends with w, so it counts c(w), c(v w) and c(w x), takes off what the document itself holds, and adds up the
 parts of the document's score that depend on w: log c(v w), the backed-off log c(w), and - log c(w) for every seen (w x).
-Words that make up a large share of all text would be hot keys; each of their bigrams is dealt by its own hash, and their
-counts come from a small table that is counted before.
+Words that make up a large share of all text would be hot keys. Their counts, and those of all pairs of two of them, come from
+a small table that is counted before and sent to every task: pairs of two hot words are scored where they are read, as by a
+broadcast join, and a bigram of a hot and another word is dealt by its own hash.
 
-A word is known by 64 bits of hash, a neighbour of a given word by 32. Edge cases: null and wordless texts have no score.
+Rows of that relation travel as packed columns (a row for each slice of documents and partition), since an n-gram a row takes
+more shuffle than the text has bytes. A word is known by 64 bits of hash, a neighbour of a given word by 32. Edge cases: null and wordless texts have no score.
 Rows are documents, also when an id or text is repeated or null. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, in_short_batches, slices, stored
+from .common import as_text, hash_below, in_short_batches, slices, stored
 
 ALPHA = 0.4
 #: Words with tables of their own, at most, chosen on a sample of so many documents; their counts are of all documents.
@@ -66,20 +69,55 @@ def hot_words(docs: DataFrame, total_docs: int) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64))
 
 
-def _hot_counts(docs: DataFrame, hot: np.ndarray) -> np.ndarray:
-    """How often each hot word occurs in all documents."""
+@dataclass
+class Hot:
+    """Hot words by their hashes, how often each occurs in all documents, and each pair (row: first, column: second)."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+
+
+def _before(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each word the value of the one before it in its text, -1 for a text's first; n: number of words of each text."""
+    out = np.concatenate(([-1], at[:-1])) if len(at) else at
+    out[(np.cumsum(n) - n)[n > 0]] = -1
+    return out
+
+
+def count_hot(docs: DataFrame, words: np.ndarray) -> Hot:
+    h = len(words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(hot), dtype=np.int64)
+        total = np.zeros(h + h * h, dtype=np.int64)
         for b in batches:
             for part in slices(b["text"], SLICE):
-                total += _count_hot(_words(part)[0], hot)
-        yield pd.DataFrame({"k": np.arange(len(hot)), "n": total})
-
-    out = np.zeros(len(hot), dtype=np.int64)
+                word, n = _words(part)
+                at = _spots(word, words)
+                before = _before(at, n)
+                on = at >= 0
+                total[:h] += np.bincount(at[on], minlength=h)
+                on &= before >= 0
+                total[h:] += np.bincount(before[on] * h + at[on], minlength=h * h)
+        k = np.flatnonzero(total)
+        yield pd.DataFrame({"k": k, "n": total[k]})
+
+    # At most one row for each pair of hot words.
+    out = np.zeros(h + h * h, dtype=np.int64)
     for r in docs.select("text").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         out[r["k"]] = r["n"]
-    return out
+    return Hot(words, out[:h], out[h:].reshape(h, h))
+
+
+def _score_hot_pairs(row: np.ndarray, before: np.ndarray, at: np.ndarray, own: tuple[np.ndarray, np.ndarray], hot: Hot, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log sums and numbers of backed-off words of each document, over pairs of hot words; own: sorted row * hot words + word, and their counts."""
+    h = len(hot.words)
+    elsewhere = lambda w: hot.counts[w] - own[1][np.searchsorted(own[0], row * h + w)]
+    _, kind, n = np.unique((row * h + before) * h + at, return_inverse=True, return_counts=True)
+    seen = hot.pairs[before, at] - n[kind]
+    backed = np.log(np.maximum(elsewhere(at), 0.5)) + np.log(ALPHA)
+    log = np.where(seen > 0, np.log(np.maximum(seen, 1)) - np.log(np.maximum(elsewhere(before), 1)), backed)
+    return np.bincount(row, weights=log, minlength=docs), np.bincount(row, weights=seen <= 0, minlength=docs)
 
 
 def _spots(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -90,11 +128,6 @@ def _spots(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(hot[at] == words, at, -1)
 
 
-def _count_hot(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    at = _spots(words, hot)
-    return np.bincount(at[at >= 0], minlength=len(hot))
-
-
 def _small(x: np.ndarray) -> bytes:
     """Numbers in as few bytes each as the largest needs: 1, 2 or 4."""
     most = int(x.max()) if len(x) else 0
@@ -116,8 +149,8 @@ def _pack(word: np.ndarray, near: np.ndarray, row: np.ndarray, own: np.ndarray |
     }
 
 
-def _exploded(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """Packed n-grams: part, base (document number of row 0), kind and columns. Kind 0 has pairs of neighbours (before, behind), 1 and 2 hot words' neighbours before and behind, 3 the documents."""
+def _exploded(docs: DataFrame, hot: Hot, parts: int) -> DataFrame:
+    """Packed n-grams: part, base (document number of row 0), kind and columns. Kind 0 has pairs of neighbours (before, behind), 1 and 2 hot words' other neighbours before and behind, 3 the documents, 4 their sums over pairs of hot words."""
     deal = lambda x: (_mix(x) % np.uint64(parts)).astype(np.int64)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,28 +167,34 @@ def _exploded(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                 first = np.zeros(len(word), dtype=bool)
                 first[(np.cumsum(n) - n)[n > 0]] = True
                 last = np.roll(first, -1) if len(word) else first
-                near = (word >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 0 stands for a text's end
+                near = np.maximum((word >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # 0 stands for a text's end
                 before, behind = np.where(first, np.uint32(0), np.roll(near, 1)), np.where(last, np.uint32(0), np.roll(near, -1))
-                spot = _spots(word, hot)
+                spot = _spots(word, hot.words)
+                led = _before(spot, n)
+                follows = np.where(last, -1, np.roll(spot, -1)) if len(spot) else spot
                 cold, warm = np.flatnonzero(spot < 0), np.flatnonzero(spot >= 0)
                 rows = []
-                to = deal(word[cold])
-                for p, at_p in _by(to, parts):
+                for p, at_p in _by(deal(word[cold]), parts):
                     k = cold[at_p]
                     rows.append({"part": p, "base": base, "kind": 0, **_pack(word[k], np.stack((before[k], behind[k]), axis=1), row[k], None)})
-                pair = row[warm] * (len(hot) + 1) + spot[warm]
-                kinds, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-                for kind, near_ in ((1, before), (2, behind)):
-                    to = deal(word[warm] ^ _mix(near_[warm].astype(np.uint64) + np.uint64(7)))
-                    for p, at_p in _by(to, parts):
-                        k = warm[at_p]
-                        rows.append({"part": p, "base": base, "kind": kind, **_pack(word[k], near_[k], row[k], own[inverse[at_p]])})
-                known = pd.isna(ids).to_numpy()
-                docs_ = ids.fillna(0).to_numpy(np.int64)
-                rows.append({"part": base % parts, "base": base, "kind": 3, "words": docs_.tobytes(), "runs": n.astype(np.uint32).tobytes(), "near": known.tobytes(), "rows": b"", "own": b""})
+                kinds, inverse, own = np.unique(row[warm] * len(hot.words) + spot[warm], return_inverse=True, return_counts=True)
+                for kind, near_, other in ((1, before, led), (2, behind, follows)):
+                    left = np.flatnonzero(other[warm] < 0)
+                    k = warm[left]
+                    for p, at_p in _by(deal(word[k] ^ _mix(near_[k].astype(np.uint64) + np.uint64(7))), parts):
+                        j = k[at_p]
+                        rows.append({"part": p, "base": base, "kind": kind, **_pack(word[j], near_[j], row[j], own[inverse[left[at_p]]])})
+                k = np.flatnonzero((spot >= 0) & (led >= 0))
+                log, back = _score_hot_pairs(row[k], led[k], spot[k], (kinds, own), hot, len(n))
+                listed = {"part": base % parts, "base": base, "own": b""}
+                known = ids.isna().to_numpy()
+                docs_ = np.array([0 if lost else int(i) for i, lost in zip(ids, known, strict=True)], dtype=np.int64)
+                rows.append({**listed, "kind": 3, "words": docs_.tobytes(), "runs": n.astype(np.uint32).tobytes(), "near": known.tobytes(), "rows": b""})
+                rows.append({**listed, "kind": 4, "words": log.tobytes(), "runs": b"", "near": b"", "rows": _small(back.astype(np.int64))})
                 yield pd.DataFrame(rows)
 
-    return in_short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(explode, "part long, base long, kind int, words binary, runs binary, near binary, rows binary, own binary")
+    asked = in_short_batches(docs).select(as_text(), "text")
+    return asked.mapInPandas(explode, "part long, base long, kind int, words binary, runs binary, near binary, rows binary, own binary")
 
 
 def _by(to: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -179,7 +218,7 @@ def _elsewhere(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> pd.DataFrame:
+def _score_part(pdf: pd.DataFrame, hot: Hot) -> pd.DataFrame:
     """Sums of each slice's documents in one part: rows, log sums without N, numbers of backed-off words; and the lists of documents."""
     sums: dict[str, list[np.ndarray]] = {"doc": [], "log": [], "back": []}
     bases = np.sort(pdf["base"].unique())
@@ -227,8 +266,8 @@ def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> p
             part = (got[1] >> np.uint32(28)).astype(np.uint8) % SHARES
             for k in range(SHARES):
                 word, near, doc, own = (x[part == k] for x in got)
-                spot = _spots(word, hot)
-                elsewhere = hot_counts[spot] - own
+                spot = _spots(word, hot.words)
+                elsewhere = hot.counts[spot] - own
                 seen = _elsewhere((spot.astype(np.uint64) << np.uint64(32)) | near, doc)
                 if kind == 1:
                     left(seen, near == 0, elsewhere, doc)
@@ -245,6 +284,8 @@ def _score_part(pdf: pd.DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> p
         for k in np.flatnonzero(np.diff(cuts)):
             on = slice(cuts[k], cuts[k + 1])
             rows.append((int(bases[k]), part, 0, _small(doc[on] & ((1 << ROW_BITS) - 1)), log[on].tobytes(), _small(back[on])))
+    for r in pdf[pdf["kind"] == 4].itertuples(index=False):
+        rows.append((int(r.base), part, 0, _small(np.arange(len(r.words) // 8)), r.words, r.rows))
     listed = pdf[pdf["kind"] == 3]
     rows += [(int(r.base), part, 1, r.words, r.near, r.runs) for r in listed.itertuples(index=False)]
     return pd.DataFrame(rows, columns=["base", "part", "kind", "rows", "logs", "backs"])
@@ -269,13 +310,12 @@ def stupid_backoff(docs: DataFrame, *, chars_per_part: int = CHARS_PER_PART) ->
     """doc_id, n_words, n_backoff, score (null without words): one row for each row of docs."""
     size = docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars")).first()
     parts = max(1, -(-(size["chars"] or 0) // chars_per_part))
-    hot = hot_words(docs, size["docs"])
-    counts = _hot_counts(docs, hot)
+    hot = count_hot(docs, hot_words(docs, size["docs"]))
     packed = _exploded(docs, hot, parts)
-    scored = packed.groupBy("part").applyInPandas(lambda pdf: _score_part(pdf, hot, counts), "base long, part long, kind int, rows binary, logs binary, backs binary")
+    scored = packed.groupBy("part").applyInPandas(lambda pdf: _score_part(pdf, hot), "base long, part long, kind int, rows binary, logs binary, backs binary")
     # A row for each part and slice, not for each part and document: a slice's documents meet their sums in one task.
     merged = scored.groupBy("base").applyInPandas(_merge_slice, "doc_id long, n_words long, n_backoff long, log_sum double")
-    found = stored(merged, "backoff-sums")
+    found = stored(merged, "backoff-sums")  # one narrow row a document
     total = found.agg(F.sum("n_words")).first()[0] or 0
     others = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
     return found.select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, (F.col("log_sum") - F.col("n_backoff") * others) / F.col("n_words")).alias("score"))

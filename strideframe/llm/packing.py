@@ -1,6 +1,6 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-A document's length is its number of words plus one end mark. Documents longer than the largest permitted sequence are cut
+A document's length is its number of words plus one end mark, or a number of tokens that is given. Documents longer than the largest permitted sequence are cut
 into pieces; full pieces are sequences of their own. All other pieces are dealt by a hash of their id into shards of
 bounded size, and each shard is packed by itself: longest piece first, into the open bin that it fills best. When none
 fits, a bin of the least cost a token is opened, judged by what the shorter pieces still to come can fill; one size floor
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import as_text, id_type, stored
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 32
@@ -80,11 +80,13 @@ def pack_shard(pdf: pd.DataFrame, capacities: tuple[int, ...], overhead: int) ->
     return pdf[["doc_id", "piece", "start", "length", "bin_id", "position", "capacity"]]
 
 
-def pack(docs: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """doc_id, piece (from 0), start (word in the document), length, bin_id, position (in the bin), capacity; a row for each piece."""
+def pack(docs: DataFrame, *, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """doc_id, piece (from 0), start (in the document), length, bin_id, position (in the bin), capacity; a row for each piece.
+
+    length counts a document's tokens with its end mark; its words and one if it is not given.
+    """
     top = max(capacities)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sized = stored(docs.select("doc_id", length_of().alias("n")), "packing-lengths")
+    sized = stored(docs.select("doc_id", (length_of() if length is None else F.greatest(length.cast("long"), F.lit(1))).alias("n")), "packing-lengths")
     total = sized.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_pieces))
     pieces = (
@@ -96,7 +98,17 @@ def pack(docs: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, overhead:
         "doc_id", "piece", "start", "length", (-1 - F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).cast("long").alias("position"), F.lit(top).cast("long").alias("capacity")
     )
     rest = pieces.filter(F.col("length") < top).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)))
-    packed = rest.drop("row").groupBy("shard").applyInPandas(
-        lambda pdf: pack_shard(pdf, capacities, overhead), f"doc_id {kind}, piece long, start long, length long, bin_id long, position long, capacity long"
+    packed = rest.select(as_text(), "piece", "start", "length", "shard").groupBy("shard").applyInPandas(
+        lambda pdf: pack_shard(pdf, capacities, overhead), "doc_id string, piece long, start long, length long, bin_id long, position long, capacity long"
+    )
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type(docs))).unionByName(whole)
+
+
+def sequences(tokens: DataFrame, packed: DataFrame) -> DataFrame:
+    """bin_id, capacity, ids: the packed sequences themselves, from (doc_id, ids) of documents with ids of their own and pack()'s rows."""
+    pieces = packed.join(tokens.select("doc_id", "ids"), "doc_id").select(
+        "bin_id", "capacity", "position", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("part")
     )
-    return packed.unionByName(whole)
+    # A bin holds at most its capacity of ids, whatever the number of documents.
+    parts = F.sort_array(F.collect_list(F.struct("position", "part")))
+    return pieces.groupBy("bin_id", "capacity").agg(F.flatten(F.transform(parts, lambda x: x["part"])).alias("ids"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_short_batches, slices
+from .common import as_text, free_name, id_type, in_short_batches, slices
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -195,8 +195,9 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "
             got = [codec(model_path).encode(part) for part in slices(texts, 8_000_000)]
             yield pd.DataFrame({"ids": [x.astype(np.int32) for part, _ in got for x in part], "score": np.concatenate([np.zeros(0), *(s for _, s in got)])})
 
-    out = in_short_batches(docs).withColumn("_pieces", run.asNondeterministic()(F.col(text)))
-    return out.withColumns({ids: F.col("_pieces.ids"), score: F.col("_pieces.score")}).drop("_pieces")
+    found = free_name(docs, "_pieces")
+    out = in_short_batches(docs).withColumn(found, run.asNondeterministic()(F.col(text)))
+    return out.withColumns({ids: F.col(f"{found}.ids"), score: F.col(f"{found}.score")}).drop(found)
 
 
 def decode(docs: DataFrame, model_path: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -226,5 +227,5 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
                     "round_trip": [own.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, part, strict=True)],
                 })
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_short_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
+    found = in_short_batches(docs).select(as_text(), "text").mapInPandas(run, "doc_id string, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
+    return found.withColumn("doc_id", F.col("doc_id").cast(id_type(docs)))

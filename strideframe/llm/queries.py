@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, language_id, packing, piece_codec, quality, token_store, topk, toxicity, url_trust
+from . import backoff_lm, jaccard_join, language_id, oracles, packing, piece_codec, quality, token_store, topk, toxicity, url_trust
 from .common import id_fold, table
 
 
@@ -25,8 +25,13 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def r6(*columns: str) -> dict[str, Column]:
+    """Doubles that the order of additions could change in the last bit."""
+    return {c: F.round(c, 6) for c in columns}
+
+
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumns(r6("trust", "distrust"))
 
 
 def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.stupid_backoff(table(spark, sf_dir, "documents"))
+    return backoff_lm.stupid_backoff(table(spark, sf_dir, "documents")).withColumns(r6("score"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).withColumns(r6("classes_distance", "words_distance"))
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +77,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trust, op2_threshold_topk, op3_language_id, op4_token_ids, op5_stupid_backoff, op6_ngram_jaccard_join, op7_toxicity, op8_quality_divergence, op9_piece_codec, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_trust, op2_threshold_topk, op3_language_id, op4_token_ids, op5_stupid_backoff, op6_ngram_jaccard_join, op7_toxicity,
+        op8_quality_divergence, op9_piece_codec, op10_best_fit_packing,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_trust": oracles.url_sql(URL_RULES), "op2_threshold_topk": oracles.TOP_K, "op5_stupid_backoff": oracles.BACKOFF, "op6_ngram_jaccard_join": oracles.JACCARD,
+    "op8_quality_divergence": oracles.quality_sql(),
+}

@@ -3,24 +3,26 @@
 A store is a folder in a file system that driver and executors share:
 
     dictionary        the zstandard dictionary, trained on the serialized ids of a bounded sample of documents
-    shard-PPPPPP-SSSS.tok   documents in ascending order of doc_id; PPPPPP counts ranges of ids, SSSS shards of a range
-    manifest/         a Parquet row for each shard: first token of the store, documents, tokens
+    shard-P-S.tok     documents in ascending order of doc_id; P counts ranges of ids, S shards of a range
+    manifest/         a Parquet row for each shard: its numbers P and S, its file, documents and tokens
 
 A shard: 8 bytes "IDSHARD1", 32 bytes SHA-256 of the dictionary, 8 bytes bytes-per-id, 8 bytes number of documents n; then n
 doc_ids (signed 64 bit), n bytes telling whether the doc_id is there, n + 1 frame offsets and n token counts (unsigned 64
 bit); then the frames, each a document's ids as little-endian integers, compressed alone with the dictionary. All numbers
-are little-endian. A reader checks the hash before it decodes and reaches any document through its offset.
+are little-endian. A reader checks the hash before it decodes and reaches any document through its offset: read_one takes a few
+bytes of the index and one frame from a file of any size.
 
 Tokenizing: ids never cross white space, so that a task encodes each distinct word once and puts documents together from
 the words' ids. Tasks write under a temporary name and rename, so a task that runs twice leaves the same file.
 
 Edge cases: a null text has no tokens but the end id; a null doc_id is kept and sorts first; rows with equal ids are all
-kept, in the order of their texts. An empty table gives a store without shards. Extra columns are not read.
+kept, in the order of a hash of their texts, so that an id of many rows is spread over ranges. An empty table gives a store without shards. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import unicodedata
@@ -31,15 +33,20 @@ from itertools import chain, islice
 import numpy as np
 import pandas as pd
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_below, in_short_batches, new_path, slices
+from .common import as_text, hash_below, in_short_batches, new_path, slices
 
 MAGIC = b"IDSHARD1"
 SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 1500, 64 * 1024, 3
-DOCS_PER_RANGE, SHARD_BYTES, SLICE = 32_000, 32 * 1024 * 1024, 8_000_000
+#: Most documents and, by the sample, characters of a range of ids, which one task writes.
+DOCS_PER_RANGE, CHARS_PER_RANGE = 32_000, 48_000_000
+SHARD_BYTES, SLICE = 32 * 1024 * 1024, 8_000_000
+#: Characters of a sampled document that the dictionary learns from; the dictionary changes sizes only, never ids.
+LEARNED_CHARS = 20_000
 #: White space to Python that the tokenizer takes for ordinary characters.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks that are cut off a word's end.
@@ -141,12 +148,35 @@ def pack_frames(doc_ids: list[int | None], frames: list[bytes], counts: list[int
     return b"".join((head, index, offsets.tobytes(), np.array(counts, dtype="<u8").tobytes(), *frames))
 
 
+def read_one(uri: str, k: int, dictionary: bytes) -> tuple[int | None, np.ndarray]:
+    """(doc_id, ids) of document k of a shard file, of which only the head, its index entries and its frame are read."""
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_file(path) as f:
+        head = f.read_at(56, 0)
+        _check(head, dictionary)
+        id_bytes, n = map(int, np.frombuffer(head, "<u8", 2, 40))
+        if not 0 <= k < n:
+            raise IndexError(k)
+        key = int(np.frombuffer(f.read_at(8, 56 + 8 * k), "<i8")[0]) if f.read_at(1, 56 + 8 * n + k) == b"\1" else None
+        begin, end = map(int, np.frombuffer(f.read_at(16, 56 + 9 * n + 8 * k), "<u8"))
+        frame = f.read_at(end - begin, begin)
+    return key, _ids(zstandard.ZstdDecompressor(dict_data=_zdict(dictionary)), frame, id_bytes)
+
+
+def _check(head: bytes, dictionary: bytes) -> None:
+    if head[:8] != MAGIC or head[8:40] != hashlib.sha256(dictionary).digest():
+        raise ValueError("not a shard of this dictionary")
+
+
+def _ids(unpacker: zstandard.ZstdDecompressor, frame: bytes, id_bytes: int) -> np.ndarray:
+    return np.frombuffer(unpacker.decompress(frame), dtype=f"<u{id_bytes}").astype("<u4")
+
+
 class Shard:
     """Reader of one shard; documents are decoded one by one."""
 
     def __init__(self, data: bytes, dictionary: bytes):
-        if data[:8] != MAGIC or data[8:40] != hashlib.sha256(dictionary).digest():
-            raise ValueError("not a shard of this dictionary")
+        _check(data, dictionary)
         self.data, self.unpacker = data, zstandard.ZstdDecompressor(dict_data=_zdict(dictionary))
         self.id_bytes, n = map(int, np.frombuffer(data, "<u8", 2, 40))
         known = np.frombuffer(data, "u1", n, 56 + 8 * n)
@@ -158,14 +188,11 @@ class Shard:
         return len(self.doc_ids)
 
     def ids(self, k: int) -> np.ndarray:
-        frame = self.data[self.offsets[k] : self.offsets[k + 1]]
-        return np.frombuffer(self.unpacker.decompress(frame), dtype=f"<u{self.id_bytes}").astype("<u4")
+        return _ids(self.unpacker, self.data[self.offsets[k] : self.offsets[k + 1]], self.id_bytes)
 
 
 def put(uri: str, data: bytes) -> None:
     """Write a file of a shared file system whole or not at all."""
-    from pyarrow import fs
-
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{os.getpid()}-{os.urandom(4).hex()}.part"
@@ -174,11 +201,15 @@ def put(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int | None = None, docs_per_range: int = DOCS_PER_RANGE, limit: int = SHARD_BYTES) -> bytes:
+MANIFEST = "range long, number long, shard string, docs long, tokens long"
+
+
+def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int | None = None, docs_per_range: int = DOCS_PER_RANGE, chars_per_range: int = CHARS_PER_RANGE, limit: int = SHARD_BYTES) -> bytes:
     """Write the store of (doc_id, text) into the folder; returns the dictionary."""
     docs = in_short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
-    drawn = docs.filter(hash_below(F.col("doc_id"), SAMPLE_DOCS / max(n, 1), 13)).select(F.substr("text", F.lit(1), F.lit(20_000)).alias("text")).limit(2 * SAMPLE_DOCS).toPandas()
+    begun = F.substr("text", F.lit(1), F.lit(LEARNED_CHARS)).alias("text")
+    drawn = docs.filter(hash_below(F.col("doc_id"), SAMPLE_DOCS / max(n, 1), 13)).select(begun, F.length("text").alias("chars")).limit(2 * SAMPLE_DOCS).toPandas()
     encoder = WordEncoder(tokenizer_path, end_id)
     id_bytes = encoder.id_bytes
     dictionary = train_dictionary([x.astype(f"<u{id_bytes}").tobytes() for part in slices(drawn["text"]) for x in encoder.encode(part)])
@@ -190,9 +221,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int | No
         doc_ids, frames, counts, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            name = f"shard-{part:06d}-{number:04d}.tok"
+            name = f"shard-{part}-{number}.tok"
             put(f"{folder}/{name}", pack_frames(doc_ids, frames, counts, dictionary, id_bytes))
-            return pd.DataFrame({"shard": [name], "docs": [len(doc_ids)], "tokens": [sum(counts)]})
+            return pd.DataFrame({"range": [part], "number": [number], "shard": [name], "docs": [len(doc_ids)], "tokens": [sum(counts)]})
 
         for b in batches:
             at = 0
@@ -210,9 +241,11 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int | No
         if doc_ids:
             yield flush()
 
-    ranges = max(1, -(-n // docs_per_range))
-    ordered = docs.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(shards, "shard string, docs long, tokens long").write.parquet(f"{folder}/manifest")
+    chars = n * float(drawn["chars"].fillna(0).mean()) if len(drawn) else 0.0
+    ranges = max(1, -(-n // docs_per_range), math.ceil(chars / chars_per_range))
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(ranges, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select(as_text(), "text")
+    ordered.mapInPandas(shards, MANIFEST).write.parquet(f"{folder}/manifest")
     return dictionary
 
 
@@ -227,10 +260,12 @@ def digests(spark: SparkSession, folder: str, dictionary: bytes) -> DataFrame:
 
 
 def _read(spark: SparkSession, folder: str, dictionary: bytes, column: str, of) -> DataFrame:
-    manifest = spark.read.schema("shard string, docs long, tokens long").parquet(f"{folder}/manifest")
-    # One row a shard, tens of megabytes of ids each: small enough to number in one task.
-    before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    manifest = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    # One row a range, tens of megabytes of text each, is small enough to number in one task; shards are numbered in their range.
+    ranges = manifest.groupBy("range").agg(F.sum("tokens").alias("tokens"))
+    behind = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("range", behind(Window.orderBy("range")).alias("first"))
+    manifest = manifest.join(ranges, "range").select("shard", (F.col("first") + behind(Window.partitionBy("range").orderBy("number"))).alias("base"))
     name = column.split()[0]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
