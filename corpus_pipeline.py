@@ -10,22 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm import jaccard_join, language_id, packing, toxicity
-from strideframe.llm.common import id_fold, new_path, table
+from strideframe.llm.common import free_name, id_fold, new_path, table
 
 #: A document whose languages are so mixed that no one reaches this share is rejected; so is one without letters.
-MIN_LANGUAGE_SCORE = 0.35
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), id_fold(F.col("doc_id"), 3) != 1)
-    scored = toxicity.score(docs, model, column="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    column = free_name(docs, "_toxicity")
+    return toxicity.score(docs, model, column=column).filter(F.col(column) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, id_fold(F.col("doc_id"), 5) != 0)
-    found = language_id.predict(docs, model, lang="_lang_pred", score="_lang_score")
-    return found.filter((F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
+    found = language_id.predict(docs, model, lang=lang, score=score)
+    return found.filter((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
