@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,71 @@ from ..schemas import LIMB_CHAINS
 from .gates import segment_lengths
 from .series import Keys, along, neighbours
 
+#: Limb middles and ends, each with the segments that hold it: (joint, other end, proximal, distal).
+COMPLETABLE = tuple(sorted({j for _, m, b in LIMB_CHAINS for j in (m, b)}))
+ADJACENT = tuple((j, b if j == a else a, a, b) for p, m, d in LIMB_CHAINS for a, b in ((p, m), (m, d)) for j in (a, b) if j in COMPLETABLE)
+
 
 def usable(threshold: float) -> Column:
     return F.col("x").isNotNull() & F.col("y").isNotNull() & not_distrusted(pose_score(), threshold)
 
 
-def gap_targets(df: DataFrame, keys: Keys, ok: Column, max_gap: int) -> DataFrame:
+def gap_by_suffix(settings: Mapping[str, int] | None, fallback: int) -> Column:
+    """A gap limit for each row by the end of the joint's name: wrists and ankles are "distal", elbows and knees "mid_limb", others "default"."""
+    settings, name = settings or {}, F.col("joint_name")
+    of = lambda k: F.lit(int(settings.get(k, settings.get("default", fallback))))
+    own = F.coalesce(*[F.when(name == k, F.lit(int(v))) for k, v in settings.items()], F.lit(None).cast("int"))
+    group = F.when(name.endswith("wrist") | name.endswith("ankle"), of("distal")).when(name.endswith("elbow") | name.endswith("knee"), of("mid_limb")).otherwise(of("default"))
+    return F.coalesce(own, group)
+
+
+def bones(df: DataFrame, keys: Keys, ok: Column) -> DataFrame:
+    """Median length of every limb segment over the frames in which both ends are usable."""
+    lengths = segment_lengths(df.filter(ok), [*keys, "frame_index"], ["x", "y"])
+    return lengths.groupBy(*keys, "proximal", "distal").agg(F.median("length").alias("bone"))
+
+
+def biomechanically_plausible(df: DataFrame, keys: Keys, ok: Column, tolerance: float) -> DataFrame:
+    """Adds fits: at least one segment to a usable neighbour in the frame is within a share of its median length."""
+    dim = F.broadcast(df.sparkSession.createDataFrame(list(ADJACENT), "joint_name string, _other string, proximal string, distal string"))
+    others = df.filter(ok).select(*keys, "frame_index", F.col("joint_name").alias("_other"), F.col("x").alias("_ox"), F.col("y").alias("_oy"))
+    pairs = df.select(*keys, "frame_index", "joint_name", "x", "y").dropna(subset=["x", "y"]).join(dim, "joint_name")
+    pairs = pairs.join(others, [*keys, "frame_index", "_other"]).join(bones(df, keys, ok), [*keys, "proximal", "distal"])
+    off = distance([F.col("_ox"), F.col("_oy")], [F.col("x"), F.col("y")]) / F.when(F.col("bone") > 0, F.col("bone"))
+    fits = pairs.groupBy(*keys, "frame_index", "joint_name").agg(F.max(off.between(max(0.0, 1 - tolerance), 1 + tolerance)).alias("fits"))
+    return df.join(fits, [*keys, "frame_index", "joint_name"], "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
+
+
+def rescue(df: DataFrame, keys: Keys, *, threshold: float, least: float, least_alone: float, limb_tolerance: float, time_tolerance: float, confidence: float = 0.62) -> DataFrame:
+    """Distrusted points of limb middles and ends that fit after all get the confidence and "+rescued" behind their backend.
+
+    A point with a score of at least `least` is rescued where a limb has its usual length, or where it lies near the line between
+    its neighbours in time and its score is at least `least_alone`. Where there is no score neither is asked for.
+    """
+    ok, score = usable(threshold), pose_score()
+    marked = temporally_plausible(biomechanically_plausible(df, keys, ok, limb_tolerance), keys, ok, time_tolerance)
+    enough = lambda least: F.coalesce(score >= least, F.lit(True))
+    can = F.col("joint_name").isin(*COMPLETABLE) & F.col("x").isNotNull() & F.col("y").isNotNull() & ~ok & enough(least)
+    saved = can & (F.col("fits") | (enough(least_alone) & F.coalesce("plausible", F.lit(False))))
+    marked = marked.withColumn("_saved", saved)
+    tag = F.when(F.col("backend").endswith("+rescued"), F.col("backend")).otherwise(F.concat("backend", F.lit("+rescued")))
+    sure = F.lit(min(confidence, 1.0))
+    new = {"backend": tag, "visibility": sure, "confidence": sure, "x": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x"))), "y": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("y")))}
+    return marked.withColumns({c: F.when(F.col("_saved"), v).otherwise(F.col(c)) for c, v in new.items()}).drop("_saved", "fits", "plausible")
+
+
+def nearest_direction(df: DataFrame, keys: Keys, ok: Column, proximal: str, distal: str, *, reach: int = 5) -> DataFrame:
+    """(dx, dy) from proximal to distal for every frame of the series: of the nearest other frame within reach that has both (the earlier of two), else (1, 0)."""
+    points = df.filter(ok & F.col("joint_name").isin(proximal, distal))
+    pick = lambda j: F.max(F.when(F.col("joint_name") == j, F.struct("x", "y")))
+    both = points.groupBy(*keys, "frame_index").agg(pick(proximal).alias("p"), pick(distal).alias("d")).filter("p is not null and d is not null")
+    near = both.select(*keys, F.explode(F.sequence(F.col("frame_index") - reach, F.col("frame_index") + reach)).alias("_to"), F.col("frame_index").alias("_from"), (F.col("d.x") - F.col("p.x")).alias("dx"), (F.col("d.y") - F.col("p.y")).alias("dy"))
+    near = near.filter("_to != _from").groupBy(*keys, F.col("_to").alias("frame_index")).agg(F.min_by(F.struct("dx", "dy"), F.struct(F.abs(F.col("_to") - F.col("_from")), F.col("_from"))).alias("v"))
+    frames = df.select(*keys, "frame_index").distinct()
+    return frames.join(near, [*keys, "frame_index"], "left").select(*keys, "frame_index", F.coalesce("v.dx", F.lit(1.0)).alias("dx"), F.coalesce("v.dy", F.lit(0.0)).alias("dy"))
+
+
+def gap_targets(df: DataFrame, keys: Keys, ok: Column, max_gap: int | Column) -> DataFrame:
     """Unusable rows of gaps of at most max_gap frame numbers between usable rows right before and behind: target (tx, ty) on the line between those."""
     w = along([*keys, "joint_name"])
     df = df.withColumn("_ok", ok)
@@ -33,7 +94,7 @@ def gap_targets(df: DataFrame, keys: Keys, ok: Column, max_gap: int) -> DataFram
     return df.withColumns({"tx": lerp(F.col("_a.x"), F.col("_b.x"), share), "ty": lerp(F.col("_a.y"), F.col("_b.y"), share)}).drop("_a", "_b", "_before", "_start", "_ok")
 
 
-def complete_limbs(df: DataFrame, keys: Keys, *, threshold: float, max_gap: int, confidence: float = 0.62) -> DataFrame:
+def complete_limbs(df: DataFrame, keys: Keys, *, threshold: float, max_gap: int | Column, confidence: float = 0.62) -> DataFrame:
     """Fill short gaps: limb ends at the median bone length from the joint before them towards the target, middle joints where both bones meet, nearest to it.
 
     All fills read the rows as they came in. Filled rows get the confidence and "+imputed" behind their backend; all others stay.
@@ -45,8 +106,8 @@ def complete_limbs(df: DataFrame, keys: Keys, *, threshold: float, max_gap: int,
     far_dim = F.broadcast(spark.createDataFrame([(m, m, b) for _, m, b in chains], "joint_name string, far_a string, far_b string"))
     frame = [*keys, "frame_index"]
     points = df.filter(ok)
-    bones = segment_lengths(points, frame, ["x", "y"]).groupBy(*keys, "proximal", "distal").agg(F.median("length").alias("bone"))
-    bone = lambda a, b, name: bones.select(*keys, F.col("proximal").alias(a), F.col("distal").alias(b), F.col("bone").alias(name))
+    lengths = bones(df, keys, ok)
+    bone = lambda a, b, name: lengths.select(*keys, F.col("proximal").alias(a), F.col("distal").alias(b), F.col("bone").alias(name))
     place = lambda joint, p: points.select(*frame, F.col("joint_name").alias(joint), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     todo = gap_targets(df, keys, ok, max_gap).select(*frame, "joint_name", "tx", "ty").join(dim, "joint_name").join(far_dim, "joint_name", "left")
     todo = todo.join(place("near", "n"), [*frame, "near"]).join(place("far", "f"), [*frame, "far"], "left")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def accepted(points: np.ndarray, frames: np.ndarray, limit: float, *, by_gap: bool) -> np.ndarray:
@@ -87,6 +88,13 @@ def object_speed(df: DataFrame, keys: list[str], most: float | None) -> DataFram
     return _fold(df, keys, "speed_px_s double, speed_norm_s double", step)
 
 
+def object_features(tracks: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """One row a frame: place, confidence and speeds of each object, by a prefix for each object_name; rows as object_speed gives them."""
+    columns = [c for c in ("x", "y", "confidence", "speed_px_s", "speed_norm_s") if c in tracks.columns]
+    pick = [F.max(F.when(F.col("object_name") == name, F.col(c))).alias(f"{prefix}_{c}") for prefix, name in names.items() for c in columns]
+    return tracks.filter(F.col("object_name").isin(*names.values())).groupBy(*keys, "frame_index").agg(F.min("timestamp_sec").alias("timestamp_sec"), *pick)
+
+
 def bounded_tracker(df: DataFrame, keys: list[str], *, warm_up: int = 3, share: float = 0.35, most: float = 0.08, growth: tuple[float, float] = (0.35, 2.8)) -> DataFrame:
     """tracked: a centre that follows proposals (x, area) by a bounded exponential step; after the warm-up, proposals whose area leaves the growth range are passed over."""
 

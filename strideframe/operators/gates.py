@@ -14,32 +14,33 @@ from .series import Keys, along
 Segments = tuple[tuple[str, str, str], ...]
 
 
-def segment_dim(df: DataFrame, segments: Segments) -> DataFrame:
-    """The edge list as a table: a fixed handful of rows."""
-    return df.sparkSession.createDataFrame([tuple(s) for s in segments], "proximal string, distal string, reject_joint string")
-
-
 def segment_lengths(points: DataFrame, frame_keys: Keys, axes: list[str], segments: Segments = LIMB_SEGMENTS) -> DataFrame:
-    """A row for each frame and segment with both ends: self-join within the frame over the edge list."""
-    dim = F.broadcast(segment_dim(points, segments))
-    present = points.dropna(subset=axes)
-    near = present.select(*frame_keys, F.col("joint_name").alias("proximal"), *[F.col(a).alias(f"_p_{a}") for a in axes]).join(dim, "proximal")
-    far = present.select(*frame_keys, F.col("joint_name").alias("distal"), *[F.col(a).alias(f"_d_{a}") for a in axes])
-    joined = near.join(far, [*frame_keys, "distal"])
-    return joined.select(*frame_keys, "proximal", "distal", "reject_joint", distance([F.col(f"_p_{a}") for a in axes], [F.col(f"_d_{a}") for a in axes]).alias("length"))
+    """A row for each frame and segment with both ends: the frame's joints side by side, then a row for each segment of the edge list."""
+    joints = sorted({j for a, b, _ in segments for j in (a, b)})
+    present = points.dropna(subset=axes).filter(F.col("joint_name").isin(*joints))
+    wide = present.groupBy(*frame_keys).agg(*[F.max(F.when(F.col("joint_name") == j, F.struct(*axes))).alias(f"_{j}") for j in joints])
+    ends = lambda j: [F.col(f"_{j}.{a}") for a in axes]
+    row = lambda a, b, r: F.struct(F.lit(a).alias("proximal"), F.lit(b).alias("distal"), F.lit(r).alias("reject_joint"), distance(ends(a), ends(b)).alias("length"))
+    return wide.select(*frame_keys, F.inline(F.array(*[row(*s) for s in segments]))).filter(F.col("length").isNotNull())
 
 
 def limb_length_gate(df: DataFrame, keys: Keys, axes: list[str], tolerance: float, *, usable: Column | None = None, segments: Segments = LIMB_SEGMENTS) -> DataFrame:
     """Take out the joints whose segment is off its median length by more than a share of it."""
     points = df if usable is None else df.filter(usable)
     lengths = segment_lengths(points, [*keys, "frame_index"], axes, segments)
-    medians = lengths.groupBy(*keys, "proximal", "distal").agg(F.median("length").alias("median"))
-    bad = lengths.join(medians, [*keys, "proximal", "distal"]).filter((F.col("median") > 0) & (F.abs(F.col("length") - F.col("median")) / F.col("median") > tolerance))
+    lengths = lengths.withColumn("median", F.median("length").over(Window.partitionBy(*keys, "proximal", "distal")))
+    bad = lengths.filter((F.col("median") > 0) & (F.abs(F.col("length") - F.col("median")) / F.col("median") > tolerance))
     bad = bad.select(*keys, "frame_index", F.col("reject_joint").alias("joint_name")).distinct().withColumn("_bad", F.lit(True))
     out = df.join(bad, [*keys, "frame_index", "joint_name"], "left")
     return out.withColumns({a: F.when(F.col("_bad").isNull(), F.col(a)) for a in axes}).drop("_bad")
 
 
+def without_frames(df: DataFrame, keys: Keys, frames: DataFrame, axes: list[str]) -> DataFrame:
+    """All points of some frames are taken out; the rows stay."""
+    out = df.join(frames.select(*keys, "frame_index").distinct().withColumn("_bad", F.lit(True)), [*keys, "frame_index"], "left")
+    return out.withColumns({a: F.when(F.col("_bad").isNull(), F.col(a)) for a in axes}).drop("_bad")
+
+
 def torso_centers(df: DataFrame, keys: Keys, threshold: float) -> DataFrame:
     """(cx, cy) of every frame: middle of the hips, else of the shoulders, else mean of what there is of both; null without any."""
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & not_distrusted(pose_score(), threshold)
@@ -52,7 +53,7 @@ def torso_centers(df: DataFrame, keys: Keys, threshold: float) -> DataFrame:
     return frames.select(*keys, "frame_index", F.coalesce(hips[0], shoulders[0], "ax").alias("cx"), F.coalesce(hips[1], shoulders[1], "ay").alias("cy"))
 
 
-def isolated_jumps(df: DataFrame, keys: Keys, multiplier: float, *, floor: float = 0.03, least: int = 5) -> DataFrame:
+def isolated_jumps(df: DataFrame, keys: Keys, multiplier: float | Column, *, floor: float = 0.03, least: int = 5) -> DataFrame:
     """Mark points far from both neighbours while the neighbours are close: column `jump`. First and last rows are never marked.
 
     Far is beyond the larger of the floor and multiplier times the median step that is not zero.

@@ -92,20 +92,23 @@ def long_tracks(df: DataFrame, keys: Keys, *, least: int, max_gap: int, max_jump
     return found.filter(F.col("_len") >= least).drop("_len")
 
 
-def around_peak(df: DataFrame, keys: Keys, value: str, least: Column, *, order: str = "frame_index") -> DataFrame:
-    """The stretch around the first maximum whose rows all reach `least` (an expression that may use `peak`): positions and frames.
+def mark_around_peak(df: DataFrame, keys: Keys, value: str, least: Column, *, order: str = "frame_index") -> DataFrame:
+    """Adds to every row its series' peak, peak_pos, and start_pos and end_pos of the stretch around it whose rows all reach `least`, besides pos and n.
 
-    The peak itself always belongs to it. One row for each series with a value.
+    `least` may use `peak`. The peak itself always belongs to the stretch; all are null in a series without a value.
     """
     df = position(df, keys, order=order)
     whole = Window.partitionBy(*keys)
     df = df.withColumn("peak", F.max(value).over(whole)).withColumn("peak_pos", F.min(F.when(F.col(value) == F.col("peak"), F.col("pos"))).over(whole))
     low = ~F.coalesce(F.col(value) >= least, F.lit(False)) & (F.col("pos") != F.col("peak_pos"))
-    df = df.withColumns({
-        "_left": F.max(F.when(low & (F.col("pos") < F.col("peak_pos")), F.col("pos"))).over(whole),
-        "_right": F.min(F.when(low & (F.col("pos") > F.col("peak_pos")), F.col("pos"))).over(whole),
-    })
-    df = df.filter((F.col("pos") > F.coalesce("_left", F.lit(-1))) & (F.col("pos") < F.coalesce("_right", F.col("n"))) & F.col("peak").isNotNull())
-    return df.groupBy(*keys).agg(
-        F.first("peak").alias("peak"), F.first("peak_pos").alias("peak_pos"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.first("n").alias("n"), F.min(order).alias("start_frame"), F.max(order).alias("end_frame")
-    )
+    left = F.max(F.when(low & (F.col("pos") < F.col("peak_pos")), F.col("pos"))).over(whole)
+    right = F.min(F.when(low & (F.col("pos") > F.col("peak_pos")), F.col("pos"))).over(whole)
+    there = F.col("peak").isNotNull()
+    return df.withColumns({"start_pos": F.when(there, F.coalesce(left, F.lit(-1)) + 1), "end_pos": F.when(there, F.coalesce(right, F.col("n")) - 1)})
+
+
+def around_peak(df: DataFrame, keys: Keys, value: str, least: Column, *, order: str = "frame_index") -> DataFrame:
+    """The stretch of mark_around_peak, one row for each series with a value, with its first and last frame."""
+    df = mark_around_peak(df, keys, value, least, order=order)
+    df = df.filter(F.col("pos").between(F.col("start_pos"), F.col("end_pos")))
+    return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("peak", "peak_pos", "start_pos", "end_pos", "n")], F.min(order).alias("start_frame"), F.max(order).alias("end_frame"))

@@ -1,86 +1,106 @@
-"""Filter kernels on one series, in numpy: medians, Savitzky-Golay fits and means over stretches without a gap.
+"""Filters over stretches without a gap, as window expressions: medians, Savitzky-Golay fits and means.
 
 Two flavours differ at short stretches and even windows. "shrink" fits the window to the stretch; "skip" makes even windows one
-longer and leaves stretches shorter than the window alone.
+longer and leaves stretches shorter than the window alone. A row's window is an array of its neighbours, at most twice the
+filter's size, so a series of any length is sorted once and never held as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from .series import Keys, along
 
-def stretches(values: np.ndarray) -> Iterator[slice]:
-    on = np.concatenate(([False], ~np.isnan(values), [False]))
-    change = np.flatnonzero(on[1:] != on[:-1])
-    for a, b in zip(change[::2], change[1::2], strict=True):
-        yield slice(int(a), int(b))
 
+def _filtered(df: DataFrame, keys: Keys, columns: list[str], size: int, of: Callable[[Column, Column, Column, Column], Column], order: str) -> DataFrame:
+    """Replace columns by of(neighbours, place of the row among them, position in the stretch, length of the stretch); null keeps the value.
 
-def _window(size: int, length: int, flavour: str, odd: bool) -> int:
-    """The window for a stretch, or 0 to leave it alone."""
-    if size <= 1:
-        return 0
+    The neighbours reach size - 1 rows to either side, as far as the stretch goes.
+    """
+    for c in columns:
+        gap = F.col(c).isNull()
+        df = df.withColumn("_gaps", F.sum(gap.cast("int")).over(along(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        stretch = Window.partitionBy(*keys, "_gaps", gap)
+        df = df.withColumns({
+            "_near": F.collect_list(c).over(stretch.orderBy(order).rowsBetween(1 - size, size - 1)), "_i": F.row_number().over(stretch.orderBy(order)) - 1,
+            "_n": F.count(F.lit(1)).over(stretch),
+        })
+        own = F.least(F.col("_i"), F.lit(size - 1))
+        value = F.coalesce(of(F.col("_near"), own, F.col("_i"), F.col("_n")), F.col(c))
+        df = df.withColumn(c, F.when(~gap, value)).drop("_gaps", "_near", "_i", "_n")
+    return df
+
+
+def _window(size: int, length: Column, flavour: str, odd: bool) -> Column:
+    """The window for a stretch; null leaves it alone."""
     if flavour == "skip":
         size += 1 - size % 2
-        return size if length >= size else 0
-    size = min(size, length)
-    return size - (1 - size % 2) if odd else size
+        return F.when(length >= size, F.lit(size))
+    fitted = F.least(F.lit(size), length)
+    return (fitted - (1 - fitted % 2) if odd else fitted).cast("int")
 
 
-def _rolled(values: np.ndarray, size: int, of: Callable) -> np.ndarray:
-    left = size // 2
-    return of(sliding_window_view(np.pad(values, (left, size - 1 - left), mode="edge"), size), axis=1)
+def _reach(size: int, flavour: str) -> int:
+    return size + 1 - size % 2 if flavour == "skip" else size
 
 
-def median_filter(values: np.ndarray, size: int, flavour: str = "shrink") -> np.ndarray:
-    out = values.copy()
-    for s in stretches(values):
-        w = _window(size, s.stop - s.start, flavour, odd=True)
-        if w >= 3:
-            out[s] = _rolled(values[s], w, np.median)
-    return out
+def _held(near: Column, own: Column, width: Column) -> Column:
+    """The values of a window around the row; beyond the stretch its end values go on."""
+    last = F.size(near)
+    return F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.element_at(near, F.greatest(F.lit(1), F.least(last, own + j - F.floor(width / 2).cast("int") + 1)).cast("int")))
 
 
-def mean_filter(values: np.ndarray, size: int, flavour: str = "shrink") -> np.ndarray:
-    out = values.copy()
-    for s in stretches(values):
-        w = _window(size, s.stop - s.start, flavour, odd=False)
-        if w >= 2:
-            out[s] = _rolled(values[s], w, np.mean)
-    return out
+def median_filter(df: DataFrame, keys: Keys, columns: list[str], size: int, flavour: str = "shrink", *, order: str = "frame_index") -> DataFrame:
+    if size <= 1:
+        return df
+
+    def of(near: Column, own: Column, i: Column, n: Column) -> Column:
+        width = _window(size, n, flavour, odd=True)
+        return F.when(width >= 3, F.element_at(F.array_sort(_held(near, own, width)), (F.floor(width / 2) + 1).cast("int")))
+
+    return _filtered(df, keys, columns, _reach(size, flavour), of, order)
+
+
+def mean_filter(df: DataFrame, keys: Keys, columns: list[str], size: int, flavour: str = "shrink", *, order: str = "frame_index") -> DataFrame:
+    if size <= 1:
+        return df
+
+    def of(near: Column, own: Column, i: Column, n: Column) -> Column:
+        width = _window(size, n, flavour, odd=False)
+        return F.when(width >= 2, F.aggregate(_held(near, own, width), F.lit(0.0), lambda a, v: a + v) / width)
+
+    return _filtered(df, keys, columns, _reach(size, flavour), of, order)
 
 
-def savitzky_golay(values: np.ndarray, size: int, order: int) -> np.ndarray:
-    """Least-squares polynomial at each window's middle; at the ends the first and last window's polynomial."""
-    out = values.copy()
-    for s in stretches(values):
-        length = s.stop - s.start
-        w = min(size, length - (1 - length % 2))
-        if w <= order or w < 3:
-            continue
-        half = w // 2
-        basis = np.vander(np.arange(-half, half + 1, dtype=float), order + 1, increasing=True)
-        fit = basis @ np.linalg.pinv(basis)  # row i: weights of the fitted value at place i of a window
-        windows = sliding_window_view(values[s], w)
-        out[s] = np.concatenate((fit[:half] @ windows[0], windows @ fit[half], fit[half + 1 :] @ windows[-1]))
+def _weights(size: int, order: int) -> dict[tuple[int, int], list[float]]:
+    """For each odd window up to size and each place in it: weights of the values for the polynomial's value at that place."""
+    out = {}
+    for width in range(3, size + 1, 2):
+        if width > order:
+            basis = np.vander(np.arange(width) - width // 2.0, order + 1, increasing=True)
+            fit = basis @ np.linalg.pinv(basis)
+            out |= {(width, p): fit[p].tolist() for p in range(width)}
     return out
 
 
-def per_series(df: DataFrame, keys: list[str], columns: list[str], kernel: Callable[[np.ndarray], np.ndarray], *, order: str = "frame_index") -> DataFrame:
-    """Run a kernel over columns of each series; a series has to fit in a task, as one clip's frames do."""
-    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in columns else f.dataType) for f in df.schema.fields])
+def savitzky_golay(df: DataFrame, keys: Keys, columns: list[str], size: int, order: int, *, by: str = "frame_index") -> DataFrame:
+    """Least-squares polynomial at each window's middle; at the ends the first and last window's polynomial. Stretches too short for one stay."""
+    weights = _weights(size, order)
+    if not weights:
+        return df
+    table = F.create_map(*[x for (width, p), row in weights.items() for x in (F.lit(width * size + p), F.array(*[F.lit(v) for v in row]))])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        for c in columns:
-            pdf[c] = kernel(pdf[c].to_numpy(dtype=float, na_value=np.nan))
-            pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
-        return pdf
+    def of(near: Column, own: Column, i: Column, n: Column) -> Column:
+        fitted = F.least(F.lit(size), n)
+        width = (fitted - (1 - fitted % 2)).cast("int")
+        half = F.floor(width / 2)
+        place = i - F.greatest(F.lit(0), F.least(i - half, n - width))
+        row = F.try_element_at(table, (width * size + place).cast("int"))
+        products = F.zip_with(F.slice(near, (own - place + 1).cast("int"), width), row, lambda v, w: v * w)
+        return F.when(row.isNotNull(), F.aggregate(products, F.lit(0.0), lambda a, v: a + v))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return _filtered(df, keys, columns, size, of, by)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.confidence import pose_score, trusted
+from ..functions.geometry import distance
 from .gates import segment_lengths
-from .series import Keys, steps
+from .series import Keys, along
 
 
 def frame_completeness(df: DataFrame, keys: Keys, joints: list[str], threshold: float) -> DataFrame:
@@ -40,26 +41,32 @@ def joint_stability(df: DataFrame, keys: Keys, threshold: Column | float, *, mul
     """Frames, valid frames and ratio, low-score frames, median score, mean and p95 step, jumps beyond the larger of floor and multiplier times the median step."""
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & trusted(pose_score(), threshold)
     df = df.withColumns({"score": pose_score(), "ok": ok})
-    totals = df.groupBy(*keys).agg(
+    whole, here = Window.partitionBy(*keys), F.when(F.col("ok"), F.struct("x", "y"))
+    before = F.last(here, ignorenulls=True).over(along(keys).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_before", before)
+    step = F.when(F.col("ok"), distance([F.col("_before.x"), F.col("_before.y")], [F.col("x"), F.col("y")]))
+    df = df.withColumn("step", step)
+    median = F.median(F.when(F.col("step") > 0, F.col("step"))).over(whole)
+    df = df.withColumns({"_n": F.count("step").over(whole), "_median": median})
+    limit = F.when(F.col("_n") >= 3, F.greatest(F.coalesce("_median", F.lit(0.0)) * multiplier, F.lit(floor)))
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("frames_total"), F.count_if("ok").alias("valid_frames"), F.avg(F.col("ok").cast("double")).alias("valid_ratio"),
-        F.count_if(F.coalesce(F.col("score") < threshold, F.lit(False))).alias("low_visibility_frames"), F.median("score").alias("median_score"),
+        F.count_if(F.coalesce(F.col("score") < threshold, F.lit(False))).alias("low_visibility_frames"), F.median("score").alias("median_score"), F.avg("step").alias("mean_step"),
+        F.percentile("step", F.lit(0.95)).alias("p95_step"), F.count_if(F.coalesce(F.col("step") > limit, F.lit(False))).alias("jump_outlier_frames"),
     )
-    found = steps(df.filter("ok"), keys, ["x", "y"]).filter("step is not null")
-    limits = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.median(F.when(F.col("step") > 0, F.col("step"))).alias("_m"), F.avg("step").alias("mean_step"), F.percentile("step", F.lit(0.95)).alias("p95_step"))
-    limit = F.when(F.col("_n") >= 3, F.greatest(F.coalesce("_m", F.lit(0.0)) * multiplier, F.lit(floor)))
-    jumps = found.join(limits.select(*keys, limit.alias("_limit")), keys).groupBy(*keys).agg(F.count_if(F.coalesce(F.col("step") > F.col("_limit"), F.lit(False))).alias("jump_outlier_frames"))
-    out = totals.join(limits.drop("_n", "_m"), keys, "left").join(jumps, keys, "left")
-    return out.withColumn("jump_outlier_frames", F.coalesce("jump_outlier_frames", F.lit(0)))
 
 
 def limb_stability(points: DataFrame, keys: Keys, axes: list[str], tolerance: float) -> DataFrame:
     """Samples, median, population deviation, coefficient of variation and outliers of every limb segment."""
-    lengths = segment_lengths(points, [*keys, "frame_index"], axes)
     seg = [*keys, "proximal", "distal"]
-    stats = lengths.groupBy(*seg).agg(F.count(F.lit(1)).alias("samples"), F.median("length").alias("median_length"), F.stddev_pop("length").alias("stdev_length"), F.avg("length").alias("_mean"))
-    off = F.abs(F.col("length") - F.col("median_length")) / F.when(F.col("median_length") > 0, F.col("median_length")) > tolerance
-    outliers = lengths.join(stats.select(*seg, "median_length"), seg).groupBy(*seg).agg(F.count_if(F.coalesce(off, F.lit(False))).alias("outlier_samples"))
-    return stats.withColumn("cv_length", F.col("stdev_length") / F.when(F.col("_mean") > 0, F.col("_mean"))).drop("_mean").join(outliers, seg)
+    lengths = segment_lengths(points, [*keys, "frame_index"], axes)
+    lengths = lengths.withColumn("_median", F.median("length").over(Window.partitionBy(*seg)))
+    off = F.abs(F.col("length") - F.col("_median")) / F.when(F.col("_median") > 0, F.col("_median")) > tolerance
+    mean = F.avg("length")
+    return lengths.groupBy(*seg).agg(
+        F.count(F.lit(1)).alias("samples"), F.first("_median").alias("median_length"), F.stddev_pop("length").alias("stdev_length"),
+        (F.stddev_pop("length") / F.when(mean > 0, mean)).alias("cv_length"), F.count_if(F.coalesce(off, F.lit(False))).alias("outlier_samples"),
+    )
 
 
 def numeric_profile(df: DataFrame, keys: Keys, value: str) -> DataFrame:

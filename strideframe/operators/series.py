@@ -67,10 +67,10 @@ def moving_average(df: DataFrame, keys: Keys, value: str, radius: int, *, order:
     return df.withColumn(name, F.avg(value).over(along(keys, order).rowsBetween(-radius, radius)))
 
 
-def unwrapped(df: DataFrame, keys: Keys, angle: str, *, order: str = "frame_index", name: str = "unwrapped") -> DataFrame:
-    """Angles in degrees made continuous: the first one plus the sum of the shortest turns."""
+def unwrapped(df: DataFrame, keys: Keys, angle: str, *, period: float = 360.0, order: str = "frame_index", name: str = "unwrapped") -> DataFrame:
+    """Angles in degrees made continuous: the first one plus the sum of the shortest turns; a period of 180 for the axis of a stick without a front."""
     w = along(keys, order)
-    turn = F.coalesce(delta_degrees(F.lag(angle).over(w), F.col(angle)), F.lit(0.0))
+    turn = F.coalesce(F.pmod(F.col(angle) - F.lag(angle).over(w) + period / 2, F.lit(period)) - period / 2, F.lit(0.0))
     df = df.withColumn("_turn", turn)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.first(angle).over(upto) + F.sum("_turn").over(upto)).drop("_turn")

@@ -2,38 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.confidence import by_joint, not_distrusted, pose_score
+from ..schemas import FOOT_SEGMENTS, LIMB_SEGMENTS, MARKER_JOINTS
 from . import folds, gates, islands, kernels
-from .series import Keys
-
-
-def smooth_pose2d(df: DataFrame, keys: Keys, *, threshold: float = 0.5, thresholds: dict[str, float] | None = None, max_gap: int = 12, gaps: dict[str, float] | None = None, window: int = 15, order: int = 2, median: int = 5, refine: int = 9, jump: float = 4.0, limb_tolerance: float = 0.28) -> DataFrame:
-    """2-D points: distrusted points and wrong-length limbs out, isolated jumps out, short gaps filled, then median, polynomial and mean filters, gaps and edges filled again."""
+from .series import Keys, along
+
+
+@dataclass(frozen=True)
+class Pose2dRule:
+    """Settings of smooth_pose2d; tables go by joint, joint group or "default"."""
+
+    threshold: float = 0.5
+    thresholds: Mapping[str, float] | None = None
+    max_gap: int = 3
+    gaps: Mapping[str, float] | None = None
+    jump: float = 6.0
+    jumps: Mapping[str, float] | None = None
+    window: int = 15
+    order: int = 2
+    median: int = 5
+    refine: int = 9
+    torso_gate: bool = True
+    torso_jump: float = 8.0
+    least_torso_jump: float = 0.08
+    least_torso_frames: int = 1
+    limb_tolerance: float = 0.28
+    foot_tolerance: float = 1.20
+
+
+AXES = ["x", "y"]
+
+
+def gate_pose2d(df: DataFrame, keys: Keys, rule: Pose2dRule) -> DataFrame:
+    """Points out of frames whose torso jumps or is seen too briefly, and of joints whose limb or foot is off its usual length. Rows stay."""
+    if rule.torso_gate:
+        centers = folds.torso_continuity(gates.torso_centers(df, keys, rule.threshold), keys, rule.torso_jump, rule.least_torso_jump)
+        df = gates.without_frames(df, keys, centers.filter("rejected"), AXES)
+    if rule.least_torso_frames > 1:
+        df = gates.without_frames(df, keys, short_torso_frames(df, keys, rule.threshold, rule.least_torso_frames), AXES)
+    ok = not_distrusted(pose_score(), by_joint(rule.thresholds, rule.threshold))
+    for segments, tolerance in ((LIMB_SEGMENTS, rule.limb_tolerance), (FOOT_SEGMENTS, rule.foot_tolerance)):
+        df = gates.limb_length_gate(df, keys, AXES, tolerance, usable=ok, segments=segments)
+    return df
+
+
+def short_torso_frames(df: DataFrame, keys: Keys, threshold: float, least: int) -> DataFrame:
+    """Frames of runs of fewer than `least` consecutive frames with a torso; none where the whole series has fewer."""
+    seen = gates.torso_centers(df, keys, threshold).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull())
+    runs = islands.consecutive_runs(seen, keys)
+    runs = runs.withColumns({"_run": F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")), "_all": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    return runs.filter((F.col("_run") < least) & (F.col("_all") >= least)).select(*keys, "frame_index")
+
+
+def smooth_pose2d(df: DataFrame, keys: Keys, rule: Pose2dRule = Pose2dRule()) -> DataFrame:
+    """2-D points: gates, distrusted points and isolated jumps out, short gaps filled, then median, polynomial and mean filters, gaps and edges filled again."""
     joint = [*keys, "joint_name"]
-    ok = not_distrusted(pose_score(), by_joint(thresholds, threshold))
-    df = df.withColumns({a: F.when(ok, F.col(a)) for a in ("x", "y")})
-    df = gates.limb_length_gate(df, keys, ["x", "y"], limb_tolerance)
-    df = gates.isolated_jumps(df, joint, jump)
-    df = df.withColumns({a: F.when(~F.col("jump"), F.col(a)) for a in ("x", "y")}).drop("jump")
-    gap = by_joint(gaps, max_gap).cast("int")
-    df = islands.fill_short_gaps(df, joint, ["x", "y"], gap)
-    df = kernels.per_series(df, joint, ["x", "y"], lambda v: kernels.mean_filter(kernels.savitzky_golay(kernels.median_filter(v, median), window, order), refine))
-    return islands.fill_short_gaps(df, joint, ["x", "y"], gap, edges=True)
-
-
-def smooth_pose3d(df: DataFrame, keys: Keys, *, max_gap: int = 8, window: int = 15, order: int = 2, median: int = 5, refine: int = 5, jump: float = 4.0) -> DataFrame:
-    """3-D points: jumps against the last kept point out, short gaps filled, then the "skip" filters; a point with a missing axis is missing and loses its quality."""
+    df = gate_pose2d(df, keys, rule)
+    ok = not_distrusted(pose_score(), by_joint(rule.thresholds, rule.threshold))
+    df = df.withColumns({a: F.when(ok, F.col(a)) for a in AXES})
+    df = gates.isolated_jumps(df, joint, by_joint(rule.jumps, rule.jump))
+    df = df.withColumns({a: F.when(~F.col("jump"), F.col(a)) for a in AXES}).drop("jump")
+    gap = by_joint(rule.gaps, rule.max_gap).cast("int")
+    df = islands.fill_short_gaps(df, joint, AXES, gap)
+    df = kernels.median_filter(df, joint, AXES, rule.median)
+    df = kernels.mean_filter(kernels.savitzky_golay(df, joint, AXES, rule.window, rule.order), joint, AXES, rule.refine)
+    return islands.fill_short_gaps(df, joint, AXES, gap, edges=True)
+
+
+def smooth_pose3d(df: DataFrame, keys: Keys, *, max_gap: int = 3, window: int = 15, order: int = 2, median: int = 5, refine: int = 9, jump: float = 3.0, threshold: float = 0.5, limb_tolerance: float = 0.28, marker_joints: tuple[str, ...] = MARKER_JOINTS) -> DataFrame:
+    """3-D points: limbs of odd length and jumps against the last kept point out, short gaps filled, then the "skip" filters; a point with a missing axis loses its quality.
+
+    Sequences of a reconstructed skeleton (at least four of marker_joints) have no detector to doubt: nothing is taken out of them.
+    """
     joint, axes = [*keys, "joint_name"], ["x_3d", "y_3d", "z_3d"]
+    df = has_marker_skeleton(df, keys, list(marker_joints)).withColumns({f"_raw_{a}": F.col(a) for a in axes})
+    usable = ~F.col("marker_skeleton") & not_distrusted(F.col("input_quality_score"), threshold)
+    df = gates.limb_length_gate(df, keys, axes, limb_tolerance, usable=usable)
     df = folds.jumps_3d(df, joint, axes, jump)
-    df = df.withColumns({a: F.when(~F.col("jump"), F.col(a)) for a in axes}).drop("jump")
-    df = islands.fill_short_gaps(df, joint, axes, max_gap)
-    df = kernels.per_series(df, joint, axes, lambda v: kernels.mean_filter(kernels.savitzky_golay(kernels.median_filter(v, median, "skip"), window, order), refine, "skip"))
-    whole = F.col(axes[0]).isNotNull() & F.col(axes[1]).isNotNull() & F.col(axes[2]).isNotNull()
+    whole = F.lit(True)
+    for a in axes:
+        whole = whole & F.col(a).isNotNull()
+    df = df.withColumns({a: F.when(F.col("marker_skeleton"), F.col(f"_raw_{a}")).when(whole & ~F.col("jump"), F.col(a)) for a in axes})
+    df = islands.fill_short_gaps(df.drop("jump", "marker_skeleton", *[f"_raw_{a}" for a in axes]), joint, axes, max_gap)
+    df = kernels.median_filter(df, joint, axes, median, "skip")
+    df = kernels.mean_filter(kernels.savitzky_golay(df, joint, axes, window, order), joint, axes, refine, "skip")
     return df.withColumns({c: F.when(whole, F.col(c)) for c in [*axes, "input_quality_score"]})
 
 
@@ -101,3 +161,81 @@ def protected_frames(centers: DataFrame, keys: Keys, *, margin: int, weight: flo
     step = F.explode(F.sequence(F.lit(-margin), F.lit(margin)))
     out = centers.select(*keys, "frame_index", step.alias("_d"))
     return out.select(*keys, (F.col("frame_index") + F.col("_d")).alias("frame_index"), (weight * (1 - F.abs("_d") / (margin + 1))).alias("weight")).groupBy(*keys, "frame_index").agg(F.max("weight").alias("weight"))
+
+
+# ---- a stick's swing
+
+
+def stick_angle() -> Column:
+    return F.degrees(F.atan2(F.col("y") - F.col("y2"), F.col("x") - F.col("x2")))
+
+
+def axis_turn(before: Column, after: Column) -> Column:
+    """Signed turn of an undirected axis, in [-90, 90)."""
+    return F.pmod(after - before + 90.0, F.lit(180.0)) - 90.0
+
+
+def smooth_coordinates(df: DataFrame, keys: Keys, columns: list[str], window: int, *, order: str = "frame_index") -> DataFrame:
+    """Means over runs of consecutive frames, each row weighing its confidence (0.5 where unknown, at least 0.05) over one more than its distance in rows; missing values are left out."""
+    df = islands.consecutive_runs(df, keys, order=order)
+    w, reach = along([*keys, "run"], order), range(-(window // 2), window // 2 + 1)
+    near = lambda c, k: c if k == 0 else F.lag(c, -k).over(w)
+    trust = F.greatest(F.lit(0.05), F.coalesce("confidence", F.lit(0.5)))
+    out = {}
+    for c in columns:
+        total, weight = F.lit(0.0), F.lit(0.0)
+        for k in reach:
+            share = F.when(near(F.col(c), k).isNotNull(), near(trust, k) / (1 + abs(k)))
+            total, weight = total + F.coalesce(near(F.col(c), k) * share, F.lit(0.0)), weight + F.coalesce(share, F.lit(0.0))
+        out[c] = total / F.when(weight > 0, weight)
+    return df.withColumns(out).drop("run")
+
+
+def fast_steps(sticks: DataFrame, keys: Keys, least: float, *, order: str = "frame_index") -> DataFrame:
+    """Frames on either side of a turn of at least so many degrees between consecutive frames."""
+    w = along(keys, order)
+    turned = F.abs(axis_turn(F.lag(stick_angle()).over(w), stick_angle()))
+    fast = F.coalesce((turned >= least) & (F.col(order) - F.lag(order).over(w) <= 1), F.lit(False))
+    df = sticks.withColumn("_fast", fast)
+    return df.withColumn("_next", F.coalesce(F.lead("_fast").over(w), F.lit(False))).filter("_fast or _next").drop("_fast", "_next")
+
+
+def swing_frames(sticks: DataFrame, balls: DataFrame, keys: Keys, *, margin: int, fast: float, order: str = "frame_index") -> DataFrame:
+    """Frames of sticks in the swing: around the span of the ball's frames, else around the largest cluster of fast frames (the first of equals); none without either."""
+    span = balls.groupBy(*keys).agg((F.min(order) - margin).alias("_a"), (F.max(order) + margin).alias("_b"))
+    clusters = islands.consecutive_runs(fast_steps(sticks, keys, fast, order=order), keys, max_gap=margin, order=order)
+    sizes = clusters.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_from"), F.max(order).alias("_to"))
+    best = sizes.groupBy(*keys).agg(F.max_by(F.struct("_from", "_to"), F.struct("_n", -F.col("run"))).alias("_c"))
+    df = sticks.select(*keys, order).join(span, keys, "left").join(best, keys, "left")
+    first, last = F.coalesce("_a", F.col("_c._from") - margin), F.coalesce("_b", F.col("_c._to") + margin)
+    return df.filter(F.col(order).between(first, last)).select(*keys, order)
+
+
+def original_weights(sticks: DataFrame, balls: DataFrame, swing: DataFrame, keys: Keys, *, contact: tuple[int, float], fast: float, quick: tuple[int, float]) -> DataFrame:
+    """How much of the original each frame keeps: around ball frames by contact (margin, weight), and, in series without a swing, around fast frames by quick."""
+    near_ball = protected_frames(balls.select(*keys, "frame_index").distinct(), keys, margin=contact[0], weight=contact[1])
+    still = fast_steps(sticks, keys, fast).select(*keys, "frame_index").join(swing.select(*keys).distinct(), keys, "left_anti")
+    near_fast = protected_frames(still, keys, margin=quick[0], weight=quick[1])
+    return near_ball.unionByName(near_fast).groupBy(*keys, "frame_index").agg(F.max("weight").alias("weight"))
+
+
+def tune_swing(smoothed: DataFrame, original: DataFrame, swing: DataFrame, keys: Keys, *, step: float, lengths: tuple[float, float]) -> DataFrame:
+    """In the swing the original's angle, at most `step` degrees (57.3 at least) a frame, about the smoothed centre, with a length within a share of the median original one."""
+    o = original.select(*keys, "frame_index", *[F.col(c).alias(f"_o_{c}") for c in ("x", "y", "x2", "y2")])
+    df = smoothed.join(o, [*keys, "frame_index"]).join(swing, [*keys, "frame_index"], "left_semi").dropna(subset=["x", "y", "x2", "y2", "_o_x", "_o_y", "_o_x2", "_o_y2"])
+    most = max(1.0, float(np.radians(step)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_index", kind="stable")
+        angles = np.unwrap(np.arctan2(pdf["_o_y"] - pdf["_o_y2"], pdf["_o_x"] - pdf["_o_x2"]), period=np.pi)
+        for i in range(1, len(angles)):
+            angles[i] = np.clip(angles[i], angles[i - 1] - most, angles[i - 1] + most)
+        usual = np.hypot(pdf["_o_x"] - pdf["_o_x2"], pdf["_o_y"] - pdf["_o_y2"])
+        length = np.clip(np.hypot(pdf["x"] - pdf["x2"], pdf["y"] - pdf["y2"]), np.median(usual) * lengths[0], np.median(usual) * lengths[1])
+        half = np.where(length > 0, length, usual) / 2
+        cx, cy = (pdf["x"] + pdf["x2"]) / 2, (pdf["y"] + pdf["y2"]) / 2
+        return pdf.assign(x=cx + np.cos(angles) * half, y=cy + np.sin(angles) * half, x2=cx - np.cos(angles) * half, y2=cy - np.sin(angles) * half)
+
+    tuned = df.groupBy(*keys).applyInPandas(run, df.schema).select(*keys, "frame_index", *[F.col(c).alias(f"_t_{c}") for c in ("x", "y", "x2", "y2")])
+    out = smoothed.join(tuned, [*keys, "frame_index"], "left")
+    return out.withColumns({c: F.coalesce(f"_t_{c}", c) for c in ("x", "y", "x2", "y2")}).drop(*[f"_t_{c}" for c in ("x", "y", "x2", "y2")])

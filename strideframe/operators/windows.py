@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import around_peak, position
-from .metrics import robust_scale
+from .islands import mark_around_peak
 from .series import Keys, moving_average
 
 
@@ -33,12 +32,11 @@ SIGNALS = ("hand_speed_proxy", "trunk_rotation_velocity_deg_s", "pelvis_rotation
 def motion_score(df: DataFrame, keys: Keys, rule: WindowRule = BATTING, signals: tuple[str, ...] = SIGNALS, radius: int = 3) -> DataFrame:
     """score: each signal's size over the larger of 1 and the 95th percentile of its positive values, at most 2, weighted, then averaged over seven rows. Missing counts as 0."""
     size = {s: F.abs(F.coalesce(s, F.lit(0.0))) for s in signals}
-    scales = df.groupBy(*keys).agg(*[robust_scale(v).alias(f"_s_{s}") for s, v in size.items()])
-    df = df.join(scales, keys)
-    raw = F.lit(0.0)
-    for (s, v), weight in zip(size.items(), rule.weights, strict=True):
-        raw = raw + weight * F.least(v / F.col(f"_s_{s}"), F.lit(2.0))
-    return moving_average(df.withColumn("_raw", raw), keys, "_raw", radius, name="score").drop("_raw", *[f"_s_{s}" for s in signals])
+    whole, raw = Window.partitionBy(*keys), F.lit(0.0)
+    for v, weight in zip(size.values(), rule.weights, strict=True):
+        p95 = F.percentile(F.when(v > 0, v), F.lit(0.95)).over(whole)
+        raw = raw + weight * F.least(v / F.greatest(F.coalesce(p95, F.lit(1.0)), F.lit(1.0)), F.lit(2.0))
+    return moving_average(df.withColumn("_raw", raw), keys, "_raw", radius, name="score").drop("_raw")
 
 
 def _constrained(core: DataFrame, pad: tuple[int, int], frames: tuple[int, int], start: str, end: str) -> DataFrame:
@@ -55,36 +53,38 @@ def _constrained(core: DataFrame, pad: tuple[int, int], frames: tuple[int, int],
     return core.withColumns({"start_index": F.when(long_, first).otherwise(F.col("_a")), "end_index": F.when(long_, last).otherwise(F.col("_b"))}).drop("_a", "_b")
 
 
+def _core(scored: DataFrame, keys: Keys) -> DataFrame:
+    """All rows, each with the stretch around its series' peak; every step below is a window over the same keys."""
+    return mark_around_peak(scored, keys, "score", F.greatest(F.col("peak") * 0.42, F.lit(0.28))).filter("peak is not null")
+
+
 def action_window(scored: DataFrame, keys: Keys, rule: WindowRule = BATTING) -> DataFrame:
     """One row for each series: the stretch around the peak with scores of at least 42 % of it (and .28), padded to the rule's frames; the whole series where nothing moves."""
-    core = around_peak(scored, keys, "score", F.greatest(F.col("peak") * 0.42, F.lit(0.28)))
-    core = _constrained(core, rule.pad, rule.frames, "start_pos", "end_pos")
-    return _placed(scored, keys, core)
+    return _placed(_constrained(_core(scored, keys), rule.pad, rule.frames, "start_pos", "end_pos"), keys)
 
 
 def video_window(scored: DataFrame, keys: Keys, rule: WindowRule = BATTING) -> DataFrame:
     """A wider window: from the last quiet frame of the search range on either side of the core."""
-    core = around_peak(scored, keys, "score", F.greatest(F.col("peak") * 0.42, F.lit(0.28)))
-    rows = position(scored, keys).select(*keys, "pos", "score").join(core.select(*keys, "start_pos", "end_pos", F.col("n").alias("_n")), keys)
-    left = (F.col("pos") >= F.greatest(F.lit(0), F.col("start_pos") - rule.search[0])) & (F.col("pos") <= F.col("start_pos"))
-    right = (F.col("pos") >= F.col("end_pos")) & (F.col("pos") <= F.least(F.col("_n") - 1, F.col("end_pos") + rule.search[1]))
-    whole = Window.partitionBy(*keys)
-    lows = {}
+    rows, pos, whole = _core(scored, keys), F.col("pos"), Window.partitionBy(*keys)
+    left = (pos >= F.greatest(F.lit(0), F.col("start_pos") - rule.search[0])) & (pos <= F.col("start_pos"))
+    right = (pos >= F.col("end_pos")) & (pos <= F.least(F.col("n") - 1, F.col("end_pos") + rule.search[1]))
     for name, on in (("left", left), ("right", right)):
-        rows = rows.withColumn(f"_{name}", F.min(F.when(on, F.col("score"))).over(whole))
-        low = F.col(f"_{name}")
-        lows[name] = F.max(F.when(on & (F.col("score") <= low + F.greatest(F.lit(0.02), low * 0.1)), F.col("pos"))).alias(f"{name}_valley")
-    valleys = rows.groupBy(*keys).agg(*lows.values())
-    core = _constrained(core.join(valleys, keys), rule.wide_pad, rule.wide_frames, "left_valley", "right_valley")
-    return _placed(scored, keys, core)
+        rows = rows.withColumn("_low", F.min(F.when(on, F.col("score"))).over(whole))
+        quiet = F.col("score") <= F.col("_low") + F.greatest(F.lit(0.02), F.col("_low") * 0.1)
+        rows = rows.withColumn(f"{name}_valley", F.max(F.when(on & quiet, pos)).over(whole))
+    return _placed(_constrained(rows, rule.wide_pad, rule.wide_frames, "left_valley", "right_valley"), keys)
 
 
-def _placed(scored: DataFrame, keys: Keys, core: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, keys: Keys) -> DataFrame:
+    """Frames at the window's indices; the whole series where nothing moves."""
     moving = F.col("peak") > 0
-    core = core.select(*keys, F.when(moving, F.col("start_index")).otherwise(0).alias("start_index"), F.when(moving, F.col("end_index")).otherwise(F.col("n") - 1).alias("end_index"), F.when(moving, F.col("peak_pos")).otherwise(0).alias("peak_index"), F.greatest("peak", F.lit(0.0)).alias("peak_score"))
-    rows = position(scored, keys).select(*keys, "pos", "frame_index").join(core, keys)
+    rows = rows.withColumns({
+        "start_index": F.when(moving, F.col("start_index")).otherwise(0), "end_index": F.when(moving, F.col("end_index")).otherwise(F.col("n") - 1),
+        "peak_index": F.when(moving, F.col("peak_pos")).otherwise(0), "peak_score": F.greatest("peak", F.lit(0.0)),
+    })
     at = lambda c: F.max(F.when(F.col("pos") == F.col(c), F.col("frame_index")))
-    out = rows.groupBy(*keys, "start_index", "end_index", "peak_index", "peak_score").agg(at("start_index").alias("start_frame"), at("end_index").alias("end_frame"), at("peak_index").alias("peak_frame"))
+    indices = ("start_index", "end_index", "peak_index", "peak_score")
+    out = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in indices], *[at(f"{e}_index").alias(f"{e}_frame") for e in ("start", "end", "peak")])
     return out.withColumn("frame_count", F.col("end_index") - F.col("start_index") + 1)
 
 

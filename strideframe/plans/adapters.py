@@ -5,6 +5,7 @@ traj_frame    the same by day: the last event of a user, day and joint, so that
 markers       embeddings: a label is a trial, three components a marker
 entity_metrics  customers' mean order price by priority: a long metric table
 scalars       line items of a part in order of shipping: a scalar series
+skeleton      markers as the joints of a body: a struct for each joint, one row a frame
 """
 
 from __future__ import annotations
@@ -58,6 +59,18 @@ def marker_frames(spark: SparkSession, sf_dir: str, names: list[int]) -> DataFra
     return m.groupBy("trial_id", "frame_index", "timestamp_sec").agg(*[F.max(F.when(F.col("marker") == k, F.struct("x", "y", "z"))).alias(f"m{k}") for k in names])
 
 
+#: The joint that each marker stands for.
+SKELETON = [
+    "head", "neck", "hip", *[f"{s}_{j}" for j in ("shoulder", "elbow", "wrist", "hand", "hip", "knee", "ankle", "foot") for s in ("left", "right")], "bat1", "bat5",
+]
+
+
+def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = markers(spark, sf_dir)
+    pick = [F.max(F.when(F.col("marker") == k, F.struct("x", "y", "z"))).alias(joint) for k, joint in enumerate(SKELETON)]
+    return m.groupBy("trial_id", "frame_index", "timestamp_sec").agg(*pick)
+
+
 def entity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
     value = F.round(F.avg("o_totalprice"), 4).alias("value")
@@ -96,3 +109,9 @@ SCALARS = """scalars AS (
 def marker_frames_sql(names: list[int]) -> str:
     cols = ", ".join(f"max(CASE WHEN marker = {k} THEN {a} END) AS m{k}{a}" for k in names for a in "xyz")
     return f"{MARKERS}, frames AS (SELECT trial_id, frame_index, timestamp_sec, {cols} FROM markers GROUP BY ALL)"
+
+
+def skeleton_sql() -> str:
+    """A view frames with columns <joint>_x, <joint>_y, <joint>_z."""
+    cols = ", ".join(f"max(CASE WHEN marker = {k} THEN {a} END) AS {joint}_{a}" for k, joint in enumerate(SKELETON) for a in "xyz")
+    return f"{MARKERS}, frames AS (SELECT trial_id, frame_index, timestamp_sec, {cols} FROM markers GROUP BY ALL)"

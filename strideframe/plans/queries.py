@@ -246,17 +246,18 @@ def torso_centers(spark, sf_dir):
 
 @query()
 def torso_continuity(spark, sf_dir):
-    return folds.torso_continuity(gates.torso_centers(A.traj_frame(spark, sf_dir), K, TRUST), K, 1.5, 0.06)
+    out = folds.torso_continuity(gates.torso_centers(A.traj_frame(spark, sf_dir), K, TRUST), K, 1.5, 0.06)
+    return out.withColumns({"cx": F.round("cx", 9), "cy": F.round("cy", 9)})
 
 
 @query(f"""WITH {GAPPY}, o AS (SELECT clip_id, condition_id, frame_index, joint_name, x, y, confidence FROM gappy WHERE x IS NOT NULL),
 p AS (SELECT *, lead(frame_index) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(confidence) OVER w AS nc FROM o WINDOW w AS (PARTITION BY clip_id, joint_name ORDER BY frame_index)),
 e AS (SELECT *, unnest(range(1, nf - frame_index)) AS step FROM p WHERE nf - frame_index - 1 BETWEEN 1 AND 4)
 SELECT e.clip_id, e.condition_id, e.joint_name, e.frame_index + step AS frame_index, round(e.x + (nx - e.x) * (step / (nf - e.frame_index)), 9) AS x, round(e.y + (ny - e.y) * (step / (nf - e.frame_index)), 9) AS y, round(least(e.confidence, nc) * 0.75, 9) AS confidence, round(m.timestamp_sec, 6) AS timestamp_sec
-FROM e JOIN (SELECT DISTINCT clip_id, frame_index, timestamp_sec FROM traj WHERE frame_index % 5 <> 0) m ON m.clip_id = e.clip_id AND m.frame_index = e.frame_index + step""")
+FROM e JOIN (SELECT DISTINCT clip_id, frame_index, timestamp_sec FROM traj) m ON m.clip_id = e.clip_id AND m.frame_index = e.frame_index + step""")
 def object_gap_rows(spark, sf_dir):
     found = gappy(spark, sf_dir).filter("x is not null").select(*KJ, "frame_index", "x", "y", "confidence")
-    frames = A.traj(spark, sf_dir).filter(F.col("frame_index") % 5 != 0).select("clip_id", "frame_index", "timestamp_sec")
+    frames = A.traj(spark, sf_dir).select("clip_id", "frame_index", "timestamp_sec")
     out = islands.new_rows_in_gaps(found, KJ, frames, ["x", "y"], 4)
     return out.select(*KJ, "frame_index", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), F.round("confidence", 9).alias("confidence"), r6("timestamp_sec").alias("timestamp_sec"))
 
@@ -271,7 +272,8 @@ def long_tracks(spark, sf_dir):
 @query()
 def object_speed(spark, sf_dir):
     df = A.traj(spark, sf_dir).withColumns({"width": F.lit(1920), "height": F.lit(1080)})
-    return folds.object_speed(df, KJ, 8000.0).select("clip_id", "joint_name", "frame_index", "speed_px_s", "speed_norm_s")
+    out = folds.object_speed(df, KJ, 8000.0)
+    return out.select("clip_id", "joint_name", "frame_index", r6("speed_px_s").alias("speed_px_s"), F.round("speed_norm_s", 9).alias("speed_norm_s"))
 
 
 @query(f"""WITH {GAPPY}, n AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN frame_index END) OVER (PARTITION BY clip_id, joint_name ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_frame,
@@ -352,10 +354,13 @@ CORE_SQL = f"""{SCORED_SQL}, pk AS (SELECT clip_id, max(score) AS peak, arg_min(
 lr AS (SELECT s.clip_id, any_value(peak) AS peak, any_value(pp) AS pp, any_value(n) AS n, coalesce(max(CASE WHEN score < greatest(peak * 0.42, 0.28) AND pos < pp THEN pos END), -1) + 1 AS sp, coalesce(min(CASE WHEN score < greatest(peak * 0.42, 0.28) AND pos > pp THEN pos END), any_value(n)) - 1 AS ep FROM scored s JOIN pk USING (clip_id) GROUP BY s.clip_id)"""
 
 
-@query(f"""WITH {CORE_SQL}, p AS (SELECT *, greatest(0, sp - 8) AS a, least(n - 1, ep + 8) AS b FROM lr), q AS (SELECT *, greatest(0, 24 - (b - a + 1)) AS d FROM p),
+ACTION_SQL = f"""{CORE_SQL}, p AS (SELECT *, greatest(0, sp - 8) AS a, least(n - 1, ep + 8) AS b FROM lr), q AS (SELECT *, greatest(0, 24 - (b - a + 1)) AS d FROM p),
 q2 AS (SELECT *, greatest(0, a - d // 2) AS a2, least(n - 1, b + (d - d // 2)) AS b2 FROM q), z AS (SELECT *, greatest(0, pp - 27) AS f, least(n - 1, greatest(0, pp - 27) + 53) AS l FROM q2),
-o AS (SELECT clip_id, CASE WHEN b2 - a2 + 1 > 54 THEN (CASE WHEN l - f + 1 < 54 THEN greatest(0, l - 53) ELSE f END) ELSE a2 END AS start_index, CASE WHEN b2 - a2 + 1 > 54 THEN l ELSE b2 END AS end_index, pp AS peak_index FROM z)
-SELECT o.clip_id, start_index, end_index, peak_index, s.frame_index AS start_frame, e.frame_index AS end_frame, end_index - start_index + 1 AS frame_count FROM o JOIN scored s ON s.clip_id = o.clip_id AND s.pos = start_index JOIN scored e ON e.clip_id = o.clip_id AND e.pos = end_index""")
+o AS (SELECT clip_id, CASE WHEN b2 - a2 + 1 > 54 THEN (CASE WHEN l - f + 1 < 54 THEN greatest(0, l - 53) ELSE f END) ELSE a2 END AS start_index, CASE WHEN b2 - a2 + 1 > 54 THEN l ELSE b2 END AS end_index, pp AS peak_index FROM z),
+placed AS (SELECT o.clip_id, start_index, end_index, peak_index, s.frame_index AS start_frame, e.frame_index AS end_frame, end_index - start_index + 1 AS frame_count FROM o JOIN scored s ON s.clip_id = o.clip_id AND s.pos = start_index JOIN scored e ON e.clip_id = o.clip_id AND e.pos = end_index)"""
+
+
+@query(f"WITH {ACTION_SQL} SELECT * FROM placed")
 def action_window(spark, sf_dir):
     out = windows.action_window(_scored(spark, sf_dir), K)
     return out.select("clip_id", *[F.col(c).cast("long").alias(c) for c in ("start_index", "end_index", "peak_index", "start_frame", "end_frame", "frame_count")])
@@ -363,7 +368,8 @@ def action_window(spark, sf_dir):
 
 @query()
 def video_window(spark, sf_dir):
-    return windows.video_window(_scored(spark, sf_dir), K)
+    out = windows.video_window(_scored(spark, sf_dir), K).withColumn("peak_score", r6("peak_score"))
+    return out.select("clip_id", "peak_score", *[F.col(c).cast("long").alias(c) for c in out.columns if c.endswith(("index", "frame", "count"))])
 
 
 @query()
@@ -478,7 +484,7 @@ def jumps_3d(spark, sf_dir):
 SELECT series, frame_index, round((-3 * b2 + 12 * b1 + 17 * value + 12 * a1 - 3 * a2) / 35, 3) AS smooth FROM w WHERE b2 IS NOT NULL AND a2 IS NOT NULL""")
 def savitzky_golay_inner(spark, sf_dir):
     """Rows at least two from an end; the ends' polynomial is tested against closed forms."""
-    s = kernels.per_series(A.scalars(spark, sf_dir), ["series"], ["value"], lambda v: kernels.savitzky_golay(v, 5, 2))
+    s = kernels.savitzky_golay(A.scalars(spark, sf_dir), ["series"], ["value"], 5, 2)
     s = islands.position(s, ["series"]).filter((F.col("pos") >= 2) & (F.col("pos") < F.col("n") - 2))
     return s.select("series", "frame_index", F.round("value", 3).alias("smooth"))
 
@@ -486,21 +492,21 @@ def savitzky_golay_inner(spark, sf_dir):
 @query()
 def savitzky_golay(spark, sf_dir):
     """All rows, the ends and short series too; tests hold it against polynomials fitted window by window."""
-    s = kernels.per_series(A.scalars(spark, sf_dir), ["series"], ["value"], lambda v: kernels.savitzky_golay(v, 5, 2))
+    s = kernels.savitzky_golay(A.scalars(spark, sf_dir), ["series"], ["value"], 5, 2)
     return s.select("series", "frame_index", F.round("value", 3).alias("smooth"))
 
 
 @query(f"""WITH {A.SCALARS}, w AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, coalesce(lag(value) OVER w, value) AS b, coalesce(lead(value) OVER w, value) AS a FROM scalars WINDOW w AS (PARTITION BY series ORDER BY frame_index))
 SELECT series, frame_index, CASE WHEN n < 3 THEN value ELSE value + a + b - greatest(value, a, b) - least(value, a, b) END AS raw, round(CASE WHEN n < 3 THEN value ELSE value + a + b - greatest(value, a, b) - least(value, a, b) END, 2) AS median3 FROM w""".replace("CASE WHEN n < 3 THEN value ELSE value + a + b - greatest(value, a, b) - least(value, a, b) END AS raw, ", ""))
 def median_filter(spark, sf_dir):
-    s = kernels.per_series(A.scalars(spark, sf_dir), ["series"], ["value"], lambda v: kernels.median_filter(v, 3))
+    s = kernels.median_filter(A.scalars(spark, sf_dir), ["series"], ["value"], 3)
     return s.select("series", "frame_index", F.round("value", 2).alias("median3"))
 
 
 @query(f"""WITH {A.SCALARS}, w AS (SELECT *, count(*) OVER (PARTITION BY series) AS n, coalesce(lag(value) OVER w, value) AS b, coalesce(lead(value) OVER w, value) AS a FROM scalars WINDOW w AS (PARTITION BY series ORDER BY frame_index))
 SELECT series, frame_index, round(CASE WHEN n < 3 THEN value ELSE (b + value + a) / 3 END, 4) AS mean3 FROM w""")
 def mean_filter(spark, sf_dir):
-    s = kernels.per_series(A.scalars(spark, sf_dir), ["series"], ["value"], lambda v: kernels.mean_filter(v, 3, "skip"))
+    s = kernels.mean_filter(A.scalars(spark, sf_dir), ["series"], ["value"], 3, "skip")
     return s.select("series", "frame_index", F.round("value", 4).alias("mean3"))
 
 
@@ -627,12 +633,13 @@ def thinned_frames(spark, sf_dir):
 
 @query()
 def ready_event(spark, sf_dir):
-    return events.ready_block(A.markers(spark, sf_dir), ["trial_id", "marker"], "x", "z", size=3, most_speed=200.0, before=F.lit(30))
+    out = events.ready_block(A.markers(spark, sf_dir), ["trial_id", "marker"], "x", "z", size=3, most_speed=200.0, before=F.lit(30))
+    return out.withColumn("ready_score", r6("ready_score"))
 
 
 @query()
 def motion_phase(spark, sf_dir):
-    return events.phase_around(A.markers(spark, sf_dir), ["trial_id", "marker"], "x", share=0.25, middle=(0.35, 0.75))
+    return events.phase_around(A.markers(spark, sf_dir), ["trial_id", "marker"], "x", share=0.25, middle=(0.35, 0.75)).withColumn("peak", r6("peak"))
 
 
 @query(f"""WITH {A.MARKERS}, s AS (SELECT trial_id, frame_index, max(y) - min(y) AS span FROM markers GROUP BY ALL) SELECT trial_id, round(quantile_cont(span, 0.9), 6) AS height FROM s GROUP BY ALL""")
@@ -660,12 +667,17 @@ def body_scale(spark, sf_dir):
 
 @query()
 def stride_direction(spark, sf_dir):
-    return body.stride_direction(A.marker_frames(spark, sf_dir, [0, 1, 2]), ["trial_id"], "m0", "m1", "m2", ("x", "z"))
+    out = body.stride_direction(A.marker_frames(spark, sf_dir, [0, 1, 2]), ["trial_id"], "m0", "m1", "m2", ("x", "z"))
+    return out.withColumns({c: F.round(c, 9) for c in ("dir_x", "dir_z")})
+
+
+#: Loose gates: the adapter's points are not those of a body.
+POSE_RULE = smoothing.Pose2dRule(threshold=TRUST, max_gap=12, window=5, median=3, refine=3, jump=1.5, torso_jump=1.5, least_torso_jump=0.06, least_torso_frames=2, limb_tolerance=0.8)
 
 
 @query()
 def smoothed_pose2d(spark, sf_dir):
-    return smoothing.smooth_pose2d(A.traj_frame(spark, sf_dir), K, threshold=TRUST).select("clip_id", "frame_index", "joint_name", "x", "y")
+    return smoothing.smooth_pose2d(A.traj_frame(spark, sf_dir), K, POSE_RULE).select("clip_id", "frame_index", "joint_name", "x", "y")
 
 
 @query()
@@ -728,3 +740,8 @@ def planned_runs(spark, sf_dir):
 @query(f"""WITH {A.TRAJ}, n AS (SELECT DISTINCT clip_id, joint_name FROM traj), r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY CASE WHEN joint_name LIKE '%_wrist' THEN 0 WHEN joint_name LIKE '%_hip' THEN 1 ELSE 2 END, joint_name) AS i FROM n) SELECT clip_id, joint_name FROM r WHERE i = 1""")
 def preferred_source(spark, sf_dir):
     return reports.preferred(A.traj(spark, sf_dir).select("clip_id", "joint_name").distinct(), ["clip_id"], "joint_name", ["_wrist", "_hip"])
+
+
+from . import bundle_queries, catalog_queries, twins  # noqa: E402, F401
+
+ORACLES |= twins.TWINS

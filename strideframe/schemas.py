@@ -34,4 +34,6 @@ MID_LIMB = ("left_elbow", "right_elbow", "left_knee", "right_knee")
 SIDES = ("left", "right")
 LIMB_SEGMENTS = tuple((f"{s}_{a}", f"{s}_{b}", f"{s}_{b}") for a, b in (("shoulder", "elbow"), ("elbow", "wrist"), ("hip", "knee"), ("knee", "ankle")) for s in SIDES)
 FOOT_SEGMENTS = tuple((f"{s}_ankle", f"{s}_{b}", f"{s}_{b}") for s in SIDES for b in ("big_toe", "small_toe", "heel"))
+#: Joints that only a reconstructed skeleton has.
+MARKER_JOINTS = ("spine1", "spine2", "spine3", *[f"{s}_{j}" for j in ("collar", "hand", "foot") for s in SIDES])
 LIMB_CHAINS = tuple((f"{s}_{a}", f"{s}_{b}", f"{s}_{c}") for a, b, c in (("shoulder", "elbow", "wrist"), ("hip", "knee", "ankle")) for s in SIDES)

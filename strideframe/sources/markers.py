@@ -9,6 +9,7 @@ from pathlib import PurePosixPath
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import MARKERS
 
@@ -46,6 +47,12 @@ def _values(data: bytes, at: int, kind: int, dims: list[int]) -> list:
     return np.frombuffer(data, form, count, at).tolist() if form else []
 
 
+def clean_label(label: str) -> str:
+    """A label without its subject: what stands behind the first colon."""
+    subject, colon, name = label.partition(":")
+    return (name if colon else subject).strip()
+
+
 def decode_c3d(data: bytes, trial_id: str) -> pd.DataFrame:
     """Rows of MARKERS. A point is missing where its residual is negative or all its coordinates are 0."""
     if data[1] != 0x50:
@@ -63,10 +70,10 @@ def decode_c3d(data: bytes, trial_id: str) -> pd.DataFrame:
     values = np.frombuffer(data, kind, frames * per, (start - 1) * BLOCK).reshape(frames, per)[:, : 4 * points].reshape(frames, points, 4).astype(float)
     xyz, residual = values[..., :3] * (1 if scale < 0 else scale), values[..., 3]
     xyz = xyz * {"m": 1000.0, "cm": 10.0}.get(units.lower(), 1.0)
-    lost = (residual < 0) | (xyz == 0).all(axis=2)
+    lost = (residual < 0) | np.isclose(xyz, 0).all(axis=2)
     xyz[lost] = np.nan
     frame = np.repeat(np.arange(frames), points)
-    return _rows(trial_id, frame, frame / (rate or 1.0), [x.rpartition(":")[2].strip() for x in labels[:points]] * frames, xyz.reshape(-1, 3), residual.ravel(), ~lost.ravel())
+    return _rows(trial_id, frame, frame / (rate or 1.0), [clean_label(x) for x in labels[:points]] * frames, xyz.reshape(-1, 3), residual.ravel(), ~lost.ravel())
 
 
 def decode_marker_csv(data: bytes, trial_id: str) -> pd.DataFrame:
@@ -76,7 +83,7 @@ def decode_marker_csv(data: bytes, trial_id: str) -> pd.DataFrame:
     """
     lines = [x.split(",") for x in data.decode("utf-8-sig", "replace").splitlines()]
     rate = float(lines[1][0])
-    labels = [(k, x.strip().rpartition(":")[2].strip()) for k, x in enumerate(lines[2]) if x.strip()]
+    labels = [(k, clean_label(x.strip())) for k, x in enumerate(lines[2]) if x.strip()]
     out = []
     for line in lines[5:]:
         if not line or not line[0].strip():
@@ -114,3 +121,13 @@ def read_markers(spark: SparkSession, path: str, kind: str = "c3d") -> DataFrame
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInPandas(run, MARKERS)
+
+
+def named_joints(markers: DataFrame, names: dict[str, str], *, condition_id: str = "markers") -> DataFrame:
+    """Marker rows as POSE3D rows of the joints that a table of marker names knows; lost points have a quality of 0."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    df = markers.withColumn("joint_name", F.try_element_at(table, F.col("point"))).filter("joint_name is not null")
+    return df.select(
+        F.col("trial_id").alias("clip_id"), F.lit(condition_id).alias("condition_id"), "frame_index", "timestamp_sec", "joint_name", *[F.col(f"{a}_mm").alias(f"{a}_3d") for a in "xyz"],
+        F.lit("millimetres").alias("scale_mode"), F.lit("markers").alias("lift_backend"), F.col("valid").cast("double").alias("input_quality_score"),
+    )

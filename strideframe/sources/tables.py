@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,3 +78,43 @@ def write_table(df: DataFrame, path: str, keys: tuple[str, ...] = ("clip_id", "c
 def write_json(df: DataFrame, path: str) -> None:
     """A JSON object a row."""
     df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_untyped(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text, with the frame number and the time as numbers where they are there; empty cells are null."""
+    df = spark.read.option("header", True).option("nullValue", "").csv(path)
+    kinds = {"frame_index": "bigint", "timestamp_sec": "double"}
+    return df.withColumns({c: F.col(c).try_cast(kind) for c, kind in kinds.items() if c in df.columns})
+
+
+def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table, or one without rows where nothing lies at the path."""
+    try:
+        return read_csv(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def dense_points(points: DataFrame, keys: list[str], point: str) -> DataFrame:
+    """Rows of valid points (valid = 1) with frames numbered from 0 over those that have any; every point has a row in each, null where it was lost."""
+    kept = points.filter(F.col("valid").cast("int") == 1)
+    frames = kept.select(*keys, "frame_index").distinct().withColumn("dense_frame", F.row_number().over(Window.partitionBy(*keys).orderBy("frame_index")) - 1)
+    grid = frames.join(kept.select(*keys, point).distinct(), keys)
+    return grid.join(kept, [*keys, "frame_index", point], "left")
+
+
+def plot_sequence(points: DataFrame, keys: list[str]) -> DataFrame:
+    """3-D points with missing coordinates at 0, and the mean quality of each frame's points."""
+    w = Window.partitionBy(*keys, "frame_index")
+    return points.withColumns({**{f"{a}_3d": F.coalesce(f"{a}_3d", F.lit(0.0)) for a in "xyz"}, "frame_quality": F.avg("input_quality_score").over(w)})
+
+
+def timeline(frames: DataFrame | None, points: DataFrame, keys: list[str]) -> DataFrame:
+    """(frame_index, timestamp_sec) of each series: from the frame manifest, or from its 2-D points where the manifest has nothing of it."""
+    seen = points.groupBy(*keys, "frame_index").agg(F.min("timestamp_sec").alias("timestamp_sec"))
+    if frames is None:
+        return seen
+    known = frames.groupBy(*keys, "frame_index").agg(F.min("timestamp_sec").alias("timestamp_sec"))
+    return known.unionByName(seen.join(known.select(*keys).distinct(), keys, "left_anti"))

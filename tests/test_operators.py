@@ -171,17 +171,6 @@ def test_action_window_bounds(spark):
     assert wide["frame_count"] >= w["frame_count"] and wide["frame_count"] <= 90
 
 
-def test_kernels():
-    x = np.arange(9.0) ** 2
-    assert np.allclose(kernels.savitzky_golay(x, 5, 2), x)
-    gap = np.array([1.0, 9, 2, np.nan, 5, 6])
-    assert np.allclose(kernels.median_filter(gap, 3), [1, 2, 2, np.nan, 5, 6], equal_nan=True)
-    assert np.allclose(kernels.mean_filter(gap, 3, "skip"), [11 / 3, 4, 13 / 3, np.nan, 5, 6], equal_nan=True)
-    assert np.allclose(kernels.mean_filter(np.array([1.0, 3.0]), 4), [1.0, 2.0])
-    for f in (kernels.median_filter, kernels.mean_filter):
-        assert len(f(np.zeros(0), 5)) == 0 and np.isnan(f(np.full(3, np.nan), 5)).all()
-
-
 def test_folds(spark):
     c = spark.createDataFrame([(1, i, x, 0.0) for i, x in enumerate([0.0, 0.1, 0.2, 9.0, 9.1, 0.3, None])], "k int, frame_index int, cx double, cy double")
     out = folds.torso_continuity(c, ["k"], 2.0, 0.05).orderBy("frame_index").collect()
