@@ -243,7 +243,8 @@ def _full_sets(docs: DataFrame, dealt: DataFrame, words: int) -> DataFrame:
         return pd.DataFrame({"node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "shingles": [s.tobytes() for s in sets]})
 
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
-    asked = texts.join(dealt, (texts["key"] == dealt["text_key"]) & texts["id"].eqNullSafe(dealt["first_id"])).drop("id", "key")
+    # By shuffle at every size: what is clustered grows with the input, and a broadcast would hold up to some threshold only.
+    asked = texts.join(dealt.hint("merge"), (texts["key"] == dealt["text_key"]) & texts["id"].eqNullSafe(dealt["first_id"])).drop("id", "key")
     asked = in_short_batches(asked.dropDuplicates(["node"])).withColumn("s", full_set.asNondeterministic()("text")).filter(F.col("s.node") == F.col("node"))
     return asked.select("node", "root", "copies", "nb", "block", F.col("s.shingles").alias("shingles"))
 
