@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,47 @@ BATCH_BYTES = "4m"
 BATCH_KEY, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+def numbered(df: DataFrame, *order: Column | str, row: str = "row", name: str = "numbered") -> DataFrame:
+    """The frame, stored, with consecutive numbers from 0 in the given order: a range sort and each part's offset, no task sees all rows.
+
+    The offsets are a row for each part of the sort, whatever the number of rows; rows that are equal in the order come in any.
+    """
+    sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(sorted_parts.withColumn(row, F.monotonically_increasing_id()), name)
+    part = F.shiftright(row, 33)
+    counts = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
+    starts, total = [], 0
+    for k, n in counts:
+        starts.append((k, total - (k << 33)))
+        total += n
+    offset = free_name(df, "_offset")
+    offsets = df.sparkSession.createDataFrame(starts, f"_part long, {offset} long")
+    return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(row, F.col(row) + F.col(offset)).select(*df.columns, row)
+
+
+def ordered_digests(pieces: DataFrame, key: str, order: str, piece: str, sep: str) -> DataFrame:
+    """key, sha256: of each key's pieces in order, joined by sep. The pieces of a key pass a task as a stream, never as one text."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest = None, None
+        for pdf in batches:
+            done: list[tuple[str, str]] = []
+            for k, text in zip(pdf[key], pdf[piece], strict=True):
+                if digest is None or k != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()))
+                    now, digest = k, hashlib.sha256(text.encode())
+                else:
+                    digest.update(sep.encode())
+                    digest.update(text.encode())
+            yield pd.DataFrame(done, columns=[key, "sha256"])
+        if digest is not None:
+            yield pd.DataFrame([(now, digest.hexdigest())], columns=[key, "sha256"])
+
+    parts = pieces.select(key, order, piece).repartition(key).sortWithinPartitions(key, order)
+    return in_short_batches(parts).select(key, piece).mapInPandas(hashed, f"{key} string, sha256 string")
+
+
 def in_short_batches(df: DataFrame) -> DataFrame:
     """The frame itself, once its session bounds Arrow batches by bytes.
 

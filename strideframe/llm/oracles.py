@@ -5,7 +5,7 @@ op3, op4, op7, op9 and op10 hang on trained models, files or a packing heuristic
 
 from __future__ import annotations
 
-from . import quality, url_trust
+from . import imatch, quality, url_trust
 
 #: What Python's str.split takes for white space.
 WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -124,3 +124,98 @@ wide AS (SELECT base.*, c.distance AS cd, w.distance AS wd FROM base JOIN far c
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
     NOT base_failed AND NOT coalesce(cd > {quality.CLASS_LIMIT} + {quality.CLASS_SLACK} / sqrt(greatest(chars, 1)) OR wd > {quality.WORD_LIMIT} + {quality.WORD_SLACK} / sqrt(greatest(n_words, 1)), false) AS kept,
     round(cd, 6) AS classes_distance, round(wd, 6) AS words_distance FROM wide"""
+
+
+def imatch_sql() -> str:
+    rates = ", ".join(map(str, imatch.rates()))
+    pattern = r"[^\p{L}\p{N}]+"
+    return rf"""
+WITH rates AS (SELECT unnest(range({len(imatch.rates())})) AS k, unnest([{rates}]) AS one_in),
+d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS next_text FROM d),
+e AS (SELECT r, doc_id, n, text, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM o),
+texts AS (SELECT r, 0 AS which, text FROM e UNION ALL SELECT r, 1, edited FROM e),
+terms AS (SELECT DISTINCT r, which, unnest(regexp_split_to_array(lower(text), '{pattern}')) AS term FROM texts),
+words AS (SELECT * FROM terms WHERE term <> ''),
+size AS (SELECT count(*) AS docs FROM d),
+band AS (SELECT term FROM words, size WHERE which = 0 GROUP BY term, docs HAVING count(*) BETWEEN greatest(2, (docs + {imatch.RAREST - 1}) // {imatch.RAREST}) AND docs // {imatch.COMMONEST}),
+members AS (SELECT term, k FROM band, rates WHERE ('0x' || left(md5(k || ':' || term), 5))::INT % one_in = 0),
+held AS (SELECT r, which, k, left(md5(string_agg(term, ' ' ORDER BY term)), 8) AS hash FROM words JOIN members USING (term) GROUP BY ALL),
+whole AS (SELECT r, which, left(md5(coalesce(string_agg(term, ' ' ORDER BY term), '')), 8) AS hash FROM (SELECT r, which FROM texts) LEFT JOIN words USING (r, which) GROUP BY ALL),
+every AS (SELECT * FROM held UNION ALL SELECT r, which, 0, hash FROM whole WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.r = whole.r AND h.which = whole.which)),
+printed AS (SELECT r, which, list(coalesce(hash, '{imatch.EMPTY}') ORDER BY k) AS hashes FROM (SELECT * FROM (SELECT r, which FROM texts), rates) LEFT JOIN every USING (r, which, k) GROUP BY ALL),
+sides AS (SELECT own.r, own.hashes AS a, edit.hashes AS b, coalesce(lead(own.hashes) OVER w, first_value(own.hashes) OVER w) AS c FROM printed own JOIN printed edit ON edit.r = own.r AND own.which = 0 AND edit.which = 1 WINDOW w AS (ORDER BY own.r)),
+near AS (SELECT *, list_filter(list_zip(a, b), lambda x: x[1] <> '{imatch.EMPTY}' OR x[2] <> '{imatch.EMPTY}') AS ab, list_filter(list_zip(a, c), lambda x: x[1] <> '{imatch.EMPTY}' OR x[2] <> '{imatch.EMPTY}') AS ac FROM sides)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+    CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(len(list_filter(ab, lambda x: x[1] = x[2]))::DOUBLE / len(ab), 6) END AS near_edited,
+    CASE WHEN a = c THEN 1.0::DOUBLE ELSE round(len(list_filter(ac, lambda x: x[1] = x[2]))::DOUBLE / len(ac), 6) END AS near_next
+FROM near JOIN e USING (r)"""
+
+
+def repair_sql() -> str:
+    """One state for each way a conversation may stand: nothing yet, after s, after u, after a; each with its least cost, audit and text."""
+    # A key of cost and audit sorts as (cost, audit) does; the text goes with it.
+    key = lambda v, cost, edit, text="''": f"CASE WHEN {v} IS NOT NULL THEN struct_pack(k := lpad((left({v}.k, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({v}.k, 13) || '{edit}', t := {v}.t || {text}) END"
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+    user, helper = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    inserted_u = least("u", *[key(v, 5, "I", user) for v in ("z", "s", "a")])
+    inserted_a = least("a", key("u", 5, "I", helper))
+    stay = lambda v: key(v, 2, "D")
+    read = lambda v, initial, role: [
+        f"CASE WHEN NOT doomed AND initial = '{initial}' THEN {key(v, 'short', 'K', 'chr(10) || line')} END",
+        *([f"CASE WHEN NOT doomed THEN {key(v, '1 + short', 'R', f'{role} || text')} END"] if role else []),
+    ]
+    begin = "struct_pack(k := '000000000000', t := '')"
+    kind = "STRUCT(k VARCHAR, t VARCHAR)"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+fates AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+bits AS (SELECT fates.*, {crc32_of("place")} % 20 AS fate FROM fates, crc),
+rows_ AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM bits),
+numbered AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM rows_),
+judged AS (SELECT *, left(role, 1) AS initial, role || ':' || text AS line, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM numbered),
+coded AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS doomed, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS short,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM judged),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM coded GROUP BY conv_id),
+walk AS (
+    SELECT conv_id, n, 0::BIGINT AS i, {begin}::{kind} AS z, NULL::{kind} AS s, NULL::{kind} AS u, NULL::{kind} AS a FROM counts
+    UNION ALL
+    SELECT conv_id, n, i, {stay("z")}, {least(stay("s"), *read("z", "s", None))}, {least(stay("u"), *[w for v in ("z", "s", "a") for w in read(v, "u", user)])}, {least(stay("a"), *read("u", "a", helper))}
+    FROM (SELECT w.conv_id, w.n, c.i, c.initial, c.line, c.text, c.doomed, c.short, z, s, u, {inserted_a} AS a FROM (SELECT * REPLACE ({inserted_u} AS u) FROM (SELECT * REPLACE ({inserted_a} AS a) FROM walk)) w
+        JOIN coded c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i + 1)),
+ended AS (SELECT conv_id, least_of.k AS k, least_of.t AS t FROM (SELECT conv_id, {least("z", "a")} AS least_of
+    FROM (SELECT * REPLACE ({inserted_a} AS a) FROM (SELECT * REPLACE ({inserted_u} AS u) FROM walk WHERE i = n))))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(left(k, 12)::BIGINT, 0) AS cost, coalesce(substr(k, 13), '') AS audit, sha256(coalesce(substr(t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+#: CRC-32 in SQL: a table of 256 by its rule, and a fold over the characters (ASCII) of a text.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS tab)"
+
+
+def crc32_of(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def trie_sql() -> str:
+    return f"""
+WITH {CRC_TABLE},
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS at,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sym, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, n, donor, {crc32_of("conv_id::VARCHAR")} % 9 AS h FROM (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS donor FROM turns GROUP BY conv_id), crc),
+heads AS (SELECT i.*, least(i.h, coalesce(d.n, 0)) AS head FROM ids i LEFT JOIN ids d ON d.conv_id = i.donor),
+rebuilt AS (SELECT i.conv_id, t.at + 1 AS depth, sym, bytes FROM heads i JOIN turns t ON t.conv_id = i.donor AND t.at < i.h
+    UNION ALL SELECT i.conv_id, t.at - h + head + 1, sym, bytes FROM heads i JOIN turns t ON t.conv_id = i.conv_id AND t.at >= i.h),
+paths AS (SELECT conv_id, depth, bytes, md5(list(sym) OVER (PARTITION BY conv_id ORDER BY depth)::VARCHAR) AS node FROM rebuilt UNION ALL SELECT conv_id, 0, 0, 'root' FROM ids),
+linked AS (SELECT *, lag(node) OVER w AS up, row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1 AS last FROM paths WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (SELECT node, any_value(depth) AS depth, any_value(bytes) AS bytes, any_value(up) AS up, min(conv_id) AS first, count(*) AS n, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (last) AS ends FROM linked GROUP BY node),
+kids AS (SELECT up AS node, count(*) AS kids FROM nodes WHERE up IS NOT NULL GROUP BY up),
+sized AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (node)),
+below AS (SELECT p.node, sum((x.n - 1) * x.bytes) AS saved, count(*) FILTER (x.kids = 0) AS leaves FROM sized x JOIN paths p ON p.conv_id = x.first AND p.depth <= x.depth GROUP BY p.node)
+SELECT s.first AS conv_id, s.depth, u.first AS parent_conv_id, s.n AS n_convs, s.kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(s.ends, '')) AS ends_sha256
+FROM sized s JOIN below USING (node) LEFT JOIN sized u ON u.node = s.up"""
