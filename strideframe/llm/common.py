@@ -37,10 +37,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a stored frame that nothing reads any more."""
+    """Delete the files of a stored frame that nothing reads any more, through the file systems that Spark itself knows."""
+    sc = df.sparkSession.sparkContext
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        system, path = fs.FileSystem.from_uri(folder)
-        system.delete_dir(path)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Schemes of Spark's connectors, and what the file systems that tasks open call them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI as Spark spells it, for tasks that read or write single files, and the path in it."""
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + sep + rest)
 
 
 #: Texts are long: a batch of rows on its way to Python ends at so many bytes.

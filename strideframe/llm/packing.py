@@ -104,11 +104,18 @@ def pack(docs: DataFrame, *, length: Column | None = None, capacities: tuple[int
     return packed.withColumn("doc_id", F.col("doc_id").cast(id_type(docs))).unionByName(whole)
 
 
-def sequences(tokens: DataFrame, packed: DataFrame) -> DataFrame:
-    """bin_id, capacity, ids: the packed sequences themselves, from (doc_id, ids) of documents with ids of their own and pack()'s rows."""
-    pieces = packed.join(tokens.select("doc_id", "ids"), "doc_id").select(
-        "bin_id", "capacity", "position", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("part")
+def sequences(tokens: DataFrame, *, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """bin_id, capacity, doc_ids, ids: the packed sequences themselves, from (doc_id, ids); doc_ids are those of a bin's pieces in order.
+
+    Rows are packed under a key of their own, so repeated and null ids stay apart. Rows without token ids take no part.
+    """
+    rows = stored(tokens.filter(F.size("ids") > 0).select("doc_id", "ids", F.monotonically_increasing_id().alias("row")), "packing-rows")
+    sized = rows.select(F.col("row").alias("doc_id"), F.size("ids").alias("n_ids"))
+    packed = pack(sized, length=F.col("n_ids"), capacities=capacities, overhead=overhead, shard_pieces=shard_pieces).withColumnRenamed("doc_id", "row")
+    pieces = packed.join(rows, "row").select(
+        "bin_id", "capacity", "position", "doc_id", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("part")
     )
     # A bin holds at most its capacity of ids, whatever the number of documents.
-    parts = F.sort_array(F.collect_list(F.struct("position", "part")))
-    return pieces.groupBy("bin_id", "capacity").agg(F.flatten(F.transform(parts, lambda x: x["part"])).alias("ids"))
+    parts = F.sort_array(F.collect_list(F.struct("position", "doc_id", "part")))
+    bins = pieces.groupBy("bin_id", "capacity").agg(parts.alias("parts"))
+    return bins.select("bin_id", "capacity", F.transform("parts", lambda x: x["doc_id"]).alias("doc_ids"), F.flatten(F.transform("parts", lambda x: x["part"])).alias("ids"))

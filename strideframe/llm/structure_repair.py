@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -166,15 +166,15 @@ def parse_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame([as_row(r.id, r.part, r.n_parts, list(parsed(r.codes, r.part == 0)), unlike(r.codes), r.codes[0] + r.codes[-1]) for r in pdf.itertuples()])
 
 
-def join_segments(pdf: pd.DataFrame) -> pd.DataFrame:
-    """At most FAN_IN adjoining tables of one conversation."""
+def join_segments(pdf: pd.DataFrame, fan_in: int) -> pd.DataFrame:
+    """At most fan_in adjoining tables of one conversation."""
     pdf = pdf.sort_values("part")
     table, illegal, ends = None, 0, ""
     for r in pdf.itertuples():
         own = list(zip(r.enter, r.leave, r.cost, r.audit, strict=True))
         illegal += r.illegal + (unlike(ends[-1] + r.ends[0]) if table is not None else 0)
         table, ends = (own, r.ends) if table is None else (joined_up(table, own), ends[0] + r.ends[-1])
-    return frame([as_row(pdf["id"].iloc[0], int(pdf["part"].iloc[0]) // FAN_IN, -(-int(pdf["n_parts"].iloc[0]) // FAN_IN), table, illegal, ends)])
+    return frame([as_row(pdf["id"].iloc[0], int(pdf["part"].iloc[0]) // fan_in, -(-int(pdf["n_parts"].iloc[0]) // fan_in), table, illegal, ends)])
 
 
 def cheapest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,17 +189,17 @@ def cheapest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 SLICE = "id string, block long, n_blocks long, at long, edits array<struct<edit:string,place:int,role:string>>"
 
 
-def slices_of(start: int, n_turns: int, audit: str) -> Iterator[tuple]:
+def slices_of(start: int, n_turns: int, audit: str, segment: int) -> Iterator[tuple]:
     """(block, n_blocks, at, edits): the turns that stay of each segment, with the place in the segment of a kept turn and the role it gets if not its own."""
-    block, last = start // SEGMENT, (start + n_turns - 1) // SEGMENT
+    block, last = start // segment, (start + n_turns - 1) // segment
     n_blocks = last - block + 1
     # An odd number of turns begins with a system turn; from there on users and assistants take turns.
     shift = (len(audit) - audit.count("D")) % 2
-    edits, at, filled, place, room = [], 0, 0, 0, SEGMENT - start % SEGMENT
+    edits, at, filled, place, room = [], 0, 0, 0, segment - start % segment
     for edit in audit:
         if place == room and block < last:
             yield block, n_blocks, at, edits
-            edits, at, place, room, block = [], filled, 0, SEGMENT, block + 1
+            edits, at, place, room, block = [], filled, 0, segment, block + 1
         if edit != "D":
             edits.append({"edit": edit, "place": None if edit == "I" else place, "role": None if edit == "K" else ROLES["ua"[(filled - shift) % 2]]})
             filled += 1
@@ -207,13 +207,13 @@ def slices_of(start: int, n_turns: int, audit: str) -> Iterator[tuple]:
     yield block, n_blocks, at, edits
 
 
-def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sliced(batches: Iterator[pd.DataFrame], segment: int) -> Iterator[pd.DataFrame]:
     """Audits cut where their conversations were, some slices at a time."""
     columns = [c.split()[0] for c in ("id", "block", "n_blocks", "at", "edits")]
     for pdf in batches:
         rows = []
         for r in pdf.itertuples():
-            for s in slices_of(r.start, r.n_turns, r.audit):
+            for s in slices_of(r.start, r.n_turns, r.audit, segment):
                 rows.append((r.id, *s))
                 if len(rows) >= 2000:
                     yield pd.DataFrame(rows, columns=columns)
@@ -233,14 +233,15 @@ class Repair:
     digests(): sha256 of each repaired conversation's `role:text`, joined by newlines.
     """
 
-    def __init__(self, turns: DataFrame) -> None:
+    def __init__(self, turns: DataFrame, *, segment: int = SEGMENT, fan_in: int = FAN_IN) -> None:
+        self.segment, self.fan_in = segment, fan_in
         space = F.lit(" ")
         key = F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
         rows = turns.select(key.alias("id"), "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
         rows = rows.withColumn("hash", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
         # The last key only deals equal rows out to several parts.
         order = ["id", F.col("turn").asc_nulls_first(), "role", F.substring("text", 1, 64), "hash", F.monotonically_increasing_id()]
-        self.rows = numbered(rows, *order, name="repair-turns").withColumn("block", F.floor(F.col("row") / SEGMENT))
+        self.rows = numbered(rows, *order, name="repair-turns").withColumn("block", F.floor(F.col("row") / segment))
         repeats = self.rows.groupBy("id", "hash").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
         initial = F.substring("role", 1, 1)
         coded = self.rows.join(repeats, ["id", "hash"], "left").withColumn("fault", fault(F.col("text"), F.col("row") > F.col("first")))
@@ -261,17 +262,17 @@ class Repair:
         placed = segments.join(whole.select("id", "first_block", "last_block"), "id")
         placed = placed.select("id", (F.col("block") - F.col("first_block")).alias("part"), (F.col("last_block") - F.col("first_block") + 1).alias("n_parts"), "codes")
         tables = stored(placed.mapInPandas(parse_segments, TABLE), "repair-segments")
-        one, many = tables.filter("n_parts = 1"), tables.filter("n_parts > 1")
+        fan_in, one, many = self.fan_in, tables.filter("n_parts = 1"), tables.filter("n_parts > 1")
         longest = whole.agg(F.max(F.col("last_block") - F.col("first_block") + 1)).first()[0] or 1
         while longest > 1:
-            many = stored(many.groupBy("id", F.floor(F.col("part") / FAN_IN)).applyInPandas(join_segments, TABLE), "repair-joined")
-            longest = -(-longest // FAN_IN)
+            joined = many.groupBy("id", F.floor(F.col("part") / self.fan_in)).applyInPandas(lambda pdf: join_segments(pdf, fan_in), TABLE)
+            many, longest = stored(joined, "repair-joined"), -(-longest // fan_in)
         best = one.unionByName(many).mapInPandas(cheapest, "id string, illegal long, cost long, audit string")
         return whole.drop("first_block", "last_block").join(best, "id")
 
     def _segments(self) -> DataFrame:
         """id, block, n_blocks, at, turns: the repaired turns of each segment."""
-        slices = self.report.select("id", "start", "n_turns", "audit").mapInPandas(sliced, SLICE)
+        slices = self.report.select("id", "start", "n_turns", "audit").mapInPandas(partial(sliced, segment=self.segment), SLICE)
         rows = self.rows.groupBy("id", "block").agg(F.sort_array(F.collect_list(F.struct("row", "role", "text"))).alias("rows"))
         own = lambda e: F.get("rows", e["place"])
         turn = lambda e: F.struct(e["edit"].alias("edit"), F.coalesce(e["role"], own(e)["role"]).alias("role"), F.coalesce(own(e)["text"], F.lit("")).alias("text"))

@@ -33,12 +33,11 @@ from itertools import chain, islice
 import numpy as np
 import pandas as pd
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, hash_below, in_short_batches, new_path, slices
+from .common import as_text, file_system, hash_below, in_short_batches, new_path, slices
 
 MAGIC = b"IDSHARD1"
 SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 1500, 64 * 1024, 3
@@ -150,7 +149,7 @@ def pack_frames(doc_ids: list[int | None], frames: list[bytes], counts: list[int
 
 def read_one(uri: str, k: int, dictionary: bytes) -> tuple[int | None, np.ndarray]:
     """(doc_id, ids) of document k of a shard file, of which only the head, its index entries and its frame are read."""
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = file_system(uri)
     with system.open_input_file(path) as f:
         head = f.read_at(56, 0)
         _check(head, dictionary)
@@ -193,7 +192,7 @@ class Shard:
 
 def put(uri: str, data: bytes) -> None:
     """Write a file of a shared file system whole or not at all."""
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = file_system(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{os.getpid()}-{os.urandom(4).hex()}.part"
     with system.open_output_stream(part) as out:

@@ -100,14 +100,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, block: int = BLOC
     rows = vectors.select("vec_id", quantised(F.col("embedding")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("vector is not null")
     size = vectors.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(is_query, 1)).alias("asking")).first()
     parts, asking = max(1, -(-size["all"] // block)), max(1, -(-size["asking"] // query_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt), F.col("vector")), F.lit(n)).cast("int")
+    deal = lambda n, *by: F.pmod(F.xxhash64("vec_id", "vector", *by), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dim, last = F.size("vector").alias("dim"), F.lit(LAST)
+    # Equal rows go to different parts: their place in the table is part of the hash.
     # A null id is the greatest number on its way through pandas, which would make floats of all ids beside it.
-    candidates = rows.select(F.coalesce("vec_id", last).alias("vec_id"), "vector", dim, deal(parts, 1).alias("part"), each(asking).alias("ask"))
+    candidates = rows.select(F.coalesce("vec_id", last).alias("vec_id"), "vector", dim, deal(parts, F.monotonically_increasing_id()).alias("part"), each(asking).alias("ask"))
     queries = (
         rows.filter("asks and vec_id is not null").groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("vec_id").alias("query_id"), F.xxhash64("vector").alias("query"), "vector", dim, deal(asking, 2).alias("ask"), each(parts).alias("part"))
+        .select(F.col("vec_id").alias("query_id"), F.xxhash64("vector").alias("query"), "vector", dim, deal(asking).alias("ask"), each(parts).alias("part"))
     )
     key = ["dim", "part", "ask"]
     best = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(lambda q, c: top_of_blocks(c, q, k), "query_id long, query long, vec_id long, score long")

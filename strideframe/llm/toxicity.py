@@ -25,12 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyarrow.dataset import dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_short_batches, new_path, slices, stored
+from .common import discard, file_system, in_short_batches, new_path, slices, stored
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that the models are fitted on, about; the bound of everything the driver gathers.
@@ -110,7 +109,7 @@ class Ratios:
 
 
 def _read(uri: str, columns: list[str]) -> pa.Table:
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = file_system(uri)
     return dataset(path, filesystem=system, format="parquet").to_table(columns=columns)
 
 
