@@ -149,11 +149,12 @@ def smooth_sticks(df: DataFrame, keys: Keys, *, radius: int = 3, order: str = "f
 
 
 def blend(smoothed: DataFrame, original: DataFrame, weights: DataFrame, keys: Keys, columns: list[str]) -> DataFrame:
-    """Smoothed values drawn back to the original by a weight for each frame (0 where there is none)."""
+    """Smoothed values drawn back to the original by a weight for each frame (at most 1; none where it is 0 or missing); where one of the two is missing, the other."""
     o = original.select(*keys, "frame_index", *[F.col(c).alias(f"_o_{c}") for c in columns])
     joined = smoothed.join(o, [*keys, "frame_index"], "left").join(weights.select(*keys, "frame_index", F.col("weight").alias("_w")), [*keys, "frame_index"], "left")
-    w = F.coalesce("_w", F.lit(0.0))
-    return joined.withColumns({c: F.coalesce(F.col(c) * (1 - w) + F.col(f"_o_{c}") * w, F.col(c)) for c in columns}).drop("_w", *[f"_o_{c}" for c in columns])
+    w = F.least(F.coalesce("_w", F.lit(0.0)), F.lit(1.0))
+    drawn = lambda c: F.coalesce(F.col(c) * (1 - w) + F.col(f"_o_{c}") * w, F.col(c), F.col(f"_o_{c}"))
+    return joined.withColumns({c: F.when(w > 0, drawn(c)).otherwise(F.col(c)) for c in columns}).drop("_w", *[f"_o_{c}" for c in columns])
 
 
 def protected_frames(centers: DataFrame, keys: Keys, *, margin: int, weight: float) -> DataFrame:
@@ -167,7 +168,8 @@ def protected_frames(centers: DataFrame, keys: Keys, *, margin: int, weight: flo
 
 
 def stick_angle() -> Column:
-    return F.degrees(F.atan2(F.col("y") - F.col("y2"), F.col("x") - F.col("x2")))
+    """Degrees; 0 for a stick that is not whole."""
+    return F.coalesce(F.degrees(F.atan2(F.col("y") - F.col("y2"), F.col("x") - F.col("x2"))), F.lit(0.0))
 
 
 def axis_turn(before: Column, after: Column) -> Column:
@@ -175,9 +177,8 @@ def axis_turn(before: Column, after: Column) -> Column:
     return F.pmod(after - before + 90.0, F.lit(180.0)) - 90.0
 
 
-def smooth_coordinates(df: DataFrame, keys: Keys, columns: list[str], window: int, *, order: str = "frame_index") -> DataFrame:
-    """Means over runs of consecutive frames, each row weighing its confidence (0.5 where unknown, at least 0.05) over one more than its distance in rows; missing values are left out."""
-    df = islands.consecutive_runs(df, keys, order=order)
+def _run_means(columns: list[str], keys: Keys, window: int, order: str = "frame_index") -> dict[str, Column]:
+    """Weighted means over the rows of a run around each row."""
     w, reach = along([*keys, "run"], order), range(-(window // 2), window // 2 + 1)
     near = lambda c, k: c if k == 0 else F.lag(c, -k).over(w)
     trust = F.greatest(F.lit(0.05), F.coalesce("confidence", F.lit(0.5)))
@@ -188,7 +189,13 @@ def smooth_coordinates(df: DataFrame, keys: Keys, columns: list[str], window: in
             share = F.when(near(F.col(c), k).isNotNull(), near(trust, k) / (1 + abs(k)))
             total, weight = total + F.coalesce(near(F.col(c), k) * share, F.lit(0.0)), weight + F.coalesce(share, F.lit(0.0))
         out[c] = total / F.when(weight > 0, weight)
-    return df.withColumns(out).drop("run")
+    return out
+
+
+def smooth_coordinates(df: DataFrame, keys: Keys, columns: list[str], window: int, *, order: str = "frame_index") -> DataFrame:
+    """Means over runs of consecutive frames, each row weighing its confidence (0.5 where unknown, at least 0.05) over one more than its distance in rows; missing values are left out."""
+    df = islands.consecutive_runs(df, keys, order=order)
+    return df.withColumns(_run_means(columns, keys, window, order)).drop("run")
 
 
 def fast_steps(sticks: DataFrame, keys: Keys, least: float, *, order: str = "frame_index") -> DataFrame:
@@ -219,23 +226,126 @@ def original_weights(sticks: DataFrame, balls: DataFrame, swing: DataFrame, keys
     return near_ball.unionByName(near_fast).groupBy(*keys, "frame_index").agg(F.max("weight").alias("weight"))
 
 
-def tune_swing(smoothed: DataFrame, original: DataFrame, swing: DataFrame, keys: Keys, *, step: float, lengths: tuple[float, float]) -> DataFrame:
-    """In the swing the original's angle, at most `step` degrees (57.3 at least) a frame, about the smoothed centre, with a length within a share of the median original one."""
-    o = original.select(*keys, "frame_index", *[F.col(c).alias(f"_o_{c}") for c in ("x", "y", "x2", "y2")])
-    df = smoothed.join(o, [*keys, "frame_index"]).join(swing, [*keys, "frame_index"], "left_semi").dropna(subset=["x", "y", "x2", "y2", "_o_x", "_o_y", "_o_x2", "_o_y2"])
+def tune_swing(smoothed: DataFrame, original: DataFrame, swing: DataFrame, keys: Keys, *, step: float, lengths: tuple[float, float], least: int = 1) -> DataFrame:
+    """In the swing the original's angle, at most `step` degrees (57.3 at least) a frame, about the smoothed centre, with a length within a share of the median original one.
+
+    Every run of consecutive frames starts anew. A run with an original that is not whole stays as it is, and so does a series
+    with fewer than `least` rows in its swing. Rows that are not whole themselves are stepped over.
+    """
+    o = original.select(*keys, "frame_index", *[F.col(c).alias(f"_o_{c}") for c in ENDS])
+    df = smoothed.join(swing, [*keys, "frame_index"], "left_semi").join(o, [*keys, "frame_index"], "left")
+    df = islands.consecutive_runs(df, keys)
+    whole = F.lit(True)
+    for c in ENDS:
+        whole = whole & F.col(f"_o_{c}").isNotNull()
+    in_run, in_series = Window.partitionBy(*keys, "run"), Window.partitionBy(*keys)
+    df = df.withColumns({"_whole": F.min(whole).over(in_run), "_n": F.count(F.lit(1)).over(in_series)}).filter((F.col("_n") >= least) & F.col("_whole")).drop("_n", "_whole")
     most = max(1.0, float(np.radians(step)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_index", kind="stable")
-        angles = np.unwrap(np.arctan2(pdf["_o_y"] - pdf["_o_y2"], pdf["_o_x"] - pdf["_o_x2"]), period=np.pi)
-        for i in range(1, len(angles)):
-            angles[i] = np.clip(angles[i], angles[i - 1] - most, angles[i - 1] + most)
+        angles = np.unwrap(np.arctan2(pdf["_o_y"] - pdf["_o_y2"], pdf["_o_x"] - pdf["_o_x2"]).to_numpy(float))
+        there = pdf[list(ENDS)].notna().all(axis=1).to_numpy()
+        last = None
+        for i in np.flatnonzero(there):
+            last = angles[i] = angles[i] if last is None else np.clip(angles[i], last - most, last + most)
         usual = np.hypot(pdf["_o_x"] - pdf["_o_x2"], pdf["_o_y"] - pdf["_o_y2"])
         length = np.clip(np.hypot(pdf["x"] - pdf["x2"], pdf["y"] - pdf["y2"]), np.median(usual) * lengths[0], np.median(usual) * lengths[1])
         half = np.where(length > 0, length, usual) / 2
         cx, cy = (pdf["x"] + pdf["x2"]) / 2, (pdf["y"] + pdf["y2"]) / 2
-        return pdf.assign(x=cx + np.cos(angles) * half, y=cy + np.sin(angles) * half, x2=cx - np.cos(angles) * half, y2=cy - np.sin(angles) * half)
+        return pdf.assign(x=cx + np.cos(angles) * half, y=cy + np.sin(angles) * half, x2=cx - np.cos(angles) * half, y2=cy - np.sin(angles) * half)[there]
 
-    tuned = df.groupBy(*keys).applyInPandas(run, df.schema).select(*keys, "frame_index", *[F.col(c).alias(f"_t_{c}") for c in ("x", "y", "x2", "y2")])
+    tuned = df.groupBy(*keys, "run").applyInPandas(run, df.schema).select(*keys, "frame_index", *[F.col(c).alias(f"_t_{c}") for c in ENDS])
     out = smoothed.join(tuned, [*keys, "frame_index"], "left")
-    return out.withColumns({c: F.coalesce(f"_t_{c}", c) for c in ("x", "y", "x2", "y2")}).drop(*[f"_t_{c}" for c in ("x", "y", "x2", "y2")])
+    return out.withColumns({c: F.coalesce(f"_t_{c}", c) for c in ENDS}).drop(*[f"_t_{c}" for c in ENDS])
+
+
+# ---- the whole of a stick's track
+
+#: Both ends of a stick.
+ENDS = ("x", "y", "x2", "y2")
+
+
+@dataclass(frozen=True)
+class StickRule:
+    """Settings of smooth_stick_tracks. Margins are frames, weights shares of the original, angles degrees; a window of 1 or less smooths nothing."""
+
+    window: int = 0
+    least_rows: int = 3
+    passes: int = 1
+    contact_margin: int = 0
+    contact_weight: float = 0.0
+    fast: float = 0.0
+    fast_margin: int = 0
+    fast_weight: float = 0.0
+    swing_margin: int = 0
+    step: float = 35.0
+    lengths: tuple[float, float] = (0.45, 1.35)
+
+
+def _window_sums(df: DataFrame, values: list[str], keys: Keys, half: int) -> DataFrame:
+    """Adds the sums of a weighted fit over rows -half .. half of the run: _n, _m (weights), _s0 .. _s4, and for each value _m_v, _t0_v .. _t2_v."""
+    w = along([*keys, "run"])
+    near = lambda c, k: F.col(c) if k == 0 else F.lag(c, -k).over(w)
+    steps = range(-half, half + 1)
+    df = df.withColumns({f"_u{k + half}": near("_trust", k) / (1 + abs(k)) for k in steps})
+    weight = lambda k: F.coalesce(F.col(f"_u{k + half}"), F.lit(0.0))
+    total = lambda parts: sum(parts[1:], parts[0])
+    sums = {"_n": total([F.col(f"_u{k + half}").isNotNull().cast("int") for k in steps]), "_m": total([weight(k) for k in steps])}
+    sums |= {f"_s{j}": total([weight(k) * weight(k) * float(k**j) for k in steps]) for j in range(5)}
+    for v in values:
+        at = lambda k, v=v: F.coalesce(near(v, k), F.lit(0.0))
+        sums |= {f"_m_{v}": total([weight(k) * at(k) for k in steps])} | {f"_t{j}_{v}": total([weight(k) * weight(k) * float(k**j) * at(k) for k in steps]) for j in range(3)}
+    return df.withColumns(sums).drop(*[f"_u{k + half}" for k in steps])
+
+
+def _fitted(v: str) -> Column:
+    """Value in the middle: of a weighted parabola from five rows on, of a line from three, else the weighted mean. Weights count squared in fits."""
+    s, t = [F.col(f"_s{j}") for j in range(5)], [F.col(f"_t{j}_{v}") for j in range(3)]
+    minor = [s[2] * s[4] - s[3] * s[3], s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] * s[2]]
+    parabola = (t[0] * minor[0] - t[1] * minor[1] + t[2] * minor[2]) / (s[0] * minor[0] - s[1] * minor[1] + s[2] * minor[2])
+    line = (s[2] * t[0] - s[1] * t[1]) / (s[0] * s[2] - s[1] * s[1])
+    return F.when(F.col("_n") >= 5, parabola).when(F.col("_n") >= 3, line).otherwise(F.col(f"_m_{v}") / F.col("_m"))
+
+
+def smooth_stick_pass(df: DataFrame, keys: Keys, window: int, least_rows: int) -> DataFrame:
+    """One pass over the runs of consecutive frames: centre, unwrapped angle and length are fitted; where a run has an open end somewhere, its coordinates are averaged; short runs stay."""
+    columns = df.columns
+    df = islands.consecutive_runs(df, keys)
+    in_run = Window.partitionBy(*keys, "run")
+    df = df.withColumns({"_rows": F.count(F.lit(1)).over(in_run), "_open": F.max(F.col("x2").isNull() | F.col("y2").isNull()).over(in_run), "_raw": F.atan2(F.col("y") - F.col("y2"), F.col("x") - F.col("x2"))})
+    turn = F.col("_raw") - F.lag("_raw").over(along([*keys, "run"]))
+    df = df.withColumn("_turn", F.when(turn > np.pi, turn - 2 * np.pi).when(turn < -np.pi, turn + 2 * np.pi).otherwise(F.coalesce(turn, F.col("_raw"))))
+    df = df.withColumns({
+        "_cx": (F.col("x") + F.col("x2")) / 2, "_cy": (F.col("y") + F.col("y2")) / 2, "_len": F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")),
+        "_angle": F.sum("_turn").over(along([*keys, "run"]).rowsBetween(Window.unboundedPreceding, 0)), "_trust": F.greatest(F.lit(0.05), F.coalesce("confidence", F.lit(0.5))),
+    })
+    parts = ["_cx", "_cy", "_angle", "_len"]
+    df = _window_sums(df, parts, keys, window // 2).withColumns({f"_f{v}": _fitted(v) for v in parts})
+    df = df.withColumns({f"_p_{c}": mean for c, mean in _run_means(list(ENDS), keys, window).items()})
+    dx, dy = F.cos("_f_angle") * F.col("_f_len") / 2, F.sin("_f_angle") * F.col("_f_len") / 2
+    fit = {"x": F.col("_f_cx") + dx, "y": F.col("_f_cy") + dy, "x2": F.col("_f_cx") - dx, "y2": F.col("_f_cy") - dy}
+    return df.withColumns({c: F.when(F.col("_rows") < least_rows, F.col(c)).when(F.col("_open"), F.col(f"_p_{c}")).otherwise(fit[c]) for c in ENDS}).select(*columns)
+
+
+def smooth_stick_tracks(tracks: DataFrame, keys: Keys, rule: StickRule, *, stick: str = "bat", ball: str = "ball") -> DataFrame:
+    """Tracks (object_name, frame_index, x, y, x2, y2, confidence, ...) with the stick's rows smoothed; all other rows stay.
+
+    Passes of smoothing, then the swing is drawn back to the original's angles, then frames near the ball (and, without a swing,
+    near fast turns) are drawn back to the original by their weights. Swing and weights are those of the original track.
+    """
+    window = rule.window if rule.window % 2 else rule.window - 1
+    if window <= 1:
+        return tracks
+    sticks, balls = tracks.filter(F.col("object_name") == stick), tracks.filter(F.col("object_name") == ball)
+    others = tracks.filter(F.coalesce(F.col("object_name") != stick, F.lit(True)))
+    none = sticks.select(*keys, "frame_index").limit(0)
+    swings = rule.fast > 0 and rule.swing_margin >= 0
+    swing = swing_frames(sticks, balls, keys, margin=rule.swing_margin, fast=rule.fast) if swings else none
+    quick = (rule.fast_margin, rule.fast_weight if rule.fast > 0 else 0.0)
+    weights = original_weights(sticks, balls, swing, keys, contact=(rule.contact_margin, rule.contact_weight), fast=rule.fast, quick=quick)
+    smoothed = sticks
+    for _ in range(max(1, rule.passes)):
+        smoothed = smooth_stick_pass(smoothed, keys, window, rule.least_rows)
+    tuned = tune_swing(smoothed, sticks, swing, keys, step=rule.step, lengths=rule.lengths, least=rule.least_rows)
+    return blend(tuned, sticks, weights, keys, list(ENDS)).select(*tracks.columns).unionByName(others)

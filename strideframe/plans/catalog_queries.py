@@ -182,11 +182,11 @@ def suspicious_rows(spark, sf_dir):
 
 
 @query(f"""WITH {BQ.BAT_PHASE}, p AS (SELECT DISTINCT trial_id, ps, ev, pe FROM marked), l AS (SELECT trial_id, unnest(['Phase Start', 'Event', 'Phase End']) AS metric_name, unnest([ps, ev, pe]) AS frame_index FROM p)
-SELECT l.trial_id, metric_name, l.frame_index, round(coalesce(timestamp_sec, l.frame_index / 30), 6) AS value FROM l LEFT JOIN frames f ON f.trial_id = l.trial_id AND f.frame_index = l.frame_index AND f.frame_index < 40""")
+SELECT l.trial_id, metric_name, l.frame_index, round(coalesce(timestamp_sec, l.frame_index / 30), 6) AS value FROM l LEFT JOIN frames f ON f.trial_id = l.trial_id AND f.frame_index = l.frame_index""")
 def phase_rows(spark, sf_dir):
     frames = A.skeleton(spark, sf_dir)
     phases = B.phases(B.batting_phase(frames, BQ.T), BQ.T)
-    return catalog.phase_rows(phases, BQ.T, frames.filter("frame_index < 40")).withColumn("value", r6("value"))
+    return catalog.phase_rows(phases, BQ.T, frames).withColumn("value", r6("value"))
 
 
 _W = "right_wrist"
@@ -260,7 +260,8 @@ def smoothed_coordinates(spark, sf_dir):
     return out.select("trial_id", "frame_index", *[r6(c).alias(c) for c in ("x", "y", "x2", "y2")])
 
 
-_TURN = "abs(((degrees(atan2(y - y2, x - x2)) - degrees(atan2(lag(y) OVER w - lag(y2) OVER w, lag(x) OVER w - lag(x2) OVER w)) + 90) % 180 + 180) % 180 - 90)"
+_ANGLE = "coalesce(degrees(atan2(y - y2, x - x2)), 0)"
+_TURN = f"abs((({_ANGLE} - lag({_ANGLE}) OVER w + 90) % 180 + 180) % 180 - 90)"
 SWING = f"""{STICKS}, balls AS (SELECT trial_id, frame_index FROM frames WHERE m2y > 330), q AS (SELECT *, coalesce({_TURN} >= 60 AND frame_index - lag(frame_index) OVER w <= 1, false) AS fast FROM sticks WINDOW w AS (PARTITION BY trial_id ORDER BY frame_index)),
 q2 AS (SELECT *, coalesce(lead(fast) OVER (PARTITION BY trial_id ORDER BY frame_index), false) AS nxt FROM q), fs AS (SELECT * FROM q2 WHERE fast OR nxt),
 cs AS (SELECT *, sum(st) OVER (PARTITION BY trial_id ORDER BY frame_index) AS run FROM (SELECT *, coalesce((frame_index - lag(frame_index) OVER w > 3)::INT, 1) AS st FROM fs WINDOW w AS (PARTITION BY trial_id ORDER BY frame_index))),
@@ -269,8 +270,8 @@ span AS (SELECT trial_id, min(frame_index) - 2 AS a, max(frame_index) + 2 AS b F
 swing AS (SELECT s.trial_id, s.frame_index FROM sticks s LEFT JOIN span USING (trial_id) LEFT JOIN best USING (trial_id) WHERE s.frame_index BETWEEN coalesce(a, f0 - 2) AND coalesce(b, f1 + 2))"""
 
 
-def _balls(spark, sf_dir):
-    return A.marker_frames(spark, sf_dir, [0, 1, 2]).filter("m2.y > 330").select("trial_id", "frame_index")
+def _balls(spark, sf_dir, above=330):
+    return A.marker_frames(spark, sf_dir, [0, 1, 2]).filter(F.col("m2.y") > above).select("trial_id", "frame_index")
 
 
 @query(f"WITH {SWING} SELECT * FROM swing")
@@ -278,13 +279,12 @@ def swing_frames(spark, sf_dir):
     return smoothing.swing_frames(_sticks(spark, sf_dir), _balls(spark, sf_dir), ["trial_id"], margin=2, fast=60.0)
 
 
-@query(f"""WITH {SWING}, near AS (SELECT trial_id, frame_index + unnest(range(-1, 2)) AS frame_index, 0.9 * (1 - abs(unnest(range(-1, 2))) / 2) AS weight FROM balls
-UNION ALL SELECT trial_id, frame_index + unnest(range(-2, 3)), 0.6 * (1 - abs(unnest(range(-2, 3))) / 3) FROM fs WHERE trial_id NOT IN (SELECT trial_id FROM swing WHERE trial_id IN (SELECT trial_id FROM balls)))
+@query(f"""WITH {SWING.replace('m2y > 330', 'm2y > 200')}, near AS (SELECT trial_id, frame_index + unnest(range(-1, 2)) AS frame_index, 0.9 * (1 - abs(unnest(range(-1, 2))) / 2) AS weight FROM balls
+UNION ALL SELECT trial_id, frame_index + unnest(range(-2, 3)), 0.6 * (1 - abs(unnest(range(-2, 3))) / 3) FROM fs WHERE trial_id NOT IN (SELECT trial_id FROM swing))
 SELECT trial_id, frame_index, round(max(weight), 9) AS weight FROM near GROUP BY ALL""")
 def original_weights(spark, sf_dir):
-    """Only trials with a ball have a swing here."""
-    sticks, balls = _sticks(spark, sf_dir), _balls(spark, sf_dir)
-    swing = smoothing.swing_frames(sticks, balls, ["trial_id"], margin=2, fast=60.0).join(balls.select("trial_id").distinct(), "trial_id", "left_semi")
+    sticks, balls = _sticks(spark, sf_dir), _balls(spark, sf_dir, 200)
+    swing = smoothing.swing_frames(sticks, balls, ["trial_id"], margin=2, fast=60.0)
     out = smoothing.original_weights(sticks, balls, swing, ["trial_id"], contact=(1, 0.9), fast=60.0, quick=(2, 0.6))
     return out.withColumn("weight", F.round("weight", 9))
 

@@ -480,15 +480,6 @@ def jumps_3d(spark, sf_dir):
     return folds.jumps_3d(A.markers(spark, sf_dir), ["trial_id", "marker"], ["x", "y", "z"], 1.2)
 
 
-@query(f"""WITH {A.SCALARS}, w AS (SELECT *, {', '.join(f'lag(value, {k}) OVER w AS b{k}, lead(value, {k}) OVER w AS a{k}' for k in (1, 2))} FROM scalars WINDOW w AS (PARTITION BY series ORDER BY frame_index))
-SELECT series, frame_index, round((-3 * b2 + 12 * b1 + 17 * value + 12 * a1 - 3 * a2) / 35, 3) AS smooth FROM w WHERE b2 IS NOT NULL AND a2 IS NOT NULL""")
-def savitzky_golay_inner(spark, sf_dir):
-    """Rows at least two from an end; the ends' polynomial is tested against closed forms."""
-    s = kernels.savitzky_golay(A.scalars(spark, sf_dir), ["series"], ["value"], 5, 2)
-    s = islands.position(s, ["series"]).filter((F.col("pos") >= 2) & (F.col("pos") < F.col("n") - 2))
-    return s.select("series", "frame_index", F.round("value", 3).alias("smooth"))
-
-
 @query()
 def savitzky_golay(spark, sf_dir):
     """All rows, the ends and short series too; tests hold it against polynomials fitted window by window."""
@@ -742,6 +733,6 @@ def preferred_source(spark, sf_dir):
     return reports.preferred(A.traj(spark, sf_dir).select("clip_id", "joint_name").distinct(), ["clip_id"], "joint_name", ["_wrist", "_hip"])
 
 
-from . import bundle_queries, catalog_queries, twins  # noqa: E402, F401
+from . import bundle_queries, catalog_queries, driver_queries, twins  # noqa: E402, F401
 
 ORACLES |= twins.TWINS
