@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.confidence import not_distrusted, pose_score
+from ..functions.confidence import by_joint, not_distrusted, pose_score
 from ..functions.geometry import distance, lerp, project_from
 from ..schemas import LIMB_CHAINS
 from .gates import segment_lengths
 from .series import Keys, along, neighbours
 
-#: Limb middles and ends, each with the segments that hold it: (joint, other end, proximal, distal).
-COMPLETABLE = tuple(sorted({j for _, m, b in LIMB_CHAINS for j in (m, b)}))
+#: The joints of limbs, each with the segments that hold it: (joint, other end, proximal, distal).
+COMPLETABLE = tuple(sorted({j for chain in LIMB_CHAINS for j in chain}))
 ADJACENT = tuple((j, b if j == a else a, a, b) for p, m, d in LIMB_CHAINS for a, b in ((p, m), (m, d)) for j in (a, b) if j in COMPLETABLE)
 
 
@@ -49,7 +50,7 @@ def biomechanically_plausible(df: DataFrame, keys: Keys, ok: Column, tolerance:
 
 
 def rescue(df: DataFrame, keys: Keys, *, threshold: float, least: float, least_alone: float, limb_tolerance: float, time_tolerance: float, confidence: float = 0.62) -> DataFrame:
-    """Distrusted points of limb middles and ends that fit after all get the confidence and "+rescued" behind their backend.
+    """Distrusted points of limbs that fit after all get the confidence and "+rescued" behind their backend.
 
     A point with a score of at least `least` is rescued where a limb has its usual length, or where it lies near the line between
     its neighbours in time and its score is at least `least_alone`. Where there is no score neither is asked for.
@@ -151,3 +152,155 @@ def temporally_plausible(df: DataFrame, keys: Keys, ok: Column, tolerance: float
     alone = (F.abs(F.col("frame_index") - one["frame_index"]) <= reach) & (distance(here, [one["x"], one["y"]]) <= tolerance)
     both = F.col("before").isNotNull() & F.col("after").isNotNull()
     return df.withColumn("plausible", F.when(both, distance(here, line) <= tolerance).when(one.isNull(), F.lit(True)).otherwise(alone)).drop("before", "after")
+
+
+# ---- the whole completion of a clip
+
+
+@dataclass(frozen=True)
+class CompletionRule:
+    """Settings of complete_pose; thresholds go by joint, joint group or "default", gaps by joint or by the end of its name."""
+
+    threshold: float = 0.5
+    thresholds: Mapping[str, float] | None = None
+    max_gap: int = 5
+    gaps: Mapping[str, int] | None = None
+    confidence: float = 0.62
+    rescue: bool = True
+    least: float = 0.03
+    least_alone: float = 0.30
+    limb_tolerance: float = 0.75
+    time_tolerance: float = 0.12
+    reach: int = 5
+
+    def __post_init__(self) -> None:
+        if self.max_gap < 0:
+            raise ValueError("max_gap is negative")
+        if self.confidence <= 0:
+            raise ValueError("confidence must be positive")
+
+    def gap_of(self, joint: str) -> int:
+        gaps = self.gaps or {}
+        group = "distal" if joint.endswith(("_wrist", "_ankle")) else "mid_limb" if joint.endswith(("_elbow", "_knee")) else "default"
+        return int(gaps.get(joint, gaps.get(group, self.max_gap)))
+
+
+def _inside(v: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+
+
+def _plausible_in_time(j: str, tolerance: float) -> Column:
+    """Whether a joint's point lies near the line between its usable neighbours, or near the only one at most three frames off; yes without any."""
+    a, b, here = F.col(f"_a_{j}"), F.col(f"_b_{j}"), [F.col(f"{j}.x"), F.col(f"{j}.y")]
+    share = (F.col("frame_index") - a["f"]) / (b["f"] - a["f"])
+    one = F.coalesce(a, b)
+    alone = (F.abs(F.col("frame_index") - one["f"]) <= 3) & (distance(here, [one["x"], one["y"]]) <= tolerance)
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, distance(here, [lerp(a[c], b[c], share) for c in "xy"]) <= tolerance).when(one.isNull(), F.lit(True)).otherwise(alone)
+
+
+def _rescued(frames: DataFrame, keys: Keys, rule: CompletionRule) -> DataFrame:
+    """Each joint's struct with the rescued point in place of the distrusted one, and _saved_<joint>."""
+    w = along(keys)
+    usable_here = lambda j: F.when(F.col(f"{j}.ok"), F.struct(F.col("frame_index").alias("f"), F.col(f"{j}.x").alias("x"), F.col(f"{j}.y").alias("y")))
+    frames = frames.withColumns({f"_a_{j}": F.last(usable_here(j), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for j in COMPLETABLE} | {f"_b_{j}": F.first(usable_here(j), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) for j in COMPLETABLE})
+    saved = {}
+    for j in COMPLETABLE:
+        fits = F.lit(False)
+        for joint, other, near, far in ADJACENT:
+            if joint == j:
+                bone, off = F.col(f"_bone_{near}_{far}"), distance([F.col(f"{other}.x"), F.col(f"{other}.y")], [F.col(f"{j}.x"), F.col(f"{j}.y")])
+                fits = fits | F.coalesce(F.col(f"{other}.ok") & (bone > 0) & off.between(bone * max(0.0, 1 - rule.limb_tolerance), bone * (1 + rule.limb_tolerance)), F.lit(False))
+        score = F.col(f"{j}.score")
+        can = F.col(f"{j}.x").isNotNull() & F.col(f"{j}.y").isNotNull() & ~F.col(f"{j}.ok") & (score >= rule.least)
+        saved[f"_saved_{j}"] = F.coalesce(can & (fits | ((score >= rule.least_alone) & _plausible_in_time(j, rule.time_tolerance))), F.lit(False))
+    frames = frames.withColumns(saved).drop(*[f"_{side}_{j}" for side in "ab" for j in COMPLETABLE])
+    sure = F.lit(min(rule.confidence, 1.0))
+    new = lambda j: F.struct(_inside(F.col(f"{j}.x")).alias("x"), _inside(F.col(f"{j}.y")).alias("y"), sure.alias("score"), F.col(f"{j}.need").alias("need"), (sure >= F.col(f"{j}.need")).alias("ok"))
+    return frames.withColumns({j: F.when(F.col(f"_saved_{j}"), new(j)).otherwise(F.col(j)) for j in COMPLETABLE})
+
+
+def _direction(frames: DataFrame, keys: Keys, near: str, far: str, reach: int) -> DataFrame:
+    """_dir: from near to far in the nearest other frame within reach that has both (the earlier of two), else (1, 0)."""
+    both = F.col(f"{near}.ok") & F.col(f"{far}.ok")
+    here = F.when(both, F.struct(F.col("frame_index").alias("f"), (F.col(f"{far}.x") - F.col(f"{near}.x")).alias("x"), (F.col(f"{far}.y") - F.col(f"{near}.y")).alias("y")))
+    w = along(keys)
+    before, after = F.last(here, ignorenulls=True).over(w.rangeBetween(-reach, -1)), F.first(here, ignorenulls=True).over(w.rangeBetween(1, reach))
+    frames = frames.withColumns({"_before": before, "_after": after})
+    earlier = F.col("_after").isNull() | (F.col("frame_index") - F.col("_before.f") <= F.col("_after.f") - F.col("frame_index"))
+    return frames.withColumn(f"_dir_{far}", F.when(F.col("_before").isNotNull() & earlier, F.col("_before")).otherwise(F.col("_after"))).drop("_before", "_after")
+
+
+def _filled(frames: DataFrame, keys: Keys, rule: CompletionRule) -> DataFrame:
+    """_fill_<joint>: the point that fills a short gap of a limb's middle or end, null elsewhere."""
+    w, frame = along(keys), F.col("frame_index")
+    parts = sorted({j for _, m, d in LIMB_CHAINS for j in (m, d)})
+    frames = frames.withColumns({f"_next_{j}": F.first(F.when(F.col(j).isNotNull(), frame), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) for j in parts})
+    usable_here = lambda j: F.when(F.col(f"{j}.ok"), F.struct(frame.alias("f"), F.col(f"{j}.x").alias("x"), F.col(f"{j}.y").alias("y"), F.col(f"_next_{j}").alias("next")))
+    frames = frames.withColumns({f"_a_{j}": F.last(usable_here(j), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for j in parts} | {f"_b_{j}": F.first(usable_here(j), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) for j in parts})
+    for _, m, d in LIMB_CHAINS:
+        frames = _direction(frames, keys, m, d, rule.reach)
+    targets = {}
+    for j in parts:
+        a, b = F.col(f"_a_{j}"), F.col(f"_b_{j}")
+        gap = b["f"] - a["f"] - 1
+        # The row behind the last usable one begins the gap, right after it; a row of the joint has to be there.
+        open_ = F.col(j).isNotNull() & ~F.col(f"{j}.ok") & (a["next"] == a["f"] + 1) & (gap > 0) & (gap <= rule.gap_of(j))
+        share = (frame - a["f"]) / (gap + 1)
+        targets[f"_to_{j}"] = F.when(open_, F.struct(lerp(a["x"], b["x"], share).alias("x"), lerp(a["y"], b["y"], share).alias("y")))
+    frames = frames.withColumns(targets).drop(*[f"_{k}_{j}" for k in ("a", "b", "next") for j in parts])
+    at = lambda c: [F.col(f"{c}.x"), F.col(f"{c}.y")]
+    point = lambda p: F.struct(_inside(p[0]).alias("x"), _inside(p[1]).alias("y"))
+    for p, m, d in LIMB_CHAINS:
+        bone, upper = F.col(f"_bone_{m}_{d}"), F.col(f"_bone_{p}_{m}")
+        # The end: from the middle joint towards the target.
+        frames = frames.withColumns({"_vx": F.col(f"_to_{d}.x") - F.col(f"{m}.x"), "_vy": F.col(f"_to_{d}.y") - F.col(f"{m}.y")})
+        still = F.sqrt(F.col("_vx") ** 2 + F.col("_vy") ** 2) <= 1e-6
+        known = F.col(f"_dir_{d}").isNotNull()
+        frames = frames.withColumns({"_vx": F.when(still, F.when(known, F.col(f"_dir_{d}.x")).otherwise(1.0)).otherwise(F.col("_vx")), "_vy": F.when(still, F.when(known, F.col(f"_dir_{d}.y")).otherwise(0.0)).otherwise(F.col("_vy"))})
+        end = F.when(F.col(f"_to_{d}").isNotNull() & F.col(f"{m}.ok") & (bone > 0), point(project_from(at(m), [F.col("_vx"), F.col("_vy")], bone)))
+        # The middle: where both bones meet, nearest to the target; half way where they do not.
+        frames = frames.withColumns({f"_fill_{d}": end, "_d": distance(at(p), at(d))})
+        frames = frames.withColumn("_along", (upper**2 - bone**2 + F.col("_d") ** 2) / (2 * F.when(F.col("_d") > 1e-9, F.col("_d"))))
+        meets = (F.col("_d") <= upper + bone) & (F.col("_d") >= F.abs(upper - bone)) & (upper**2 >= F.col("_along") ** 2)
+        frames = frames.withColumns({"_high": F.when(meets, F.sqrt(upper**2 - F.col("_along") ** 2)), **{f"_u{c}": (F.col(f"{d}.{c}") - F.col(f"{p}.{c}")) / F.col("_d") for c in "xy"}})
+        foot = [F.col(f"{p}.{c}") + F.col(f"_u{c}") * F.col("_along") for c in "xy"]
+        side = [-F.col("_uy") * F.col("_high"), F.col("_ux") * F.col("_high")]
+        frames = frames.withColumns({f"_{n}{c}": f + sign * s for n, sign in (("p", 1), ("q", -1)) for c, f, s in zip("xy", foot, side, strict=True)})
+        first = distance([F.col("_px"), F.col("_py")], at(f"_to_{m}")) <= distance([F.col("_qx"), F.col("_qy")], at(f"_to_{m}"))
+        middle = [F.coalesce(F.when(first, F.col(f"_p{c}")).otherwise(F.col(f"_q{c}")), (F.col(f"{p}.{c}") + F.col(f"{d}.{c}")) / 2) for c in "xy"]
+        can = F.col(f"_to_{m}").isNotNull() & F.col(f"{p}.ok") & F.col(f"{d}.ok") & (bone > 0) & (upper > 0)
+        frames = frames.withColumn(f"_fill_{m}", F.when(can, point(middle))).drop("_vx", "_vy", "_d", "_along", "_high", "_ux", "_uy", "_px", "_py", "_qx", "_qy")
+    return frames.drop(*[f"_to_{j}" for j in parts], *[f"_dir_{d}" for *_, d in LIMB_CHAINS])
+
+
+def complete_pose(df: DataFrame, keys: Keys, rule: CompletionRule = CompletionRule()) -> DataFrame:
+    """Points of clips with distrusted limb points rescued and short gaps of limb joints filled; all other rows stay, none is added.
+
+    Bones are median lengths of the rows as they come in; fills read the rows behind the rescue, never one another. Filled and
+    rescued rows have the rule's confidence and "+imputed" or "+rescued" behind their backend. One shuffle: a row for each frame
+    holds all its joints (of rows that repeat a joint of a frame, the greatest), all windows run along the series.
+    """
+    columns = df.columns
+    need = by_joint(rule.thresholds, rule.threshold)
+    ok = F.col("x").isNotNull() & F.col("y").isNotNull() & not_distrusted(pose_score(), need)
+    seen = F.struct("x", "y", pose_score().alias("score"), need.cast("double").alias("need"), ok.alias("ok"))
+    rows = df.repartition(*keys).withColumn("_seen", seen)
+    frames = rows.groupBy(*keys, "frame_index").agg(F.collect_list(F.struct(*columns)).alias("_rows"), *[F.max(F.when(F.col("joint_name") == j, F.col("_seen"))).alias(j) for j in COMPLETABLE])
+    segments = sorted({(a, b) for p, m, d in LIMB_CHAINS for a, b in ((p, m), (m, d))})
+    length = lambda a, b: F.when(F.col(f"{a}.ok") & F.col(f"{b}.ok"), distance([F.col(f"{a}.x"), F.col(f"{a}.y")], [F.col(f"{b}.x"), F.col(f"{b}.y")]))
+    frames = frames.withColumns({f"_bone_{a}_{b}": F.median(length(a, b)).over(Window.partitionBy(*keys)) for a, b in segments})
+    frames = _rescued(frames, keys, rule) if rule.rescue else frames.withColumns({f"_saved_{j}": F.lit(False) for j in COMPLETABLE})
+    frames = _filled(frames, keys, rule)
+    spot = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    fill = lambda j: F.col(f"_fill_{j}") if f"_fill_{j}" in frames.columns else F.when(F.lit(False), spot)
+    change = lambda j: F.struct(F.col(f"_saved_{j}").alias("saved"), F.col(f"{j}.x").alias("x"), F.col(f"{j}.y").alias("y"), fill(j).alias("fill"))
+    changes = F.map_from_arrays(F.array(*map(F.lit, COMPLETABLE)), F.array(*[change(j) for j in COMPLETABLE]))
+    out = frames.select(changes.alias("_all"), F.explode("_rows").alias("_row")).select("_row.*", F.element_at("_all", F.col("_row.joint_name")).alias("_c"))
+    saved, filled = F.coalesce(F.col("_c.saved"), F.lit(False)), F.col("_c.fill").isNotNull()
+    tagged = lambda backend, tag: F.when(backend.endswith(tag), backend).otherwise(F.concat(backend, F.lit(tag)))
+    rescued = F.when(saved, tagged(F.col("backend"), "+rescued")).otherwise(F.col("backend"))
+    sure = F.lit(min(rule.confidence, 1.0))
+    new = {c: F.when(filled, F.col(f"_c.fill.{c}")).when(saved, F.col(f"_c.{c}")).otherwise(F.col(c)) for c in "xy"}
+    new |= {c: F.when(filled | saved, sure).otherwise(F.col(c)) for c in ("visibility", "confidence")}
+    return out.withColumns(new | {"backend": F.when(filled, tagged(rescued, "+imputed")).otherwise(rescued)}).select(*columns)

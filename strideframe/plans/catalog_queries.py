@@ -205,7 +205,7 @@ def ablation_rows(spark, sf_dir):
 
 # ---- rescues and directions
 
-_ARM = "seg(joint_name, other, proximal, distal) AS (VALUES ('right_elbow', 'right_shoulder', 'right_shoulder', 'right_elbow'), ('right_elbow', 'right_wrist', 'right_elbow', 'right_wrist'), ('right_wrist', 'right_elbow', 'right_elbow', 'right_wrist'))"
+_ARM = "seg(joint_name, other, proximal, distal) AS (VALUES ('right_shoulder', 'right_elbow', 'right_shoulder', 'right_elbow'), ('right_elbow', 'right_shoulder', 'right_shoulder', 'right_elbow'), ('right_elbow', 'right_wrist', 'right_elbow', 'right_wrist'), ('right_wrist', 'right_elbow', 'right_elbow', 'right_wrist'))"
 RESCUE = f"""{A.TRAJ_FRAME}, t AS (SELECT *, {SCORE} AS score, {SCORE} >= 0.4 AS ok FROM traj_frame), {_ARM},
 bone AS (SELECT p.clip_id, s.proximal, s.distal, median(sqrt((d.x - p.x) ** 2 + (d.y - p.y) ** 2)) AS bone FROM t p JOIN (SELECT DISTINCT proximal, distal FROM seg) s ON p.joint_name = s.proximal JOIN t d ON d.joint_name = s.distal AND d.clip_id = p.clip_id AND d.frame_index = p.frame_index WHERE p.ok AND d.ok GROUP BY ALL),
 fit AS (SELECT t.clip_id, t.frame_index, t.joint_name, bool_or(sqrt((o.x - t.x) ** 2 + (o.y - t.y) ** 2) / CASE WHEN bone > 0 THEN bone END BETWEEN 0.5 AND 1.5) AS fits FROM t JOIN seg s ON s.joint_name = t.joint_name JOIN t o ON o.clip_id = t.clip_id AND o.frame_index = t.frame_index AND o.joint_name = s.other AND o.ok
@@ -214,7 +214,7 @@ nb AS (SELECT *, max(frame_index) FILTER (ok) OVER (w ROWS BETWEEN UNBOUNDED PRE
 pl AS (SELECT n.*, CASE WHEN bf IS NOT NULL AND af IS NOT NULL THEN sqrt((b.x + (a.x - b.x) * ((n.frame_index - bf) / (af - bf)) - n.x) ** 2 + (b.y + (a.y - b.y) * ((n.frame_index - bf) / (af - bf)) - n.y) ** 2) <= 0.2
   WHEN bf IS NULL AND af IS NULL THEN true ELSE abs(n.frame_index - coalesce(bf, af)) <= 3 AND sqrt((coalesce(b.x, a.x) - n.x) ** 2 + (coalesce(b.y, a.y) - n.y) ** 2) <= 0.2 END AS plausible
   FROM nb n LEFT JOIN t b ON b.clip_id = n.clip_id AND b.joint_name = n.joint_name AND b.frame_index = bf LEFT JOIN t a ON a.clip_id = n.clip_id AND a.joint_name = n.joint_name AND a.frame_index = af),
-sv AS (SELECT pl.*, pl.joint_name IN ('right_elbow', 'right_wrist') AND NOT ok AND score >= 0.05 AND (coalesce(fits, false) OR (score >= 0.15 AND plausible)) AS saved FROM pl LEFT JOIN fit USING (clip_id, frame_index, joint_name))"""
+sv AS (SELECT pl.*, NOT ok AND score >= 0.05 AND (coalesce(fits, false) OR (score >= 0.15 AND plausible)) AS saved FROM pl LEFT JOIN fit USING (clip_id, frame_index, joint_name))"""
 
 
 @query(f"""WITH {RESCUE} SELECT clip_id, frame_index, joint_name, CASE WHEN saved THEN greatest(0, least(1, x)) ELSE x END AS x, CASE WHEN saved THEN greatest(0, least(1, y)) ELSE y END AS y, CASE WHEN saved THEN 0.62 ELSE confidence END AS confidence,

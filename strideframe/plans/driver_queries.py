@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import smoothing
+from ..operators import completion, smoothing
 from . import adapters as A
-from .catalog_queries import SWING
-from .queries import query, r6
+from .catalog_queries import RESCUE, SWING
+from .queries import K, query, r6
 
 # ---- a stick's whole track: two passes, the swing, the weights
 
@@ -87,3 +87,36 @@ UNION ALL SELECT trial_id, frame_index, 'ball', round(m2x, 6), round(m2y, 6), NU
 def smoothed_stick_tracks(spark, sf_dir):
     out = smoothing.smooth_stick_tracks(stick_tracks(spark, sf_dir), ["trial_id"], TRACKS)
     return out.select("trial_id", "frame_index", "object_name", *[r6(c).alias(c) for c in _ENDS])
+
+
+# ---- completion: bones, rescue, fills with limits by the end of a joint's name
+
+COMPLETION = completion.CompletionRule(threshold=0.4, max_gap=4, gaps={"distal": 6, "mid_limb": 3}, least=0.05, least_alone=0.15, limb_tolerance=0.5, time_tolerance=0.2)
+_D = "sqrt((p.x - d.x) ** 2 + (p.y - d.y) ** 2)"
+_ALONG = "(ub ** 2 - lb ** 2 + dd ** 2) / (2 * CASE WHEN dd > 1e-9 THEN dd END)"
+COMPLETED = f"""WITH {RESCUE},
+r AS (SELECT clip_id, condition_id, frame_index, joint_name, CASE WHEN saved THEN greatest(0, least(1, x)) ELSE x END AS x, CASE WHEN saved THEN greatest(0, least(1, y)) ELSE y END AS y, CASE WHEN saved THEN 0.62 ELSE visibility END AS visibility,
+  CASE WHEN saved THEN 0.62 ELSE confidence END AS confidence, CASE WHEN saved THEN backend || '+rescued' ELSE backend END AS backend, ok OR saved AS good FROM sv),
+n AS (SELECT *, lead(frame_index) OVER w AS nxt, max(frame_index) FILTER (good) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fa, min(frame_index) FILTER (good) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fb FROM r WINDOW w AS (PARTITION BY clip_id, joint_name ORDER BY frame_index)),
+tg AS (SELECT n.clip_id, n.frame_index, n.joint_name, a.x + (b.x - a.x) * ((n.frame_index - fa) / (fb - fa)) AS tx, a.y + (b.y - a.y) * ((n.frame_index - fa) / (fb - fa)) AS ty
+  FROM n JOIN (SELECT clip_id, joint_name, frame_index, x, y, nxt FROM n) a ON a.clip_id = n.clip_id AND a.joint_name = n.joint_name AND a.frame_index = fa JOIN r b ON b.clip_id = n.clip_id AND b.joint_name = n.joint_name AND b.frame_index = fb
+  WHERE NOT n.good AND a.nxt = fa + 1 AND fb - fa - 1 <= CASE n.joint_name WHEN 'right_wrist' THEN 6 WHEN 'right_elbow' THEN 3 ELSE -1 END),
+dirs AS (SELECT p.clip_id, p.frame_index, d.x - p.x AS dx, d.y - p.y AS dy FROM r p JOIN r d ON d.clip_id = p.clip_id AND d.frame_index = p.frame_index AND p.joint_name = 'right_elbow' AND d.joint_name = 'right_wrist' WHERE p.good AND d.good),
+ends AS (SELECT t.clip_id, t.frame_index, any_value(p.x) AS px, any_value(p.y) AS py, any_value(bone) AS bone, any_value(tx) - any_value(p.x) AS vx, any_value(ty) - any_value(p.y) AS vy, arg_min(dx, (abs(q.frame_index - t.frame_index), q.frame_index)) AS dx, arg_min(dy, (abs(q.frame_index - t.frame_index), q.frame_index)) AS dy
+  FROM tg t JOIN r p ON p.clip_id = t.clip_id AND p.frame_index = t.frame_index AND p.joint_name = 'right_elbow' AND p.good JOIN bone b ON b.clip_id = t.clip_id AND b.distal = 'right_wrist' AND bone > 0
+  LEFT JOIN dirs q ON q.clip_id = t.clip_id AND q.frame_index <> t.frame_index AND abs(q.frame_index - t.frame_index) <= 5 WHERE t.joint_name = 'right_wrist' GROUP BY ALL),
+vec AS (SELECT clip_id, frame_index, px, py, bone, CASE WHEN sqrt(vx ** 2 + vy ** 2) <= 1e-6 THEN coalesce(dx, 1) ELSE vx END AS vx, CASE WHEN sqrt(vx ** 2 + vy ** 2) <= 1e-6 THEN coalesce(dy, 0) ELSE vy END AS vy FROM ends),
+mids AS (SELECT t.clip_id, t.frame_index, tx, ty, p.x AS px, p.y AS py, d.x AS ex, d.y AS ey, u.bone AS ub, l.bone AS lb, {_D} AS dd FROM tg t JOIN r p ON p.clip_id = t.clip_id AND p.frame_index = t.frame_index AND p.joint_name = 'right_shoulder' AND p.good
+  JOIN r d ON d.clip_id = t.clip_id AND d.frame_index = t.frame_index AND d.joint_name = 'right_wrist' AND d.good JOIN bone u ON u.clip_id = t.clip_id AND u.distal = 'right_elbow' AND u.bone > 0 JOIN bone l ON l.clip_id = t.clip_id AND l.distal = 'right_wrist' AND l.bone > 0 WHERE t.joint_name = 'right_elbow'),
+m2 AS (SELECT *, {_ALONG} AS al, CASE WHEN dd <= ub + lb AND dd >= abs(ub - lb) AND ub ** 2 >= ({_ALONG}) ** 2 THEN sqrt(greatest(ub ** 2 - ({_ALONG}) ** 2, 0)) END AS hi FROM mids),
+m3 AS (SELECT *, px + (ex - px) / dd * al - (ey - py) / dd * hi AS ax, py + (ey - py) / dd * al + (ex - px) / dd * hi AS ay, px + (ex - px) / dd * al + (ey - py) / dd * hi AS bx, py + (ey - py) / dd * al - (ex - px) / dd * hi AS bw FROM m2),
+fl AS (SELECT clip_id, frame_index, 'right_wrist' AS joint_name, CASE WHEN sqrt(vx ** 2 + vy ** 2) <= 1e-9 THEN px ELSE px + vx * bone / sqrt(vx ** 2 + vy ** 2) END AS x, CASE WHEN sqrt(vx ** 2 + vy ** 2) <= 1e-9 THEN py ELSE py + vy * bone / sqrt(vx ** 2 + vy ** 2) END AS y FROM vec
+  UNION ALL SELECT clip_id, frame_index, 'right_elbow', CASE WHEN hi IS NULL THEN (px + ex) / 2 WHEN (ax - tx) ** 2 + (ay - ty) ** 2 <= (bx - tx) ** 2 + (bw - ty) ** 2 THEN ax ELSE bx END, CASE WHEN hi IS NULL THEN (py + ey) / 2 WHEN (ax - tx) ** 2 + (ay - ty) ** 2 <= (bx - tx) ** 2 + (bw - ty) ** 2 THEN ay ELSE bw END FROM m3)
+SELECT r.clip_id, r.frame_index, r.joint_name, round(CASE WHEN f.clip_id IS NOT NULL THEN greatest(0, least(1, f.x)) ELSE r.x END, 6) AS x, round(CASE WHEN f.clip_id IS NOT NULL THEN greatest(0, least(1, f.y)) ELSE r.y END, 6) AS y,
+  CASE WHEN f.clip_id IS NOT NULL THEN 0.62 ELSE r.confidence END AS confidence, CASE WHEN f.clip_id IS NOT NULL THEN r.backend || '+imputed' ELSE r.backend END AS backend FROM r LEFT JOIN fl f USING (clip_id, frame_index, joint_name)"""
+
+
+@query(COMPLETED)
+def completed_pose(spark, sf_dir):
+    out = completion.complete_pose(A.traj_frame(spark, sf_dir), K, COMPLETION)
+    return out.select("clip_id", "frame_index", "joint_name", r6("x").alias("x"), r6("y").alias("y"), "confidence", "backend")

@@ -73,3 +73,94 @@ def test_a_run_with_an_open_end(spark):
     assert stick_at(short, 0) == pytest.approx((0.1, 0.2, 0.0, 0.2))
     empty = tracks(spark, LINE).limit(0)
     assert smoothing.smooth_stick_tracks(empty, K, smoothing.StickRule(window=3, fast=20.0)).count() == 0
+
+
+# ---- completion
+
+from strideframe.operators import completion  # noqa: E402
+
+POSE = "clip_id string, frame_index long, joint_name string, x double, y double, visibility double, confidence double, backend string, extra int"
+
+
+def pose(spark, rows):
+    return spark.createDataFrame([("c", f, j, x, y, score, score, "test", 7) for f, j, x, y, score in rows], POSE)
+
+
+def point_of(df, frame, joint):
+    return df.filter((F.col("frame_index") == frame) & (F.col("joint_name") == joint)).first()
+
+
+def arm(frames, wrist=None, score=None):
+    """An elbow and a wrist that move to the right, 0.1 apart; wrist and score by frame replace what is there."""
+    for f in frames:
+        yield f, "right_elbow", 0.5 + f * 0.01, 0.5, 1.0
+        x, y = (wrist or {}).get(f, (0.6 + f * 0.01, 0.5))
+        yield f, "right_wrist", x, y, (score or {}).get(f, 1.0)
+
+
+STRICT = completion.CompletionRule(max_gap=0, limb_tolerance=0.25, time_tolerance=0.03)
+
+
+def test_a_doubted_point_that_fits_is_rescued(spark):
+    out = completion.complete_pose(pose(spark, arm(range(5), score={2: 0.08})), K, STRICT)
+    got = point_of(out, 2, "right_wrist")
+    assert (got["x"], got["confidence"], got["visibility"], got["backend"], got["extra"]) == (pytest.approx(0.62), 0.62, 0.62, "test+rescued", 7)
+    assert out.count() == 10 and out.filter("backend = 'test'").count() == 9
+
+
+def test_a_doubted_point_that_does_not_fit_stays(spark):
+    out = completion.complete_pose(pose(spark, arm(range(5), wrist={2: (0.9, 0.9)}, score={2: 0.08})), K, STRICT)
+    assert (point_of(out, 2, "right_wrist")["confidence"], point_of(out, 2, "right_wrist")["backend"]) == (0.08, "test")
+    # Under the least score nothing is rescued; without the step neither.
+    assert point_of(completion.complete_pose(pose(spark, arm(range(5), score={2: 0.01})), K, STRICT), 2, "right_wrist")["backend"] == "test"
+    off = completion.CompletionRule(max_gap=0, rescue=False)
+    assert point_of(completion.complete_pose(pose(spark, arm(range(5), score={2: 0.4})), K, off), 2, "right_wrist")["backend"] == "test"
+
+
+def test_a_shoulder_is_rescued_in_time(spark):
+    rows = [(f, "left_shoulder", 0.2, 0.3, 0.35 if f == 1 else 1.0) for f in range(3)]
+    assert point_of(completion.complete_pose(pose(spark, rows), K, STRICT), 1, "left_shoulder")["backend"] == "test+rescued"
+
+
+def test_short_gaps_of_an_end_are_filled_at_the_bone(spark):
+    missing = {f: (None, None) for f in (2, 3)}
+    out = completion.complete_pose(pose(spark, arm(range(6), wrist=missing)), K, completion.CompletionRule(max_gap=2))
+    for f in (2, 3):
+        got = point_of(out, f, "right_wrist")
+        assert (got["x"], got["y"], got["backend"]) == (pytest.approx(0.6 + f * 0.01), pytest.approx(0.5), "test+imputed")
+    for rule in (completion.CompletionRule(max_gap=1), completion.CompletionRule(gaps={"distal": 1}), completion.CompletionRule(gaps={"right_wrist": 1, "distal": 9})):
+        assert point_of(completion.complete_pose(pose(spark, arm(range(6), wrist=missing)), K, rule), 2, "right_wrist")["x"] is None
+    # Both sides have to be there, right before the gap and behind it.
+    assert point_of(completion.complete_pose(pose(spark, arm(range(4), wrist={3: (None, None)})), K), 3, "right_wrist")["x"] is None
+    holey = [r for r in arm(range(6), wrist=missing) if r[:2] != (2, "right_wrist")]
+    assert point_of(completion.complete_pose(pose(spark, holey), K), 3, "right_wrist")["x"] is None
+
+
+def test_the_direction_of_the_nearest_frame(spark):
+    """The target falls on the elbow: the arm takes the direction that it has in the nearest frame, the earlier of two."""
+    rows = [r for f, up in ((0, 0.6), (2, 0.4)) for r in ((f, "right_elbow", 0.5, 0.5, 1.0), (f, "right_wrist", 0.5, up, 1.0))]
+    rows += [(1, "right_elbow", 0.5, 0.5, 1.0), (1, "right_wrist", None, None, 1.0)]
+    got = point_of(completion.complete_pose(pose(spark, rows), K), 1, "right_wrist")
+    assert (got["x"], got["y"]) == (pytest.approx(0.5), pytest.approx(0.6))
+
+
+def test_a_middle_joint_goes_where_its_bones_meet(spark):
+    rows = []
+    for f in range(3):
+        rows += [(f, "left_hip", 0.5, 0.2, 1.0), (f, "left_knee", 0.6, 0.3, 1.0 if f != 1 else 0.0), (f, "left_ankle", 0.5, 0.4, 1.0)]
+    rows[4] = (1, "left_knee", None, None, 1.0)
+    got = point_of(completion.complete_pose(pose(spark, rows), K), 1, "left_knee")
+    assert (got["x"], got["y"], got["backend"]) == (pytest.approx(0.6), pytest.approx(0.3), "test+imputed")
+    # Too far apart for the bones: half way.
+    rows[5] = (1, "left_ankle", 0.5, 0.9, 1.0)
+    got = point_of(completion.complete_pose(pose(spark, rows), K), 1, "left_knee")
+    assert (got["x"], got["y"]) == (pytest.approx(0.5), pytest.approx(0.55))
+
+
+def test_completion_settings_and_one_shuffle(spark):
+    for bad in ({"max_gap": -1}, {"confidence": 0.0}):
+        with pytest.raises(ValueError):
+            completion.CompletionRule(**bad)
+    out = completion.complete_pose(pose(spark, arm(range(3))), K)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert completion.complete_pose(pose(spark, []), K).count() == 0
