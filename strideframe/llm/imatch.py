@@ -118,7 +118,7 @@ def subset_hashes(terms: Column) -> Column:
     """One hash for each subset over the sorted distinct terms, which are structs of term and mask; EMPTY where none belongs."""
     k = F.sequence(F.lit(0), F.lit(len(rates()) - 1))
     kept = F.transform(k, lambda i: F.array_join(F.transform(F.filter(terms, lambda t: F.call_function("getbit", t["mask"], i) == 1), lambda t: t["term"]), " "))
-    return F.transform(kept, lambda s: F.when(s == "", F.lit(EMPTY)).otherwise(F.substring(F.md5(s), 1, 8)))
+    return F.transform(kept, lambda s: F.substring(F.coalesce(F.md5(F.nullif(s, F.lit(""))), F.lit(EMPTY)), 1, 8))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -140,9 +140,9 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, words: DataFrame)
     lists = terms.select(*keys, F.concat(F.array(F.lit(EVERY)), F.col("terms")).alias("terms"), whole.alias("whole"))
     held = lists.select(*keys, "whole", F.explode("terms").alias("term"))
     found = held.join(known, "term").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "mask"))).alias("terms"), F.first("whole").alias("whole"))
-    hashes = found.select(*keys, subset_hashes(F.col("terms")).alias("hashes"), "whole")
     bare = F.concat(F.array("whole"), F.array_repeat(F.lit(EMPTY), len(rates()) - 1))
-    return hashes.select(*keys, F.when(F.forall("hashes", lambda x: x == EMPTY), bare).otherwise(F.col("hashes")).alias("hashes"))
+    # The hashes stand once in the plan, or they would be computed as often as they stand in it.
+    return found.select(*keys, F.when(F.exists("terms", lambda t: t["mask"] != 0), subset_hashes(F.col("terms"))).otherwise(bare).alias("hashes"))
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
