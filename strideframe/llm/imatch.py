@@ -16,8 +16,8 @@ Rows meet the next row in blocks: bounds taken from a sample of the ids cut the
 and a block's first row goes to the block before it as well, so every row has its successor at hand after one shuffle. The
 bounds decide where a block ends, not what comes out.
 
-Edge cases: null texts are empty. A text without a term in any subset is known by the hash of all its terms, in place of the
-first subset's. Repeated rows and ids count as documents of their own; equal ids are ordered by a hash of their texts, rows
+Edge cases: null texts are empty. A text without a term in any subset is known by its own hash, in place of the first
+subset's. Repeated rows and ids count as documents of their own; equal ids are ordered by a hash of their texts, rows
 equal in both are each other's successors and stay in one block. Null ids come last. A single row follows itself. Extra
 columns are not read. An empty table gives an empty result.
 """
@@ -114,9 +114,21 @@ def in_order_of_ids(docs: DataFrame) -> DataFrame:
     return df.select("block", "spare", "doc_id", "text", F.row_number().over(order).alias("pos"), F.lead("text").over(order).alias("next_text"))
 
 
-def subset_hashes(terms: Column) -> Column:
+def groups_of_subsets() -> list[tuple[str, range]]:
+    """For each rate, a column's name and the subsets of that rate."""
+    first = [sum(n for n, _ in SUBSETS[:i]) for i in range(len(SUBSETS))]
+    return [(f"one_in_{one_in}", range(k, k + n)) for k, (n, one_in) in zip(first, SUBSETS, strict=True)]
+
+
+def listed(subsets: range) -> Column:
+    """An aggregate: the sorted terms that belong to any of these subsets, with their masks."""
+    any_of = F.lit(sum(1 << k for k in subsets)).cast("long")
+    return F.sort_array(F.collect_list(F.when(F.col("mask").bitwiseAND(any_of) != 0, F.struct("term", "mask"))))
+
+
+def subset_hashes(terms: Column, subsets: range) -> Column:
     """One hash for each subset over the sorted distinct terms, which are structs of term and mask; EMPTY where none belongs."""
-    k = F.sequence(F.lit(0), F.lit(len(rates()) - 1))
+    k = F.sequence(F.lit(subsets[0]), F.lit(subsets[-1]))
     kept = F.transform(k, lambda i: F.array_join(F.transform(F.filter(terms, lambda t: F.call_function("getbit", t["mask"], i) == 1), lambda t: t["term"]), " "))
     return F.transform(kept, lambda s: F.substring(F.coalesce(F.md5(F.nullif(s, F.lit(""))), F.lit(EMPTY)), 1, 8))
 
@@ -134,15 +146,17 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, words: DataFrame)
     every = words.sparkSession.createDataFrame([(EVERY, 0)], "term string, mask long")
     known = words.filter("mask != 0").select("term", "mask").unionByName(every)
     known = F.broadcast(known) if words.count() <= BROADCAST_TERMS else known
-    terms = texts.withColumn("terms", terms_of(F.col(text)))
-    whole = F.substring(F.md5(F.array_join(F.sort_array("terms"), " ")), 1, 8)
-    # Behind the generator each term's row carries short columns only, never the list it comes from.
-    lists = terms.select(*keys, F.concat(F.array(F.lit(EVERY)), F.col("terms")).alias("terms"), whole.alias("whole"))
+    # Behind the generator each term's row carries short columns only, never the text or the list it comes from.
+    lists = texts.select(*keys, F.concat(F.array(F.lit(EVERY)), terms_of(F.col(text))).alias("terms"), F.substring(F.md5(F.col(text)), 1, 8).alias("whole"))
     held = lists.select(*keys, "whole", F.explode("terms").alias("term"))
-    found = held.join(known, "term").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "mask"))).alias("terms"), F.first("whole").alias("whole"))
+    # A rate's terms are a list of their own: the few terms of rare subsets are not sought among all of a text's.
+    groups = groups_of_subsets()
+    found = held.join(known, "term").groupBy(*keys).agg(*[listed(subsets).alias(name) for name, subsets in groups], F.first("whole").alias("whole"))
     bare = F.concat(F.array("whole"), F.array_repeat(F.lit(EMPTY), len(rates()) - 1))
+    some = F.greatest(*[F.size(name) for name, _ in groups]) > 0
     # The hashes stand once in the plan, or they would be computed as often as they stand in it.
-    return found.select(*keys, F.when(F.exists("terms", lambda t: t["mask"] != 0), subset_hashes(F.col("terms"))).otherwise(bare).alias("hashes"))
+    hashes = F.concat(*[subset_hashes(F.col(name), subsets) for name, subsets in groups])
+    return found.select(*keys, F.when(some, hashes).otherwise(bare).alias("hashes"))
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:

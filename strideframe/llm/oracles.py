@@ -141,7 +141,7 @@ size AS (SELECT count(*) AS docs FROM d),
 band AS (SELECT term FROM words, size WHERE which = 0 GROUP BY term, docs HAVING count(*) BETWEEN greatest(2, (docs + {imatch.RAREST - 1}) // {imatch.RAREST}) AND docs // {imatch.COMMONEST}),
 members AS (SELECT term, k FROM band, rates WHERE ('0x' || left(md5(k || ':' || term), 5))::INT % one_in = 0),
 held AS (SELECT r, which, k, left(md5(string_agg(term, ' ' ORDER BY term)), 8) AS hash FROM words JOIN members USING (term) GROUP BY ALL),
-whole AS (SELECT r, which, left(md5(coalesce(string_agg(term, ' ' ORDER BY term), '')), 8) AS hash FROM (SELECT r, which FROM texts) LEFT JOIN words USING (r, which) GROUP BY ALL),
+whole AS (SELECT r, which, left(md5(text), 8) AS hash FROM texts),
 every AS (SELECT * FROM held UNION ALL SELECT r, which, 0, hash FROM whole WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.r = whole.r AND h.which = whole.which)),
 printed AS (SELECT r, which, list(coalesce(hash, '{imatch.EMPTY}') ORDER BY k) AS hashes FROM (SELECT * FROM (SELECT r, which FROM texts), rates) LEFT JOIN every USING (r, which, k) GROUP BY ALL),
 sides AS (SELECT own.r, own.hashes AS a, edit.hashes AS b, coalesce(lead(own.hashes) OVER w, first_value(own.hashes) OVER w) AS c FROM printed own JOIN printed edit ON edit.r = own.r AND own.which = 0 AND edit.which = 1 WINDOW w AS (ORDER BY own.r)),

@@ -46,7 +46,7 @@ def brute_imatch(rows):
         own = sorted(terms(text))
         kept = [" ".join(t for t in own if t in member and member[t][k]) for k in range(len(rates))]
         out = [md5(s)[:8] if s else imatch.EMPTY for s in kept]
-        return out if any(x != imatch.EMPTY for x in out) else [md5(" ".join(own))[:8], *[imatch.EMPTY] * (len(rates) - 1)]
+        return out if any(x != imatch.EMPTY for x in out) else [md5(text)[:8], *[imatch.EMPTY] * (len(rates) - 1)]
 
     def near(a, b):
         held = [(x, y) for x, y in zip(a, b, strict=True) if x != imatch.EMPTY or y != imatch.EMPTY]
