@@ -56,10 +56,12 @@ class SortedLists:
             return self.ids[found], np.zeros(len(found), dtype=self.vectors.dtype), len(found)
         depth, scored = 0, 0
         while depth < n:
-            deeper = min(n, depth + max(4 * k, depth // 4))
-            new = np.unique(np.concatenate((self.order[depth:deeper, up].ravel(), self.order[n - deeper : n - depth, down].ravel())))
-            new = new[~seen[new]]
-            seen[new] = True
+            deeper = min(n, depth + max(4 * k, depth // 2))
+            met = np.zeros(n, dtype=bool)
+            met[self.order[depth:deeper, up]] = True
+            met[self.order[n - deeper : n - depth, down]] = True
+            new = np.flatnonzero(met & ~seen)
+            seen |= met
             scored += len(new)
             found, scores = np.concatenate((found, new)), np.concatenate((scores, self.vectors[new] @ query))
             best = np.lexsort((found, -scores))[:k]  # positions rise with ids
