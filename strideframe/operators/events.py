@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import around_peak, position
+from .islands import around_peak, mark_around_peak, position
 from .series import Keys, along
 
 
@@ -98,3 +98,62 @@ def thin_out(df: DataFrame, keys: Keys, source_fps: float, target_fps: float, *,
     step = max(1, round(source_fps / target_fps))
     df = position(df, keys, order=order).filter(F.col("pos") % step == 0).withColumn("new_frame", F.floor(F.col("pos") / step)).drop("pos", "n")
     return df if most is None else df.filter(F.col("new_frame") < most)
+
+
+def swing_segment(df: DataFrame, keys: Keys, speed: str, rate: float, *, share: float = 0.20, least: float = 8.0, expansion_sec: float = 0.15, radius: int = 2, order: str = "frame_index") -> DataFrame:
+    """A row for each series: its smoothed peak, the threshold, the stretch around the peak that reaches it, and that stretch widened by seconds inside the series.
+
+    A series without any speed is one stretch, with its middle row for a peak and no threshold.
+    """
+    margin = max(1, round(expansion_sec * rate))
+    near = along(keys, order).rowsBetween(-radius, radius)
+    df = df.withColumn("_smooth", F.avg(speed).over(near))
+    df = mark_around_peak(df, keys, "_smooth", F.greatest(F.lit(least), F.col("peak") * share), order=order)
+    one = df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("peak", "peak_pos", "start_pos", "end_pos", "n")])
+    last = F.col("n") - 1
+    start, end = F.coalesce("start_pos", F.lit(0)), F.coalesce("end_pos", last)
+    widened = lambda c, by: F.when(F.col("peak").isNull(), c).otherwise(by)
+    return one.select(
+        *keys, "peak", F.when(F.col("peak").isNotNull(), F.greatest(F.lit(least), F.col("peak") * share)).alias("threshold"),
+        F.coalesce("peak_pos", F.floor(F.col("n") / 2)).cast("long").alias("peak_pos"), start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"),
+        widened(start, F.greatest(F.lit(0), start - margin)).cast("long").alias("from_pos"), widened(end, F.least(last, end + margin)).cast("long").alias("to_pos"), "n",
+    )
+
+
+def first_rule(df: DataFrame, keys: Keys, rules: list[Column]) -> DataFrame:
+    """Rows of the first rule that holds for any row of the series, with its number from 1: a chain of fallbacks as rows."""
+    numbers = F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(i + 1)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    df = df.withColumn("_rules", numbers).withColumn("rule", F.min(F.array_min("_rules")).over(Window.partitionBy(*keys)))
+    return df.filter(F.array_contains("_rules", F.col("rule"))).drop("_rules")
+
+
+def ready_rows(df: DataFrame, keys: Keys, swings: DataFrame, points: list[str], speed: str, height: str, *, rate: float, size: int, lookback_sec: float, valid_from: Column | None = None, order: str = "frame_index") -> DataFrame:
+    """The rows of a series' ready stance, with the rule that found them.
+
+    Rows count that lie before the swing's start, at most the lookback away and not before valid_from (a position). Rules in turn:
+    1 the block of `size` whole slow rows with the largest mean height less a fiftieth of its mean speed, the earliest of equals;
+    2 the first `size` whole slow rows, if there are so many; 3 the first whole rows; 4 the first rows of the series with all
+    points; 5 its first rows. Slow is at most 12 % of the swing's peak, or 6. swings: a row a series with start_pos and peak.
+    """
+    df = position(df, keys, order=order).join(swings.select(*keys, F.col("start_pos").alias("_swing"), F.col("peak").alias("_peak")), keys)
+    there = F.lit(True)
+    for p in points:
+        there = there & F.col(p).isNotNull()
+    back = max(size, round(lookback_sec * rate))
+    start = F.greatest(F.lit(0), F.col("_swing") - back, F.coalesce(valid_from, F.lit(0)) if valid_from is not None else F.lit(0))
+    stop = F.greatest(start, F.col("_swing"))
+    df = df.withColumns({"_full": there, "_valid": there & F.col(speed).isNotNull() & (F.col("pos") >= start) & (F.col("pos") < stop), "_limit": F.greatest(F.lit(6.0), F.coalesce(F.col("_peak") * 0.12, F.lit(6.0)))})
+    df = df.withColumn("_slow", F.coalesce(F.col("_valid") & (F.col(speed) <= F.col("_limit")), F.lit(False)))
+    w, block, whole = along(keys, order), along(keys, order).rowsBetween(0, size - 1), Window.partitionBy(*keys)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda c: F.sum(F.col(c).cast("int"))
+    score = F.when(count("_slow").over(block) == size, F.avg(height).over(block) - 0.02 * F.avg(speed).over(block))
+    df = df.withColumns({"_score": score, **{f"{c}_i": count(c).over(so_far) for c in ("_slow", "_valid", "_full")}, "_n_slow": count("_slow").over(whole)})
+    df = df.withColumns({"_best": F.max("_score").over(whole)})
+    df = df.withColumn("_at", F.min(F.when(F.col("_score") == F.col("_best"), F.col("pos"))).over(whole))
+    rules = [
+        F.col("pos").between(F.col("_at"), F.col("_at") + size - 1), F.col("_slow") & (F.col("_slow_i") <= size) & (F.col("_n_slow") >= size), F.col("_valid") & (F.col("_valid_i") <= size),
+        F.col("_full") & (F.col("_full_i") <= size), F.col("pos") < size,
+    ]
+    out = first_rule(df, keys, rules)
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in keys], "pos", "n")

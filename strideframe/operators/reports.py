@@ -82,3 +82,44 @@ def column_number(letters: Column) -> Column:
     """0-based number of a spreadsheet column from its letters; digits behind them are ignored."""
     codes = F.transform(F.split(F.regexp_replace(F.upper(letters), "[^A-Z]", ""), ""), lambda c: F.ascii(c) - 64)
     return F.aggregate(codes, F.lit(0), lambda t, c: F.when(c > 0, t * 26 + c).otherwise(t)) - 1
+
+
+#: Columns of a long metric table, in order.
+METRIC_ROW = (
+    "trial_id", "sample_name", "athlete", "action_type", "source_file", "module", "metric_name_zh", "metric_key", "value", "unit", "aggregation", "event_name", "event_rule", "event_frame", "event_frames", "points_used", "formula",
+    "components_json", "notes",
+)
+
+
+def metric_rows(values: DataFrame, trials: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The long metric table: a row for each trial and metric of the catalog, with availability and its reason.
+
+    values: trial_id, metric_key, value, events (frames), components (a map of texts), notes. trials: trial_id, sample_name, athlete,
+    action_type, source_file. catalog: metric_key, module, metric_name_zh, unit, aggregation, event_name, event_rule, points (names),
+    formula, action_type (null: any). The event's frame is the median of its frames, rounded half to even; components are JSON with
+    sorted names. Metrics of the trial's action without a value are unavailable, those without events of theirs say so too.
+    """
+    # The catalog by action is short: it is made from the few actions there are, so that trials meet it by an equal key.
+    asked = catalog.withColumnRenamed("action_type", "_only")
+    actions = trials.select(F.col("action_type").alias("_action")).distinct()
+    by_action = actions.join(asked, F.col("_only").isNull() | (F.col("_only") == F.col("_action"))).drop("_only")
+    plan = trials.join(by_action, F.col("action_type").eqNullSafe(F.col("_action"))).drop("_action")
+    df = plan.join(values, ["trial_id", "metric_key"], "left")
+    events = F.array_sort(F.coalesce("events", F.array().cast("array<bigint>")))
+    n = F.size(events)
+    middle = (F.get(events, F.floor((n - 1) / 2).cast("int")) + F.get(events, F.floor(n / 2).cast("int"))) / 2
+    sorted_map = F.map_from_entries(F.array_sort(F.map_entries("components")))
+    df = df.withColumns({
+        "event_frame": F.bround(middle).cast("long"), "event_frames": F.array_join(events.cast("array<string>"), ";"), "points_used": F.array_join("points", ";"),
+        "components_json": F.coalesce(F.to_json(sorted_map), F.lit("{}")), "notes": F.coalesce("notes", F.lit("")),
+    })
+    reason = F.when(F.col("value").isNotNull(), "").when(F.col("event_frames") == "", "no_event").otherwise("missing_points")
+    return df.select(*METRIC_ROW, availability(F.col("value")).alias("availability"), reason.alias("reason"))
+
+
+def metric_inventory(categories: DataFrame, available: DataFrame, keys: Keys, *, name: str = "metric") -> DataFrame:
+    """Every category with its examples and, for each key, those of them that are there, in the category's order. categories: a short list (category, examples) of the report's layout; it becomes a literal of the plan."""
+    have = available.groupBy(*keys).agg(F.collect_set(name).alias("_have"))
+    rows = [F.struct(F.lit(r["category"]).alias("category"), F.array(*map(F.lit, r["examples"])).alias("examples")) for r in categories.collect()]
+    out = have.select(*keys, "_have", F.explode(F.array(*rows)).alias("c")).select(*keys, "_have", "c.*")
+    return out.withColumn("available_examples", F.filter("examples", lambda x: F.array_contains("_have", x))).drop("_have")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import completion, smoothing
+from ..functions import confidence as C
+from ..operators import body, completion, events, grids, poses, reports, settings, smoothing
 from . import adapters as A
 from .catalog_queries import RESCUE, SWING
-from .queries import K, query, r6
+from .queries import GAPPY, K, SCORE, TRUST, query, r6
 
 # ---- a stick's whole track: two passes, the swing, the weights
 
@@ -120,3 +122,245 @@ SELECT r.clip_id, r.frame_index, r.joint_name, round(CASE WHEN f.clip_id IS NOT
 def completed_pose(spark, sf_dir):
     out = completion.complete_pose(A.traj_frame(spark, sf_dir), K, COMPLETION)
     return out.select("clip_id", "frame_index", "joint_name", r6("x").alias("x"), r6("y").alias("y"), "confidence", "backend")
+
+
+# ---- grids without holes, unions of frames, samples, bounds
+
+_JOINTS = list(A.JOINTS.values())
+
+
+def _mended(source: str, key: str, columns: list[str], order: str = "frame_index") -> str:
+    """CTEs that end in `grid`: columns of `source` on the line between their neighbours, ends held."""
+    back, on = f"(PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING)", f"(PARTITION BY {key} ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    ends = ", ".join(
+        f"last_value({c} IGNORE NULLS) OVER {back} AS b_{c}, max(CASE WHEN {c} IS NOT NULL THEN pos END) OVER {back} AS p_{c}, first_value({c} IGNORE NULLS) OVER {on} AS a_{c}, min(CASE WHEN {c} IS NOT NULL THEN pos END) OVER {on} AS q_{c}" for c in columns
+    )
+    value = ", ".join(f"round(coalesce({c}, b_{c} + (a_{c} - b_{c}) * ((pos - p_{c}) / (q_{c} - p_{c})), b_{c}, a_{c}), 9) AS {c}" for c in columns)
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS pos FROM {source}), ended AS (SELECT *, {ends} FROM placed),
+grid AS (SELECT {key}, {order}, {value} FROM ended)"""
+
+
+_WIDE = [f"{j}_{a}" for j in _JOINTS for a in "xy"]
+
+
+@query(f"""WITH {A.TRAJ_FRAME}, wide AS (SELECT clip_id, frame_index, {", ".join(f"avg({a}) FILTER (joint_name = '{j}') AS {j}_{a}" for j in _JOINTS for a in "xy")} FROM traj_frame WHERE {SCORE} >= {TRUST} GROUP BY ALL), {_mended("wide", "clip_id", _WIDE)} SELECT * FROM grid""")
+def pivoted_grid(spark, sf_dir):
+    out = grids.pivoted(A.traj_frame(spark, sf_dir).filter(C.trusted(C.pose_score(), TRUST)), ["clip_id"], _JOINTS, ["x", "y"])
+    return out.select("clip_id", "frame_index", *[F.round(c, 9).alias(c) for c in _WIDE])
+
+
+@query(f"""WITH {A.TRAJ_FRAME}, f AS (SELECT DISTINCT clip_id, frame_index FROM traj_frame), t AS (SELECT clip_id, frame_index, avg(timestamp_sec) AS timestamp_sec FROM traj_frame WHERE {SCORE} >= 0.6 GROUP BY ALL), wide AS (SELECT * FROM f LEFT JOIN t USING (clip_id, frame_index)),
+{_mended("wide", "clip_id", ["timestamp_sec"])} SELECT * FROM grid""")
+def mended_time_axis(spark, sf_dir):
+    t = A.traj_frame(spark, sf_dir)
+    return grids.time_axis(t.filter(C.pose_score() >= 0.6), ["clip_id"], frames=t).withColumn("timestamp_sec", F.round("timestamp_sec", 9))
+
+
+@query(f"""WITH {A.TRAJ}, f AS (SELECT *, frame_index // 4 AS f FROM traj) SELECT clip_id, f AS frame_index, round(arg_min(timestamp_sec, frame_index), 6) AS timestamp_sec FROM f GROUP BY ALL""")
+def first_frame_times(spark, sf_dir):
+    t = A.traj(spark, sf_dir).withColumns({"row": F.col("frame_index"), "frame_index": F.floor(F.col("frame_index") / 4)})
+    return grids.frame_times(t, ["clip_id"], ["row"]).withColumn("timestamp_sec", r6("timestamp_sec"))
+
+
+_PARTS = {"right_wrist": 1.0, "left_hip": 0.4, "right_hip": 0.25}
+
+
+@query(f"""WITH {GAPPY}, u AS (SELECT clip_id, frame_index, {", ".join(f"max(x) FILTER (joint_name = '{j}') AS {j}" for j in _PARTS)} FROM gappy WHERE joint_name IN {tuple(_PARTS)} GROUP BY ALL)
+SELECT *, round({" + ".join(f"{w} * coalesce(abs({j}) / nullif(max(abs({j})) OVER (PARTITION BY clip_id), 0), 0)" for j, w in _PARTS.items())}, 9) AS score FROM u""")
+def composite_scores(spark, sf_dir):
+    ok = C.trusted(C.pose_score(), TRUST)
+    t = A.traj(spark, sf_dir).withColumn("x", F.when(ok, F.col("x")))
+    union = grids.frame_union({j: t.filter(F.col("joint_name") == j) for j in _PARTS}, ["clip_id"], "x")
+    return grids.combined_score(union, ["clip_id"], _PARTS).withColumn("score", F.round("score", 9))
+
+
+_MEDIANS = ", ".join(f"median({a}) FILTER (x IS NOT NULL) OVER w AS m{a}" for a in "xyz")
+
+
+@query(f"""WITH {A.MARKERS}, g AS (SELECT * REPLACE (CASE WHEN y <= 80 THEN x END AS x), row_number() OVER (PARTITION BY trial_id, marker ORDER BY frame_index) - 1 AS pos, count(*) OVER (PARTITION BY trial_id, marker) AS n FROM markers),
+m AS (SELECT *, {_MEDIANS} FROM g WINDOW w AS (PARTITION BY trial_id, marker ORDER BY frame_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+SELECT trial_id, marker, frame_index, {", ".join(f"round(m{a}, 6) AS {a}" for a in "xyz")} FROM m WHERE mx IS NOT NULL AND (n <= 8 OR list_contains(list_transform(range(8), lambda k: (k * (n - 1)) // 7), pos))""")
+def sampled_trajectories(spark, sf_dir):
+    m = A.markers(spark, sf_dir).withColumn("x", F.when(F.col("y") <= 80, F.col("x")))
+    out = grids.sampled_trajectory(m, ["trial_id", "marker"], ["x", "y", "z"], most=8, radius=1)
+    return out.select("trial_id", "marker", "frame_index", *[r6(a).alias(a) for a in "xyz"])
+
+
+_BODY = ["hip", "left_hip", "right_hip", "left_shoulder", "right_shoulder", "neck"]
+_PLANES = {"Front": ("x", "y"), "Side": ("z", "y"), "Top": ("x", "z")}
+_PAIRS = [("left_shoulder", "right_shoulder"), ("left_hip", "right_hip"), ("left_shoulder", "left_hip"), ("right_shoulder", "right_hip")]
+_SEEN = {j: f"CASE WHEN (frame_index + {3 * k}) % 5 <> 0 THEN {{}} END" for k, j in enumerate(_BODY)}
+_POSITIVE = lambda names: f"coalesce(list_median(list_filter([{', '.join(f'{n}_y' for n in names)}], lambda v: v > 0)), 0)"
+
+
+def _context_sql() -> str:
+    cols = ", ".join(f"{_SEEN[j].format(f'{j}_{a}')} AS {j}_{a}" for j in _BODY for a in "xyz")
+    center = ", ".join(f"coalesce(hip_{a}, (left_hip_{a} + right_hip_{a}) / 2, left_hip_{a}, right_hip_{a}, {', '.join(f'{j}_{a}' for j in _BODY)}) AS c{a}" for a in "xyz")
+    length = lambda a, b: "sqrt(" + " + ".join(f"({a}_{x} - {b}_{x}) ** 2" for x in "xyz") + ")"
+    scale = f"coalesce(list_median(list_filter([{', '.join(length(a, b) for a, b in _PAIRS)}], lambda v: v IS NOT NULL)), 1)"
+    upper, lower = ["neck", "left_shoulder", "right_shoulder"], ["hip", "left_hip", "right_hip"]
+    none = lambda names: " AND ".join(f"{n}_y IS NULL" for n in names)
+    sign = f"CASE WHEN ({none(upper)}) OR ({none(lower)}) OR {_POSITIVE(upper)} >= {_POSITIVE(lower)} THEN 1 ELSE -1 END"
+    points = " UNION ALL ".join(f"SELECT trial_id, stable, {', '.join(f'({j}_{a} - c{a})' + (' * sign' if a == 'y' else '') + f' / stable AS {a}' for a in 'xyz')} FROM s WHERE {j}_x IS NOT NULL" for j in _BODY)
+    bound = lambda a, n: ", ".join(f"round(quantile_cont({a}, {q}) {op} greatest((quantile_cont({a}, 0.95) - quantile_cont({a}, 0.05)) * 0.15, 1e-4), 6) AS {m}_{n}" for m, q, op in (("min", 0.05, "-"), ("max", 0.95, "+")))
+    planes = " UNION ALL ".join(f"SELECT trial_id, round(stable, 6) AS body_scale, '{p}' AS projection, {bound(a, 'h')}, {bound(b, 'v')} FROM pts GROUP BY trial_id, stable" for p, (a, b) in _PLANES.items())
+    return f"""WITH {A.skeleton_sql()}, seen AS (SELECT trial_id, frame_index, {cols} FROM frames), c AS (SELECT *, {center}, {scale} AS scale, {sign} AS sign FROM seen WHERE coalesce({", ".join(f"{j}_x" for j in _BODY)}) IS NOT NULL),
+s AS (SELECT *, coalesce(median(CASE WHEN scale > 0 THEN scale END) OVER (PARTITION BY trial_id), 1) AS stable FROM c), pts AS ({points}) {planes}"""
+
+
+@query(_context_sql())
+def projection_contexts(spark, sf_dir):
+    f = A.skeleton(spark, sf_dir).select("trial_id", "frame_index", *[F.when((F.col("frame_index") + 3 * k) % 5 != 0, F.col(j)).alias(j) for k, j in enumerate(_BODY)])
+    scale = F.coalesce(body.body_scale(_PAIRS, ("x", "y", "z")), F.lit(1.0))
+    ys = lambda names: [F.col(f"{n}.y") for n in names]
+    upper, lower = ys(["neck", "left_shoulder", "right_shoulder"]), ys(["hip", "left_hip", "right_hip"])
+    positive = lambda cols: F.coalesce(body.column_median([F.when(c > 0, c) for c in cols]), F.lit(0.0))
+    sign = F.when(F.coalesce(*upper).isNull() | F.coalesce(*lower).isNull() | (positive(upper) >= positive(lower)), 1.0).otherwise(-1.0)
+    out = grids.projection_context(f, ["trial_id"], _BODY, poses.pelvis_center(_BODY, ("x", "y", "z")), scale, sign, _PLANES)
+    return out.withColumns({c: r6(c) for c in ("body_scale", "min_h", "max_h", "min_v", "max_v")})
+
+
+# ---- swings and the ready stance, with all their fallbacks
+
+_TM = ["trial_id", "marker"]
+#: Markers whose number leaves a rest by 7 of 0 have no speed, of 1 no points, of 2 a late first valid row, of 3 heights on few rows, of 4 a swing near the start.
+MOTION = f"""{A.MARKERS}, motion AS (SELECT trial_id, marker, frame_index, CASE WHEN marker % 7 <> 0 THEN abs(x) / 8 * CASE WHEN marker % 7 = 4 AND frame_index < 3 THEN 100 ELSE 1 END END AS speed,
+  CASE WHEN marker % 7 <> 1 AND (marker % 7 <> 3 OR frame_index % 4 = 0) THEN z END AS height, CASE WHEN marker % 7 = 2 THEN 1000 END AS valid_from FROM markers)"""
+
+
+def _motion(spark, sf_dir):
+    m, kind = A.markers(spark, sf_dir), F.col("marker") % 7
+    speed = F.abs("x") / 8 * F.when((kind == 4) & (F.col("frame_index") < 3), 100).otherwise(1)
+    return m.select(*_TM, "frame_index", F.when(kind != 0, speed).alias("speed"), F.when((kind != 1) & ((kind != 3) | (F.col("frame_index") % 4 == 0)), F.col("z")).alias("height"), F.when(kind == 2, 1000).alias("valid_from"))
+
+
+SWINGS = f"""{MOTION}, sm AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY trial_id, marker) AS n, avg(speed) OVER (PARTITION BY trial_id, marker ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM motion WINDOW w AS (PARTITION BY trial_id, marker ORDER BY frame_index)),
+pk AS (SELECT trial_id, marker, max(smooth) AS peak, arg_min(pos, (-smooth, pos)) AS pp FROM sm WHERE smooth IS NOT NULL GROUP BY ALL),
+lr AS (SELECT trial_id, marker, max(pos) FILTER (pos < pp AND NOT coalesce(smooth >= greatest(8, peak * 0.2), false)) AS l, min(pos) FILTER (pos > pp AND NOT coalesce(smooth >= greatest(8, peak * 0.2), false)) AS r FROM sm JOIN pk USING (trial_id, marker) GROUP BY ALL),
+nn AS (SELECT trial_id, marker, any_value(n) AS n FROM sm GROUP BY ALL),
+swings AS (SELECT trial_id, marker, peak, CASE WHEN peak IS NOT NULL THEN greatest(8, peak * 0.2) END AS threshold, coalesce(pp, n // 2) AS peak_pos, CASE WHEN peak IS NULL THEN 0 ELSE coalesce(l, -1) + 1 END AS start_pos, CASE WHEN peak IS NULL THEN n - 1 ELSE coalesce(r, n) - 1 END AS end_pos, n
+  FROM nn LEFT JOIN pk USING (trial_id, marker) LEFT JOIN lr USING (trial_id, marker))"""
+
+
+@query(f"""WITH {SWINGS} SELECT trial_id, marker, round(peak, 6) AS peak, round(threshold, 6) AS threshold, peak_pos, start_pos, end_pos, CASE WHEN peak IS NULL THEN start_pos ELSE greatest(0, start_pos - 15) END AS from_pos, CASE WHEN peak IS NULL THEN end_pos ELSE least(n - 1, end_pos + 15) END AS to_pos, n FROM swings""")
+def swing_segments(spark, sf_dir):
+    return events.swing_segment(_motion(spark, sf_dir), _TM, "speed", 100.0).withColumns({c: r6(c) for c in ("peak", "threshold")})
+
+
+@query(f"""WITH {SWINGS}, q AS (SELECT s.*, height IS NOT NULL AS full_, greatest(0, w.start_pos - 20, coalesce(valid_from, 0)) AS st, greatest(greatest(0, w.start_pos - 20, coalesce(valid_from, 0)), w.start_pos) AS sp, greatest(6, coalesce(w.peak * 0.12, 6)) AS lim FROM sm s JOIN swings w USING (trial_id, marker)),
+v AS (SELECT *, full_ AND speed IS NOT NULL AND pos >= st AND pos < sp AS valid, coalesce(full_ AND speed IS NOT NULL AND pos >= st AND pos < sp AND speed <= lim, false) AS slow FROM q),
+b AS (SELECT *, CASE WHEN sum(slow::INT) OVER k = 4 THEN avg(height) OVER k - 0.02 * avg(speed) OVER k END AS score, sum(slow::INT) OVER o AS si, sum(valid::INT) OVER o AS vi, sum(full_::INT) OVER o AS fi, sum(slow::INT) OVER (PARTITION BY trial_id, marker) AS ns
+  FROM v WINDOW k AS (PARTITION BY trial_id, marker ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), o AS (PARTITION BY trial_id, marker ORDER BY frame_index)),
+a AS (SELECT trial_id, marker, arg_min(pos, (-score, pos)) AS at_ FROM b WHERE score IS NOT NULL GROUP BY ALL),
+r AS (SELECT b.*, CASE WHEN pos BETWEEN at_ AND at_ + 3 THEN 1 END AS r1, CASE WHEN slow AND si <= 4 AND ns >= 4 THEN 2 END AS r2, CASE WHEN valid AND vi <= 4 THEN 3 END AS r3, CASE WHEN full_ AND fi <= 4 THEN 4 END AS r4, CASE WHEN pos < 4 THEN 5 END AS r5 FROM b LEFT JOIN a USING (trial_id, marker)),
+f AS (SELECT *, min(least(r1, r2, r3, r4, r5)) OVER (PARTITION BY trial_id, marker) AS rule FROM r)
+SELECT trial_id, marker, frame_index, rule FROM f WHERE rule IN (coalesce(r1, 0), coalesce(r2, 0), coalesce(r3, 0), coalesce(r4, 0), coalesce(r5, 0))""")
+def ready_stances(spark, sf_dir):
+    m = _motion(spark, sf_dir)
+    swings = events.swing_segment(m, _TM, "speed", 100.0)
+    out = events.ready_rows(m, _TM, swings, ["height"], "speed", "height", rate=100.0, size=4, lookback_sec=0.2, valid_from=F.col("valid_from"))
+    return out.select(*_TM, "frame_index", "rule")
+
+
+# ---- settings, switches, calibrations, owners
+
+_ACTION = "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'batting' WHEN c_mktsegment = 'BUILDING' THEN 'pitching' WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 'running' END"
+
+
+def _clips(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("clip_id"), F.expr(_ACTION).alias("action_type"), "c_acctbal", "c_nationkey")
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS clip_id, {_ACTION} AS action_type FROM customer)
+SELECT clip_id, coalesce(action_type <> 'pitching', true) AND clip_id % 7 <> 0 AS detect_stick, clip_id % 11 = 0 OR coalesce(action_type <> 'pitching', true) AS detect_ball FROM c""")
+def clip_switches(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    out = settings.equipment_switches(c, c.filter("clip_id % 7 = 0"), c.filter("clip_id % 11 = 0"), ball_for_batting=True)
+    return out.select("clip_id", "detect_stick", "detect_ball")
+
+
+@query("""WITH c AS (SELECT c_custkey AS clip_id, c_nationkey AS k FROM customer)
+SELECT clip_id, 'gap=' || CASE WHEN k % 3 = 0 THEN k::VARCHAR ELSE '5' END || CASE WHEN k % 4 = 1 THEN ';note=own' ELSE '' END || ';window=' || CASE WHEN k % 5 = 0 THEN '7' ELSE '9' END AS settings FROM c""")
+def clip_settings(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    own = lambda cond, name, value: c.filter(cond).select("clip_id", F.lit(name).alias("setting"), value.cast("string").alias("value"))
+    over = own("c_nationkey % 3 = 0", "gap", F.col("c_nationkey")).unionByName(own("c_nationkey % 5 = 0", "window", F.lit(7))).unionByName(own("c_nationkey % 4 = 1", "note", F.lit("own")))
+    out = settings.clip_settings(c, over, F.create_map(F.lit("gap"), F.lit("5"), F.lit("window"), F.lit("9")))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("settings")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.select("clip_id", text.alias("settings"))
+
+
+@query("""SELECT o_orderkey AS orderkey, round(o_totalprice * 1.8 / CASE WHEN c_acctbal > 0 THEN c_acctbal END * 3.6, 6) AS speed_kmh FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON c_custkey = o_custkey""")
+def calibrated_speeds(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("clip_id"), "o_totalprice")
+    known = _clips(spark, sf_dir).filter("clip_id % 5 <> 0").select("clip_id", F.col("c_acctbal").alias("body_height_px"))
+    return settings.calibrated_speed(o, known, height_m=1.8, speed="o_totalprice").select("orderkey", r6("speed_kmh").alias("speed_kmh"))
+
+
+@query("""WITH o AS (SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY ALL HAVING count(DISTINCT l_returnflag) = 3)
+SELECT s.l_suppkey AS suppkey, min(o.l_linenumber::VARCHAR) AS line FROM (SELECT DISTINCT l_suppkey FROM lineitem) s LEFT JOIN o USING (l_suppkey) GROUP BY ALL""")
+def owning_lines(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("suppkey"), F.col("l_linenumber").cast("string").alias("line"), "l_returnflag")
+    return settings.first_owner(li, ["suppkey"], "line", "l_returnflag", ["A", "N", "R"])
+
+
+@query("""SELECT l_partkey AS partkey, CASE min(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 2 WHEN 'A' THEN 3 END) FILTER (l_quantity > 45) WHEN 1 THEN 'R' WHEN 2 THEN 'N' WHEN 3 THEN 'A' END AS flag FROM lineitem GROUP BY ALL""")
+def first_flags(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("partkey"), F.col("l_returnflag").alias("flag"), "l_quantity")
+    return settings.first_existing(li, ["partkey"], "flag", ["R", "N", "A"], F.col("l_quantity") > 45)
+
+
+# ---- the long metric table and its inventory
+
+_CATALOG = [
+    ("peak_speed", "swing", "峰值速度", "m/s", "max", "peak", "first maximum", ["m0"], "max |x|", "batting"),
+    ("mean_height", "posture", "平均高度", "mm", "mean", "", "", ["m0", "m1"], "mean z", None),
+    ("low_frames", "posture", "低位", "frames", "count", "low", "z below -150", ["m1"], "count", "pitching"),
+]
+
+
+def _trial_rows(spark, sf_dir):
+    f = A.marker_frames(spark, sf_dir, [0, 1])
+    trials = f.select("trial_id").distinct().withColumns({"action_type": F.when(F.col("trial_id") % 3 == 0, "batting").when(F.col("trial_id") % 3 == 1, "pitching").otherwise("running"), "sample_name": F.concat(F.lit("s"), "trial_id"), "athlete": F.lit("a"), "source_file": F.concat(F.col("trial_id").cast("string"), F.lit(".c3d"))})
+    top, low = F.max(F.abs("m0.x")).over(Window.partitionBy("trial_id")), F.col("m1.z") < -150
+    marked = f.withColumns({"_top": F.abs("m0.x") == top})
+    kind = "struct<metric_key:string,value:double,events:array<bigint>,components:map<string,string>,notes:string>"
+    none = F.lit(None)
+    metric = lambda key, value, events=none, components=none, notes=none: F.struct(F.lit(key), value, events, components, notes).cast(kind)
+    parts = F.create_map(F.lit("n"), F.count(F.lit(1)).cast("string"), F.lit("axis"), F.lit("x"))
+    found = marked.groupBy("trial_id").agg(F.array(
+        metric("peak_speed", F.max(F.abs("m0.x")), F.collect_list(F.when(F.col("_top"), F.col("frame_index"))), parts),
+        metric("mean_height", F.avg((F.col("m0.z") + F.col("m1.z")) / 2), notes=F.lit("both ends")),
+        metric("low_frames", F.when(F.count_if(low) > 0, F.count_if(low)), F.collect_list(F.when(low, F.col("frame_index")))),
+    ).alias("m"))
+    values = found.select("trial_id", F.explode("m").alias("m")).select("trial_id", "m.*")
+    catalog = spark.createDataFrame(_CATALOG, "metric_key string, module string, metric_name_zh string, unit string, aggregation string, event_name string, event_rule string, points array<string>, formula string, action_type string")
+    return values, trials, catalog
+
+
+def _metric_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else f"'{';'.join(v)}'" if isinstance(v, list) else f"'{v}'" for v in r) + ")" for r in _CATALOG)
+    return f"""WITH {A.marker_frames_sql([0, 1])}, cat(metric_key, module, metric_name_zh, unit, aggregation, event_name, event_rule, points_used, formula, only_) AS (VALUES {rows}),
+t AS (SELECT DISTINCT trial_id, CASE trial_id % 3 WHEN 0 THEN 'batting' WHEN 1 THEN 'pitching' ELSE 'running' END AS action_type FROM frames),
+g AS (SELECT *, abs(m0x) = max(abs(m0x)) OVER (PARTITION BY trial_id) AS top FROM frames),
+v AS (SELECT trial_id, 'peak_speed' AS metric_key, max(abs(m0x)) AS value, list(frame_index ORDER BY frame_index) FILTER (top) AS ev, '{{"axis":"x","n":"' || count(*) || '"}}' AS components_json, '' AS notes FROM g GROUP BY trial_id
+  UNION ALL SELECT trial_id, 'mean_height', avg((m0z + m1z) / 2), NULL, '{{}}', 'both ends' FROM g GROUP BY trial_id
+  UNION ALL SELECT trial_id, 'low_frames', nullif(count(*) FILTER (m1z < -150), 0)::DOUBLE, list(frame_index ORDER BY frame_index) FILTER (m1z < -150), '{{}}', '' FROM g GROUP BY trial_id)
+SELECT t.trial_id, 's' || t.trial_id AS sample_name, 'a' AS athlete, action_type, t.trial_id || '.c3d' AS source_file, module, metric_name_zh, metric_key, round(value, 6) AS value, unit, aggregation, event_name, event_rule,
+  round_even(list_median(ev), 0)::BIGINT AS event_frame, coalesce(array_to_string(ev, ';'), '') AS event_frames, points_used, formula, components_json, notes, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS availability,
+  CASE WHEN value IS NOT NULL THEN '' WHEN ev IS NULL THEN 'no_event' ELSE 'missing_points' END AS reason FROM t JOIN cat ON only_ IS NULL OR only_ = action_type LEFT JOIN v USING (trial_id, metric_key)"""
+
+
+@query(_metric_sql())
+def metric_table(spark, sf_dir):
+    return reports.metric_rows(*_trial_rows(spark, sf_dir)).withColumn("value", r6("value"))
+
+
+_CATEGORIES = [("urgent", ["1-URGENT", "2-HIGH"]), ("other", ["3-MEDIUM", "5-LOW", "6-NONE"])]
+
+
+@query(f"""WITH {A.ENTITY_METRICS}, c(category, examples) AS (VALUES ('urgent', ['1-URGENT', '2-HIGH']), ('other', ['3-MEDIUM', '5-LOW', '6-NONE'])), h AS (SELECT entity, list(DISTINCT metric) AS have FROM entity_metrics GROUP BY ALL)
+SELECT entity, category, array_to_string(examples, ';') AS examples, array_to_string(list_filter(examples, lambda x: list_contains(have, x)), ';') AS available_examples FROM h, c""")
+def metric_inventory(spark, sf_dir):
+    out = reports.metric_inventory(spark.createDataFrame(_CATEGORIES, "category string, examples array<string>"), A.entity_metrics(spark, sf_dir), ["entity"])
+    return out.select("entity", "category", F.array_join("examples", ";").alias("examples"), F.array_join("available_examples", ";").alias("available_examples"))
