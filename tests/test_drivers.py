@@ -164,3 +164,141 @@ def test_completion_settings_and_one_shuffle(spark):
     out = completion.complete_pose(pose(spark, arm(range(3))), K)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert completion.complete_pose(pose(spark, []), K).count() == 0
+
+
+# ---- grids, samples, events, settings
+
+from strideframe.operators import events, grids, reports, settings  # noqa: E402
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def by_key(df, *names):
+    return sorted(tuple(r[n] for n in names) for r in df.collect())
+
+
+def test_a_grid_has_no_holes(spark):
+    rows = [("c", 2, "a", 1.0), ("c", 2, "a", 3.0), ("c", 9, "b", 5.0), ("c", 40, "a", 8.0), ("c", 50, "b", 6.0), ("c", 51, "b", None), ("d", 1, "b", 7.0)]
+    out = grids.pivoted(frame(spark, rows, "clip_id string, frame_index long, joint_name string, x double"), K, ["a", "b"], ["x"])
+    # By rows, not by frame numbers; ends held; a name without a value stays null.
+    assert by_key(out, "clip_id", "frame_index", "a_x", "b_x") == [("c", 2, 2.0, 5.0), ("c", 9, 5.0, 5.0), ("c", 40, 8.0, 5.5), ("c", 50, 8.0, 6.0), ("c", 51, 8.0, 6.0), ("d", 1, None, 7.0)]
+    half = grids.pivoted(frame(spark, rows[:1], "clip_id string, frame_index long, joint_name string, x double"), K, ["a"], ["x"], scale=0.001)
+    assert half.first()["a_x"] == 0.001
+
+
+def test_a_time_axis(spark):
+    rows = [("c", 1, 0.1), ("c", 1, 0.3), ("c", 3, None), ("c", 4, 0.8)]
+    t = frame(spark, rows, "clip_id string, frame_index long, timestamp_sec double")
+    assert by_key(grids.time_axis(t, K), "frame_index", "timestamp_sec") == [(1, pytest.approx(0.2)), (3, pytest.approx(0.5)), (4, 0.8)]
+    wanted = frame(spark, [("c", f) for f in (0, 1, 2, 4, 9)], "clip_id string, frame_index long")
+    assert [v for _, v in by_key(grids.time_axis(t, K, frames=wanted), "frame_index", "timestamp_sec")] == pytest.approx([0.2, 0.2, 0.5, 0.8, 0.8])
+
+
+def test_frames_that_only_one_table_has(spark):
+    make = lambda rows: frame(spark, rows, "clip_id string, frame_index long, v double")
+    union = grids.frame_union({"a": make([("c", 1, 4.0), ("c", 2, -8.0)]), "b": make([("c", 2, 3.0), ("c", 7, None)]), "e": make([])}, K, "v")
+    assert by_key(union.na.fill(-1), "frame_index", "a", "b", "e") == [(1, 4.0, -1.0, -1.0), (2, -8.0, 3.0, -1.0), (7, -1.0, -1.0, -1.0)]
+    score = grids.combined_score(union, K, {"a": 1.0, "b": 0.4, "e": 0.25})
+    assert by_key(score, "frame_index", "score") == [(1, 0.5), (2, 1.4), (7, 0.0)]
+    seen = frame(spark, [("c", 1, 5, 0.9), ("c", 1, 2, 0.4), ("c", 2, 1, None)], "clip_id string, frame_index long, row long, timestamp_sec double")
+    assert by_key(grids.frame_times(seen, K, ["row"]), "frame_index", "timestamp_sec") == [(1, 0.4), (2, None)]
+
+
+def test_sampled_trajectories(spark):
+    make = lambda values: frame(spark, [("c", i, v, v) for i, v in enumerate(values)], "clip_id string, frame_index long, x double, y double")
+    pick = lambda df, **o: [r["frame_index"] for r in grids.sampled_trajectory(df, K, ["x", "y"], **o).orderBy("frame_index").collect()]
+    for n in (1, 5, 24, 25, 47, 100, 231):
+        import numpy as np
+
+        want = list(range(n)) if n <= 24 else np.linspace(0, n - 1, 24, dtype=int).tolist()
+        assert pick(make([float(i) for i in range(n)])) == want
+    gap = make([0.0, None, None, None, 9.0, 2.0, 7.0])
+    assert pick(gap) == [0, 4, 5, 6] and pick(gap, radius=1) == [0, 1, 3, 4, 5, 6]
+    near = {r["frame_index"]: r["x"] for r in grids.sampled_trajectory(gap, K, ["x", "y"], radius=1).collect()}
+    assert near == {0: 0.0, 1: 0.0, 3: 9.0, 4: 5.5, 5: 7.0, 6: 4.5}
+    assert pick(make([])) == []
+
+
+MOVES = "clip_id string, frame_index long, speed double, height double"
+
+
+def stance(spark, rows, swing, peak, **options):
+    df = frame(spark, [("c", i, s, h) for i, (s, h) in enumerate(rows)], MOVES)
+    swings = frame(spark, [("c", swing, peak)], "clip_id string, start_pos long, peak double")
+    out = events.ready_rows(df, K, swings, ["height"], "speed", "height", rate=10.0, size=2, lookback_sec=1.0, **options)
+    return [(r["rule"], r["frame_index"]) for r in out.orderBy("frame_index").collect()]
+
+
+def test_every_rule_of_the_ready_stance(spark):
+    slow, fast, blind = (1.0, 5.0), (50.0, 5.0), (1.0, None)
+    # 1: of the blocks that are slow throughout the highest, the earliest of equals.
+    assert stance(spark, [slow, slow, (1.0, 7.0), (1.0, 7.0), (1.0, 7.0), fast, slow, slow], 6, 100.0) == [(1, 2), (1, 3)]
+    # 2: no block, but two slow rows.
+    assert stance(spark, [slow, fast, slow, fast, slow, fast], 6, 100.0) == [(2, 0), (2, 2)]
+    # 3: too few slow rows.
+    assert stance(spark, [slow, fast, fast, fast, fast], 5, 100.0) == [(3, 0), (3, 1)]
+    assert stance(spark, [fast, slow], 1, 100.0) == [(3, 0)]
+    # 4: nothing before the swing, or nothing valid there.
+    assert stance(spark, [slow, blind, slow, slow], 0, 100.0) == [(4, 0), (4, 2)]
+    assert stance(spark, [blind, blind, slow, fast, slow], 2, 100.0) == [(4, 2), (4, 3)]
+    assert stance(spark, [slow, slow, slow], 2, 100.0, valid_from=F.lit(9)) == [(4, 0), (4, 1)]
+    # 5: no point at all.
+    assert stance(spark, [blind, blind, blind], 2, None) == [(5, 0), (5, 1)]
+    # The lookback ends ten rows before the swing.
+    assert stance(spark, [slow] * 5 + [(1.0, 1.0)] * 11, 15, 100.0) == [(1, 5), (1, 6)]
+
+
+def test_swing_segments(spark):
+    df = frame(spark, [("c", i, s, 0.0) for i, s in enumerate([0.0] * 10 + [100.0] * 5 + [0.0] * 10)] + [("d", i, None, 0.0) for i in range(5)], MOVES)
+    got = {r["clip_id"]: r.asDict() for r in events.swing_segment(df, K, "speed", 10.0).collect()}
+    # Means of five rows reach 20 % of the peak from two rows before the first fast one.
+    assert {k: got["c"][k] for k in ("peak", "threshold", "peak_pos", "start_pos", "end_pos", "from_pos", "to_pos")} == {"peak": 100.0, "threshold": 20.0, "peak_pos": 12, "start_pos": 8, "end_pos": 16, "from_pos": 6, "to_pos": 18}
+    assert {k: got["d"][k] for k in ("peak", "threshold", "peak_pos", "start_pos", "end_pos", "from_pos", "to_pos")} == {"peak": None, "threshold": None, "peak_pos": 2, "start_pos": 0, "end_pos": 4, "from_pos": 0, "to_pos": 4}
+
+
+def test_switches_and_settings(spark):
+    clips = frame(spark, [("p", "pitching"), ("b", "batting"), ("r", "running"), ("n", None), ("q", "pitching")], "clip_id string, action_type string")
+    one = lambda c: clips.filter(F.col("clip_id") == c)
+    got = by_key(settings.equipment_switches(clips, one("b"), one("q")), "clip_id", "detect_stick", "detect_ball")
+    assert got == [("b", False, False), ("n", True, True), ("p", False, False), ("q", False, True), ("r", True, True)]
+    got = by_key(settings.equipment_switches(clips, one("x"), one("x"), ball_for_pitching=True, ball_for_batting=True, stick=False), "clip_id", "detect_stick", "detect_ball")
+    assert got == [(c, False, True) for c in "bnpqr"]
+    over = frame(spark, [("p", "gap", "9"), ("p", "more", "1"), ("zz", "gap", "0")], "clip_id string, setting string, value string")
+    found = {r["clip_id"]: r["settings"] for r in settings.clip_settings(clips, over, F.create_map(F.lit("gap"), F.lit("5"), F.lit("window"), F.lit("3"))).collect()}
+    assert found["p"] == {"gap": "9", "window": "3", "more": "1"} and found["b"] == {"gap": "5", "window": "3"}
+    speeds = frame(spark, [("p", 100.0), ("b", 100.0), ("r", None)], "clip_id string, px double")
+    known = frame(spark, [("p", 180.0), ("p", -1.0), ("b", 0.0), ("r", 90.0)], "clip_id string, body_height_px double")
+    assert by_key(settings.calibrated_speed(speeds, known, height_m=1.8, speed="px").filter("clip_id != 'r'").na.fill(-1), "clip_id", "speed_kmh") == [("b", -1.0), ("p", pytest.approx(3.6))]
+    names = frame(spark, [("raw_smooth",), ("roi_complete_smooth",), ("roi_complete",), ("smooth_x",)], "c string").select(settings.source_condition(F.col("c")).alias("s"))
+    assert sorted(r["s"] for r in names.collect()) == ["raw", "roi", "roi", "smooth_x"]
+
+
+def test_owners_and_candidates(spark):
+    df = frame(spark, [("t", "B", "m1"), ("t", "B", "m2"), ("t", "A", "m1"), ("t", "C", "m1"), ("t", "C", "m2"), ("u", "A", "m1")], "trial_id string, prefix string, marker string")
+    assert by_key(settings.first_owner(df, ["trial_id"], "prefix", "marker", ["m1", "m2"]).na.fill("-"), "trial_id", "prefix") == [("t", "B"), ("u", "-")]
+    with pytest.raises(Exception, match="no prefix has all of m1, m2"):
+        settings.first_owner(df, ["trial_id"], "prefix", "marker", ["m1", "m2"], required=True).collect()
+    there = F.col("prefix") != "A"
+    assert by_key(settings.first_existing(df, ["trial_id"], "marker", ["m9", "m2", "m1"], there).na.fill("-"), "trial_id", "marker") == [("t", "m2"), ("u", "-")]
+    with pytest.raises(Exception, match="none of m9, m2"):
+        settings.first_existing(df, ["trial_id"], "marker", ["m9", "m2"], there, required=True).collect()
+
+
+def test_projection_bounds(spark):
+    rows = [("c", float(i), 2.0 * i, 5.0) for i in range(21)]
+    out = {r["projection"]: r for r in grids.projection_bounds(frame(spark, rows, "clip_id string, x double, y double, z double"), K, {"Front": ("x", "y"), "Top": ("x", "z")}).collect()}
+    assert (out["Front"]["min_h"], out["Front"]["max_h"]) == (pytest.approx(1 - 2.7), pytest.approx(19 + 2.7))
+    assert (out["Top"]["min_v"], out["Top"]["max_v"]) == (pytest.approx(5 - 1e-4), pytest.approx(5 + 1e-4))
+
+
+def test_metric_rows(spark):
+    catalog = frame(spark, [("k", "m", "n", "u", "max", "e", "r", ["a", "b"], "f", "batting"), ("w", "m", "n", "u", "max", "", "", [], "f", None)], "metric_key string, module string, metric_name_zh string, unit string, aggregation string, event_name string, event_rule string, points array<string>, formula string, action_type string")
+    trials = frame(spark, [("1", "s", "a", "batting", "x"), ("2", "s", "a", None, "x")], "trial_id string, sample_name string, athlete string, action_type string, source_file string")
+    values = frame(spark, [("1", "k", 2.5, [7, 3, 4, 8], {"z": "1", "b": "2"}, None), ("1", "w", None, [1], None, "why")], "trial_id string, metric_key string, value double, events array<bigint>, components map<string,string>, notes string")
+    got = {(r["trial_id"], r["metric_key"]): r for r in reports.metric_rows(values, trials, catalog).collect()}
+    assert set(got) == {("1", "k"), ("1", "w"), ("2", "w")} and len(got["1", "k"]) == 21
+    k = got["1", "k"]
+    assert (k["event_frame"], k["event_frames"], k["points_used"], k["components_json"], k["availability"], k["reason"]) == (6, "3;4;7;8", "a;b", '{"b":"2","z":"1"}', "available", "")
+    assert (got["1", "w"]["reason"], got["1", "w"]["notes"], got["2", "w"]["reason"], got["2", "w"]["components_json"]) == ("missing_points", "why", "no_event", "{}")
