@@ -28,7 +28,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,18 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 MARKS = ".,;:!?|%&#*$()"
 
 
+class Numbers(dict):
+    """Words by order of their first sight; fresh: those since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
     """Encodes texts through a tokenizers file, asking the library once for each distinct word.
 
@@ -72,7 +84,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbers()
         self.cores: dict[str, np.ndarray] = {}
         self.flat, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
 
@@ -106,12 +118,12 @@ class WordEncoder:
         end = np.array([] if self.end_id is None else [self.end_id], dtype=np.uint32)
         if len(self.index) > self.known_words:
             self._forget()
-        index, known = self.index, len(self.index)
-        rows = []
+        number, rows = self.index.__getitem__, []
         for t in texts:
             words = [] if not t else [t] if ODD_SPACE.search(t) else t.split()
-            rows.append(np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64))
-        self._learn(list(islice(index, known, None)))
+            rows.append(np.fromiter(map(number, words), np.int64, len(words)))
+        fresh, self.index.fresh = self.index.fresh, []
+        self._learn(fresh)
         starts = np.cumsum(self.sizes) - self.sizes
         out = []
         for at in rows:
