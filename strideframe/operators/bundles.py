@@ -201,10 +201,9 @@ def batting_phase(frames: DataFrame, keys: Keys) -> DataFrame:
     """event_frame: most motion between 35 and 75 % of the clip; its phase; landing_frame: first frame up to it with 90 % of the widest stride so far."""
     df = body_motion(frames, keys)
     w = _whole(keys)
-    rows = F.sort_array(F.collect_list(ORDER).over(w))
-    df = df.withColumn("_rows", rows)
-    place = lambda share: F.get("_rows", F.floor(F.size("_rows") * share).cast("int"))
-    df = df.withColumns({"_from": place(0.35), "_to": place(0.75)}).drop("_rows")
+    df = df.withColumns({"_i": F.row_number().over(along(keys, ORDER)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    place = lambda share: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * share), F.col(ORDER))).over(w)
+    df = df.withColumns({"_from": place(0.35), "_to": place(0.75)}).drop("_i", "_n")
     df = df.withColumn("event_frame", _first_max(keys, F.col("motion"), F.col(ORDER).between(F.col("_from"), F.col("_to"))))
     df = boundaries(df, keys, "motion", "event_frame", first=F.col("_from"), last=F.col("_to"))
     df = df.withColumn("_gap", ankle_gap())

@@ -84,7 +84,7 @@ def metrics_in_order(rows: DataFrame, keys: Keys, wanted: list[str], *, metric:
 
 
 def means_by(rows: DataFrame, keys: Keys, metric: str, *, value: str = "value") -> DataFrame:
-    """Mean and first finite value of one metric by key."""
+    """Mean and number of the finite values of one metric by key."""
     there = rows.filter((F.col("metric") == metric) & F.col(value).isNotNull() & ~F.isnan(value))
     return there.groupBy(*keys).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 

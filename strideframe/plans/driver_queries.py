@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import confidence as C
-from ..operators import body, completion, events, grids, poses, reports, settings, smoothing
+from ..operators import body, comparisons, completion, events, grids, poses, reports, settings, smoothing
 from . import adapters as A
 from .catalog_queries import RESCUE, SWING
-from .queries import GAPPY, K, SCORE, TRUST, query, r6
+from . import bundle_queries as BQ
+from .queries import GAPPY, K, ORACLES, QUERIES, SCORE, TRUST, query, r6
 
 # ---- a stick's whole track: two passes, the swing, the weights
 
@@ -315,14 +316,14 @@ def first_flags(spark, sf_dir):
 _CATALOG = [
     ("peak_speed", "swing", "峰值速度", "m/s", "max", "peak", "first maximum", ["m0"], "max |x|", "batting"),
     ("mean_height", "posture", "平均高度", "mm", "mean", "", "", ["m0", "m1"], "mean z", None),
-    ("low_frames", "posture", "低位", "frames", "count", "low", "z below -150", ["m1"], "count", "pitching"),
+    ("low_frames", "posture", "低位", "frames", "count", "low", "z below -280", ["m1"], "count", "pitching"),
 ]
 
 
 def _trial_rows(spark, sf_dir):
     f = A.marker_frames(spark, sf_dir, [0, 1])
     trials = f.select("trial_id").distinct().withColumns({"action_type": F.when(F.col("trial_id") % 3 == 0, "batting").when(F.col("trial_id") % 3 == 1, "pitching").otherwise("running"), "sample_name": F.concat(F.lit("s"), "trial_id"), "athlete": F.lit("a"), "source_file": F.concat(F.col("trial_id").cast("string"), F.lit(".c3d"))})
-    top, low = F.max(F.abs("m0.x")).over(Window.partitionBy("trial_id")), F.col("m1.z") < -150
+    top, low = F.max(F.abs("m0.x")).over(Window.partitionBy("trial_id")), F.col("m1.z") < -280
     marked = f.withColumns({"_top": F.abs("m0.x") == top})
     kind = "struct<metric_key:string,value:double,events:array<bigint>,components:map<string,string>,notes:string>"
     none = F.lit(None)
@@ -345,7 +346,7 @@ t AS (SELECT DISTINCT trial_id, CASE trial_id % 3 WHEN 0 THEN 'batting' WHEN 1 T
 g AS (SELECT *, abs(m0x) = max(abs(m0x)) OVER (PARTITION BY trial_id) AS top FROM frames),
 v AS (SELECT trial_id, 'peak_speed' AS metric_key, max(abs(m0x)) AS value, list(frame_index ORDER BY frame_index) FILTER (top) AS ev, '{{"axis":"x","n":"' || count(*) || '"}}' AS components_json, '' AS notes FROM g GROUP BY trial_id
   UNION ALL SELECT trial_id, 'mean_height', avg((m0z + m1z) / 2), NULL, '{{}}', 'both ends' FROM g GROUP BY trial_id
-  UNION ALL SELECT trial_id, 'low_frames', nullif(count(*) FILTER (m1z < -150), 0)::DOUBLE, list(frame_index ORDER BY frame_index) FILTER (m1z < -150), '{{}}', '' FROM g GROUP BY trial_id)
+  UNION ALL SELECT trial_id, 'low_frames', nullif(count(*) FILTER (m1z < -280), 0)::DOUBLE, list(frame_index ORDER BY frame_index) FILTER (m1z < -280), '{{}}', '' FROM g GROUP BY trial_id)
 SELECT t.trial_id, 's' || t.trial_id AS sample_name, 'a' AS athlete, action_type, t.trial_id || '.c3d' AS source_file, module, metric_name_zh, metric_key, round(value, 6) AS value, unit, aggregation, event_name, event_rule,
   round_even(list_median(ev), 0)::BIGINT AS event_frame, coalesce(array_to_string(ev, ';'), '') AS event_frames, points_used, formula, components_json, notes, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS availability,
   CASE WHEN value IS NOT NULL THEN '' WHEN ev IS NULL THEN 'no_event' ELSE 'missing_points' END AS reason FROM t JOIN cat ON only_ IS NULL OR only_ = action_type LEFT JOIN v USING (trial_id, metric_key)"""
@@ -364,3 +365,56 @@ SELECT entity, category, array_to_string(examples, ';') AS examples, array_to_st
 def metric_inventory(spark, sf_dir):
     out = reports.metric_inventory(spark.createDataFrame(_CATEGORIES, "category string, examples array<string>"), A.entity_metrics(spark, sf_dir), ["entity"])
     return out.select("entity", "category", F.array_join("examples", ";").alias("examples"), F.array_join("available_examples", ";").alias("available_examples"))
+
+
+# ---- bundles side by side
+
+@query(f"""WITH f AS ({ORACLES["motion_features"]}) SELECT clip_id, NULL::DOUBLE AS trunk_rotation_velocity, round(quantile_cont(abs(pelvis_rotation_velocity_deg_s), 0.95), 3) AS pelvis_rotation_velocity, NULL::DOUBLE AS hip_shoulder_separation,
+  round(quantile_cont(abs(hand_speed_proxy), 0.95), 3) AS hand_speed_proxy, NULL::DOUBLE AS left_knee_flexion, round(quantile_cont(180 - right_elbow_angle_deg, 0.95), 3) AS right_knee_flexion, NULL::DOUBLE AS left_wrist_speed, round(quantile_cont(hand_speed_proxy, 0.95), 3) AS right_wrist_speed FROM f GROUP BY clip_id""")
+def public_values(spark, sf_dir):
+    """The adapter has one arm and no knees: the arm's elbow stands in for the right knee, the rest has no values."""
+    f = QUERIES["motion_features"](spark, sf_dir).withColumns({"right_knee_angle_deg": F.col("right_elbow_angle_deg"), "right_wrist_speed": F.col("hand_speed_proxy")})
+    f = f.withColumns({c: F.lit(None).cast("double") for _, c, _ in comparisons.PUBLIC if c not in f.columns})
+    out = comparisons.public_values(f, ["clip_id"])
+    return out.select("clip_id", *[F.round(n, 3).alias(n) for n, *_ in comparisons.PUBLIC])
+
+
+def _compared_sql() -> str:
+    parts = []
+    for i, (name, column, unit, how, low, high) in enumerate(comparisons.PITCH):
+        value, ref = (f"b.{column} / CASE WHEN abs(c.{column}) >= 1e-9 THEN c.{column} END * 100", f"CASE WHEN c.{column} IS NOT NULL THEN 100 END") if how == "relative" else (f"b.{column}", f"c.{column}")
+        x, pad = f"abs({value})" if how == "size" else f"({value})", (high - low) * 0.35
+        band = f"CASE WHEN {x} IS NULL THEN 'warn' WHEN {x} BETWEEN {low} AND {high} THEN 'ok' WHEN {x} BETWEEN {low - pad} AND {high + pad} THEN 'warn' ELSE 'bad' END"
+        share = f"CASE WHEN {x} IS NULL THEN 'warn' WHEN {x} >= {high} THEN 'ok' WHEN {x} >= {low} THEN 'warn' ELSE 'bad' END"
+        status = "'warn'" if how == "none" else share if how in ("share", "relative") else band
+        parts.append(f"SELECT b.trial_id, {i + 1} AS position, '{name}' AS metric, {value} AS value, {ref} AS coach_value, '{unit}' AS unit, {status} AS status FROM b LEFT JOIN c ON c.lane = b.trial_id % 4")
+    return f"""WITH b AS ({ORACLES["pitch_bundle"]}), c AS (SELECT trial_id AS lane, * EXCLUDE (trial_id) FROM b WHERE trial_id < 3), r AS ({" UNION ALL ".join(parts)})
+SELECT trial_id, "position", metric, round(value, 4) AS value, round(coach_value, 4) AS coach_value, unit, status, round(CASE WHEN coach_value IS NULL OR abs(coach_value) < 1e-6 THEN 50 ELSE greatest(0, least(140, abs(value - coach_value) / abs(coach_value) * 100)) END, 4) AS gap_score FROM r"""
+
+
+@query(_compared_sql())
+def compared_pitches(spark, sf_dir):
+    b = QUERIES["pitch_bundle"](spark, sf_dir)
+    coach = b.filter("trial_id < 3").withColumnRenamed("trial_id", "lane")
+    out = comparisons.compared_pitch(b.withColumn("lane", F.col("trial_id") % 4), coach, ["trial_id"], ["lane"])
+    return out.withColumns({c: F.round(c, 4) for c in ("value", "coach_value", "gap_score")})
+
+
+def _angles_sql() -> str:
+    pick = {
+        "knee": f"CASE WHEN trial_id % 2 = 0 THEN {BQ.joint('left_hip', 'left_knee', 'left_ankle')} ELSE {BQ.joint('right_hip', 'right_knee', 'right_ankle')} END", "elbow": BQ.joint("right_shoulder", "right_elbow", "right_wrist"),
+        "trunk_tilt": "degrees(atan2(abs(neck_x - hip_x), greatest(abs(neck_y - hip_y), 1e-6)))",
+        "hip_shoulder_separation": f"abs({BQ.turn(BQ.yaw('right_hip', 'left_hip'), BQ.yaw('right_shoulder', 'left_shoulder'))})",
+    }
+    return f"WITH {A.skeleton_sql()} " + " UNION ALL ".join(f"SELECT trial_id, frame_index, '{n}' AS name, round({v}, 6) AS value FROM frames" for n, v in pick.items())
+
+
+@query(_angles_sql())
+def angles_by_kind(spark, sf_dir):
+    return comparisons.angle_series(A.skeleton(spark, sf_dir), ["trial_id"], F.col("trial_id") % 2 == 0).withColumn("value", r6("value"))
+
+
+@query("""SELECT o_custkey AS custkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_totalprice > 150000) AS price FROM orders GROUP BY ALL""")
+def first_prices(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("custkey"), F.when(F.col("o_totalprice") > 150000, F.col("o_totalprice")).otherwise(float("nan")).alias("price"), "o_orderdate", "o_orderkey")
+    return comparisons.first_value(o, ["custkey"], "price", ["o_orderdate", "o_orderkey"])

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 NPZ_SCHEMA = "path string, frame_index long, joint_name string, x_3d double, y_3d double, z_3d double, input_quality_score double"
-CELL_SCHEMA = "path string, sheet string, row long, column long, value string"
+CELL_SCHEMA = "path string, sheet string, sheet_index long, row long, column long, value string"
 KEYS = ("joints", "joints_3d", "keypoints_3d", "positions")
 
 
@@ -36,8 +36,8 @@ def decode_npz(data: bytes, names: list[str] | None = None) -> pd.DataFrame:
     return out.replace({np.nan: None})
 
 
-def decode_xlsx(data: bytes) -> list[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of all filled cells, rows and columns from 0."""
+def decode_xlsx(data: bytes) -> list[tuple[str, int, int, int, str]]:
+    """(sheet, its number, row, column, text) of all filled cells, numbers, rows and columns from 0."""
     local = lambda e: e.tag.rpartition("}")[2]
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -46,7 +46,7 @@ def decode_xlsx(data: bytes) -> list[tuple[str, int, int, str]]:
             shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"]
         titles = [e.get("name", "") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"]
         sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-        for title, name in zip(titles, sheets, strict=False):
+        for number, (title, name) in enumerate(zip(titles, sheets, strict=False)):
             for cell in (e for e in ElementTree.fromstring(z.read(name)).iter() if local(e) == "c"):
                 letters, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
                 column = 0
@@ -54,7 +54,7 @@ def decode_xlsx(data: bytes) -> list[tuple[str, int, int, str]]:
                     column = column * 26 + ord(c) - 64
                 text = "".join(e.text or "" for e in cell.iter() if local(e) in ("v", "t"))
                 if text:
-                    out.append((title, int(row) - 1, column - 1, shared[int(text)] if cell.get("t") == "s" else text))
+                    out.append((title, number, int(row) - 1, column - 1, shared[int(text)] if cell.get("t") == "s" else text))
     return out
 
 
@@ -79,6 +79,6 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame([(name, *c) for c in decode_xlsx(bytes(content))], columns=["path", "sheet", "row", "column", "value"])
+                yield pd.DataFrame([(name, *c) for c in decode_xlsx(bytes(content))], columns=[c.split()[0] for c in CELL_SCHEMA.split(", ")])
 
     return _files(spark, path, "xlsx").mapInPandas(run, CELL_SCHEMA)

@@ -302,3 +302,69 @@ def test_metric_rows(spark):
     k = got["1", "k"]
     assert (k["event_frame"], k["event_frames"], k["points_used"], k["components_json"], k["availability"], k["reason"]) == (6, "3;4;7;8", "a;b", '{"b":"2","z":"1"}', "available", "")
     assert (got["1", "w"]["reason"], got["1", "w"]["notes"], got["2", "w"]["reason"], got["2", "w"]["components_json"]) == ("missing_points", "why", "no_event", "{}")
+
+
+# ---- sheets and comparisons
+
+import io  # noqa: E402
+import zipfile  # noqa: E402
+
+from strideframe.functions.scoring import gap_score  # noqa: E402
+from strideframe.operators import comparisons  # noqa: E402
+from strideframe.sources import arrays, sheets  # noqa: E402
+
+
+def workbook(**pages):
+    """A workbook of sheets, each a list of rows of cells; texts are inline."""
+    data = io.BytesIO()
+    letter = lambda k: chr(65 + k)
+    cell = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{ref}"><v>{v}</v></c>'
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", "<workbook><sheets>" + "".join(f'<sheet name="{n}"/>' for n in pages) + "</sheets></workbook>")
+        for i, rows in enumerate(pages.values()):
+            body = "".join("<row>" + "".join(cell(f"{letter(k)}{r + 1}", v) for k, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows))
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
+    return data.getvalue()
+
+
+def test_a_marker_workbook(spark, tmp_path):
+    head = [["Trajectories"], [120], [None, None, "S:head", None, None, "hip"], ["Frame", "Sub", "X", "Y", "Z", "X", "Y", "Z"], [None, None, "mm", "mm", "mm", "mm", "mm", "mm"]]
+    rows = [[1, 0, 1.5, 2, 3, 4, 5, 6], [2, 0, None, 2.5, None, "n/a", None, 7], [None, 0, 9, 9, 9, 9, 9, 9]]
+    (tmp_path / "t.xlsx").write_bytes(workbook(First=head + rows, Second=[["x"], [1], [None, None, "other"]]))
+    (tmp_path / "u.xlsx").write_bytes(workbook(Only=[["t"], [None, 1], [None, None, "m"], [], [], [7, 0, 1, 2, 3]]))
+    got = by_key(sheets.marker_rows(arrays.read_cells(spark, str(tmp_path))).na.fill(-1), "rate_hz", "frame_index", "joint_name", "x", "y", "z")
+    assert got == sorted([(120.0, 0, "head", 1.5, 2.0, 3.0), (120.0, 0, "hip", 4.0, 5.0, 6.0), (120.0, 1, "head", -1.0, 2.5, -1.0), (120.0, 1, "hip", -1.0, -1.0, 7.0), (100.0, 6, "m", 1.0, 2.0, 3.0)])
+
+
+def test_a_peer_workbook(spark, tmp_path):
+    report = [["no", "shown", "name", "value", "unit"], [1, "a", "Stride ", 85, "%H"], [2, "b", "Stride", 90, "%H"], [3, "c", "Speed", "fast", "km"], [4, "d", "Speed", 31.5, "km"], [5, "e", "Unknown", 3, "x"], [6, "f", "Tilt", None, "deg"]]
+    (tmp_path / "a_report.xlsx").write_bytes(workbook(Report=report, About=[["title", "x"], ["source", "data/Ann B/run"]]))
+    (tmp_path / "b_report.xlsx").write_bytes(workbook(Report=report[:3], About=[["source", "nowhere"]]))
+    names = spark.createDataFrame([("Stride", "stride_ratio"), ("Speed", "speed"), ("Tilt", "tilt")], "name string, metric_key string")
+    out = sheets.peer_metrics(arrays.read_cells(spark, str(tmp_path)), names, {"km": "kmh", "%H": "ratio"}, sheet="Report", about="About", source="source", of_height="%H", ending="_report.xlsx")
+    assert by_key(out, "athlete", "metric_key", "metric_name", "value", "unit") == [("Ann B", "speed", "Speed", 31.5, "kmh"), ("Ann B", "stride_ratio", "Stride", 0.9, "ratio"), ("b", "stride_ratio", "Stride", 0.9, "ratio")]
+
+
+def test_compared_pitch_and_gap(spark):
+    names = [c for _, c, *_ in comparisons.PITCH]
+    own = spark.createDataFrame([("t", "c", *[50.0] * 13), ("u", "none", *[150.0] * 13)], "trial_id string, coach string, " + ", ".join(f"{c} double" for c in names))
+    coach = spark.createDataFrame([("c", *[40.0] * 13)], "coach string, " + ", ".join(f"{c} double" for c in names))
+    got = {(r["trial_id"], r["metric"]): r for r in comparisons.compared_pitch(own, coach, ["trial_id"], ["coach"]).collect()}
+    assert len(got) == 26
+    speed, lean = got["t", "arm_speed"], got["t", "trunk_lean"]
+    assert (speed["value"], speed["coach_value"], speed["status"], speed["gap_score"]) == (125.0, 100.0, "ok", 25.0) and (lean["value"], lean["status"], lean["gap_score"]) == (50.0, "bad", 25.0)
+    alone = got["u", "arm_speed"]
+    assert (alone["value"], alone["coach_value"], alone["status"], alone["gap_score"]) == (None, None, "warn", 50.0) and got["u", "elbow_bend"]["status"] == "ok" and got["u", "weight_transfer"]["status"] == "warn"
+    far = spark.range(1).select(gap_score(F.lit(9.0), F.lit(1.0)).alias("a"), gap_score(F.lit(9.0), F.lit(0.0)).alias("b")).first()
+    assert (far["a"], far["b"]) == (140.0, 50.0)
+
+
+def test_chosen_trials_and_first_values(spark):
+    trials = spark.createDataFrame([(1, "t2", "Batting"), (2, "t1", "batting"), (3, None, "pitching")], "row long, trial_id string, action_type string")
+    pick = lambda **o: comparisons.selected_trial(trials, ["row"], **o).first()["trial_id"]
+    assert pick(action_type="batting") == "t2" and pick(trial_id="t1") == "t1"
+    for bad in ({"trial_id": "t9"}, {"action_type": "pitching"}, {"action_type": "running"}):
+        with pytest.raises(Exception, match="no trial"):
+            pick(**bad)
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, float("nan")), ("a", 3, 5.0), ("a", 4, 6.0), ("b", 1, float("inf"))], "k string, row long, v double")
+    assert by_key(comparisons.first_value(rows, ["k"], "v", ["row"]).na.fill(-1), "k", "v") == [("a", 5.0), ("b", -1.0)]
