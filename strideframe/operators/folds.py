@@ -34,15 +34,20 @@ def _fold(df: DataFrame, keys: list[str], columns: str, step: Callable[[pd.DataF
     return df.groupBy(*keys).applyInPandas(lambda pdf: step(pdf.sort_values(order, kind="stable")), schema)
 
 
+def torso_rejects(points: np.ndarray, frames: np.ndarray, multiplier: float, floor: float) -> np.ndarray:
+    """Centres too far from the last accepted one. Under five centres or without a step there are none."""
+    there, median = ~np.isnan(points).any(axis=1), _median_step(points)
+    if there.sum() < 5 or median == 0:
+        return np.zeros(len(points), dtype=bool)
+    return there & ~accepted(points, frames, max(median * multiplier, floor), by_gap=True)
+
+
 def torso_continuity(centers: DataFrame, keys: list[str], multiplier: float, floor: float) -> DataFrame:
     """rejected: frames whose centre (cx, cy) is too far from the last accepted one. Under five centres or without a step nothing is."""
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf[["cx", "cy"]].to_numpy(dtype=float, na_value=np.nan)
-        there, median = ~np.isnan(p).any(axis=1), _median_step(p)
-        if there.sum() < 5 or median == 0:
-            return pdf.assign(rejected=False)
-        return pdf.assign(rejected=there & ~accepted(p, pdf["frame_index"].to_numpy(), max(median * multiplier, floor), by_gap=True))
+        return pdf.assign(rejected=torso_rejects(p, pdf["frame_index"].to_numpy(), multiplier, floor))
 
     return _fold(centers, keys, "rejected boolean", step)
 

@@ -35,6 +35,29 @@ def limb_length_gate(df: DataFrame, keys: Keys, axes: list[str], tolerance: floa
     return out.withColumns({a: F.when(F.col("_bad").isNull(), F.col(a)) for a in axes}).drop("_bad")
 
 
+def limb_gate_by_windows(df: DataFrame, keys: Keys, axes: list[str], tolerance: float, *, usable: Column, segments: Segments = LIMB_SEGMENTS) -> DataFrame:
+    """limb_length_gate for segments that reject one joint each: the other end is looked up in a window over the frame, the median taken in one over the series. No join."""
+    whole = usable
+    for a in axes:
+        whole = whole & F.col(a).isNotNull()
+    rejects = {r: b if r == a else a for a, b, r in segments}
+    if len(rejects) != len(segments):
+        raise ValueError("a joint is rejected by two segments")
+    frame, joint = Window.partitionBy(*keys, "frame_index"), F.col("joint_name")
+    others = sorted(set(rejects.values()))
+    # The greatest of repeated points, as among the rejected ones.
+    df = df.withColumns({f"_at_{o}": F.max(F.when(whole & (joint == o), F.struct(*axes))).over(frame) for o in others})
+    df = df.withColumn("_own", F.max(F.when(whole, F.struct(*axes))).over(Window.partitionBy(*keys, "frame_index", "joint_name")))
+    other = F.coalesce(*[F.when(joint == r, F.col(f"_at_{o}")) for r, o in rejects.items()])
+    df = df.withColumn("_other", other).drop(*[f"_at_{o}" for o in others])
+    df = df.withColumn("_length", distance([F.col(f"_own.{a}") for a in axes], [F.col(f"_other.{a}") for a in axes]))
+    first = F.row_number().over(Window.partitionBy(*keys, "frame_index", "joint_name").orderBy(*axes)) == 1
+    df = df.withColumn("_first", first)
+    df = df.withColumn("_usual", F.median(F.when(F.col("_first"), F.col("_length"))).over(Window.partitionBy(*keys, "joint_name")))
+    off = F.coalesce((F.col("_usual") > 0) & (F.abs(F.col("_length") - F.col("_usual")) / F.col("_usual") > tolerance), F.lit(False))
+    return df.withColumns({a: F.when(~off, F.col(a)) for a in axes}).drop("_own", "_other", "_length", "_first", "_usual")
+
+
 def without_frames(df: DataFrame, keys: Keys, frames: DataFrame, axes: list[str]) -> DataFrame:
     """All points of some frames are taken out; the rows stay."""
     out = df.join(frames.select(*keys, "frame_index").distinct().withColumn("_bad", F.lit(True)), [*keys, "frame_index"], "left")

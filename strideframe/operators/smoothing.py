@@ -41,27 +41,40 @@ class Pose2dRule:
 AXES = ["x", "y"]
 
 
+def _torso_flags(df: DataFrame, keys: Keys, rule: Pose2dRule) -> DataFrame:
+    """Frames without a believable torso: too far from the last accepted one, or in a run of fewer consecutive frames than asked for (none where the whole series has fewer)."""
+    centers = gates.torso_centers(df, keys, rule.threshold)
+    least = rule.least_torso_frames
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_index", kind="stable")
+        p, frames = pdf[["cx", "cy"]].to_numpy(dtype=float, na_value=np.nan), pdf["frame_index"].to_numpy()
+        out = folds.torso_rejects(p, frames, rule.torso_jump, rule.least_torso_jump) if rule.torso_gate else np.zeros(len(p), dtype=bool)
+        there = np.flatnonzero(~np.isnan(p).any(axis=1) & ~out)
+        if least > 1 and len(there) >= least:
+            number = np.concatenate(([0], np.cumsum(np.diff(frames[there]) > 1)))
+            out[there[np.bincount(number)[number] < least]] = True
+        return pdf[out][[*keys, "frame_index"]]
+
+    kept = centers.select(*keys, "frame_index")
+    return centers.groupBy(*keys).applyInPandas(run, kept.schema)
+
+
 def gate_pose2d(df: DataFrame, keys: Keys, rule: Pose2dRule) -> DataFrame:
-    """Points out of frames whose torso jumps or is seen too briefly, and of joints whose limb or foot is off its usual length. Rows stay."""
-    if rule.torso_gate:
-        centers = folds.torso_continuity(gates.torso_centers(df, keys, rule.threshold), keys, rule.torso_jump, rule.least_torso_jump)
-        df = gates.without_frames(df, keys, centers.filter("rejected"), AXES)
-    if rule.least_torso_frames > 1:
-        df = gates.without_frames(df, keys, short_torso_frames(df, keys, rule.threshold, rule.least_torso_frames), AXES)
+    """Points out of frames whose torso jumps or is seen too briefly, and of joints whose limb or foot is off its usual length. Rows stay.
+
+    The torso's frames are folded once and joined back once; limbs are windows over the frame and the series. All of it follows one
+    partitioning by series, which later windows over joints share.
+    """
+    df = df.repartition(*keys)
+    if rule.torso_gate or rule.least_torso_frames > 1:
+        df = gates.without_frames(df, keys, _torso_flags(df, keys, rule), AXES).repartition(*keys)
     ok = not_distrusted(pose_score(), by_joint(rule.thresholds, rule.threshold))
     for segments, tolerance in ((LIMB_SEGMENTS, rule.limb_tolerance), (FOOT_SEGMENTS, rule.foot_tolerance)):
-        df = gates.limb_length_gate(df, keys, AXES, tolerance, usable=ok, segments=segments)
+        df = gates.limb_gate_by_windows(df, keys, AXES, tolerance, usable=ok, segments=segments)
     return df
 
 
-def short_torso_frames(df: DataFrame, keys: Keys, threshold: float, least: int) -> DataFrame:
-    """Frames of runs of fewer than `least` consecutive frames with a torso; none where the whole series has fewer."""
-    seen = gates.torso_centers(df, keys, threshold).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull())
-    runs = islands.consecutive_runs(seen, keys)
-    runs = runs.withColumns({"_run": F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")), "_all": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    return runs.filter((F.col("_run") < least) & (F.col("_all") >= least)).select(*keys, "frame_index")
-
-
 def smooth_pose2d(df: DataFrame, keys: Keys, rule: Pose2dRule = Pose2dRule()) -> DataFrame:
     """2-D points: gates, distrusted points and isolated jumps out, short gaps filled, then median, polynomial and mean filters, gaps and edges filled again."""
     joint = [*keys, "joint_name"]

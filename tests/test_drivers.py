@@ -368,3 +368,12 @@ def test_chosen_trials_and_first_values(spark):
             pick(**bad)
     rows = spark.createDataFrame([("a", 1, None), ("a", 2, float("nan")), ("a", 3, 5.0), ("a", 4, 6.0), ("b", 1, float("inf"))], "k string, row long, v double")
     assert by_key(comparisons.first_value(rows, ["k"], "v", ["row"]).na.fill(-1), "k", "v") == [("a", 5.0), ("b", -1.0)]
+
+
+def test_the_pose_driver_folds_once(spark):
+    """One fold of the torso and one partitioning by series, however many gates and filters follow."""
+    rows = [(f, j, 0.5 + 0.01 * f, 0.4, 1.0) for f in range(6) for j in ("left_hip", "right_hip", "left_knee")]
+    out = smoothing.smooth_pose2d(pose(spark, rows), K, smoothing.Pose2dRule(least_torso_frames=2))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("Exchange hashpartitioning") <= 7
+    assert out.count() == len(rows)
