@@ -63,6 +63,13 @@ def action_window(scored: DataFrame, keys: Keys, rule: WindowRule = BATTING) ->
     return _placed(_constrained(_core(scored, keys), rule.pad, rule.frames, "start_pos", "end_pos"), keys)
 
 
+def action_rows(scored: DataFrame, keys: Keys, rule: WindowRule = BATTING) -> DataFrame:
+    """The rows inside each series' action window, marked where they are: no join of the scores with their own windows."""
+    rows = _constrained(_core(scored, keys), rule.pad, rule.frames, "start_pos", "end_pos")
+    inside = F.col("pos").between(F.col("start_index"), F.col("end_index")) | ~F.coalesce(F.col("peak") > 0, F.lit(False))
+    return rows.filter(inside).select(*scored.columns)
+
+
 def video_window(scored: DataFrame, keys: Keys, rule: WindowRule = BATTING) -> DataFrame:
     """A wider window: from the last quiet frame of the search range on either side of the core."""
     rows, pos, whole = _core(scored, keys), F.col("pos"), Window.partitionBy(*keys)

@@ -374,8 +374,7 @@ def video_window(spark, sf_dir):
 
 @query()
 def rows_in_action_window(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    return windows.rows_in_window(scored, K, windows.action_window(scored, K)).select("clip_id", "frame_index", "score")
+    return windows.action_rows(_scored(spark, sf_dir), K).select("clip_id", "frame_index", "score")
 
 
 def _m(k: int) -> list[Column]:
