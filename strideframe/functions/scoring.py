@@ -87,7 +87,7 @@ def nice_step(span: Column) -> Column:
     return F.coalesce(F.when(part <= 1, 1).when(part <= 2, 2).when(part <= 5, 5).otherwise(10) * magnitude, F.lit(1.0))
 
 
-def gap_score(x: Column, reference: Column) -> Column:
+def percent_gap(x: Column, reference: Column) -> Column:
     """How far a value is from its reference in percent of it, 0 to 140; 50 without a usable reference."""
     off = F.abs(x - reference) / F.abs(reference) * 100
     return F.when(reference.isNull() | (F.abs(reference) < 1e-6), 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(140.0), off)))

@@ -153,17 +153,20 @@ def phase_rows(phases: DataFrame, keys: Keys, frames: DataFrame, *, rate: float
     return long.join(time, [*keys, "frame_index"], "left").select(*keys, "metric_name", "frame_index", F.coalesce("_t", F.col("frame_index") / rate).alias("value"))
 
 
-def ablation_rows(points: DataFrame, keys: Keys, joints: dict[str, list[str]], wrists: list[str], threshold: float) -> DataFrame:
-    """The long table of an ablation: completeness of joint groups, mean confidence a frame, and missing rate, jitter and second difference of each wrist.
+def ablation_rows(points: DataFrame, keys: Keys, joints: dict[str, list[str]], wrists: list[str], threshold: float, *, runtime: str | None = None) -> DataFrame:
+    """The long table of an ablation: completeness of joint groups, mean confidence a frame, mean runtime over frames (if its column is named), and missing rate, jitter and second difference of each wrist.
 
     One row a frame, windows over the series, one aggregate, then a row for each metric: the points are read once.
     """
     name, ok = F.col("joint_name"), F.col("x").isNotNull() & F.col("y").isNotNull() & trusted(pose_score(), threshold)
     share = {g: F.count_distinct(F.when(ok & name.isin(*names), name)) / len(names) for g, names in joints.items()}
     place = {w: F.max(F.when(ok & (name == w), F.struct("x", "y"))).alias(f"_p_{w}") for w in wrists}
-    frames = points.groupBy(*keys, "frame_index").agg(*[v.alias(f"_s_{g}") for g, v in share.items()], F.min_by("confidence", "joint_name").alias("_c"), *place.values())
+    # A frame's runtime is that of its first row, if that has one.
+    took = [F.min_by(runtime, name).alias("_took")] if runtime else []
+    frames = points.groupBy(*keys, "frame_index").agg(*[v.alias(f"_s_{g}") for g, v in share.items()], F.min_by("confidence", "joint_name").alias("_c"), *took, *place.values())
     before = along(keys).rowsBetween(Window.unboundedPreceding, -1)
     metrics = [("keypoint_completeness", g, F.avg(f"_s_{g}")) for g in joints] + [("mean_confidence", "all", F.avg("_c"))]
+    metrics += [("runtime_ms_per_frame", "all", F.avg("_took"))] if runtime else []
     for w in wrists:
         p, q, r = f"_p_{w}", f"_q_{w}", f"_r_{w}"
         frames = frames.withColumn(q, F.last(p, ignorenulls=True).over(before))

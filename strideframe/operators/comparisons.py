@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import delta_degrees, joint_angle
-from ..functions.scoring import band_status, gap_score, percent_of, percent_status
+from ..functions.scoring import band_status, percent_gap, percent_of, percent_status
 from .bundles import at, lean_2d, yaw
 from .series import Keys
 
@@ -47,7 +47,7 @@ def compared_pitch(bundles: DataFrame, coach: DataFrame, keys: Keys, on: Keys) -
         status = F.lit("warn") if how == "none" else percent_status(value, low, high) if how in ("share", "relative") else band_status(judged, F.lit(low), F.lit(high))
         rows.append(F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("metric"), value.alias("value"), reference.cast("double").alias("coach_value"), F.lit(unit).alias("unit"), status.alias("status")))
     out = df.select(*keys, F.inline(F.array(*rows)))
-    return out.withColumn("gap_score", gap_score(F.col("value"), F.col("coach_value")))
+    return out.withColumn("gap_score", percent_gap(F.col("value"), F.col("coach_value")))
 
 
 def angle_series(frames: DataFrame, keys: Keys, pitching: Column) -> DataFrame:

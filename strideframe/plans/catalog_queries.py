@@ -194,13 +194,14 @@ GROUPS = {"torso": ["right_shoulder", "left_hip", "right_hip"], "arm": ["right_e
 
 
 @query(f"""WITH {A.TRAJ_FRAME}, f AS (SELECT clip_id, condition_id, frame_index, {", ".join(f"count(DISTINCT joint_name) FILTER ({SCORE} >= {TRUST} AND joint_name IN ({', '.join(repr(j) for j in names)})) / {len(names)} AS {g}" for g, names in GROUPS.items())},
-  arg_min(confidence, joint_name) AS c, max(x) FILTER ({SCORE} >= {TRUST} AND joint_name = '{_W}') AS x, max(y) FILTER ({SCORE} >= {TRUST} AND joint_name = '{_W}') AS y FROM traj_frame GROUP BY ALL),
+  arg_min(confidence, joint_name) AS c, arg_min_null(CASE WHEN y > 0.2 THEN x * 40 END, joint_name) AS took, max(x) FILTER ({SCORE} >= {TRUST} AND joint_name = '{_W}') AS x, max(y) FILTER ({SCORE} >= {TRUST} AND joint_name = '{_W}') AS y FROM traj_frame GROUP BY ALL),
 w AS (SELECT clip_id, avg(sqrt((x - x1) ** 2 + (y - y1) ** 2)) AS jitter, avg(sqrt((x - 2 * x1 + x2) ** 2 + (y - 2 * y1 + y2) ** 2)) AS second FROM (SELECT *, lag(x) OVER v AS x1, lag(y) OVER v AS y1, lag(x, 2) OVER v AS x2, lag(y, 2) OVER v AS y2 FROM f WHERE x IS NOT NULL WINDOW v AS (PARTITION BY clip_id ORDER BY frame_index)) GROUP BY clip_id),
-g AS (SELECT clip_id, condition_id, avg(torso) AS torso, avg(arm) AS arm, avg(c) AS c, avg((x IS NULL)::INT) AS missing FROM f GROUP BY ALL)
-SELECT clip_id, condition_id, unnest(['keypoint_completeness', 'keypoint_completeness', 'mean_confidence', 'missing_rate', 'temporal_jitter', 'second_difference']) AS metric_name, unnest(['torso', 'arm', 'all', '{_W}', '{_W}', '{_W}']) AS joint_group,
-  round(unnest([torso, arm, c, missing, jitter, second]), 6) AS value FROM g LEFT JOIN w USING (clip_id)""")
+g AS (SELECT clip_id, condition_id, avg(torso) AS torso, avg(arm) AS arm, avg(c) AS c, avg(took) AS took, avg((x IS NULL)::INT) AS missing FROM f GROUP BY ALL)
+SELECT clip_id, condition_id, unnest(['keypoint_completeness', 'keypoint_completeness', 'mean_confidence', 'runtime_ms_per_frame', 'missing_rate', 'temporal_jitter', 'second_difference']) AS metric_name, unnest(['torso', 'arm', 'all', 'all', '{_W}', '{_W}', '{_W}']) AS joint_group,
+  round(unnest([torso, arm, c, took, missing, jitter, second]), 6) AS value FROM g LEFT JOIN w USING (clip_id)""")
 def ablation_rows(spark, sf_dir):
-    return catalog.ablation_rows(A.traj_frame(spark, sf_dir), K, GROUPS, [_W], TRUST).withColumn("value", r6("value"))
+    points = A.traj_frame(spark, sf_dir).withColumn("inference_time_ms", F.when(F.col("y") > 0.2, F.col("x") * 40))
+    return catalog.ablation_rows(points, K, GROUPS, [_W], TRUST, runtime="inference_time_ms").withColumn("value", r6("value"))
 
 
 # ---- rescues and directions

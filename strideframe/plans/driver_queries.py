@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import confidence as C
+from .. import schemas
 from ..operators import body, comparisons, completion, events, grids, poses, reports, settings, smoothing
+from ..session import scratch_path
+from ..sources import tables
 from . import adapters as A
 from .catalog_queries import RESCUE, SWING
 from . import bundle_queries as BQ
@@ -418,3 +421,57 @@ def angles_by_kind(spark, sf_dir):
 def first_prices(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("custkey"), F.when(F.col("o_totalprice") > 150000, F.col("o_totalprice")).otherwise(float("nan")).alias("price"), "o_orderdate", "o_orderkey")
     return comparisons.first_value(o, ["custkey"], "price", ["o_orderdate", "o_orderkey"])
+
+
+# ---- tables through files: written, read back typed
+
+
+def _through_csv(df, schema, read):
+    path = scratch_path(df.sparkSession, "tables")
+    tables.write_csv(df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]), path)
+    return read(df.sparkSession, path)
+
+
+_SOMETIMES = "CASE WHEN confidence >= 0.2 THEN {} END"
+
+
+@query(f"""WITH {A.TRAJ_FRAME} SELECT clip_id, condition_id, frame_index, round(timestamp_sec, 9) AS timestamp_sec, joint_name, {_SOMETIMES.format("x")} AS x, y, visibility, confidence, backend, NULL::DOUBLE AS inference_time_ms FROM traj_frame""")
+def pose2d_through_csv(spark, sf_dir):
+    df = A.traj_frame(spark, sf_dir).withColumn("x", F.expr(_SOMETIMES.format("x")))
+    return _through_csv(df, schemas.POSE2D, tables.read_pose2d).withColumn("timestamp_sec", F.round("timestamp_sec", 9))
+
+
+@query(f"""WITH {A.MARKERS} SELECT trial_id::VARCHAR AS clip_id, 'raw' AS condition_id, frame_index, round(timestamp_sec, 9) AS timestamp_sec, 'm' || marker AS joint_name, CASE WHEN y <= 80 THEN x END AS x_3d, y AS y_3d, z AS z_3d, 'mm' AS scale_mode, NULL::VARCHAR AS lift_backend, 0.5::DOUBLE AS input_quality_score FROM markers""")
+def pose3d_through_csv(spark, sf_dir):
+    m = A.markers(spark, sf_dir)
+    # A missing number is NaN in files of this kind.
+    df = m.select(F.col("trial_id").cast("string").alias("clip_id"), F.lit("raw").alias("condition_id"), "frame_index", "timestamp_sec", F.concat(F.lit("m"), "marker").alias("joint_name"), F.when(F.col("y") <= 80, F.col("x")).otherwise(float("nan")).alias("x_3d"), F.col("y").alias("y_3d"), F.col("z").alias("z_3d"), F.lit("mm").alias("scale_mode"), F.lit(0.5).alias("input_quality_score"))
+    return _through_csv(df, schemas.POSE3D, tables.read_pose3d).withColumn("timestamp_sec", F.round("timestamp_sec", 9))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS clip_id, 'a;b' || CASE WHEN o_custkey % 2 = 0 THEN '; ;' ELSE '' END AS raw_tags, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS action_type, 'root/' || o_orderkey || '.mp4' AS source_path, CASE WHEN o_custkey % 5 = 0 THEN '' ELSE 'a|b' END AS tags FROM orders""")
+def clips_through_csv(spark, sf_dir):
+    """The clip dimension: empty tags drop out, paths lie below a root, empty cells are null."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    raw = F.concat(F.lit("a;b"), F.when(F.col("o_custkey") % 2 == 0, "; ;").otherwise(""))
+    written = o.select(F.col("o_orderkey").cast("string").alias("clip_id"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".mp4")).alias("source_path"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("action_type"), F.lit(30.0).alias("fps_target"), F.when(F.col("o_custkey") % 5 != 0, raw).alias("difficulty_tags"), raw.alias("notes"))
+    path = scratch_path(spark, "clips")
+    tables.write_csv(written, path)
+    read = tables.read_clips(spark, path, "root")
+    return read.select("clip_id", F.col("notes").alias("raw_tags"), "action_type", "source_path", F.array_join("difficulty_tags", "|").alias("tags"))
+
+
+@query(f"""WITH {A.MARKERS}, k AS (SELECT * FROM markers WHERE y <= 60), f AS (SELECT trial_id, frame_index, row_number() OVER (PARTITION BY trial_id ORDER BY frame_index) - 1 AS dense_frame FROM (SELECT DISTINCT trial_id, frame_index FROM k)),
+g AS (SELECT f.*, m.marker FROM f JOIN (SELECT DISTINCT trial_id, marker FROM k) m USING (trial_id)) SELECT g.trial_id, g.marker, g.frame_index, g.dense_frame, round(k.x, 6) AS x FROM g LEFT JOIN k USING (trial_id, marker, frame_index)""")
+def dense_marker_points(spark, sf_dir):
+    m = A.markers(spark, sf_dir).withColumn("valid", (F.col("y") <= 60).cast("int"))
+    out = tables.dense_points(m, ["trial_id"], "marker")
+    return out.select("trial_id", "marker", "frame_index", F.col("dense_frame").cast("long").alias("dense_frame"), r6("x").alias("x"))
+
+
+@query(f"""WITH {A.TRAJ}, k AS (SELECT clip_id, frame_index, min(timestamp_sec) AS t FROM traj WHERE clip_id::INT % 2 = 0 AND frame_index % 2 = 0 GROUP BY ALL), s AS (SELECT clip_id, frame_index, min(timestamp_sec) AS t FROM traj GROUP BY ALL)
+SELECT clip_id, frame_index, round(t, 6) AS timestamp_sec FROM k UNION ALL SELECT clip_id, frame_index, round(t, 6) FROM s WHERE clip_id NOT IN (SELECT clip_id FROM k)""")
+def timelines(spark, sf_dir):
+    t = A.traj(spark, sf_dir)
+    known = t.filter("cast(clip_id as int) % 2 = 0 and frame_index % 2 = 0")
+    return tables.timeline(known, t, ["clip_id"]).withColumn("timestamp_sec", r6("timestamp_sec"))

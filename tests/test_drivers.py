@@ -309,7 +309,7 @@ def test_metric_rows(spark):
 import io  # noqa: E402
 import zipfile  # noqa: E402
 
-from strideframe.functions.scoring import gap_score  # noqa: E402
+from strideframe.functions.scoring import percent_gap  # noqa: E402
 from strideframe.operators import comparisons  # noqa: E402
 from strideframe.sources import arrays, sheets  # noqa: E402
 
@@ -355,7 +355,7 @@ def test_compared_pitch_and_gap(spark):
     assert (speed["value"], speed["coach_value"], speed["status"], speed["gap_score"]) == (125.0, 100.0, "ok", 25.0) and (lean["value"], lean["status"], lean["gap_score"]) == (50.0, "bad", 25.0)
     alone = got["u", "arm_speed"]
     assert (alone["value"], alone["coach_value"], alone["status"], alone["gap_score"]) == (None, None, "warn", 50.0) and got["u", "elbow_bend"]["status"] == "ok" and got["u", "weight_transfer"]["status"] == "warn"
-    far = spark.range(1).select(gap_score(F.lit(9.0), F.lit(1.0)).alias("a"), gap_score(F.lit(9.0), F.lit(0.0)).alias("b")).first()
+    far = spark.range(1).select(percent_gap(F.lit(9.0), F.lit(1.0)).alias("a"), percent_gap(F.lit(9.0), F.lit(0.0)).alias("b")).first()
     assert (far["a"], far["b"]) == (140.0, 50.0)
 
 
