@@ -579,8 +579,8 @@ def test_large_ids_beside_a_null_one(spark):
 # ---- registered queries
 
 
-def test_queries_cover_the_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_queries_cover_the_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
