@@ -112,7 +112,8 @@ def circle_points(a: Vec, ra: Column, b: Vec, rb: Column) -> tuple[list[Column],
     along = (ra * ra - rb * rb + d * d) / (2 * F.when(d > 1e-9, d))
     high2 = ra * ra - along * along
     high = F.sqrt(F.when((d <= ra + rb) & (d >= F.abs(ra - rb)), F.greatest(high2, F.lit(0.0))))
-    ux, uy = (b[0] - a[0]) / d, (b[1] - a[1]) / d
+    apart = F.when(d > 1e-9, d)
+    ux, uy = (b[0] - a[0]) / apart, (b[1] - a[1]) / apart
     foot = [a[0] + ux * along, a[1] + uy * along]
     return [foot[0] - uy * high, foot[1] + ux * high], [foot[0] + uy * high, foot[1] - ux * high]
 

@@ -12,7 +12,7 @@ from ..functions.confidence import by_joint, not_distrusted, pose_score
 from ..functions.geometry import distance, lerp, project_from
 from ..schemas import LIMB_CHAINS
 from .gates import segment_lengths
-from .series import Keys, along, neighbours
+from .series import Keys, along, neighbours, next_present
 
 #: The joints of limbs, each with the segments that hold it: (joint, other end, proximal, distal).
 COMPLETABLE = tuple(sorted({j for chain in LIMB_CHAINS for j in chain}))
@@ -82,11 +82,9 @@ def gap_targets(df: DataFrame, keys: Keys, ok: Column, max_gap: int | Column) ->
     """Unusable rows of gaps of at most max_gap frame numbers between usable rows right before and behind: target (tx, ty) on the line between those."""
     w = along([*keys, "joint_name"])
     df = df.withColumn("_ok", ok)
-    here = F.when(F.col("_ok"), F.struct("frame_index", "x", "y"))
-    df = df.withColumns({
-        "_a": F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_b": F.first(here, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        "_before": F.lag("frame_index").over(w),
-    })
+    df = df.withColumn("_here", F.when(F.col("_ok"), F.struct("frame_index", "x", "y")))
+    before = F.last("_here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumns({"_a": before, "_b": next_present("_here", [*keys, "joint_name"]), "_before": F.lag("frame_index").over(w)}).drop("_here")
     run_start = F.min(F.when(~F.col("_ok"), F.col("frame_index"))).over(Window.partitionBy(*keys, "joint_name", "_a", "_b"))
     df = df.filter(~F.col("_ok") & F.col("_a").isNotNull() & F.col("_b").isNotNull()).withColumn("_start", run_start)
     gap = F.col("_b.frame_index") - F.col("_start")
@@ -199,11 +197,18 @@ def _plausible_in_time(j: str, tolerance: float) -> Column:
     return F.when(both, distance(here, [lerp(a[c], b[c], share) for c in "xy"]) <= tolerance).when(one.isNull(), F.lit(True)).otherwise(alone)
 
 
+def _between_usable(frames: DataFrame, keys: Keys, here: dict[str, Column]) -> DataFrame:
+    """_a_<joint> and _b_<joint>: what `here` holds in the nearest frames before and behind in which it holds anything."""
+    upto = along(keys).rowsBetween(Window.unboundedPreceding, -1)
+    frames = frames.withColumns({f"_here_{j}": v for j, v in here.items()})
+    frames = frames.withColumns({f"_a_{j}": F.last(f"_here_{j}", ignorenulls=True).over(upto) for j in here} | {f"_b_{j}": next_present(f"_here_{j}", keys) for j in here})
+    return frames.drop(*[f"_here_{j}" for j in here])
+
+
 def _rescued(frames: DataFrame, keys: Keys, rule: CompletionRule) -> DataFrame:
     """Each joint's struct with the rescued point in place of the distrusted one, and _saved_<joint>."""
-    w = along(keys)
     usable_here = lambda j: F.when(F.col(f"{j}.ok"), F.struct(F.col("frame_index").alias("f"), F.col(f"{j}.x").alias("x"), F.col(f"{j}.y").alias("y")))
-    frames = frames.withColumns({f"_a_{j}": F.last(usable_here(j), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for j in COMPLETABLE} | {f"_b_{j}": F.first(usable_here(j), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) for j in COMPLETABLE})
+    frames = _between_usable(frames, keys, {j: usable_here(j) for j in COMPLETABLE})
     saved = {}
     for j in COMPLETABLE:
         fits = F.lit(False)
@@ -220,26 +225,30 @@ def _rescued(frames: DataFrame, keys: Keys, rule: CompletionRule) -> DataFrame:
     return frames.withColumns({j: F.when(F.col(f"_saved_{j}"), new(j)).otherwise(F.col(j)) for j in COMPLETABLE})
 
 
-def _direction(frames: DataFrame, keys: Keys, near: str, far: str, reach: int) -> DataFrame:
-    """_dir: from near to far in the nearest other frame within reach that has both (the earlier of two), else (1, 0)."""
-    both = F.col(f"{near}.ok") & F.col(f"{far}.ok")
-    here = F.when(both, F.struct(F.col("frame_index").alias("f"), (F.col(f"{far}.x") - F.col(f"{near}.x")).alias("x"), (F.col(f"{far}.y") - F.col(f"{near}.y")).alias("y")))
+def _directions(frames: DataFrame, keys: Keys, segments: list[tuple[str, str]], reach: int) -> DataFrame:
+    """_dir_<far>: from near to far in the nearest other frame within reach that has both (the earlier of two), null without one."""
+    both = lambda near, far: F.col(f"{near}.ok") & F.col(f"{far}.ok")
+    here = lambda near, far: F.when(both(near, far), F.struct(F.col("frame_index").alias("f"), *[(F.col(f"{far}.{c}") - F.col(f"{near}.{c}")).alias(c) for c in "xy"]))
     w = along(keys)
-    before, after = F.last(here, ignorenulls=True).over(w.rangeBetween(-reach, -1)), F.first(here, ignorenulls=True).over(w.rangeBetween(1, reach))
-    frames = frames.withColumns({"_before": before, "_after": after})
-    earlier = F.col("_after").isNull() | (F.col("frame_index") - F.col("_before.f") <= F.col("_after.f") - F.col("frame_index"))
-    return frames.withColumn(f"_dir_{far}", F.when(F.col("_before").isNotNull() & earlier, F.col("_before")).otherwise(F.col("_after"))).drop("_before", "_after")
+    frames = frames.withColumns({f"_v_{far}": here(near, far) for near, far in segments})
+    frames = frames.withColumns({f"_before_{far}": F.last(f"_v_{far}", ignorenulls=True).over(w.rangeBetween(-reach, -1)) for _, far in segments} | {f"_after_{far}": F.first(f"_v_{far}", ignorenulls=True).over(w.rangeBetween(1, reach)) for _, far in segments})
+    nearest = {}
+    for _, far in segments:
+        before, after = F.col(f"_before_{far}"), F.col(f"_after_{far}")
+        earlier = after.isNull() | (F.col("frame_index") - before["f"] <= after["f"] - F.col("frame_index"))
+        nearest[f"_dir_{far}"] = F.when(before.isNotNull() & earlier, before).otherwise(after)
+    return frames.withColumns(nearest).drop(*[f"_{k}_{far}" for k in ("v", "before", "after") for _, far in segments])
 
 
 def _filled(frames: DataFrame, keys: Keys, rule: CompletionRule) -> DataFrame:
     """_fill_<joint>: the point that fills a short gap of a limb's middle or end, null elsewhere."""
-    w, frame = along(keys), F.col("frame_index")
+    frame = F.col("frame_index")
     parts = sorted({j for _, m, d in LIMB_CHAINS for j in (m, d)})
-    frames = frames.withColumns({f"_next_{j}": F.first(F.when(F.col(j).isNotNull(), frame), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) for j in parts})
+    frames = frames.withColumns({f"_at_{j}": F.when(F.col(j).isNotNull(), frame) for j in parts})
+    frames = frames.withColumns({f"_next_{j}": next_present(f"_at_{j}", keys) for j in parts}).drop(*[f"_at_{j}" for j in parts])
     usable_here = lambda j: F.when(F.col(f"{j}.ok"), F.struct(frame.alias("f"), F.col(f"{j}.x").alias("x"), F.col(f"{j}.y").alias("y"), F.col(f"_next_{j}").alias("next")))
-    frames = frames.withColumns({f"_a_{j}": F.last(usable_here(j), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for j in parts} | {f"_b_{j}": F.first(usable_here(j), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) for j in parts})
-    for _, m, d in LIMB_CHAINS:
-        frames = _direction(frames, keys, m, d, rule.reach)
+    frames = _between_usable(frames, keys, {j: usable_here(j) for j in parts})
+    frames = _directions(frames, keys, [(m, d) for _, m, d in LIMB_CHAINS], rule.reach)
     targets = {}
     for j in parts:
         a, b = F.col(f"_a_{j}"), F.col(f"_b_{j}")
@@ -263,7 +272,7 @@ def _filled(frames: DataFrame, keys: Keys, rule: CompletionRule) -> DataFrame:
         frames = frames.withColumns({f"_fill_{d}": end, "_d": distance(at(p), at(d))})
         frames = frames.withColumn("_along", (upper**2 - bone**2 + F.col("_d") ** 2) / (2 * F.when(F.col("_d") > 1e-9, F.col("_d"))))
         meets = (F.col("_d") <= upper + bone) & (F.col("_d") >= F.abs(upper - bone)) & (upper**2 >= F.col("_along") ** 2)
-        frames = frames.withColumns({"_high": F.when(meets, F.sqrt(upper**2 - F.col("_along") ** 2)), **{f"_u{c}": (F.col(f"{d}.{c}") - F.col(f"{p}.{c}")) / F.col("_d") for c in "xy"}})
+        frames = frames.withColumns({"_high": F.when(meets, F.sqrt(upper**2 - F.col("_along") ** 2)), **{f"_u{c}": (F.col(f"{d}.{c}") - F.col(f"{p}.{c}")) / F.when(F.col("_d") > 1e-9, F.col("_d")) for c in "xy"}})
         foot = [F.col(f"{p}.{c}") + F.col(f"_u{c}") * F.col("_along") for c in "xy"]
         side = [-F.col("_uy") * F.col("_high"), F.col("_ux") * F.col("_high")]
         frames = frames.withColumns({f"_{n}{c}": f + sign * s for n, sign in (("p", 1), ("q", -1)) for c, f, s in zip("xy", foot, side, strict=True)})

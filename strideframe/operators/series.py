@@ -14,6 +14,12 @@ def along(keys: Keys, order: str = "frame_index"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def next_present(column: str, keys: Keys, order: str = "frame_index") -> Column:
+    """First non-null value behind the row, in one pass over the series; a frame from the row to the series' end is read anew for every row."""
+    quoted = lambda names: ", ".join(f"`{n}`" for n in names)
+    return F.expr(f"lead({quoted([column])}) IGNORE NULLS OVER (PARTITION BY {quoted(keys)} ORDER BY {quoted([order])})")
+
+
 def steps(df: DataFrame, keys: Keys, axes: list[str], *, order: str = "frame_index", name: str = "step") -> DataFrame:
     """Distance from the row before. Filter missing rows first to step over them, or keep them to get null beside a gap."""
     w = along(keys, order)
@@ -111,12 +117,9 @@ def sampling_rate(df: DataFrame, keys: Keys, *, time: str = "timestamp_sec", ord
 
 def neighbours(df: DataFrame, keys: Keys, usable: Column, columns: list[str], *, order: str = "frame_index") -> DataFrame:
     """Nearest usable rows strictly before and behind each row, as structs `before` and `after`."""
-    found = F.when(usable, F.struct(order, *columns))
-    w = along(keys, order)
-    return df.withColumns({
-        "before": F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "after": F.first(found, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-    })
+    df = df.withColumn("_found", F.when(usable, F.struct(order, *columns)))
+    before = F.last("_found", ignorenulls=True).over(along(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumns({"before": before, "after": next_present("_found", keys, order)}).drop("_found")
 
 
 def first_peak(df: DataFrame, keys: Keys, value: Column, *, order: str = "frame_index", carry: list[str] | None = None) -> DataFrame:

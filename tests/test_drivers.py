@@ -157,6 +157,22 @@ def test_a_middle_joint_goes_where_its_bones_meet(spark):
     assert (got["x"], got["y"]) == (pytest.approx(0.5), pytest.approx(0.55))
 
 
+def test_a_limb_whose_ends_meet(spark):
+    """Hip and ankle in one place have no direction between them: the knee goes half way, and no division by zero ends the job."""
+    rows = []
+    for f in range(3):
+        rows += [(f, "left_hip", 0.5, 0.2, 1.0), (f, "left_knee", 0.6, 0.3, 1.0), (f, "left_ankle", 0.5, 0.4, 1.0)]
+    rows[4:6] = [(1, "left_knee", None, None, 1.0), (1, "left_ankle", 0.5, 0.2, 1.0)]
+    got = point_of(completion.complete_pose(pose(spark, rows), K), 1, "left_knee")
+    assert (got["x"], got["y"], got["backend"]) == (pytest.approx(0.5), pytest.approx(0.2), "test+imputed")
+
+
+def test_completion_reads_a_clip_once(spark):
+    """No window reaches from a row to the end of its clip: such a frame is read anew for every row."""
+    out = completion.complete_pose(pose(spark, arm(range(4))), K)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().replace("unboundedpreceding$(), unboundedfollowing$()", "")
+
+
 def test_completion_settings_and_one_shuffle(spark):
     for bad in ({"max_gap": -1}, {"confidence": 0.0}):
         with pytest.raises(ValueError):
