@@ -9,7 +9,7 @@ from ..functions.confidence import not_distrusted, pose_score
 from ..functions.geometry import distance, midpoint
 from ..schemas import LIMB_SEGMENTS
 from .islands import position
-from .series import Keys, along
+from .series import Keys, along, next_present
 
 Segments = tuple[tuple[str, str, str], ...]
 
@@ -86,7 +86,7 @@ def isolated_jumps(df: DataFrame, keys: Keys, multiplier: float | Column, *, flo
     df = position(df, keys).withColumn("_here", here)
     df = df.withColumns({
         "_prev": F.last("_here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "_next": F.first("_here", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "_next": next_present("_here", keys),
     })
     gap = lambda a, b: distance([F.col(f"{a}.x"), F.col(f"{a}.y")], [F.col(f"{b}.x"), F.col(f"{b}.y")])
     df = df.withColumn("_step", gap("_prev", "_here"))

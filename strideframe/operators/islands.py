@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import lerp
-from .series import Keys, along
+from .series import Keys, along, next_present
 
 
 def position(df: DataFrame, keys: Keys, *, order: str = "frame_index") -> DataFrame:
@@ -41,9 +41,8 @@ def valid_segments(df: DataFrame, keys: Keys, value: str, *, order: str = "frame
 
 def missing_runs(df: DataFrame, keys: Keys, usable: Column, *, order: str = "frame_index") -> DataFrame:
     """Stretches of unusable rows as [start, end): end is the next usable frame, or one past the last row."""
-    w = along(keys, order)
-    df = df.withColumn("_ok", usable)
-    df = df.withColumns({"_next": F.first(F.when(F.col("_ok"), F.col(order)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "_last": F.max(order).over(Window.partitionBy(*keys))})
+    df = df.withColumn("_ok", usable).withColumn("_at", F.when(F.col("_ok"), F.col(order)))
+    df = df.withColumns({"_next": next_present("_at", keys, order), "_last": F.max(order).over(Window.partitionBy(*keys))})
     df = df.filter(~F.col("_ok")).withColumn("end", F.coalesce("_next", F.col("_last") + 1))
     return df.groupBy(*keys, "end").agg(F.min(order).alias("start"), F.count(F.lit(1)).alias("rows")).select(*keys, "start", "end", "rows")
 
@@ -53,14 +52,17 @@ def fill_short_gaps(df: DataFrame, keys: Keys, values: list[str], max_gap: int |
     w = along(keys, order)
     limit = F.lit(max_gap) if isinstance(max_gap, int) else max_gap
     df = position(df, keys, order=order)
+    df = df.withColumns({f"_at_{v}": F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col("pos").alias("p"))) for v in values})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_a_{v}": F.last(f"_at_{v}", ignorenulls=True).over(upto) for v in values} | {f"_b_{v}": F.coalesce(f"_at_{v}", next_present(f"_at_{v}", keys, order)) for v in values})
+    filled = {}
     for v in values:
-        found = F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col("pos").alias("p")))
-        before, after = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(found, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        before, after = F.col(f"_a_{v}"), F.col(f"_b_{v}")
         gap = after["p"] - before["p"] - 1
         inside = F.when((gap <= limit) & (gap > 0), lerp(before["v"], after["v"], (F.col("pos") - before["p"]) / (gap + 1)))
         ends = [F.when(before.isNull() & (after["p"] <= limit), after["v"]), F.when(after.isNull() & (F.col("n") - before["p"] - 1 <= limit), before["v"])] if edges else []
-        df = df.withColumn(v, F.coalesce(F.col(v), inside, *ends))
-    return df.drop("pos", "n")
+        filled[v] = F.coalesce(F.col(v), inside, *ends)
+    return df.withColumns(filled).drop("pos", "n", *[f"_{k}_{v}" for k in ("at", "a", "b") for v in values])
 
 
 def new_rows_in_gaps(df: DataFrame, keys: Keys, frames: DataFrame, values: list[str], max_gap: int, *, scale: float = 0.75) -> DataFrame:

@@ -19,20 +19,28 @@ from .series import Keys, along
 def _filtered(df: DataFrame, keys: Keys, columns: list[str], size: int, of: Callable[[Column, Column, Column, Column], Column], order: str) -> DataFrame:
     """Replace columns by of(neighbours, place of the row among them, position in the stretch, length of the stretch); null keeps the value.
 
-    The neighbours reach size - 1 rows to either side, as far as the stretch goes.
+    The neighbours reach size - 1 rows to either side, as far as the stretch goes; position and length count no further than that, which
+    is as far as any window looks. All columns share one order of the series: a stretch is cut out of the values around the row.
     """
+    w = along(keys, order)
+    upto, near, back, ahead = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(1 - size, size - 1), w.rowsBetween(1 - size, -1), w.rowsBetween(1, size - 1)
+    df = df.withColumn("_pos", F.row_number().over(w))
+    df = df.withColumns({f"_gap_{c}": F.when(F.col(c).isNull(), F.col("_pos")) for c in columns})
+    seen = {"_rows": F.count(F.lit(1)).over(ahead)}
     for c in columns:
-        gap = F.col(c).isNull()
-        df = df.withColumn("_gaps", F.sum(gap.cast("int")).over(along(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        stretch = Window.partitionBy(*keys, "_gaps", gap)
-        df = df.withColumns({
-            "_near": F.collect_list(c).over(stretch.orderBy(order).rowsBetween(1 - size, size - 1)), "_i": F.row_number().over(stretch.orderBy(order)) - 1,
-            "_n": F.count(F.lit(1)).over(stretch),
-        })
-        own = F.least(F.col("_i"), F.lit(size - 1))
-        value = F.coalesce(of(F.col("_near"), own, F.col("_i"), F.col("_n")), F.col(c))
-        df = df.withColumn(c, F.when(~gap, value)).drop("_gaps", "_near", "_i", "_n")
-    return df
+        # The last gap up to the row, the next gap ahead, the values around the row and how many of them lie before it.
+        seen |= {f"_last_{c}": F.max(f"_gap_{c}").over(upto), f"_next_{c}": F.min(f"_gap_{c}").over(ahead), f"_near_{c}": F.collect_list(c).over(near), f"_before_{c}": F.count(c).over(back)}
+    df = df.withColumns(seen)
+    reach, cut = {}, {}
+    for c in columns:
+        own = F.least(F.col("_pos") - F.coalesce(f"_last_{c}", F.lit(0)) - 1, F.lit(size - 1))
+        behind = F.coalesce(F.col(f"_next_{c}") - F.col("_pos") - 1, F.col("_rows"))
+        reach |= {f"_own_{c}": F.when(F.col(c).isNotNull(), own).cast("int"), f"_n_{c}": F.when(F.col(c).isNotNull(), own + 1 + behind).cast("int")}
+        cut[f"_near_{c}"] = F.slice(f"_near_{c}", (F.col(f"_before_{c}") - F.col(f"_own_{c}") + 1).cast("int"), F.col(f"_n_{c}"))
+    df = df.withColumns(reach).withColumns(cut)
+    value = {c: F.coalesce(of(F.col(f"_near_{c}"), F.col(f"_own_{c}"), F.col(f"_own_{c}"), F.col(f"_n_{c}")), F.col(c)) for c in columns}
+    df = df.withColumns({c: F.when(F.col(c).isNotNull(), v) for c, v in value.items()})
+    return df.drop("_pos", "_rows", *[f"_{k}_{c}" for k in ("gap", "last", "next", "near", "before", "own", "n") for c in columns])
 
 
 def _window(size: int, length: Column, flavour: str, odd: bool) -> Column:

@@ -112,8 +112,11 @@ def smooth_pose3d(df: DataFrame, keys: Keys, *, max_gap: int = 3, window: int =
 
 def has_marker_skeleton(df: DataFrame, keys: Keys, names: list[str], least: int = 4) -> DataFrame:
     """marker_skeleton: whether a sequence uses at least so many of the names."""
-    found = F.size(F.collect_set(F.when(F.col("joint_name").isin(*names), F.col("joint_name"))).over(Window.partitionBy(*keys)))
-    return df.withColumn("marker_skeleton", found >= least)
+    used = df.groupBy(*keys).agg(*[F.max((F.col("joint_name") == n).cast("int")).alias(f"_{i}") for i, n in enumerate(names)])
+    found = sum([F.coalesce(f"_{i}", F.lit(0)) for i in range(len(names))], F.lit(0))
+    used = used.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (found >= least).alias("marker_skeleton"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(used, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def weighted_fit(values: np.ndarray, weights: np.ndarray, at: np.ndarray, target: float) -> float:

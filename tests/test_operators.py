@@ -267,3 +267,27 @@ def test_empty_tables(spark):
     assert metrics.joint_stability(empty, [*K, "joint_name"], 0.5).count() == 0
     assert islands.fill_short_gaps(empty, K, ["x"], 3).count() == 0
     assert completion.complete_limbs(empty, K, threshold=0.5, max_gap=3).count() == 0
+
+
+def ahead(df):
+    """Window frames in the plan that reach from a row to the end of its series: they are read anew for every row."""
+    return df._jdf.queryExecution().optimizedPlan().toString().replace("unboundedpreceding$(), unboundedfollowing$()", "").count("unboundedfollowing")
+
+
+def test_no_window_reads_the_rest_of_a_series_for_each_row(spark):
+    df = values(spark, [None, 1.0, None, 3.0, None])
+    assert ahead(islands.fill_short_gaps(df, ["k"], ["v"], 2)) == 0 and ahead(islands.missing_runs(df, ["k"], F.col("v").isNotNull())) == 0
+    got = series.neighbours(df, ["k"], F.col("v").isNotNull(), ["v"])
+    assert ahead(got) == 0 and [r["after"] and r["after"]["v"] for r in got.orderBy("frame_index").collect()] == [1.0, 3.0, 3.0, None, None]
+    xy = df.withColumns({"x": F.col("v"), "y": F.col("v")})
+    assert ahead(gates.isolated_jumps(xy, ["k"], 3.0)) == 0
+
+
+def test_filters_sort_a_series_once(spark):
+    from strideframe.operators import kernels
+
+    df = spark.createDataFrame([(1, i, None if i in (7, 8) else float(i), float(i * i)) for i in range(20)], "k int, frame_index int, v double, u double")
+    out = kernels.mean_filter(kernels.savitzky_golay(kernels.median_filter(df, ["k"], ["v", "u"], 3), ["k"], ["v", "u"], 7, 2), ["k"], ["v", "u"], 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    got = [r["v"] for r in out.orderBy("frame_index").collect()]
+    assert got[7] is got[8] is None and got[9] == pytest.approx(28 / 3) and got[12] == pytest.approx(12)
