@@ -1,16 +1,21 @@
 """Order-dependent folds: whether a row is accepted depends on the rows accepted before it, so no window function can say it.
 
-Each one is a small loop over one series; Spark deals the series out.
+Each one is a small loop over one series; Spark deals the series out and puts their rows in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DoubleType, StructField, StructType
+
+from ..functions.geometry import distance
+from .series import along
 
 
 def accepted(points: np.ndarray, frames: np.ndarray, limit: float, *, by_gap: bool) -> np.ndarray:
@@ -29,9 +34,61 @@ def _median_step(points: np.ndarray) -> float:
     return float(np.median(step[step > 0])) if (step > 0).any() else 0.0
 
 
-def _fold(df: DataFrame, keys: list[str], columns: str, step: Callable[[pd.DataFrame], pd.DataFrame], order: str = "frame_index") -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {columns}"
-    return df.groupBy(*keys).applyInPandas(lambda pdf: step(pdf.sort_values(order, kind="stable")), schema)
+def _fold(df: DataFrame, keys: list[str], columns: dict[str, DataType], inputs: list[str], state: Callable[[], Callable[..., tuple]], order: str = "frame_index") -> DataFrame:
+    """New columns from a state that a series' rows pass in order: state() begins one, and gives a function from a row's inputs (NaN where missing) to its new values.
+
+    The rows of all series of a partition pass one task as a stream, batch by batch: short series cost no group each, long ones are never held.
+    """
+    schema = StructType([*df.schema.fields, *[StructField(c, t) for c, t in columns.items()]])
+    kinds = [pa.bool_() if isinstance(t, BooleanType) else pa.float64() for t in columns.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            values = [table[c].cast(pa.float64()).fill_null(float("nan")).to_numpy().tolist() for c in inputs]
+            out = []
+            for first, row in zip(table["_first"].to_pylist(), zip(*values, strict=True), strict=True):
+                if first:
+                    step = state()
+                out.append(step(*row))
+            table = table.drop_columns(["_first"])
+            for c, kind, new in zip(columns, kinds, zip(*out, strict=True) if out else [()] * len(columns), strict=True):
+                table = table.append_column(c, pa.array(new, kind))
+            yield from table.to_batches()
+
+    return df.withColumn("_first", F.row_number().over(along(keys, order)) == 1).mapInArrow(run, schema)
+
+
+def _near_accepted(df: DataFrame, keys: list[str], axes: list[str], limit: Column, name: str, *, by_gap: bool, least: int = 0) -> DataFrame:
+    """name: points beyond a limit (times the root of the frames passed, by_gap) from the last accepted one. limit may use `_median`, the series' median
+    step that is not zero; there are none without one, or under `least` points."""
+    whole, here = Window.partitionBy(*keys), F.lit(True)
+    for a in axes:
+        here = here & F.col(a).isNotNull() & ~F.isnan(a)
+    df = df.withColumn("_here", F.when(here, F.struct(*axes)))
+    before = F.last("_here", ignorenulls=True).over(along(keys).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_step", distance([before[a] for a in axes], [F.col(f"_here.{a}") for a in axes]))
+    df = df.withColumns({"_median": F.median(F.when(F.col("_step") > 0, F.col("_step"))).over(whole), "_points": F.count("_here").over(whole)})
+    df = df.withColumn("_limit", F.when(F.col("_points") >= least, limit)).drop("_here", "_step", "_median", "_points")
+
+    def state() -> Callable[..., tuple]:
+        last = None
+
+        def step(most: float, frame: float, *point: float) -> tuple:
+            nonlocal last
+            if most != most or any(v != v for v in point):
+                return (False,)
+            if last is not None:
+                reach = most * max(1.0, frame - last[0]) ** 0.5 if by_gap else most
+                if math.sqrt(sum((v - u) ** 2 for v, u in zip(point, last[1], strict=True))) > reach:
+                    return (True,)
+            last = frame, point
+            return (False,)
+
+        return step
+
+    return _fold(df, keys, {name: BooleanType()}, ["_limit", "frame_index", *axes], state).drop("_limit")
 
 
 def torso_rejects(points: np.ndarray, frames: np.ndarray, multiplier: float, floor: float) -> np.ndarray:
@@ -45,24 +102,13 @@ def torso_rejects(points: np.ndarray, frames: np.ndarray, multiplier: float, flo
 def torso_continuity(centers: DataFrame, keys: list[str], multiplier: float, floor: float) -> DataFrame:
     """rejected: frames whose centre (cx, cy) is too far from the last accepted one. Under five centres or without a step nothing is."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["cx", "cy"]].to_numpy(dtype=float, na_value=np.nan)
-        return pdf.assign(rejected=torso_rejects(p, pdf["frame_index"].to_numpy(), multiplier, floor))
-
-    return _fold(centers, keys, "rejected boolean", step)
+    return _near_accepted(centers, keys, ["cx", "cy"], F.greatest(F.col("_median") * multiplier, F.lit(floor)), "rejected", by_gap=True, least=5)
 
 
 def jumps_3d(df: DataFrame, keys: list[str], axes: list[str], multiplier: float) -> DataFrame:
     """jump: points farther than multiplier times the median step from the last kept one."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[axes].to_numpy(dtype=float, na_value=np.nan)
-        median = _median_step(p)
-        if median == 0:
-            return pdf.assign(jump=False)
-        return pdf.assign(jump=~np.isnan(p).any(axis=1) & ~accepted(p, pdf["frame_index"].to_numpy(), median * multiplier, by_gap=False))
-
-    return _fold(df, keys, "jump boolean", step)
+    return _near_accepted(df, keys, axes, F.col("_median") * multiplier, "jump", by_gap=False)
 
 
 def object_speed(df: DataFrame, keys: list[str], most: float | None) -> DataFrame:
@@ -71,26 +117,31 @@ def object_speed(df: DataFrame, keys: list[str], most: float | None) -> DataFram
     A detection is not kept where time does not advance, where a size is unknown (it still has a normalised speed) or where it would be faster than `most`.
     """
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        px, unit, kept = [], [], None
-        for x, y, t, w, h in pdf[["x", "y", "timestamp_sec", "width", "height"]].to_numpy(dtype=float, na_value=np.nan):
-            fast = slow = None
-            if not np.isnan([x, y]).any():
-                if kept is None:
-                    kept = (x, y, t, w, h)
-                elif (dt := t - kept[2]) > 0:
-                    slow = float(np.hypot(x - kept[0], y - kept[1]) / dt)
-                    if not np.isnan([w, h, kept[3], kept[4]]).any():
-                        fast = float(np.hypot(x * w - kept[0] * kept[3], y * h - kept[1] * kept[4]) / dt)
-                        if most is not None and fast > most:
-                            fast = slow = None
-                        else:
-                            kept = (x, y, t, w, h)
-            px.append(fast)
-            unit.append(slow)
-        return pdf.assign(speed_px_s=pd.array(px, dtype="Float64"), speed_norm_s=pd.array(unit, dtype="Float64"))
-
-    return _fold(df, keys, "speed_px_s double, speed_norm_s double", step)
+    def state() -> Callable[..., tuple]:
+        kept = None
+
+        def step(x: float, y: float, t: float, w: float, h: float) -> tuple:
+            nonlocal kept
+            if x != x or y != y:
+                return None, None
+            if kept is None:
+                kept = (x, y, t, w, h)
+                return None, None
+            x0, y0, t0, w0, h0 = kept
+            if not (dt := t - t0) > 0:
+                return None, None
+            slow = math.hypot(x - x0, y - y0) / dt
+            if w != w or h != h or w0 != w0 or h0 != h0:
+                return None, slow
+            fast = math.hypot(x * w - x0 * w0, y * h - y0 * h0) / dt
+            if most is not None and fast > most:
+                return None, None
+            kept = (x, y, t, w, h)
+            return fast, slow
+
+        return step
+
+    return _fold(df, keys, {"speed_px_s": DoubleType(), "speed_norm_s": DoubleType()}, ["x", "y", "timestamp_sec", "width", "height"], state)
 
 
 def object_features(tracks: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
@@ -103,18 +154,21 @@ def object_features(tracks: DataFrame, keys: list[str], names: dict[str, str]) -
 def bounded_tracker(df: DataFrame, keys: list[str], *, warm_up: int = 3, share: float = 0.35, most: float = 0.08, growth: tuple[float, float] = (0.35, 2.8)) -> DataFrame:
     """tracked: a centre that follows proposals (x, area) by a bounded exponential step; after the warm-up, proposals whose area leaves the growth range are passed over."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+    def state() -> Callable[..., tuple]:
         at = area = None
-        seen, out = 0, []
-        for x, a in pdf[["x", "area"]].to_numpy(dtype=float, na_value=np.nan):
-            if not np.isnan([x, a]).any():
+        seen = 0
+
+        def step(x: float, a: float) -> tuple:
+            nonlocal at, area, seen
+            if x == x and a == a:
                 if at is None:
                     at, area, seen = x, a, 1
                 elif seen < warm_up or (area > 0 and growth[0] <= a / area <= growth[1]):
-                    at += float(np.clip((x - at) * share, -most, most))
+                    at += min(max((x - at) * share, -most), most)
                     area += (a - area) * share
                     seen += 1
-            out.append(at)
-        return pdf.assign(tracked=pd.array(out, dtype="Float64"))
+            return (at,)
+
+        return step
 
-    return _fold(df, keys, "tracked double", step)
+    return _fold(df, keys, {"tracked": DoubleType()}, ["x", "area"], state)

@@ -291,3 +291,16 @@ def test_filters_sort_a_series_once(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     got = [r["v"] for r in out.orderBy("frame_index").collect()]
     assert got[7] is got[8] is None and got[9] == pytest.approx(28 / 3) and got[12] == pytest.approx(12)
+
+
+def test_folds_stream_short_and_long_series(spark):
+    """No group for each series; a fold begins anew with each one, also one that runs over batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, i, float(i) * k, 0.0, float(i), 100, 100) for k in range(20) for i in range(1 if k % 2 else 30)]
+        df = spark.createDataFrame(rows, "k int, frame_index int, x double, y double, timestamp_sec double, width int, height int")
+        out = folds.object_speed(df, ["k"], None)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["k"], r["frame_index"], r["speed_norm_s"]) for r in out.collect()} == {(r[0], r[1], float(r[0]) if r[1] else None) for r in rows}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
