@@ -54,3 +54,7 @@ def test_savitzky_golay_covers_all_rows(spark):
     got = {(r["series"], r["frame_index"]): r["smooth"] for r in QUERIES["savitzky_golay"](spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 0.00051 + 1e-9 * abs(want[k]) for k in want)
+
+
+def test_object_features_need_no_group_for_each_series(spark):
+    assert "FlatMapGroupsInPandas" not in QUERIES["object_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
