@@ -39,6 +39,8 @@ class Pose2dRule:
 
 
 AXES = ["x", "y"]
+#: Groups among which the torso's series are dealt; a group holds a row a frame.
+TORSO_GROUPS = 1024
 
 
 def _torso_flags(df: DataFrame, keys: Keys, rule: Pose2dRule) -> DataFrame:
@@ -46,18 +48,24 @@ def _torso_flags(df: DataFrame, keys: Keys, rule: Pose2dRule) -> DataFrame:
     centers = gates.torso_centers(df, keys, rule.threshold)
     least = rule.least_torso_frames
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index", kind="stable")
-        p, frames = pdf[["cx", "cy"]].to_numpy(dtype=float, na_value=np.nan), pdf["frame_index"].to_numpy()
+    def flags(p: np.ndarray, frames: np.ndarray) -> np.ndarray:
         out = folds.torso_rejects(p, frames, rule.torso_jump, rule.least_torso_jump) if rule.torso_gate else np.zeros(len(p), dtype=bool)
         there = np.flatnonzero(~np.isnan(p).any(axis=1) & ~out)
         if least > 1 and len(there) >= least:
             number = np.concatenate(([0], np.cumsum(np.diff(frames[there]) > 1)))
             out[there[np.bincount(number)[number] < least]] = True
-        return pdf[out][[*keys, "frame_index"]]
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_series=pdf.groupby(keys, dropna=False, sort=False).ngroup()).sort_values(["_series", "frame_index"], kind="stable")
+        p, frames, series = pdf[["cx", "cy"]].to_numpy(dtype=float, na_value=np.nan), pdf["frame_index"].to_numpy(), pdf["_series"].to_numpy()
+        ends = [0, *(np.flatnonzero(np.diff(series)) + 1), len(pdf)]
+        out = np.concatenate([flags(p[a:b], frames[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
+        return pdf.loc[out, [*keys, "frame_index"]]
 
     kept = centers.select(*keys, "frame_index")
-    return centers.groupBy(*keys).applyInPandas(run, kept.schema)
+    # Series share groups: one of its own each, of some thirty rows, costs more than its fold.
+    return centers.groupBy(F.pmod(F.hash(*keys), F.lit(TORSO_GROUPS)).alias("_group")).applyInPandas(run, kept.schema)
 
 
 def gate_pose2d(df: DataFrame, keys: Keys, rule: Pose2dRule) -> DataFrame:

@@ -144,3 +144,14 @@ def test_empty_inputs(spark):
     assert smoothing.smooth_pose2d(empty, K).count() == 0 and gates.segment_lengths(empty, [*K, "frame_index"], ["x", "y"]).count() == 0
     assert completion.rescue(empty, K, threshold=0.5, least=0.1, least_alone=0.1, limb_tolerance=0.3, time_tolerance=0.1).count() == 0
     assert catalog.ablation_rows(empty, K, {"all": ["nose"]}, ["left_wrist"], 0.3).count() == 0
+
+
+def test_series_of_one_group_keep_their_own_torso(spark, monkeypatch):
+    """Series share the groups of the torso's fold: a jump in one takes nothing from the others."""
+    monkeypatch.setattr(smoothing, "TORSO_GROUPS", 1)
+    rows = points(spark, [r for f in range(12) for r in body(f, 0.3 if f == 6 else 0.005 * f)])
+    still = points(spark, [r for f in range(12) for r in body(f, 0.25 + 0.005 * f)]).withColumn("clip_id", F.lit("d"))
+    rule = smoothing.Pose2dRule(torso_jump=8.0, least_torso_jump=0.08)
+    both = smoothing.gate_pose2d(rows.unionByName(still), K, rule)
+    assert "_group" in both._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["clip_id"], r["frame_index"]) for r in both.filter("x is null").collect()} == {("c", 6)}
