@@ -45,7 +45,12 @@ def frame_union(tables: dict[str, DataFrame], keys: Keys, value: str, *, order:
     for name, df in tables.items():
         one = df.select(*keys, order, F.lit(name).alias("_of"), F.col(value).alias("_value"))
         stacked = one if stacked is None else stacked.unionByName(one)
-    return stacked.groupBy(*keys, order).agg(*[F.max(F.when(F.col("_of") == name, F.col("_value"))).alias(name) for name in tables])
+    return frame_columns(stacked, list(tables), keys, "_value", name="_of", order=order)
+
+
+def frame_columns(df: DataFrame, names: list[str], keys: Keys, value: str, *, name: str = "joint_name", order: str = "frame_index") -> DataFrame:
+    """frame_union of the wanted names of one table, which is read once."""
+    return df.filter(F.col(name).isin(*names)).groupBy(*keys, order).agg(*[F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
 
 
 def combined_score(union: DataFrame, keys: Keys, weights: dict[str, float], *, name: str = "score") -> DataFrame:

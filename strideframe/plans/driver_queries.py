@@ -174,7 +174,7 @@ SELECT *, round({" + ".join(f"{w} * coalesce(abs({j}) / nullif(max(abs({j})) OVE
 def composite_scores(spark, sf_dir):
     ok = C.trusted(C.pose_score(), TRUST)
     t = A.traj(spark, sf_dir).withColumn("x", F.when(ok, F.col("x")))
-    union = grids.frame_union({j: t.filter(F.col("joint_name") == j) for j in _PARTS}, ["clip_id"], "x")
+    union = grids.frame_columns(t, list(_PARTS), ["clip_id"], "x")
     return grids.combined_score(union, ["clip_id"], _PARTS).withColumn("score", F.round("score", 9))
 
 

@@ -58,3 +58,8 @@ def test_savitzky_golay_covers_all_rows(spark):
 
 def test_object_features_need_no_group_for_each_series(spark):
     assert "FlatMapGroupsInPandas" not in QUERIES["object_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_composite_scores_order_the_events_once(spark):
+    plan = QUERIES["composite_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
